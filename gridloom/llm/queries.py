@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality")
+MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality", "language")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
