@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality", "language")
+MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality", "language", "pii", "embeddings")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
