@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that reach Python hold at most so many bytes or rows, so that a batch of long texts stays small.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 BATCH_ROWS = 4096
 
 

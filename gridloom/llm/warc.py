@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import as_bytes, materialise, small_batches, table
 
 #: An archive is closed once its records hold so many bytes; one record never spans two archives.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 4 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures of the end record, the ZIP64 locator and end record, central and local headers.
 _END, _LOCATOR, _END64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
