@@ -65,6 +65,23 @@ class WindowSet:
             yield length, at[exact], which[exact], owners
 
 
+def _marked(known: WindowSet, texts: list[bytes | None], items: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+    """Words of each text, where they start among all words, which of those are hit; the items found are added to items."""
+    own = [words_of(t) for t in texts]
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    starts = np.concatenate(([0], np.cumsum(n + 1)))  # a 0 after each text, so that no window spans two
+    ids = np.zeros(starts[-1], np.uint64)
+    for k, text in enumerate(own):
+        ids[starts[k] : starts[k] + n[k]] = np.fromiter(map(known.vocabulary.get, text, repeat(0)), np.uint64, len(text))
+    covered = np.zeros(len(ids) + 1, np.int32)
+    for length, at, which, owners in known.scan(ids):
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + length, -1)
+        for doc, w in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), which.tolist(), strict=True)):
+            items[doc].update(known.items[i] for i in owners[w])
+    return n, starts, np.cumsum(covered[:-1]) > 0, items
+
+
 def _window_sets(bench: DataFrame, id_col: str, text_col: str, words: int) -> Iterator[WindowSet]:
     """The benchmark in sets of bounded size; rows are fetched one partition at a time."""
     held, windows = [], 0
@@ -96,23 +113,8 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
         shared = spark.sparkContext.broadcast(one)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            number = known.vocabulary.get
             for b in batches:
-                own = [words_of(t) for t in as_bytes(b.column(1))]
-                n = np.fromiter(map(len, own), np.int64, len(own))
-                starts = np.concatenate(([0], np.cumsum(n + 1)))  # a 0 after each text, so that no window spans two
-                ids = np.zeros(starts[-1], np.uint64)
-                for k, text in enumerate(own):
-                    ids[starts[k] : starts[k] + n[k]] = np.fromiter(map(number, text, repeat(0)), np.uint64, len(text))
-                covered = np.zeros(len(ids) + 1, np.int32)
-                items = [set(x or ()) for x in b.column(5).to_pylist()]
-                for length, at, which, owners in known.scan(ids):
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + length, -1)
-                    for doc, w in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), which.tolist(), strict=True)):
-                        items[doc].update(known.items[i] for i in owners[w])
-                hit = np.cumsum(covered[:-1]) > 0
+                n, starts, hit, items = _marked(shared.value, as_bytes(b.column(1)), [set(x or ()) for x in b.column(5).to_pylist()])
                 bits, counts = [], []
                 for k, before in enumerate(b.column(4).to_pylist()):
                     mine = hit[starts[k] : starts[k] + n[k]]
@@ -157,6 +159,24 @@ def cleaned(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return hits(docs, bench, id_col, text_col, item_col, words).select(F.col("id").alias(id_col), cut("text", "hit").alias(text_col))
 
 
+def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", words: int = WORDS) -> DataFrame:
+    """The rows of docs, with all their columns, in whose texts no benchmark window occurs. Null texts stay."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    place = docs.columns.index(text_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    for one in _window_sets(bench, item_col, text_col, words):
+        shared = spark.sparkContext.broadcast(one)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = _marked(shared.value, as_bytes(b.column(place)), [set() for _ in range(b.num_rows)])[3]
+                yield b.filter(pa.array([not x for x in found], pa.bool_()))
+
+        docs = docs.mapInArrow(scan, schema)
+    return docs
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -140,6 +140,19 @@ def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(scan, f"{kinds}, score double")
 
 
+def accepted(docs: DataFrame, model: PuModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose texts score at least `least`."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(shared.value.scores(features(as_bytes(b.column(place)))) >= least, pa.bool_()))
+
+    return docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())

@@ -147,7 +147,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone, when the component is null. An empty table gives an empty result. Other columns are not read.
     Copies share a fingerprint and are linked through it once, never pair by pair.
     """
-    spark = docs.sparkSession
     marked = materialise(fingerprints(docs, id_col, text_col))
     fps = materialise(marked.groupBy("fp").agg(F.min("id").alias("rep")))
     root = components(links(fps).distinct())
@@ -155,10 +154,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     out = marked.join(named, "fp")
-    assert spark is out.sparkSession
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their components: those of the smallest id.
+
+    The id names a document: of rows that repeat it one stays. Rows with a null id belong to no group and stay.
+    """
+    kept = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id"))
+    named = docs.join(kept.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
