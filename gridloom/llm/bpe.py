@@ -10,6 +10,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, table
+from gridloom.llm.common import lean, small_batches, table
 
-#: Encoded words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 300_000
-_END = "\n"  # stands for the word-end suffix; no byte symbol is a line feed
+#: Encoded words, and runs of them, that a worker remembers (about 400 bytes each).
+CACHE_WORDS = 500_000
+#: White space to Python's split(), but not to the pattern.
+_UNWHITE = re.compile("[\x1c-\x1f]").search
+_FIRST, _SECOND = itemgetter(0), itemgetter(1)
+_END = 256  # the code of the word end, after those of the bytes
+_BASE, _MASK = 0xD1342543DE82EF95, (1 << 64) - 1
 
 
 def byte_symbols() -> list[str]:
@@ -31,8 +36,36 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Table:
+    """A fixed map from 64-bit keys to numbers with vectorised look-up (open addressing); absent keys give -1."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.values[slot[left]] < 0]
+            at = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[at]], self.values[slot[at]] = keys[at], values[at]
+            left = np.setdiff1d(left, at, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        out = self.values[slot]
+        off = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        while len(off):
+            slot[off] = (slot[off] + 1) & ((1 << self.bits) - 1)
+            out[off] = self.values[slot[off]]
+            off = off[(self.keys[slot[off]] != keys[off]) & (out[off] >= 0)]
+        return out
+
+
 class Tokenizer:
-    """Vocabulary and merges of one tokenizer file, with the tables that verify proposed tokens."""
+    """Vocabulary and merges of one tokenizer file, with the tables that propose and verify tokens."""
 
     def __init__(self, file: str):
         with open(file, encoding="utf-8") as f:
@@ -40,73 +73,138 @@ class Tokenizer:
         model = spec["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix") or spec["decoder"] is not None:
             raise ValueError("only BPE files with a word-end suffix and no decoder are read")
-        self.suffix = model["end_of_word_suffix"]
+        suffix, code = model["end_of_word_suffix"], {s: b for b, s in enumerate(byte_symbols())}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        own = lambda s: s[: -len(self.suffix)] + _END if s.endswith(self.suffix) and s not in self.special else s
         self.strings = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
-        self.ids = {own(s): i for s, i in model["vocab"].items() if s not in self.special}
         self.size = max(self.strings) + 1
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        ids = {s: i for s, i in model["vocab"].items() if s not in self.special}
+        #: Ids of single bytes, inside a word and at its end.
+        self.inner, self.final = (np.array([ids[s + x] for s in byte_symbols()]) for x in ("", suffix))
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        a, b, self.made = (np.array([ids[s] for s in x], np.int64) for x in (*zip(*pairs, strict=True), [a + b for a, b in pairs]))
         self.left, self.right = np.arange(self.size), np.arange(self.size)
-        made = []
-        for k, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            c = self.ids[own(a + b)]
-            a, b = self.ids[own(a)], self.ids[own(b)]
-            self.rank[a, b] = k, c
-            made.append(c)
-            self.left[c], self.right[c] = a, b
-        #: Order in which symbols come into being: base symbols -1, merged ones the number of their merge.
+        self.left[self.made], self.right[self.made] = a, b
+        #: Order in which symbols come into being: bytes -1, merged ones the number of their merge.
         self.born = np.full(self.size, -1)
-        self.born[made] = np.arange(len(made))
-        self.speculative = len(set(made)) == len(made)  # else a token has two histories, and no proposal is trusted
-        keys = np.array([a * self.size + b for a, b in self.rank], np.int64)
-        order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], np.array([k for k, _ in self.rank.values()], np.int64)[order]
-        self.longest = max(map(len, self.ids))
-        #: Tokens that encode to themselves; others are never proposed.
-        self.stable = np.zeros(self.size, bool)
-        for s, i in self.ids.items():
-            self.stable[i] = self.merge(s) == [i]
-        self.proposed = {s: i for s, i in self.ids.items() if self.stable[i]}
-
-    def merge(self, word: str) -> list[int]:
-        """Exact encoding: the earliest merge first, the leftmost of equals."""
-        symbols = [*word[:-2], word[-2:]] if word.endswith(_END) and len(word) > 1 else [*word]
-        ids = [self.ids[s] for s in symbols]
-        rank = self.rank
-        while len(ids) > 1:
-            k, c, pair = min(((*rank[p], p) for p in zip(ids, ids[1:], strict=False) if p in rank), default=(0, 0, None))
-            if pair is None:
-                break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == pair[0] and ids[i + 1] == pair[1]:
-                    out.append(c)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def greedy(self, word: str) -> list[int]:
-        """Longest matches from the left; the word end is never left over alone. Empty if a place has no match."""
-        out, at, n, get = [], 0, len(word), self.proposed.get
-        while at < n:
-            end = min(n, at + self.longest)
-            while end > at:
-                i = get(word[at:end]) if end != n - 1 else None
-                if i is not None:
+        self.born[self.made] = np.arange(len(self.made))
+        self.speculative = len(np.unique(self.made)) == len(self.made)  # else a token has two histories, and no proposal is trusted
+        self.ranks = Table(self._pair(a, b), np.arange(len(a), dtype=np.int32))
+        # tokens as codes: bytes, and _END for the word end; those that do not encode to themselves are never proposed
+        tokens = {i: [*map(code.__getitem__, s.removesuffix(suffix)), *[_END] * s.endswith(suffix)] for s, i in ids.items()}
+        whole = [i for i, c in tokens.items() if c[-1] == _END]
+        part = [i for i, c in tokens.items() if c[-1] != _END]
+        merged = self.merge([bytes(tokens[i][:-1]) for i in whole]) + self.merge([bytes(tokens[i]) for i in part], ended=False)
+        stable = [i for i, m in zip(whole + part, merged, strict=True) if m == [i]]
+        self._tokens = [np.array(tokens.get(i, []), np.uint64) for i in range(self.size)]
+        known: dict[int, int] = {}
+        for i in stable:
+            h = 0
+            for c in tokens[i]:
+                h = (h * _BASE + c + 1) & _MASK
+                known.setdefault(h, 0)
+            known[h] = i + 1
+        #: Hashes of the tokens' beginnings: 0, or one more than the id where a token ends.
+        self.starts = Table(np.array(list(known), np.uint64), np.array(list(known.values()), np.int32))
+        self._encoder: Encoder | None = None
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+
+    def encoder(self) -> Encoder:
+        """The encoder of this process; a worker keeps it, and what it has learned, from task to task."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_encoder": None}
+
+    def merge(self, words: list[bytes], ended: bool = True) -> list[list[int]]:
+        """Exact encoding of all words side by side: in each, the earliest merge first, the leftmost of equals."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ids, owner = self.inner[raw], np.repeat(np.arange(len(words)), size)
+        if ended:
+            last = np.cumsum(size)[size > 0] - 1
+            ids[last] = self.final[raw[last]]
+        none = len(self.made)
+        out: list[list[int]] = [[] for _ in words]
+
+        def ranked(at: np.ndarray) -> np.ndarray:
+            """Ranks of the pairs that begin at these places; `none` for no merge and at a word's end."""
+            inside = at + 1 < len(ids)
+            nxt = np.where(inside, at + 1, 0)
+            r = self.ranks.get(self._pair(ids[at], ids[nxt]))
+            return np.where(inside & (owner[at] == owner[nxt]) & (r >= 0), r, none)
+
+        rank = ranked(np.arange(len(ids)))
+        while len(ids):
+            begin = np.flatnonzero(np.diff(owner, prepend=-1))
+            length = np.diff(np.append(begin, len(ids)))
+            least = np.minimum.reduceat(rank, begin)
+            done = least == none
+            if done.any():
+                flat, at = ids.tolist(), 0
+                for k, n in zip(owner[begin[done]].tolist(), zip(begin[done].tolist(), length[done].tolist(), strict=True), strict=True):
+                    at, n = n
+                    out[k] = flat[at : at + n]
+                keep = np.repeat(~done, length)
+                ids, owner, rank, least, length = ids[keep], owner[keep], rank[keep], least[~done], length[~done]
+                if not len(ids):
                     break
-                end -= 1
-            else:
-                return []
-            out.append(i)
-            at = end
+            join = rank == np.repeat(least, length)
+            at = np.flatnonzero(join)
+            run = np.flatnonzero(np.diff(at, prepend=-2) > 1)  # of merges that overlap, every other one takes place
+            at = at[(at - np.repeat(at[run], np.diff(np.append(run, len(at))))) % 2 == 0]
+            ids[at] = self.made[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            at = np.cumsum(keep)[at] - 1
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            rank[at] = ranked(at)
+            before = at[at > 0] - 1
+            rank[before] = ranked(before)
         return out
 
+    def greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from the left, (tokens, word of each), for all words side by side. The word end is never left
+        over alone; a word at some place of which nothing matches ends with -1."""
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        codes = np.full(int(size.sum()), _END, np.uint64)
+        stop = np.cumsum(size)
+        inside = np.ones(len(codes), bool)
+        inside[stop - 1] = False
+        codes[inside] = np.frombuffer(b"".join(words), np.uint8)
+        end = np.repeat(stop, size)
+        token, reach = np.full(len(codes), -1), np.zeros(len(codes), np.int64)
+        live, h, n = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 0
+        while len(live):
+            h = h * np.uint64(_BASE) + codes[live + n] + np.uint64(1)
+            n += 1
+            found = self.starts.get(h)
+            full = (found > 0) & (live + n != end[live] - 1)
+            token[live[full]], reach[live[full]] = found[full] - 1, n
+            more = (found >= 0) & (live + n < end[live])
+            live, h = live[more], h[more]
+        tokens, owners = [], []
+        at, word = stop - size, np.arange(len(words))
+        while len(at):
+            tokens.append(token[at])
+            owners.append(word)
+            more = (token[at] >= 0) & (at + reach[at] < stop[word])
+            at, word = (at + reach[at])[more], word[more]
+        tokens, owners = np.concatenate(tokens or [np.zeros(0, int)]), np.concatenate(owners or [np.zeros(0, int)])
+        order = np.argsort(owners, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        good = np.ones(len(words), bool)
+        good[owners[tokens < 0]] = False
+        spelled = np.concatenate([*map(self._tokens.__getitem__, tokens[good[owners]].tolist()), np.zeros(0, np.uint64)])
+        if not np.array_equal(spelled, codes[np.repeat(good, size)]):  # two strings with one hash: propose nothing
+            return np.full(len(words), -1), np.arange(len(words))
+        return tokens, owners
+
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of neighbouring tokens: whether the text of both encodes to just these two.
 
@@ -115,13 +213,12 @@ class Tokenizer:
         """
         a, b = a.copy(), b.copy()
         ok = np.ones(len(a), bool)
-        limit = np.full(len(a), len(self.pair_ranks), np.int64)  # merges before this one may cross the seam
+        limit = np.full(len(a), len(self.made), np.int64)  # merges before this one may cross the seam
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
-            key = x * self.size + y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            crosses = (self.pair_keys[at] == key) & (self.pair_ranks[at] < limit[live])
+            rank = self.ranks.get(self._pair(x, y))
+            crosses = (rank >= 0) & (rank < limit[live])
             ok[live[crosses]] = False
             live, x, y = live[~crosses], x[~crosses], y[~crosses]
             bx, by = self.born[x], self.born[y]
@@ -133,57 +230,133 @@ class Tokenizer:
             b[live] = np.where(from_left, y, self.left[y])
         return ok
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words written in byte symbols with the word end; only words that fail the checks are merged."""
-        guess = [self.greedy(w) for w in words] if self.speculative else [[] for _ in words]
-        flat = np.array([i for g in guess for i in g], np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(g) for g in guess])
-        inner = np.flatnonzero(owner[1:] == owner[:-1])
-        bad = set(owner[inner[~self.compatible(flat[inner], flat[inner + 1])]].tolist())
-        self.failed = len(bad)
-        return [self.merge(w) if k in bad or not g else g for k, (w, g) in enumerate(zip(words, guess, strict=True))]
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of words in UTF-8; only words that fail the checks are merged."""
+        if not self.speculative:
+            return self.merge(words)
+        tokens, owner = self.greedy(words)
+        bad = np.zeros(len(words), bool)
+        bad[owner[tokens < 0]] = True
+        seam = np.flatnonzero((owner[1:] == owner[:-1]) & ~bad[owner[:-1]])
+        bad[owner[seam[~self.compatible(tokens[seam], tokens[seam + 1])]]] = True
+        begin = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        flat = tokens.tolist()
+        out = [flat[a:z] for a, z in zip(begin, begin[1:], strict=False)]
+        failed = np.flatnonzero(bad).tolist()
+        self.failed = len(failed)
+        for k, ids in zip(failed, self.merge([words[k] for k in failed]), strict=True):
+            out[k] = ids
+        return out
+
+
+class Cache:
+    """A mapping of bounded size in two generations: what is used stays, the rest goes when the younger one is full."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys to be learned. Those known are in `young` afterwards."""
+        absent = keys.difference(self.young)
+        if len(self.young) + len(absent) > self.size:
+            self.old, self.young, absent = self.young, {}, keys
+        again = absent & self.old.keys()
+        self.young.update((k, self.old[k]) for k in again)
+        return absent - again
 
 
 class Encoder:
-    """Encodes whole texts with one tokenizer, remembering words in a cache of bounded size."""
+    """Encodes whole texts with one tokenizer, remembering words, and runs of non-white characters, in bounded caches."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.t = tokenizer
-        white = r"\t-\r \x85\xa0  -     　"
+        white = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.find = regex.compile(tokenizer.pattern.replace(r"\s", white)).findall
+        self.split = re.compile(f"[^{white}]+").findall
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(tokenizer.special, key=len, reverse=True))) + ")") if tokenizer.special else None
-        self.to_symbols = {b: s for b, s in enumerate(byte_symbols())}
-        self.known: dict[str, tuple[str, str, int]] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        spelled = [w.encode().decode("latin-1").translate(self.to_symbols) + _END for w in new]
-        for w, ids in zip(new, self.t.encode_words(spelled), strict=True):
-            self.known[w] = " ".join(map(str, ids)), " ".join(map(self.t.strings.__getitem__, ids)), len(ids)
-
-    def words(self, text: str) -> list[str]:
-        """The words of a text, and special tokens among them as ids."""
-        out = []
-        for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            if k % 2:
-                out.append(self.t.special[part])
-            elif part:
-                out += self.find(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
-        return out
+        self.hints = {s[:2] for s in tokenizer.special}
+        self.names = list(map(str, range(tokenizer.size)))
+        self.words, self.runs = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
+
+    def _learn_words(self, words: set[str]) -> None:
+        new = list(self.words.missing(words))
+        names = self.names
+        for w, ids in zip(new, self.t.encode_words([w.encode() for w in new]), strict=True):
+            self.words.young[w] = " ".join([names[i] for i in ids]), " ".join([self.t.strings[i] for i in ids])
+
+    def _split_run(self, run: str) -> list[str]:
+        """The words of a run; no match of the pattern holds white space or looks beyond the run's ends."""
+        low = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
+        if low.isalpha():  # exactly the letters
+            return [low]
+        if low[-1:] in (".", ",") and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return self.find(low)
+
+    def _learn(self, runs: set[str]) -> None:
+        parts = {r: self._split_run(r) for r in self.runs.missing(runs)}
+        self._learn_words({w for p in parts.values() for w in p})
+        known = self.words.young
+        for r, p in parts.items():
+            if len(p) == 1:
+                self.runs.young[r] = known[p[0]]
+            else:
+                got = [known[w] for w in p]
+                self.runs.young[r] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+
+    def _plain(self, texts: list[str]) -> Iterator[tuple[str, str]]:
+        """Ids and token strings, joined by spaces, of texts without special tokens."""
+        split = [self.split(t) if _UNWHITE(t) else t.split() for t in texts]
+        runs = set().union(*split)
+        most = CACHE_WORDS // 4
+        if len(runs) > most and len(texts) > 1:
+            for t in texts:
+                yield from self._plain([t])
+            return
+        if len(runs) > most:  # one text with more different runs than the caches hold: in parts
+            words = split[0]
+            parts = [next(self._plain([" ".join(words[k : k + most])])) for k in range(0, len(words), most)]
+            yield " ".join(p[0] for p in parts if p[0]), " ".join(p[1] for p in parts if p[0])
+            return
+        self._learn(runs)
+        known = self.runs.young
+        some = all(known[r][0] for r in runs)  # else a run without tokens must not leave a space behind
+        for words in split:
+            got = list(map(known.__getitem__, words))
+            if not some:
+                got = [x for x in got if x[0]]
+            yield " ".join(map(_FIRST, got)), " ".join(map(_SECOND, got))
+
+    def _pieces(self, text: str) -> list[str]:
+        """Text and special tokens in turn; a text without the latter is one piece."""
+        return self.specials.split(text) if self.specials and any(h in text for h in self.hints) else [text]
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, ids joined by spaces, decoded text) of each text."""
-        for text in texts:
-            words = self.words(text or "")
-            new = {w for w in words if w not in self.known and type(w) is str}
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = {w for w in words if type(w) is str}
-            if new:
-                self._learn(new)
-            known = self.known
-            got = [known[w] if type(w) is str else (str(w), self.t.strings[w], 1) for w in words]
-            yield sum([x[2] for x in got]), " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+        for group in self._groups(texts):
+            pieces = [self._pieces(t or "") for t in group]
+            plain = self._plain([x for p in pieces for x in p[::2]])
+            for p in pieces:
+                ids, tokens = [], []
+                for k, piece in enumerate(p):
+                    i, t = (str(self.t.special[piece]), piece) if k % 2 else next(plain)
+                    if i:
+                        ids.append(i)
+                        tokens.append(t)
+                joined = " ".join(ids)
+                yield joined.count(" ") + 1 if joined else 0, joined, " ".join(tokens)
+
+    @staticmethod
+    def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
+        group, size = [], 0
+        for t in texts:
+            group.append(t)
+            size += len(t or "")
+            if size >= most:
+                yield group
+                group, size = [], 0
+        if group:
+            yield group
 
 
 def decode(tokenizer: Tokenizer, ids: list[int]) -> str:
@@ -197,14 +370,14 @@ def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, give, schem
     shared = spark.sparkContext.broadcast(Tokenizer(file))  # a few MB, whatever the corpus
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for b in batches:
             columns = list(zip(*map(give, encoder.batch(b.column(1).to_pylist())), strict=True)) or [[]] * schema.count(",")
             names = [x.split()[0] for x in schema.split(", ")]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, {"long": pa.int64(), "string": pa.string()}[t.split()[1]]) for c, t in zip(columns, schema.split(", ")[1:], strict=True))], names)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, schema.replace("any", rows.schema["id"].dataType.simpleString())).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(scan), schema.replace("any", rows.schema["id"].dataType.simpleString())).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
