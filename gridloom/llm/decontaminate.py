@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, ranges, small_batches, table
+from gridloom.llm.common import as_bytes, lean, ranges, small_batches, table
 
 WORDS = 10
 #: One broadcast set holds at most so many windows (about 100 bytes each); a larger benchmark is scanned in several passes.
@@ -124,7 +124,7 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                     bits.append(np.packbits(mine).tobytes() if counts[-1] else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "text", "n_words", "n_hit", "hit", "items"])
 
-        out = out.mapInArrow(scan, schema)
+        out = out.mapInArrow(lean(scan), schema)
     return out
 
 
@@ -173,7 +173,7 @@ def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", it
                 found = _marked(shared.value, as_bytes(b.column(place)), [set() for _ in range(b.num_rows)])[3]
                 yield b.filter(pa.array([not x for x in found], pa.bool_()))
 
-        docs = docs.mapInArrow(scan, schema)
+        docs = docs.mapInArrow(lean(scan), schema)
     return docs
 
 

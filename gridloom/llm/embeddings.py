@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gridloom.llm.common import flat_lists, in_units, local_roots, materialise, small_batches, table
+from gridloom.llm.common import flat_lists, in_units, lean, local_roots, materialise, small_batches, table
 from gridloom.llm.components import components
 
 COSINE = 0.93
@@ -161,11 +161,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialise(rows.where(sound).groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
     kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
     schema = ", ".join(f"{k} {v}" for k, v in kinds.items())
-    keyed = classes.withColumn("dim", F.size("embedding")).mapInArrow(_with_cells, f"{schema}, dim int, cells array<int>")
+    keyed = classes.withColumn("dim", F.size("embedding")).mapInArrow(lean(_with_cells), f"{schema}, dim int, cells array<int>")
     keyed = keyed.withColumn("cell", F.explode(F.array_distinct("cells")))
     units = in_units(keyed, ["label", "dim", "cell"], "rep", CELL_ROWS).groupBy("label", "dim", "cell", "unit_a", "unit_b")
     units = units.agg(F.collect_list(F.struct("rep", "weight", "chunk", "embedding", "cells")).alias("members"))
-    met = materialise(units.select("cell", "unit_a", "unit_b", "members").mapInArrow(_unit_links, f"rep {kinds['rep']}, links long, root {kinds['rep']}"))
+    met = materialise(units.select("cell", "unit_a", "unit_b", "members").mapInArrow(lean(_unit_links), f"rep {kinds['rep']}, links long, root {kinds['rep']}"))
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(met.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct())
     named = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

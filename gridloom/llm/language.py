@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import as_bytes, ranges, small_batches, table
+from gridloom.llm.common import as_bytes, lean, ranges, small_batches, table
 
 #: The network is fitted on at most so many texts of each language and in all, and so many pieces of each text.
 TEXTS_PER_LANGUAGE, TEXTS, PIECES = 500, 8000, 8
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, learn: Column) -> ByteTagger | None:
     chosen = ranked.where(F.col("_k") <= TEXTS_PER_LANGUAGE).orderBy("_k", by_hash, "doc_id").limit(TEXTS).select("doc_id").distinct()
     rows = known.where(F.length("text") > 0).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most TEXTS ids
     rows = rows.orderBy(by_hash, F.xxhash64("text"), "lang").limit(TEXTS).select("lang", "text")
-    got = rows.mapInArrow(_pieces, "lang string, piece binary").collect()
+    got = rows.mapInArrow(lean(_pieces), "lang string, piece binary").collect()
     languages = sorted({r.lang for r in got})
     if not languages:
         return None
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: ByteTagger | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.clip(top, 0, 1))], ["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(scan), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

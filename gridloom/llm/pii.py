@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, table
+from gridloom.llm.common import lean, small_batches, table
 
 #: Key of the registered query; a real run passes its own.
 KEY = b"gridloom demonstration key"
@@ -299,7 +299,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(kinds, pa.string())], [*b.schema.names, "n_entities", "kinds"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(scan, f"{schema}, n_entities long, kinds string")
+    return rows.mapInArrow(lean(scan), f"{schema}, n_entities long, kinds string")
 
 
 def entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
@@ -312,7 +312,7 @@ def entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataF
             rows = {(e.kind, v, surrogates.of(v, e.kind, e.gender)) for t in b.column(0).to_pylist() if t for e in detect(t) for v in [t[e.start : e.end]]}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["kind", "value", "surrogate"])
 
-    return docs.select(text_col).mapInArrow(scan, "kind string, value string, surrogate string")
+    return docs.select(text_col).mapInArrow(lean(scan), "kind string, value string, surrogate string")
 
 
 def surrogate_collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:

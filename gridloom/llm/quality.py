@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, small_batches, table
+from gridloom.llm.common import as_bytes, lean, small_batches, table
 
 #: The model is fitted on at most so many trusted positives and unlabelled texts, chosen by a hash of their ids.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -95,7 +95,7 @@ def _with_features(rows: DataFrame) -> DataFrame:
             x = features(as_bytes(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["role", "features"])
 
-    return rows.select("role", "text").mapInArrow(scan, "role int, features binary")
+    return rows.select("role", "text").mapInArrow(lean(scan), "role int, features binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> PuModel:
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64())], [*b.schema.names[1:], "score"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(scan, f"{kinds}, score double")
+    return rows.mapInArrow(lean(scan), f"{kinds}, score double")
 
 
 def accepted(docs: DataFrame, model: PuModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -150,7 +150,7 @@ def accepted(docs: DataFrame, model: PuModel, text_col: str = "text", least: flo
         for b in batches:
             yield b.filter(pa.array(shared.value.scores(features(as_bytes(b.column(place)))) >= least, pa.bool_()))
 
-    return docs.mapInArrow(scan, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
+    return docs.mapInArrow(lean(scan), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.anchors import anchors
-from gridloom.llm.common import as_bytes, materialise, ranges, shared_folder, small_batches
+from gridloom.llm.common import as_bytes, lean, materialise, ranges, shared_folder, small_batches
 
 #: Anchors with more occurrences than this are settled window by window.
 HOT_RUNS = 20_000
 #: Rows that a resolver gets at a time hold at most about so many bytes, if no single anchor has more.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -192,7 +192,7 @@ def repeated_spans(texts: DataFrame, kind: Kind, resolver: Callable[[Runs], np.n
     Spans of a text may overlap. Copies of a text do not count as places here.
     """
     spark = texts.sparkSession
-    counts = texts.select("key", "text").mapInArrow(_anchor_counts(kind), "h long, key binary, n long")
+    counts = texts.select("key", "text").mapInArrow(lean(_anchor_counts(kind)), "h long, key binary, n long")
     place = F.xxhash64("key")
     often = counts.select("h", "n", place.alias("p")).groupBy("h").agg(F.min("p").alias("p"), F.max("p").alias("q"), F.sum("n").alias("n"))
     often = often.where("p <> q or n > 1").select("h", (F.col("n") > hot_runs).alias("hot"))
@@ -202,9 +202,9 @@ def repeated_spans(texts: DataFrame, kind: Kind, resolver: Callable[[Runs], np.n
     def joined(hot: bool) -> DataFrame:
         return texts.select("key", "text").join(wanted.where(F.col("hot") == hot).select("key", "wanted"), "key").select("key", "text", "wanted")
 
-    runs = joined(False).mapInArrow(_runs(kind), _RUN).repartition("h").sortWithinPartitions("h")
-    spans = runs.mapInArrow(_resolved(kind, resolver), "key binary, first long, end long")
-    hot = joined(True).mapInArrow(_windows(kind), "w binary, key binary, first long")
+    runs = joined(False).mapInArrow(lean(_runs(kind)), _RUN).repartition("h").sortWithinPartitions("h")
+    spans = runs.mapInArrow(lean(_resolved(kind, resolver)), "key binary, first long, end long")
+    hot = joined(True).mapInArrow(lean(_windows(kind)), "w binary, key binary, first long")
     twice = hot.groupBy("w").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).where("a <> b").select("w")
     hot_spans = hot.join(twice, "w").select("key", "first", (F.col("first") + kind.window).alias("end"))
     out = materialise(spans.unionByName(hot_spans))
@@ -234,6 +234,6 @@ def digested(docs: DataFrame, kind: Kind, resolver: Callable[[Runs], np.ndarray]
             rows = [measure(*x) for x in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True))], ["key", *names])
 
-    found = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(scan, f"key binary, {columns}")
+    found = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(lean(scan), f"key binary, {columns}")
     keyed = docs.select(F.col(id_col), F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("key"))
     return keyed.join(found, "key").select(id_col, *names)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, flat_lists, in_units, local_roots, materialise, ranges, slices_by_cost, small_batches, table
+from gridloom.llm.common import as_bytes, flat_lists, in_units, lean, local_roots, materialise, ranges, slices_by_cost, small_batches, table
 from gridloom.llm.components import components
 
 RADIUS = 4
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(lean(scan), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 class BkForest:
@@ -136,7 +136,7 @@ def links(fps: DataFrame) -> DataFrame:
     keyed = fps.select("fp", _block_keys().alias("key"))
     units = in_units(keyed, ["key"], "fp", SHARD_NODES).groupBy("key", "unit_a", "unit_b")
     units = units.agg(F.collect_list("fp").alias("fps"), F.collect_list("chunk").alias("chunks"))
-    return units.mapInArrow(_shard_links, "u long, v long")
+    return units.mapInArrow(lean(_shard_links), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ BYTES, GRAM = 200, 32
 #: A difference cover: every residue modulo PERIOD is a difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Suffixes of so many buckets are sorted at a time.
-BUCKET_SUFFIXES = 1 << 19
+BUCKET_SUFFIXES = 1 << 18
 
 KIND = Kind(BYTES, GRAM, lambda text: (np.frombuffer(text, np.uint8), text), lambda text, i, j: text[i:j])
 

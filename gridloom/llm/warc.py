@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, materialise, small_batches, table
+from gridloom.llm.common import as_bytes, lean, materialise, small_batches, table
 
 #: An archive is closed once its records hold so many bytes; one record never spans two archives.
 ARCHIVE_BYTES = 4 << 20
@@ -191,7 +191,7 @@ def to_archives(records: DataFrame) -> DataFrame:
         if writer.index:
             yield closed()
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "name string, content binary")
+    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(write), "name string, content binary")
 
 
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
@@ -221,7 +221,7 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, kinds, strict=True))))
 
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
-    return archives.select(content).mapInArrow(read, schema)
+    return archives.select(content).mapInArrow(lean(read), schema)
 
 
 def read_archive_files(spark: SparkSession, path: str) -> DataFrame:
