@@ -1 +1,5 @@
+"""Registered queries and their SQL."""
 
+from gridloom.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
