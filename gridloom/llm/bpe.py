@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import lean, small_batches, table
 
-#: Encoded words, and runs of them, that a worker remembers (about 400 bytes each).
-CACHE_WORDS = 500_000
+#: Runs of characters that a worker remembers (about 350 bytes each).
+CACHE_RUNS = 600_000
 #: White space to Python's split(), but not to the pattern.
 _UNWHITE = re.compile("[\x1c-\x1f]").search
 _FIRST, _SECOND = itemgetter(0), itemgetter(1)
+#: A full stop or comma that the pattern groups with what stands before it.
+_GROUPED = re.compile(r"(?:[^\w\s]|_)[,.]\s").search
 _END = 256  # the code of the word end, after those of the bytes
 _BASE, _MASK = 0xD1342543DE82EF95, (1 << 64) - 1
 
@@ -266,7 +268,7 @@ class Cache:
 
 
 class Encoder:
-    """Encodes whole texts with one tokenizer, remembering words, and runs of non-white characters, in bounded caches."""
+    """Encodes whole texts with one tokenizer, remembering runs of non-white characters in a bounded cache."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.t = tokenizer
@@ -276,13 +278,7 @@ class Encoder:
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(tokenizer.special, key=len, reverse=True))) + ")") if tokenizer.special else None
         self.hints = {s[:2] for s in tokenizer.special}
         self.names = list(map(str, range(tokenizer.size)))
-        self.words, self.runs = Cache(CACHE_WORDS), Cache(CACHE_WORDS)
-
-    def _learn_words(self, words: set[str]) -> None:
-        new = list(self.words.missing(words))
-        names = self.names
-        for w, ids in zip(new, self.t.encode_words([w.encode() for w in new]), strict=True):
-            self.words.young[w] = " ".join([names[i] for i in ids]), " ".join([self.t.strings[i] for i in ids])
+        self.known, self.blanks = Cache(CACHE_RUNS), False
 
     def _split_run(self, run: str) -> list[str]:
         """The words of a run; no match of the pattern holds white space or looks beyond the run's ends."""
@@ -294,36 +290,47 @@ class Encoder:
         return self.find(low)
 
     def _learn(self, runs: set[str]) -> None:
-        parts = {r: self._split_run(r) for r in self.runs.missing(runs)}
-        self._learn_words({w for p in parts.values() for w in p})
-        known = self.words.young
+        parts = {r: self._split_run(r) for r in self.known.missing(runs)}
+        words = list({w for p in parts.values() for w in p})
+        names, strings = self.names.__getitem__, self.t.strings.__getitem__
+        spelled = {w: (" ".join(map(names, ids)), " ".join(map(strings, ids))) for w, ids in zip(words, self.t.encode_words([w.encode() for w in words]), strict=True)}
+        young = self.known.young
         for r, p in parts.items():
             if len(p) == 1:
-                self.runs.young[r] = known[p[0]]
+                young[r] = spelled[p[0]]
             else:
-                got = [known[w] for w in p]
-                self.runs.young[r] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+                got = [spelled[w] for w in p]
+                young[r] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+                self.blanks |= not p
+
+    def _runs_of(self, text: str) -> list[str]:
+        """The text between white space; full stops and commas after a word, and before white space, are apart as they
+        are for the pattern, unless one of them follows something that it would be grouped with."""
+        if _UNWHITE(text):
+            return self.split(text)
+        if not _GROUPED(text):
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
 
     def _plain(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """Ids and token strings, joined by spaces, of texts without special tokens."""
-        split = [self.split(t) if _UNWHITE(t) else t.split() for t in texts]
+        split = [self._runs_of(t) for t in texts]
         runs = set().union(*split)
-        most = CACHE_WORDS // 4
+        most = CACHE_RUNS // 4
         if len(runs) > most and len(texts) > 1:
             for t in texts:
                 yield from self._plain([t])
             return
-        if len(runs) > most:  # one text with more different runs than the caches hold: in parts
+        if len(runs) > most:  # one text with more different runs than the cache holds: in parts
             words = split[0]
             parts = [next(self._plain([" ".join(words[k : k + most])])) for k in range(0, len(words), most)]
             yield " ".join(p[0] for p in parts if p[0]), " ".join(p[1] for p in parts if p[0])
             return
         self._learn(runs)
-        known = self.runs.young
-        some = all(known[r][0] for r in runs)  # else a run without tokens must not leave a space behind
+        known = self.known.young.__getitem__
         for words in split:
-            got = list(map(known.__getitem__, words))
-            if not some:
+            got = list(map(known, words))
+            if self.blanks:  # a run without tokens must not leave a space behind
                 got = [x for x in got if x[0]]
             yield " ".join(map(_FIRST, got)), " ".join(map(_SECOND, got))
 
