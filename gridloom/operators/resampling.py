@@ -17,6 +17,11 @@ NEAREST, LINEAR, CUBIC, AREA, LANCZOS4 = range(5)
 
 
 def bilinear(d: Column, sy: Column, sx: Column, border: int = P.CONSTANT, outside: float = 0.0) -> Column:
+    """The value at a place between pixels; the place is computed once, however often it is used."""
+    return P.let(F.struct(sy.cast("double").alias("y"), sx.cast("double").alias("x")), lambda s: _mixed(d, s["y"], s["x"], border, outside))
+
+
+def _mixed(d: Column, sy: Column, sx: Column, border: int, outside: float) -> Column:
     y0, x0 = F.floor(sy).cast("int"), F.floor(sx).cast("int")
     fy, fx = sy - y0, sx - x0
     v = lambda a, b: F.coalesce(P.at(d, COLS, P.border_index(a, ROWS, border), P.border_index(b, COLS, border)), F.lit(float(outside)))

@@ -1,5 +1,8 @@
 """Registered queries and their SQL."""
 
-from gridloom.plans.catalog import QUERIES, SQL
+from gridloom.plans import catalog, more
+
+QUERIES = catalog.QUERIES | more.QUERIES
+SQL = catalog.SQL | more.SQL
 
 __all__ = ["QUERIES", "SQL"]
