@@ -232,13 +232,13 @@ def reorder_channels(planes: DataFrame, order: Sequence[int], alpha: float | Non
     out = planes.where(F.col("c").isin(list(order))).withColumn("c", F.element_at(where, F.col("c")))
     if alpha is None:
         return out
-    full = planes.where("c = 0").select("img", F.lit(len(order)).alias("c"), "rows", "cols", F.transform(D, lambda _: F.lit(float(alpha))).alias("data"))
+    full = planes.where("c = 0").select("img", F.lit(len(order)).alias("c"), "rows", "cols", F.transform(D(), lambda _: F.lit(float(alpha))).alias("data"))
     return out.unionByName(full)
 
 
 def gray_to_color(planes: DataFrame, channels: int = 3, alpha: float = 255.0) -> DataFrame:
     copies = planes.drop("c").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))))
-    return copies.select("img", "c", "rows", "cols", F.when(F.col("c") == 3, F.transform(D, lambda _: F.lit(float(alpha)))).otherwise(D).alias("data"))
+    return copies.select("img", "c", "rows", "cols", F.when(F.col("c") == 3, F.transform(D(), lambda _: F.lit(float(alpha)))).otherwise(D()).alias("data"))
 
 
 _MASK64 = (1 << 64) - 1

@@ -119,7 +119,7 @@ def undistort(planes: DataFrame, camera: np.ndarray, d: Sequence[float], new_cam
 
         return F.floor(P.let(F.struct((ray[0] / ray[2]).alias("x"), (ray[1] / ray[2]).alias("y")), mixed) + 0.5).cast("double")
 
-    return changed(planes, P.grid_over(D, ROWS, COLS, value))
+    return changed(planes, P.grid_over(D(), ROWS(), COLS(), value))
 
 
 def _groups(pairs: DataFrame, kernel, schema: str) -> DataFrame:

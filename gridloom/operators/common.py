@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.planes import Number, col
 
-D, ROWS, COLS = F.col("data"), F.col("rows"), F.col("cols")
+
+def D() -> Column:
+    """The data of a plane. Columns are made when an operator is called: workers import these modules without a session."""
+    return F.col("data")
+
+
+def ROWS() -> Column:
+    return F.col("rows")
+
+
+def COLS() -> Column:
+    return F.col("cols")
+
 
 
 def changed(planes: DataFrame, data: Column, rows: Number | None = None, cols: Number | None = None) -> DataFrame:
     """The planes with new data, and a new size where given."""
     # in two steps: inside a lambda, a name that the same select also gives out would mean the new column
-    ready = planes.withColumns({"__data": data, "__rows": (ROWS if rows is None else col(rows)).cast("int"), "__cols": (COLS if cols is None else col(cols)).cast("int")})
+    ready = planes.withColumns({"__data": data, "__rows": (ROWS() if rows is None else col(rows)).cast("int"), "__cols": (COLS() if cols is None else col(cols)).cast("int")})
     return ready.select("img", "c", F.col("__rows").alias("rows"), F.col("__cols").alias("cols"), F.col("__data").alias("data"))
 
 
@@ -30,7 +42,7 @@ def zipped(a: DataFrame, b: DataFrame, value, mask: DataFrame | None = None, pre
     """Planes of value(a, b) for each pair of values. Where the mask (one plane per image) is 0, the previous destination's
     values stay, or 0 without one."""
     both = paired(a, b)
-    out = F.zip_with(D, F.col("data2"), value)
+    out = F.zip_with(D(), F.col("data2"), value)
     return masked(both.withColumn("out", out), mask, previous)
 
 
@@ -48,4 +60,4 @@ def masked(planes: DataFrame, mask: DataFrame | None, previous: DataFrame | None
 
 def mapped(planes: DataFrame, value, mask: DataFrame | None = None, previous: DataFrame | None = None) -> DataFrame:
     """Planes of value(v) for each value."""
-    return masked(planes.withColumn("out", F.transform(D, value)), mask, previous)
+    return masked(planes.withColumn("out", F.transform(D(), value)), mask, previous)

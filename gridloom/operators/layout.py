@@ -11,12 +11,12 @@ from gridloom.operators.common import COLS, D, ROWS, changed
 
 
 def transpose(planes: DataFrame) -> DataFrame:
-    return changed(planes, P.gather(D, COLS, COLS, ROWS, lambda y, x: (x, y)), COLS, ROWS)
+    return changed(planes, P.gather(D(), COLS(), COLS(), ROWS(), lambda y, x: (x, y)), COLS(), ROWS())
 
 
 def flip(planes: DataFrame, code: int) -> DataFrame:
     """code 0 turns rows about, a positive one columns, a negative one both."""
-    return changed(planes, P.gather(D, COLS, ROWS, COLS, lambda y, x: (ROWS - 1 - y if code <= 0 else y, COLS - 1 - x if code != 0 else x)))
+    return changed(planes, P.gather(D(), COLS(), ROWS(), COLS(), lambda y, x: (ROWS() - 1 - y if code <= 0 else y, COLS() - 1 - x if code != 0 else x)))
 
 
 def rotate(planes: DataFrame, code: int) -> DataFrame:
@@ -25,12 +25,12 @@ def rotate(planes: DataFrame, code: int) -> DataFrame:
         raise ValueError(f"rotation code {code}")
     if code == 1:
         return flip(planes, -1)
-    turned = (lambda y, x: (ROWS - 1 - x, y)) if code == 0 else (lambda y, x: (x, COLS - 1 - y))
-    return changed(planes, P.gather(D, COLS, COLS, ROWS, turned), COLS, ROWS)
+    turned = (lambda y, x: (ROWS() - 1 - x, y)) if code == 0 else (lambda y, x: (x, COLS() - 1 - y))
+    return changed(planes, P.gather(D(), COLS(), COLS(), ROWS(), turned), COLS(), ROWS())
 
 
 def repeat(planes: DataFrame, down: int, across: int) -> DataFrame:
-    return changed(planes, P.gather(D, COLS, ROWS * down, COLS * across, lambda y, x: (F.pmod(y, ROWS), F.pmod(x, COLS))), ROWS * down, COLS * across)
+    return changed(planes, P.gather(D(), COLS(), ROWS() * down, COLS() * across, lambda y, x: (F.pmod(y, ROWS()), F.pmod(x, COLS()))), ROWS() * down, COLS() * across)
 
 
 def _joined_rows(parts: list[DataFrame], across: bool) -> DataFrame:
@@ -86,14 +86,14 @@ def mix_channels(planes: DataFrame, previous: DataFrame, pairs: list[tuple[int,
 
 
 def copy_make_border(planes: DataFrame, top: int, bottom: int, left: int, right: int, border: int = P.CONSTANT, value: float = 0.0) -> DataFrame:
-    rows, cols = ROWS + (top + bottom), COLS + (left + right)
-    return changed(planes, P.gather(D, COLS, rows, cols, lambda y, x: (P.border_index(y - top, ROWS, border), P.border_index(x - left, COLS, border)), value), rows, cols)
+    rows, cols = ROWS() + (top + bottom), COLS() + (left + right)
+    return changed(planes, P.gather(D(), COLS(), rows, cols, lambda y, x: (P.border_index(y - top, ROWS(), border), P.border_index(x - left, COLS(), border)), value), rows, cols)
 
 
 def set_identity(planes: DataFrame, values: tuple[float, ...] = (1.0,)) -> DataFrame:
     """values on the diagonal, 0 elsewhere; one value serves all channels."""
     v = F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.least(F.col("c") + 1, F.lit(len(values))))
-    return changed(planes, P.grid(ROWS, COLS, lambda y, x: F.when(y == x, v).otherwise(F.lit(0.0))))
+    return changed(planes, P.grid(ROWS(), COLS(), lambda y, x: F.when(y == x, v).otherwise(F.lit(0.0))))
 
 
 def get_rect_sub_pix(planes: DataFrame, rows: int, cols: int, center: tuple[float, float], integer: bool = False) -> DataFrame:
@@ -103,8 +103,8 @@ def get_rect_sub_pix(planes: DataFrame, rows: int, cols: int, center: tuple[floa
         sx, sy = x + (center[0] - (cols - 1) / 2), y + (center[1] - (rows - 1) / 2)
         y0, x0 = F.floor(sy).cast("int"), F.floor(sx).cast("int")
         fy, fx = sy - y0, sx - x0
-        v = lambda a, b: F.coalesce(P.at(d, COLS, P.border_index(a, ROWS, P.CONSTANT), P.border_index(b, COLS, P.CONSTANT)), F.lit(0.0))
+        v = lambda a, b: F.coalesce(P.at(d, COLS(), P.border_index(a, ROWS(), P.CONSTANT), P.border_index(b, COLS(), P.CONSTANT)), F.lit(0.0))
         mixed = v(y0, x0) * (1 - fy) * (1 - fx) + v(y0, x0 + 1) * (1 - fy) * fx + v(y0 + 1, x0) * fy * (1 - fx) + v(y0 + 1, x0 + 1) * fy * fx
         return F.signum(mixed) * F.floor(F.abs(mixed) + 0.5) if integer else mixed
 
-    return changed(planes, P.grid_over(D, rows, cols, value), rows, cols)
+    return changed(planes, P.grid_over(D(), rows, cols, value), rows, cols)

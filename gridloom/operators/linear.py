@@ -19,16 +19,16 @@ def gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0, c: DataFrame | None = N
 
     a, b = transpose(a) if flags & TRANSPOSE_A else a, transpose(b) if flags & TRANSPOSE_B else b
     both = a.join(b.select("img", "c", F.col("rows").alias("_r"), F.col("cols").alias("_k"), F.col("data").alias("_b")), ["img", "c"])
-    fits = F.when(COLS == F.col("_r"), F.col("_b")).otherwise(F.raise_error(F.lit("matrices do not fit")))
+    fits = F.when(COLS() == F.col("_r"), F.col("_b")).otherwise(F.raise_error(F.lit("matrices do not fit")))
 
     def product(x: Column, y: Column) -> Column:
-        cell = lambda i, j: F.aggregate(F.sequence(F.lit(0), COLS - 1), F.lit(0.0), lambda s, k: s + F.get(x, i * COLS + k) * F.get(y, k * F.col("_k") + j))
-        return P.grid(ROWS, F.col("_k"), lambda i, j: cell(i, j) * float(alpha))
+        cell = lambda i, j: F.aggregate(F.sequence(F.lit(0), COLS() - 1), F.lit(0.0), lambda s, k: s + F.get(x, i * COLS() + k) * F.get(y, k * F.col("_k") + j))
+        return P.grid(ROWS(), F.col("_k"), lambda i, j: cell(i, j) * float(alpha))
 
-    out = changed(both, P.let(D, lambda x: P.let(fits, lambda y: product(x, y))), ROWS, F.col("_k"))
+    out = changed(both, P.let(D(), lambda x: P.let(fits, lambda y: product(x, y))), ROWS(), F.col("_k"))
     if c is None or beta == 0:
         return out
-    return changed(paired(out, transpose(c) if flags & TRANSPOSE_C else c), F.zip_with(D, "data2", lambda p, q: p + q * float(beta)))
+    return changed(paired(out, transpose(c) if flags & TRANSPOSE_C else c), F.zip_with(D(), "data2", lambda p, q: p + q * float(beta)))
 
 
 def dft(planes: DataFrame, imaginary: bool = False) -> DataFrame:
@@ -36,13 +36,13 @@ def dft(planes: DataFrame, imaginary: bool = False) -> DataFrame:
 
     def value(d: Column, v: Column, u: Column) -> Column:
         def turn(i: Column) -> Column:
-            y, x = F.floor(i / COLS), F.pmod(i, COLS)
-            return (v * y / ROWS + u * x / COLS) * (2 * math.pi)
+            y, x = F.floor(i / COLS()), F.pmod(i, COLS())
+            return (v * y / ROWS() + u * x / COLS()) * (2 * math.pi)
 
         wave = (lambda t: -F.sin(t)) if imaginary else F.cos
-        return F.aggregate(F.sequence(F.lit(0), ROWS * COLS - 1), F.lit(0.0), lambda s, i: s + F.get(d, i) * wave(turn(i)))
+        return F.aggregate(F.sequence(F.lit(0), ROWS() * COLS() - 1), F.lit(0.0), lambda s, i: s + F.get(d, i) * wave(turn(i)))
 
-    return changed(planes, P.grid_over(D, ROWS, COLS, value))
+    return changed(planes, P.grid_over(D(), ROWS(), COLS(), value))
 
 
 def hanning_window(spark: SparkSession, rows: int, cols: int) -> DataFrame:

@@ -29,18 +29,18 @@ def _each(planes: DataFrame, data: Column, depth: int, delta: float = 0.0, rule:
 
 def filter2d(planes: DataFrame, kernel: Kernel, depth: int = N.F64, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: int = P.REFLECT_101) -> DataFrame:
     """Correlation with a kernel; a constant border counts as 0."""
-    return _each(planes, P.taps(D, ROWS, COLS, _offsets(kernel, anchor), border), depth, delta)
+    return _each(planes, P.taps(D(), ROWS(), COLS(), _offsets(kernel, anchor), border), depth, delta)
 
 
 def sep_filter2d(planes: DataFrame, kernel_x: Sequence[float], kernel_y: Sequence[float], depth: int = N.F64, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: int = P.REFLECT_101) -> DataFrame:
     """A row filter, then a column filter, with double precision between."""
-    across = changed(planes, P.taps(D, ROWS, COLS, _offsets([kernel_x], (anchor[0], 0)), border))
-    return _each(across, P.taps(D, ROWS, COLS, _offsets([[w] for w in kernel_y], (0, anchor[1])), border), depth, delta)
+    across = changed(planes, P.taps(D(), ROWS(), COLS(), _offsets([kernel_x], (anchor[0], 0)), border))
+    return _each(across, P.taps(D(), ROWS(), COLS(), _offsets([[w] for w in kernel_y], (0, anchor[1])), border), depth, delta)
 
 
 def box_filter(planes: DataFrame, rows: int, cols: int, depth: int = N.U8, normalise: bool = True, anchor: tuple[int, int] = (-1, -1), border: int = P.REFLECT_101, source: int = N.U8) -> DataFrame:
     """Sums or means of a box. Means of 8-bit values use the fixed-point reciprocal 65536 div area."""
-    sums = P.taps(D, ROWS, COLS, _offsets([[1.0] * cols] * rows, anchor), border)
+    sums = P.taps(D(), ROWS(), COLS(), _offsets([[1.0] * cols] * rows, anchor), border)
     if not normalise:
         return _each(planes, sums, depth, rule="wrap" if depth == N.I32 else "generic")
     if source == N.U8 and depth == N.U8:
@@ -54,8 +54,8 @@ def blur(planes: DataFrame, rows: int, cols: int, depth: int = N.U8, anchor: tup
 
 
 def sqr_box_filter(planes: DataFrame, rows: int, cols: int, normalise: bool = True, anchor: tuple[int, int] = (-1, -1), border: int = P.REFLECT_101, depth: int = N.F32) -> DataFrame:
-    squares = changed(planes, F.transform(D, lambda v: v * v))
-    sums = P.taps(D, ROWS, COLS, _offsets([[1.0] * cols] * rows, anchor), border)
+    squares = changed(planes, F.transform(D(), lambda v: v * v))
+    sums = P.taps(D(), ROWS(), COLS(), _offsets([[1.0] * cols] * rows, anchor), border)
     return changed(squares, F.transform(sums, lambda v: N.saturate(v / (rows * cols) if normalise else v, depth)))
 
 
@@ -68,7 +68,7 @@ def median_blur(planes: DataFrame, size: int) -> DataFrame:
     """The middle value of an odd square, the border repeated."""
     if size % 2 == 0 or size < 1:
         raise ValueError("the size is odd")
-    return changed(planes, P.neighbours(D, ROWS, COLS, _square(size), P.REPLICATE, 0.0, lambda v: F.get(F.array_sort(v), F.lit(size * size // 2))))
+    return changed(planes, P.neighbours(D(), ROWS(), COLS(), _square(size), P.REPLICATE, 0.0, lambda v: F.get(F.array_sort(v), F.lit(size * size // 2))))
 
 
 def gaussian_kernel(size: int, sigma: float) -> list[float]:
@@ -82,7 +82,7 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
 
 def gaussian_blur(planes: DataFrame, rows: int, cols: int, sigma_x: float, sigma_y: float = 0.0, border: int = P.REFLECT_101, depth: int = N.U8) -> DataFrame:
     x, y = gaussian_kernel(cols, sigma_x), gaussian_kernel(rows, sigma_y if sigma_y > 0 else sigma_x)
-    return _each(planes, P.taps(D, ROWS, COLS, _offsets([[a * b for b in x] for a in y]), border), depth)
+    return _each(planes, P.taps(D(), ROWS(), COLS(), _offsets([[a * b for b in x] for a in y]), border), depth)
 
 
 def _floored(whole: float):
@@ -97,7 +97,7 @@ def stack_blur(planes: DataFrame, rows: int, cols: int, depth: int = N.U8) -> Da
         weights = [float(r + 1 - abs(k)) for k in range(-r, r + 1)]
         whole = float((r + 1) ** 2)
         scaled = [(dy, dx, w / whole) for dy, dx, w in _offsets(line(weights))] if depth not in N.RANGE else _offsets(line(weights))
-        sums = P.taps(D, ROWS, COLS, scaled, P.REPLICATE)
+        sums = P.taps(D(), ROWS(), COLS(), scaled, P.REPLICATE)
         out = changed(out, F.transform(sums, _floored(whole)) if depth in N.RANGE else sums)
     return out
 
@@ -108,21 +108,21 @@ def bilateral_filter(planes: DataFrame, diameter: int, sigma_color: float, sigma
     space, color = -0.5 / (sigma_space * sigma_space), -0.5 / (sigma_color * sigma_color)
 
     def value(d: Column, y: Column, x: Column) -> Column:
-        centre, top, bottom = P.at(d, COLS, y, x), F.lit(0.0), F.lit(0.0)
+        centre, top, bottom = P.at(d, COLS(), y, x), F.lit(0.0), F.lit(0.0)
         for dy, dx in _square(size):
-            v = F.coalesce(P.at(d, COLS, P.border_index(y + dy, ROWS, border), P.border_index(x + dx, COLS, border)), F.lit(0.0))
+            v = F.coalesce(P.at(d, COLS(), P.border_index(y + dy, ROWS(), border), P.border_index(x + dx, COLS(), border)), F.lit(0.0))
             w = F.exp((v - centre) * (v - centre) * color + float((dy * dy + dx * dx) * space))
             top, bottom = top + w * v, bottom + w
         return N.saturate(top / bottom, depth)
 
-    return changed(planes, P.grid_over(D, ROWS, COLS, value))
+    return changed(planes, P.grid_over(D(), ROWS(), COLS(), value))
 
 
 def _extreme(planes: DataFrame, kernel: Kernel | None, anchor: tuple[int, int], iterations: int, border: int, outside: float | None, least: bool) -> DataFrame:
     used = [(dy, dx) for dy, dx, w in _offsets(kernel or [[1.0] * 3] * 3, anchor) if w != 0]
     neutral = float("inf") if least else float("-inf")
     for _ in range(iterations if used else 0):
-        planes = changed(planes, P.neighbours(D, ROWS, COLS, used, border, neutral if outside is None else outside, F.array_min if least else F.array_max))
+        planes = changed(planes, P.neighbours(D(), ROWS(), COLS(), used, border, neutral if outside is None else outside, F.array_min if least else F.array_max))
     return planes
 
 
@@ -206,10 +206,10 @@ def pyr_down(planes: DataFrame, border: int = P.REFLECT_101, depth: int = N.U8)
     """Smoothed with five binomial weights a side, every other row and column kept."""
     if border & ~P.ISOLATED in (P.CONSTANT, P.WRAP):
         raise ValueError("unsupported border")
-    smooth = changed(planes, P.taps(D, ROWS, COLS, _offsets(_outer(_FIVE, _FIVE)), border))
+    smooth = changed(planes, P.taps(D(), ROWS(), COLS(), _offsets(_outer(_FIVE, _FIVE)), border))
     finish = (lambda v: F.floor((v + 128) / 256).cast("double")) if depth in N.RANGE else (lambda v: v / 256)
-    rows, cols = F.floor((ROWS + 1) / 2).cast("int"), F.floor((COLS + 1) / 2).cast("int")
-    return changed(smooth, F.transform(P.gather(D, COLS, rows, cols, lambda y, x: (2 * y, 2 * x)), finish), rows, cols)
+    rows, cols = F.floor((ROWS() + 1) / 2).cast("int"), F.floor((COLS() + 1) / 2).cast("int")
+    return changed(smooth, F.transform(P.gather(D(), COLS(), rows, cols, lambda y, x: (2 * y, 2 * x)), finish), rows, cols)
 
 
 def pyr_up(planes: DataFrame, border: int = P.REFLECT_101, depth: int = N.U8) -> DataFrame:
@@ -219,23 +219,23 @@ def pyr_up(planes: DataFrame, border: int = P.REFLECT_101, depth: int = N.U8) ->
         total = F.lit(0.0)
         for i, a in enumerate(_FIVE):
             for j, b in enumerate(_FIVE):
-                sy, sx = P.border_index(y + i - 2, 2 * ROWS, border), P.border_index(x + j - 2, 2 * COLS, border)
+                sy, sx = P.border_index(y + i - 2, 2 * ROWS(), border), P.border_index(x + j - 2, 2 * COLS(), border)
                 there = (F.pmod(sy, F.lit(2)) == 0) & (F.pmod(sx, F.lit(2)) == 0)
-                total = total + F.when(there, P.at(d, COLS, F.floor(sy / 2).cast("int"), F.floor(sx / 2).cast("int"))).otherwise(F.lit(0.0)) * (a * b)
+                total = total + F.when(there, P.at(d, COLS(), F.floor(sy / 2).cast("int"), F.floor(sx / 2).cast("int"))).otherwise(F.lit(0.0)) * (a * b)
         return F.floor((total + 32) / 64).cast("double") if depth in N.RANGE else total / 64
 
-    return changed(planes, P.grid_over(D, 2 * ROWS, 2 * COLS, value), 2 * ROWS, 2 * COLS)
+    return changed(planes, P.grid_over(D(), 2 * ROWS(), 2 * COLS(), value), 2 * ROWS(), 2 * COLS())
 
 
 def _structure(planes: DataFrame, block: int, size: int, border: int, eight_bit: bool) -> DataFrame:
     """Planes with the block sums xx, xy and yy of gradient products, scaled."""
     scale = 1.0 / (2 ** (size - 1) * (255.0 if eight_bit else 1.0)) / block
-    dx, dy = (P.taps(D, ROWS, COLS, _offsets(_outer(derivative_kernel(b, size), derivative_kernel(a, size), scale)), border) for a, b in ((1, 0), (0, 1)))
+    dx, dy = (P.taps(D(), ROWS(), COLS(), _offsets(_outer(derivative_kernel(b, size), derivative_kernel(a, size), scale)), border) for a, b in ((1, 0), (0, 1)))
     rows = planes.withColumns({"_dx": dx, "_dy": dy})
     box = _offsets([[1.0] * block] * block)
     pairs = {"xx": ("_dx", "_dx"), "xy": ("_dx", "_dy"), "yy": ("_dy", "_dy")}
     rows = rows.withColumns({f"_{k}": F.zip_with(a, b, lambda p, q: p * q) for k, (a, b) in pairs.items()})
-    return rows.withColumns({k: P.taps(F.col(f"_{k}"), ROWS, COLS, box, border) for k in pairs})
+    return rows.withColumns({k: P.taps(F.col(f"_{k}"), ROWS(), COLS(), box, border) for k in pairs})
 
 
 def corner_harris(planes: DataFrame, block: int, size: int, k: float, border: int = P.REFLECT_101, eight_bit: bool = True) -> DataFrame:
@@ -252,7 +252,7 @@ def pre_corner_detect(planes: DataFrame, size: int = 3, border: int = P.REFLECT_
     """Dx^2 Dyy + Dy^2 Dxx - 2 Dx Dy Dxy."""
     scale = 1.0 / (2 ** (size - 1) * (255.0 if eight_bit else 1.0))
     orders = {"dx": (1, 0), "dy": (0, 1), "dxx": (2, 0), "dyy": (0, 2), "dxy": (1, 1)}
-    rows = planes.withColumns({k: P.taps(D, ROWS, COLS, _offsets(_outer(derivative_kernel(b, size), derivative_kernel(a, size), scale)), border) for k, (a, b) in orders.items()})
+    rows = planes.withColumns({k: P.taps(D(), ROWS(), COLS(), _offsets(_outer(derivative_kernel(b, size), derivative_kernel(a, size), scale)), border) for k, (a, b) in orders.items()})
     return changed(rows, F.transform(F.arrays_zip(*orders), lambda t: t["dx"] * t["dx"] * t["dyy"] + t["dy"] * t["dy"] * t["dxx"] - 2 * t["dx"] * t["dy"] * t["dxy"]))
 
 
@@ -262,13 +262,13 @@ def match_template(planes: DataFrame, template: Sequence[Sequence[float]], metho
     n, flat = h * w, [float(v) for line in template for v in line]
     tmean, tsq = sum(flat) / n, sum(v * v for v in flat)
     tvar = sum((v - tmean) ** 2 for v in flat)
-    rows, cols = ROWS - (h - 1), COLS - (w - 1)
+    rows, cols = ROWS() - (h - 1), COLS() - (w - 1)
 
     def value(d: Column, y: Column, x: Column) -> Column:
         cross, square, plain = F.lit(0.0), F.lit(0.0), F.lit(0.0)
         for i in range(h):
             for j in range(w):
-                v = P.at(d, COLS, y + i, x + j)
+                v = P.at(d, COLS(), y + i, x + j)
                 cross, square, plain = cross + v * float(template[i][j]), square + v * v, plain + v
         if method in (0, 1):
             top, norm, empty = F.greatest(F.lit(0.0), square - 2 * cross + tsq), F.sqrt(square * tsq), 1.0
@@ -283,9 +283,9 @@ def match_template(planes: DataFrame, template: Sequence[Sequence[float]], metho
         quotient = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), top / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
         return F.when(norm == 0, F.lit(empty)).otherwise(quotient)
 
-    return changed(planes, P.grid_over(D, rows, cols, value), rows, cols)
+    return changed(planes, P.grid_over(D(), rows, cols, value), rows, cols)
 
 
 def gradient_magnitude(planes: DataFrame, border: int = P.REFLECT_101) -> DataFrame:
     x, y = spatial_gradient(planes, border)
-    return changed(paired(x, y), F.zip_with(D, "data2", lambda a, b: F.abs(a) + F.abs(b)))
+    return changed(paired(x, y), F.zip_with(D(), "data2", lambda a, b: F.abs(a) + F.abs(b)))

@@ -18,7 +18,7 @@ _INF = float("inf")
 
 def _selected(planes: DataFrame, mask: DataFrame | None) -> tuple[DataFrame, Column]:
     if mask is None:
-        return planes, D
+        return planes, D()
     both = planes.join(mask.select("img", F.col("data").alias("_m")), "img")
     return both, F.transform(F.filter(F.arrays_zip("data", "_m"), lambda t: t["_m"] != 0), lambda t: t["data"])
 
@@ -43,11 +43,11 @@ def min_max_loc(planes: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     if mask is not None:
         planes = planes.join(mask.select("img", F.col("data").alias("_m")), "img")
     else:
-        planes = planes.withColumn("_m", F.transform(D, lambda _: F.lit(1.0)))
+        planes = planes.withColumn("_m", F.transform(D(), lambda _: F.lit(1.0)))
     cells = F.filter(F.transform(F.arrays_zip("data", "_m"), lambda t, i: F.struct(t["data"].alias("v"), i.alias("i"), t["_m"].alias("m"))), lambda t: (t["m"] != 0) & ~F.isnan(t["v"]))
     rows = planes.withColumn("_lo", F.array_min(F.transform(cells, lambda t: F.struct(t["v"].alias("v"), t["i"].alias("i"))))).withColumn("_hi", F.array_min(F.transform(cells, lambda t: F.struct((-t["v"]).alias("v"), t["i"].alias("i")))))
-    y = lambda i: F.coalesce(F.floor(i / COLS).cast("int"), F.lit(-1))
-    x = lambda i: F.coalesce(F.pmod(i, COLS), F.lit(-1))
+    y = lambda i: F.coalesce(F.floor(i / COLS()).cast("int"), F.lit(-1))
+    x = lambda i: F.coalesce(F.pmod(i, COLS()), F.lit(-1))
     return rows.select(
         "img", "c", F.coalesce(F.col("_lo.v"), F.lit(0.0)).alias("min"), y(F.col("_lo.i")).alias("min_y"), x(F.col("_lo.i")).alias("min_x"),
         F.coalesce(-F.col("_hi.v"), F.lit(0.0)).alias("max"), y(F.col("_hi.i")).alias("max_y"), x(F.col("_hi.i")).alias("max_x"),
@@ -56,16 +56,16 @@ def min_max_loc(planes: DataFrame, mask: DataFrame | None = None) -> DataFrame:
 
 def trace(planes: DataFrame) -> DataFrame:
     """(img, c, trace) along the shorter side."""
-    diagonal = P.let(D, lambda d: F.transform(F.sequence(F.lit(0), F.least(ROWS, COLS) - 1), lambda k: F.get(d, k * COLS + k)))
+    diagonal = P.let(D(), lambda d: F.transform(F.sequence(F.lit(0), F.least(ROWS(), COLS()) - 1), lambda k: F.get(d, k * COLS() + k)))
     return planes.select("img", "c", P.total(diagonal).alias("trace"))
 
 
 def reduce(planes: DataFrame, axis: int, kind: int, depth: int = N.F64) -> DataFrame:
     """axis 0 leaves one row, axis 1 one column."""
-    n, across = (COLS, ROWS) if axis == 0 else (ROWS, COLS)
+    n, across = (COLS(), ROWS()) if axis == 0 else (ROWS(), COLS())
 
     def line(d: Column, k: Column) -> Column:
-        values = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.get(d, j * COLS + k) if axis == 0 else F.get(d, k * COLS + j))
+        values = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.get(d, j * COLS() + k) if axis == 0 else F.get(d, k * COLS() + j))
         if kind == SUM:
             return P.total(values)
         if kind == SUM2:
@@ -75,7 +75,7 @@ def reduce(planes: DataFrame, axis: int, kind: int, depth: int = N.F64) -> DataF
         sound = F.filter(values, lambda v: ~F.isnan(v))
         return F.coalesce(F.array_max(sound) if kind == MAX else F.array_min(sound), F.lit(float("nan")))
 
-    return changed(planes, P.let(D, lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda k: line(d, k))), 1 if axis == 0 else ROWS, COLS if axis == 0 else 1)
+    return changed(planes, P.let(D(), lambda d: F.transform(F.sequence(F.lit(0), n - 1), lambda k: line(d, k))), 1 if axis == 0 else ROWS(), COLS() if axis == 0 else 1)
 
 
 def _norm(values: Column, kind: int) -> Column:
@@ -103,8 +103,8 @@ def norm_diff(a: DataFrame, b: DataFrame, kind: int = NORM_L2, relative: bool =
     """(img, norm) of a - b, or of that relative to the norm of b; Hamming distances count differing bits."""
     both = paired(a, b)
     if kind in (NORM_HAMMING, NORM_HAMMING2):
-        return norm(changed(both, F.zip_with(D, "data2", lambda x, y: x.cast("long").bitwiseXOR(y.cast("long")).cast("double"))), kind)
-    out = norm(changed(both, F.zip_with(D, "data2", lambda x, y: x - y)), kind)
+        return norm(changed(both, F.zip_with(D(), "data2", lambda x, y: x.cast("long").bitwiseXOR(y.cast("long")).cast("double"))), kind)
+    out = norm(changed(both, F.zip_with(D(), "data2", lambda x, y: x - y)), kind)
     if not relative:
         return out
     base = norm(b, kind).withColumnRenamed("norm", "_b")
@@ -121,15 +121,15 @@ def normalize(planes: DataFrame, alpha: float = 1.0, beta: float = 0.0, kind: in
             return N.saturate(F.when(span == 0, F.lit(float(alpha))).otherwise((v - e["lo"]) * (high - low) / F.when(span == 0, F.lit(1.0)).otherwise(span) + low), depth, "numeric")
 
         ends = lambda d: F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi"))
-        return changed(planes, P.let(D, lambda d: P.let(ends(d), lambda e: F.transform(d, lambda v: spread(v, e)))))
+        return changed(planes, P.let(D(), lambda d: P.let(ends(d), lambda e: F.transform(d, lambda v: spread(v, e)))))
     scaled = lambda v, n: N.saturate(F.when(n == 0, F.lit(0.0)).otherwise(v * alpha / F.when(n == 0, F.lit(1.0)).otherwise(n)), depth, "numeric")
-    return changed(planes, P.let(D, lambda d: P.let(_norm(d, kind), lambda n: F.transform(d, lambda v: scaled(v, n)))))
+    return changed(planes, P.let(D(), lambda d: P.let(_norm(d, kind), lambda n: F.transform(d, lambda v: scaled(v, n)))))
 
 
 def integral(planes: DataFrame, squared: bool = False) -> DataFrame:
     """Planes of one row and column more: sums of all values above and to the left, or of their squares."""
-    rows = planes.withColumn("_s", F.transform(D, lambda v: v * v)) if squared else planes.withColumn("_s", D)
-    return changed(rows, P.running(F.col("_s"), ROWS, COLS), ROWS + 1, COLS + 1)
+    rows = planes.withColumn("_s", F.transform(D(), lambda v: v * v)) if squared else planes.withColumn("_s", D())
+    return changed(rows, P.running(F.col("_s"), ROWS(), COLS()), ROWS() + 1, COLS() + 1)
 
 
 _ORDERS = [(p, q) for n in range(4) for p, q in ((n - k, k) for k in range(n + 1))]
@@ -137,7 +137,7 @@ _ORDERS = [(p, q) for n in range(4) for p, q in ((n - k, k) for k in range(n + 1
 
 def moments(planes: DataFrame, binary: bool = False) -> DataFrame:
     """(img, c, m00 .. m03, mu20 .. mu03, nu20 .. nu03): raw, central and normalised moments to the third order."""
-    cells = F.transform(D, lambda v, i: F.struct(F.when(v != 0, 1.0).otherwise(0.0).alias("v") if binary else v.alias("v"), F.floor(i / COLS).cast("double").alias("y"), F.pmod(i, COLS).cast("double").alias("x")))
+    cells = F.transform(D(), lambda v, i: F.struct(F.when(v != 0, 1.0).otherwise(0.0).alias("v") if binary else v.alias("v"), F.floor(i / COLS()).cast("double").alias("y"), F.pmod(i, COLS()).cast("double").alias("x")))
     rows = planes.withColumn("_c", cells)
 
     def power(t: Column, p: int) -> Column:
@@ -193,7 +193,7 @@ def match_shapes(a: DataFrame, b: DataFrame, method: int) -> DataFrame:
 
 def calc_hist(planes: DataFrame, bins: int, low: float, high: float) -> DataFrame:
     """(img, c, bin, n) for every bin of the half-open range, with those that are empty."""
-    place = F.transform(F.filter(D, lambda v: (v >= low) & (v < high)), lambda v: F.floor((v - low) * bins / (high - low)).cast("int"))
+    place = F.transform(F.filter(D(), lambda v: (v >= low) & (v < high)), lambda v: F.floor((v - low) * bins / (high - low)).cast("int"))
     rows = planes.select("img", "c", place.alias("_b"))
     counts = P.let(F.col("_b"), lambda place: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(place, lambda b: b == k))))
     return rows.select("img", "c", F.posexplode(counts).alias("bin", "n"))
@@ -219,7 +219,7 @@ def compare_hist(a: DataFrame, b: DataFrame, method: int) -> DataFrame:
 def calc_back_project(planes: DataFrame, histogram: Sequence[float], low: float, high: float, scale: float = 1.0, depth: int = N.U8) -> DataFrame:
     """Channel 0 with each value replaced by its bin's entry times scale; 0 outside of the range."""
     n, entries = len(histogram), F.array(*[F.lit(float(h)) for h in histogram])
-    return changed(planes.where("c = 0"), F.transform(D, lambda v: F.when((v >= low) & (v < high), N.saturate(F.get(entries, F.floor((v - low) * n / (high - low)).cast("int")) * scale, depth, "numeric")).otherwise(F.lit(0.0))))
+    return changed(planes.where("c = 0"), F.transform(D(), lambda v: F.when((v >= low) & (v < high), N.saturate(F.get(entries, F.floor((v - low) * n / (high - low)).cast("int")) * scale, depth, "numeric")).otherwise(F.lit(0.0))))
 
 
 def equalize_hist(planes: DataFrame) -> DataFrame:
@@ -235,4 +235,4 @@ def equalize_hist(planes: DataFrame) -> DataFrame:
         rest = F.size(d) - t["first"]
         return F.transform(d, lambda v: F.when(rest == 0, v).otherwise(F.rint((F.get(t["cdf"], v.cast("int")) - t["first"]) * 255.0 / F.when(rest == 0, F.lit(1)).otherwise(rest))))
 
-    return changed(planes, P.let(D, lambda d: P.let(histogram256(d), lambda h: P.let(table(h), lambda t: leveled(d, t)))))
+    return changed(planes, P.let(D(), lambda d: P.let(histogram256(d), lambda h: P.let(table(h), lambda t: leveled(d, t)))))

@@ -24,7 +24,7 @@ def bilinear(d: Column, sy: Column, sx: Column, border: int = P.CONSTANT, outsid
 def _mixed(d: Column, sy: Column, sx: Column, border: int, outside: float) -> Column:
     y0, x0 = F.floor(sy).cast("int"), F.floor(sx).cast("int")
     fy, fx = sy - y0, sx - x0
-    v = lambda a, b: F.coalesce(P.at(d, COLS, P.border_index(a, ROWS, border), P.border_index(b, COLS, border)), F.lit(float(outside)))
+    v = lambda a, b: F.coalesce(P.at(d, COLS(), P.border_index(a, ROWS(), border), P.border_index(b, COLS(), border)), F.lit(float(outside)))
     return v(y0, x0) * (1 - fy) * (1 - fx) + v(y0, x0 + 1) * (1 - fy) * fx + v(y0 + 1, x0) * fy * (1 - fx) + v(y0 + 1, x0 + 1) * fy * fx
 
 
@@ -63,20 +63,20 @@ def axis_taps(source: int, target: int, mode: int) -> list[list[tuple[int, float
 def resize(planes: DataFrame, source: tuple[int, int], target: tuple[int, int], mode: int = LINEAR, depth: int = N.U8) -> DataFrame:
     """Planes of source (rows, cols) at target size. Halving both sides with LINEAR is AREA. Whole depths end with floor(v + 0.5)."""
     if source == target:
-        return planes.where((ROWS == source[0]) & (COLS == source[1]))
+        return planes.where((ROWS() == source[0]) & (COLS() == source[1]))
     if mode == LINEAR and source == (2 * target[0], 2 * target[1]):
         mode = AREA
     listed = lambda taps: F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(w)).alias("w")) for i, w in t]) for t in taps])
-    rows = planes.where((ROWS == source[0]) & (COLS == source[1])).withColumns({"_ty": listed(axis_taps(source[0], target[0], mode)), "_tx": listed(axis_taps(source[1], target[1], mode))})
+    rows = planes.where((ROWS() == source[0]) & (COLS() == source[1])).withColumns({"_ty": listed(axis_taps(source[0], target[0], mode)), "_tx": listed(axis_taps(source[1], target[1], mode))})
 
     def value(d: Column, y: Column, x: Column) -> Column:
-        v = F.aggregate(F.get("_ty", y), F.lit(0.0), lambda s, a: s + a["w"] * F.aggregate(F.get("_tx", x), F.lit(0.0), lambda t, b: t + b["w"] * P.at(d, COLS, a["i"], b["i"])))
+        v = F.aggregate(F.get("_ty", y), F.lit(0.0), lambda s, a: s + a["w"] * F.aggregate(F.get("_tx", x), F.lit(0.0), lambda t, b: t + b["w"] * P.at(d, COLS(), a["i"], b["i"])))
         if depth not in N.RANGE or mode == NEAREST:
             return N.saturate(v, depth)
         low, high = N.RANGE[depth]
         return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), F.floor(v + 0.5).cast("double")))
 
-    return changed(rows, P.grid_over(D, target[0], target[1], value), *target)
+    return changed(rows, P.grid_over(D(), target[0], target[1], value), *target)
 
 
 def remap(planes: DataFrame, map_x: DataFrame, map_y: DataFrame, mode: int = LINEAR, outside: float = 0.0, depth: int = N.U8) -> DataFrame:
@@ -89,10 +89,10 @@ def remap(planes: DataFrame, map_x: DataFrame, map_y: DataFrame, mode: int = LIN
         sx, sy = F.get("_x", i), F.get("_y", i)
         if mode == NEAREST:
             away = lambda v: (F.signum(v) * F.floor(F.abs(v) + 0.5)).cast("int")
-            return F.coalesce(P.at(d, COLS, P.border_index(away(sy), ROWS, P.CONSTANT), P.border_index(away(sx), COLS, P.CONSTANT)), F.lit(float(outside)))
+            return F.coalesce(P.at(d, COLS(), P.border_index(away(sy), ROWS(), P.CONSTANT), P.border_index(away(sx), COLS(), P.CONSTANT)), F.lit(float(outside)))
         return N.saturate(bilinear(d, sy, sx, P.CONSTANT, outside), depth)
 
-    return changed(rows, P.grid_over(D, F.col("_r"), F.col("_k"), value), F.col("_r"), F.col("_k"))
+    return changed(rows, P.grid_over(D(), F.col("_r"), F.col("_k"), value), F.col("_r"), F.col("_k"))
 
 
 def convert_maps(map_x: DataFrame, map_y: DataFrame) -> DataFrame:
@@ -101,17 +101,17 @@ def convert_maps(map_x: DataFrame, map_y: DataFrame) -> DataFrame:
     part = lambda v: F.rint(v * 32)
     whole = lambda v: F.floor(part(v) / 32).cast("int")
     left = lambda v: (part(v) - whole(v) * 32).cast("int")
-    return both.select("img", "c", "rows", "cols", F.transform(D, whole).alias("xi"), F.transform("data2", whole).alias("yi"), F.zip_with(D, "data2", lambda x, y: left(x) + left(y) * 32).alias("fraction"))
+    return both.select("img", "c", "rows", "cols", F.transform(D(), whole).alias("xi"), F.transform("data2", whole).alias("yi"), F.zip_with(D(), "data2", lambda x, y: left(x) + left(y) * 32).alias("fraction"))
 
 
 def _warped(planes: DataFrame, rows: int, cols: int, source: Callable[[Column, Column], tuple[Column, Column]], mode: int, border: int, outside: float, depth: int) -> DataFrame:
     def value(d: Column, y: Column, x: Column) -> Column:
         sy, sx = source(y, x)
         if mode == NEAREST:
-            return F.coalesce(P.at(d, COLS, P.border_index(F.rint(sy).cast("int"), ROWS, border), P.border_index(F.rint(sx).cast("int"), COLS, border)), F.lit(float(outside)))
+            return F.coalesce(P.at(d, COLS(), P.border_index(F.rint(sy).cast("int"), ROWS(), border), P.border_index(F.rint(sx).cast("int"), COLS(), border)), F.lit(float(outside)))
         return N.saturate(bilinear(d, sy, sx, border, outside), depth)
 
-    return changed(planes, P.grid_over(D, rows, cols, value), rows, cols)
+    return changed(planes, P.grid_over(D(), rows, cols, value), rows, cols)
 
 
 def _inverse(matrix: np.ndarray) -> list[list[float]]:
@@ -161,7 +161,7 @@ def demosaic(planes: DataFrame, red: tuple[int, int], depth: int = N.U8) -> Data
 
     def value(channel: int) -> Callable[[Column, Column, Column], Column]:
         def at(d: Column, y: Column, x: Column) -> Column:
-            v = lambda dy, dx: F.coalesce(P.at(d, COLS, P.border_index(y + dy, ROWS, P.CONSTANT), P.border_index(x + dx, COLS, P.CONSTANT)), F.lit(0.0))
+            v = lambda dy, dx: F.coalesce(P.at(d, COLS(), P.border_index(y + dy, ROWS(), P.CONSTANT), P.border_index(x + dx, COLS(), P.CONSTANT)), F.lit(0.0))
             ry, rx = F.pmod(y, F.lit(2)) == red[0], F.pmod(x, F.lit(2)) == red[1]
             cross, corners = (v(-1, 0) + v(1, 0) + v(0, -1) + v(0, 1)) / 4, (v(-1, -1) + v(-1, 1) + v(1, -1) + v(1, 1)) / 4
             across, down = (v(0, -1) + v(0, 1)) / 2, (v(-1, 0) + v(1, 0)) / 2
@@ -172,7 +172,7 @@ def demosaic(planes: DataFrame, red: tuple[int, int], depth: int = N.U8) -> Data
 
         return lambda d, y, x: N.saturate(at(d, y, x), depth)
 
-    channels = F.array(*[F.struct(F.lit(k).alias("c"), P.grid_over(D, ROWS, COLS, value(k)).alias("data")) for k in range(3)])
+    channels = F.array(*[F.struct(F.lit(k).alias("c"), P.grid_over(D(), ROWS(), COLS(), value(k)).alias("data")) for k in range(3)])
     return planes.select("img", "rows", "cols", F.explode(channels).alias("_o")).select("img", "_o.c", "rows", "cols", "_o.data")
 
 

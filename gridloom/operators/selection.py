@@ -30,7 +30,7 @@ def in_range(planes: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
     three = paired(planes, low, high)
     inside = F.transform(F.arrays_zip("data", "data2", "data3"), lambda t: F.when((t["data"] >= t["data2"]) & (t["data"] <= t["data3"]) & ~F.isnan(t["data"]), 1).otherwise(0))
     listed = three.select("img", "rows", "cols", inside.alias("_in")).groupBy("img").agg(F.first("rows").alias("rows"), F.first("cols").alias("cols"), F.collect_list("_in").alias("_all"))
-    every = P.let(F.col("_all"), lambda a: F.transform(F.sequence(F.lit(0), ROWS * COLS - 1), lambda i: F.when(F.forall(a, lambda p: F.get(p, i) == 1), F.lit(255.0)).otherwise(F.lit(0.0))))
+    every = P.let(F.col("_all"), lambda a: F.transform(F.sequence(F.lit(0), ROWS() * COLS() - 1), lambda i: F.when(F.forall(a, lambda p: F.get(p, i) == 1), F.lit(255.0)).otherwise(F.lit(0.0))))
     return listed.select("img", F.lit(0).alias("c"), "rows", "cols", every.alias("data"))
 
 
@@ -80,7 +80,7 @@ def threshold(planes: DataFrame, level: float, maximum: float, kind: int, depth:
 
         return triangle_threshold(planes, maximum, base)
     if kind & OTSU:
-        return changed(planes, P.let(D, lambda d: P.let(otsu_level(d), lambda t: F.transform(d, lambda v: thresholded(v, t, maximum, base)))))
+        return changed(planes, P.let(D(), lambda d: P.let(otsu_level(d), lambda t: F.transform(d, lambda v: thresholded(v, t, maximum, base)))))
     if depth in N.RANGE:
         import math
 
@@ -97,10 +97,10 @@ def adaptive_threshold(planes: DataFrame, maximum: float, gaussian: bool, invers
         raise ValueError("the block size is odd and over 1")
     line = gaussian_kernel(block, 0.3 * ((block - 1) / 2 - 1) + 0.8) if gaussian else [1 / block] * block
     r = block // 2
-    mean = P.taps(D, ROWS, COLS, [(i - r, j - r, a * b) for i, a in enumerate(line) for j, b in enumerate(line)], P.REPLICATE)
+    mean = P.taps(D(), ROWS(), COLS(), [(i - r, j - r, a * b) for i, a in enumerate(line) for j, b in enumerate(line)], P.REPLICATE)
     top = float(max(0, min(255, round(maximum))))
     hit, miss = (F.lit(0.0), F.lit(top)) if inverse else (F.lit(top), F.lit(0.0))
-    return changed(planes.withColumn("_m", mean), F.zip_with(D, "_m", lambda v, m: F.when(v > m - delta, hit).otherwise(miss)))
+    return changed(planes.withColumn("_m", mean), F.zip_with(D(), "_m", lambda v, m: F.when(v > m - delta, hit).otherwise(miss)))
 
 
 def lut(planes: DataFrame, table: Sequence[float], signed: bool = False) -> DataFrame:
@@ -109,9 +109,9 @@ def lut(planes: DataFrame, table: Sequence[float], signed: bool = False) -> Data
         raise ValueError("a look-up table has 256 entries")
     entries = F.array(*[F.lit(float(x)) for x in table])
     index = (lambda v: F.pmod(v.cast("int"), F.lit(256))) if signed else (lambda v: v.cast("int"))
-    return changed(planes.withColumn("_t", entries), F.transform(D, lambda v: F.get(F.col("_t"), index(v))))
+    return changed(planes.withColumn("_t", entries), F.transform(D(), lambda v: F.get(F.col("_t"), index(v))))
 
 
 def count_non_zero(planes: DataFrame) -> DataFrame:
     """(img, c, n): NaN counts, zeros of either sign do not."""
-    return planes.select("img", "c", F.size(F.filter(D, lambda v: v != 0)).cast("long").alias("n"))
+    return planes.select("img", "c", F.size(F.filter(D(), lambda v: v != 0)).cast("long").alias("n"))
