@@ -282,6 +282,8 @@ class Encoder:
 
     def _split_run(self, run: str) -> list[str]:
         """The words of a run; no match of the pattern holds white space or looks beyond the run's ends."""
+        if not run.isascii() and any(unicodedata.category(c) == "Cn" for c in run):
+            return self._newer(run)
         low = unicodedata.normalize("NFC", run).replace("\u03a3", "\u03c3").lower()
         if low.isalpha():  # exactly the letters
             return [low]
@@ -289,6 +291,13 @@ class Encoder:
             return [low[:-1], low[-1]]
         return self.find(low)
 
+    def _newer(self, run: str) -> list[str]:
+        """As _split_run, for characters that Python's Unicode tables don't know and the tokenizers library's may."""
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        low = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(run)
+        return [w for w, _ in pre_tokenizers.Split(Regex(self.t.pattern), "removed", invert=True).pre_tokenize_str(low)]
+
     def _learn(self, runs: set[str]) -> None:
         parts = {r: self._split_run(r) for r in self.known.missing(runs)}
         words = list({w for p in parts.values() for w in p})

@@ -150,8 +150,9 @@ def detect(text: str) -> list[Entity]:
         found += [Entity(*m.span(1), "secret") for m in _PEM.finditer(text)]
     if "=" in text or ":" in text:
         found += [Entity(*m.span(1), "secret") for m in _KEYWORDED.finditer(text) if re.search(r"\d", m[1]) or len(m[1]) >= 20]
-    if digits:
+    if digits or "AKIA" in text or "-" in text or "_" in text:  # no other prefixed secret is without these
         found += [Entity(*m.span(), "secret") for m in _PREFIXED.finditer(text)]
+    if digits:
         found += [Entity(*m.span(), "secret") for m in _LONG_HEX.finditer(text) if re.search("[a-fA-F]", m[0]) and re.search(r"\d", m[0])]
     end = 0
     for at in digits:
