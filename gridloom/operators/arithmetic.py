@@ -277,3 +277,48 @@ def _random(planes: DataFrame, seed: int, value, depth: int, whole) -> DataFrame
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.float64()))], ["img", "c", "rows", "cols", "data"])
 
     return planes.select("img", "c", "rows", "cols", "data").mapInArrow(scan, "img long, c int, rows int, cols int, data array<double>")
+
+
+#: Integer rows and shifts of the 8-bit colour transforms, for blue, green, red.
+_XYZ, _XYZ_SHIFT = ((739, 1465, 1689), (296, 2929, 871), (3892, 488, 79)), 12
+_LUMA, _CHROMA_SHIFT = (1868, 9617, 4899), 14
+_CHROMA = {"ycrcb": (("r", 11682), ("b", 9241)), "yuv": (("b", 8061), ("r", 14369))}
+
+
+def _pixel(planes: DataFrame, outs: Sequence, blue: int) -> DataFrame:
+    """Planes 0 .. n-1 whose values are outs[k](b, g, r) of each pixel; planes beyond the third are left out."""
+    rows = planes.where("c < 3").groupBy("img").agg(F.first("rows").alias("rows"), F.first("cols").alias("cols"), F.transform(F.array_sort(F.collect_list(F.struct("c", "data"))), lambda p: p["data"]).alias("_p"))
+
+    def channel(value):
+        mixed = lambda p: F.transform(F.arrays_zip(F.get(p, F.lit(blue)).alias("b"), F.get(p, F.lit(1)).alias("g"), F.get(p, F.lit(2 - blue)).alias("r")), lambda t: value(t["b"], t["g"], t["r"]))
+        return P.let(F.col("_p"), mixed)
+
+    made = F.array(*[F.struct(F.lit(k).alias("c"), channel(v).alias("data")) for k, v in enumerate(outs)])
+    return rows.select("img", "rows", "cols", F.explode(made).alias("_o")).select("img", "_o.c", "rows", "cols", "_o.data")
+
+
+def _shifted(v: Column, shift: int) -> Column:
+    return F.floor((v + 2.0 ** (shift - 1)) / 2.0**shift)
+
+
+def _byte(v: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), v.cast("double")))
+
+
+def to_xyz(planes: DataFrame, blue: int = 0) -> DataFrame:
+    """8-bit channels to X, Y and Z; blue tells the place of blue (0 or 2)."""
+
+    def row(w):
+        return lambda b, g, r: _byte(_shifted(b * float(w[0]) + g * float(w[1]) + r * float(w[2]), _XYZ_SHIFT))
+
+    return _pixel(planes, [row(w) for w in _XYZ], blue)
+
+
+def to_luma_chroma(planes: DataFrame, kind: str = "ycrcb", blue: int = 0) -> DataFrame:
+    """8-bit channels to luma and two differences from it around 128: 'ycrcb' or 'yuv'."""
+    luma = lambda b, g, r: _shifted(b * float(_LUMA[0]) + g * float(_LUMA[1]) + r * float(_LUMA[2]), 14)
+
+    def difference(which: str, weight: int):
+        return lambda b, g, r: _byte(_shifted((b if which == "b" else r) * float(weight) - luma(b, g, r) * float(weight) + 128.0 * 2**_CHROMA_SHIFT, _CHROMA_SHIFT))
+
+    return _pixel(planes, [lambda b, g, r: _byte(luma(b, g, r)), *[difference(*x) for x in _CHROMA[kind]]], blue)

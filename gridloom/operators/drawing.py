@@ -156,3 +156,25 @@ def draw_contours(planes: DataFrame, contours: Sequence[Sequence[Point]], which:
     """One contour, or all with a negative number; filled with a negative thickness."""
     used = [[(x + offset[0], y + offset[1]) for x, y in c] for k, c in enumerate(contours) if which < 0 or k == which]
     return fill_poly(planes, used, color) if thickness < 0 else polylines(planes, used, True, color)
+
+
+def draw_frame_axes(planes: DataFrame, camera, distortion: Sequence[float], rotation: Sequence[float], translation: Sequence[float], length: float, thickness: int = 3) -> DataFrame:
+    """The axes of a frame seen by a camera, in planes of blue, green and red: x red, y green, z blue."""
+    from gridloom.operators.calibration import _coefficients, rodrigues
+
+    if length <= 0 or thickness <= 0:
+        raise ValueError("length and thickness are positive")
+    k1, k2, p1, p2, k3, *_ = _coefficients(distortion)
+
+    def seen(p: Sequence[float]) -> Point:
+        x, y, z = rodrigues(rotation) @ np.array(p, float) + np.array(translation, float)
+        x, y = (x / z, y / z) if z else (x, y)
+        r = x * x + y * y
+        bend = 1 + k1 * r + k2 * r * r + k3 * r**3
+        u, v = x * bend + 2 * p1 * x * y + p2 * (r + 2 * x * x), y * bend + p1 * (r + 2 * y * y) + 2 * p2 * x * y
+        return round(u * camera[0][0] + camera[0][2]), round(v * camera[1][1] + camera[1][2])
+
+    origin = seen((0, 0, 0))
+    for axis, color in ((0, (0, 0, 255)), (1, (0, 255, 0)), (2, (255, 0, 0))):
+        planes = line(planes, origin, seen([length if k == axis else 0 for k in range(3)]), color, thickness)
+    return planes

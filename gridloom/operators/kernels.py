@@ -539,3 +539,29 @@ def kmeans(points: np.ndarray, k: int, iterations: int = 10, epsilon: float = 0.
             break
     d = ((points[:, None] - centers) ** 2).sum(2)
     return float(d.min(1).sum()), d.argmin(1), centers
+
+
+def hough_segment(planes: DataFrame, rho: float, theta: float, threshold: int, gap: int) -> DataFrame:
+    """(img, c, x0, y0, x1, y1): the longest run of edge pixels along the line with most votes; gaps of gap + 2 are bridged."""
+
+    def run(a: np.ndarray) -> list[tuple]:
+        y, x = np.nonzero(a)
+        if not len(y):
+            return []
+        n, half = max(1, round(math.pi / theta)), int(math.hypot(*a.shape) / rho) + 1
+        t = np.arange(n) * theta
+        r = np.rint((x[:, None] * np.cos(t) + y[:, None] * np.sin(t)) / rho).astype(int)
+        votes = np.zeros((n, 2 * half + 1), int)
+        np.add.at(votes, (np.arange(n)[None, :].repeat(len(y), 0), r + half), 1)
+        k, b = np.unravel_index(votes.argmax(), votes.shape)
+        if votes[k, b] < threshold:
+            return []
+        on = np.flatnonzero(r[:, k] + half == b)
+        along = -x[on] * math.sin(t[k]) + y[on] * math.cos(t[k])
+        order = np.argsort(along, kind="stable")
+        cuts = np.flatnonzero(np.diff(along[order]) > gap + 2) + 1
+        part = max(np.split(order, cuts), key=len)
+        p, q = on[part[0]], on[part[-1]]
+        return [(int(x[p]), int(y[p]), int(x[q]), int(y[q]))]
+
+    return per_plane(planes, run, "x0 int, y0 int, x1 int, y1 int")

@@ -9,13 +9,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import arithmetic as A
 from gridloom.operators import calibration as C
+from gridloom.operators import colormaps as M
 from gridloom.operators import drawing as W
 from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators import linear as N
+from gridloom.operators import resampling as S
 from gridloom.plans import fixtures as X
-from gridloom.plans.fixtures import BINARY, EIGHT, POLYGONS, REAL, binary, eight, pixels, pixels_sql, polygons, real, shift_sql, shifted
+from gridloom.plans.fixtures import BINARY, COLOR, EIGHT, POLYGONS, REAL, binary, color, eight, pixels, pixels_sql, polygons, real, shift_sql, shifted
 from gridloom.streaming import tracking as T
 
 QUERIES: dict[str, Callable] = {}
@@ -160,3 +163,26 @@ QUERIES["find_homography"] = lambda spark, d: C.find_homography(_pairs(spark, d)
 
 def _pairs(spark, d):
     return polygons(spark, d).withColumns({"u": F.col("x") * 2 - F.col("y") + 3, "v": F.col("x") + F.col("y") * 0.5 - 1})
+
+# colour
+_BGR = f"(SELECT img, y, x, max(v) FILTER (WHERE c = 0) AS b, max(v) FILTER (WHERE c = 1) AS g, max(v) FILTER (WHERE c = 2) AS r FROM ({COLOR}) GROUP BY img, y, x)"
+
+
+def _rows_sql(values: list[str]) -> str:
+    return pixels_sql(" UNION ALL ".join(f"SELECT img, {k} AS c, y, x, greatest(0, least(255, {v})) AS v FROM {_BGR}" for k, v in enumerate(values)))
+
+
+QUERIES["cvt_color_xyz"] = lambda spark, d: pixels(A.to_xyz(color(spark, d)))
+SQL["cvt_color_xyz"] = _rows_sql([f"floor((b * {w[0]} + g * {w[1]} + r * {w[2]} + 2048) / 4096)" for w in A._XYZ])
+_Y = "floor((b * 1868 + g * 9617 + r * 4899 + 8192) / 16384)"
+for _kind, _parts in A._CHROMA.items():
+    QUERIES[f"cvt_color_{_kind}"] = lambda spark, d, k=_kind: pixels(A.to_luma_chroma(color(spark, d), k))
+    SQL[f"cvt_color_{_kind}"] = _rows_sql([_Y, *[f"floor((({c} - {_Y}) * {w} + {128 * 2**14} + 8192) / 16384)" for c, w in _parts]])
+for _name in M._RULES:
+    QUERIES[f"color_map_{_name}"] = lambda spark, d, n=_name: pixels(M.apply_color_map(eight(spark, d), n))
+    _values = ", ".join(f"({k}, {c}, {v})" for c, channel in enumerate(M.table(_name)) for k, v in enumerate(channel))
+    SQL[f"color_map_{_name}"] = pixels_sql(f"SELECT p.img, t.c, p.y, p.x, t.e AS v FROM ({EIGHT}) p JOIN (VALUES {_values}) t(k, c, e) ON p.v = t.k")
+QUERIES["convert_maps"] = lambda spark, d: S.convert_maps(real(spark, d), shifted(real(spark, d))).select("img", "c", F.posexplode(F.arrays_zip("xi", "yi", "fraction")).alias("i", "t")).select("img", "c", "i", "t.xi", "t.yi", "t.fraction")
+SQL["convert_maps"] = f"SELECT a.img, a.c, CAST(a.y * 8 + a.x AS INTEGER) AS i, CAST(floor(round_even(a.v * 32, 0) / 32) AS INTEGER) AS xi, CAST(floor(round_even(b.v * 32, 0) / 32) AS INTEGER) AS yi, CAST(round_even(a.v * 32, 0) - floor(round_even(a.v * 32, 0) / 32) * 32 + (round_even(b.v * 32, 0) - floor(round_even(b.v * 32, 0) / 32) * 32) * 32 AS INTEGER) AS fraction FROM ({REAL}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img AND a.y = b.y AND a.x = b.x"
+of_planes("hough_segment", binary, lambda p: K.hough_segment(p, 1.0, math.pi / 18, 5, 1))
+drawn("draw_frame_axes", lambda p: W.draw_frame_axes(p, _CAMERA, [], (0.1, 0.2, 0.0), (0, 0, 4.0), 2.0, 1))
