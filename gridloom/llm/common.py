@@ -10,7 +10,7 @@ from functools import wraps
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches that reach Python hold at most so many bytes or rows, so that a batch of long texts stays small.
@@ -118,6 +118,18 @@ def in_units(keyed: DataFrame, keys: list[str], spread: str, members: int) -> Da
     return dealt.withColumns({"unit_a": F.least("chunk", "_x"), "unit_b": F.greatest("chunk", "_x")}).drop("_n", "_c", "_x")
 
 
+def spread(seed: int, *columns: str) -> Column:
+    """A hash of the columns as a number from 0 to 1; the rows with the smallest ones are a sample that any plan finds again."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 1).cast("double") / float(2**63)
+
+
+def smallest(rows: DataFrame, seed: int, column: str, most: int, of: int) -> DataFrame:
+    """The `most` rows of the smallest spread among `of` rows of distinct values. Rows that are surely beyond go before
+    the sort, so that what tasks send to it is about twice the sample, however many tasks there are."""
+    u = spread(seed, column)
+    return rows.where(u * of < 2.0 * most + 100).orderBy(u, column).limit(most)
+
+
 def flat_lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column as one array, and the number of values in each row."""
     column = batch.column(batch.schema.get_field_index(name))

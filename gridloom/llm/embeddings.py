@@ -65,7 +65,7 @@ class LatticeHash:
         self.moves = shortest_e8()
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
-        """(vectors, TABLES * (1 + PROBES)) hashes; the two high bits of none tell its table, so equal hashes of different tables meet too, and are verified."""
+        """(vectors, TABLES * (1 + PROBES)) hashes. Cells of different tables may share one; those who meet there are verified as all are."""
         n, out = len(unit), []
         for projection, mix in zip(self.projections, self.mix, strict=True):
             y = (unit @ projection).reshape(n, BLOCKS, 8)

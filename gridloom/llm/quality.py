@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, lean, small_batches, table
+from gridloom.llm.common import as_bytes, lean, small_batches, smallest, spread, table
 
 #: The model is fitted on at most so many trusted positives and unlabelled texts, chosen by a hash of their ids.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -109,11 +109,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> PuModel:
     ones, n = known.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
     if not ones:
         return PuModel()
-    by_hash = F.xxhash64(F.lit(SEED), F.col("doc_id"))
-    p = known.where("quality = 1").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(POSITIVES).withColumn("role", F.lit(1))
-    u = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(UNLABELLED).withColumn("role", F.lit(0))
+    p = smallest(known.where("quality = 1").select("doc_id"), SEED, "doc_id", POSITIVES, ones).distinct().withColumn("role", F.lit(1))
+    open_ = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id")
+    u = smallest(open_, SEED, "doc_id", UNLABELLED, open_.count()).distinct().withColumn("role", F.lit(0))
     chosen = F.broadcast(p.unionByName(u))  # at most POSITIVES + UNLABELLED ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(by_hash, F.xxhash64("text"), "role").limit(POSITIVES + UNLABELLED)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(spread(SEED, "doc_id"), F.xxhash64("text"), "role").limit(POSITIVES + UNLABELLED)
     got = _with_features(rows).collect()
     x = np.stack([np.frombuffer(r.features, np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
     role = np.array([r.role for r in got])
