@@ -16,6 +16,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridloom.sources.images import PLANE
 
 
+def _planes_of(b: pa.RecordBatch) -> Iterator[tuple]:
+    """(img, c, values as (rows, cols), further columns ...) of each row; the values are views of the batch."""
+    data = b.column(4)
+    values, ends = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+    for k, (img, c, rows, cols, *more) in enumerate(zip(*(b.column(n).to_pylist() for n in range(b.num_columns) if n != 4), strict=True)):
+        yield img, c, values[ends[k] : ends[k + 1]].reshape(rows, cols), *more
+
+
 def per_plane(planes: DataFrame, kernel: Callable[[np.ndarray], Iterable[tuple]], schema: str, extra: Sequence[str] = ()) -> DataFrame:
     """Rows (img, c, ...) that kernel(values) gives for each plane; values is (rows, cols). `extra` names columns whose
     values follow as further arguments. schema lists what comes after img and c."""
@@ -24,9 +32,7 @@ def per_plane(planes: DataFrame, kernel: Callable[[np.ndarray], Iterable[tuple]]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for img, c, rows, cols, data, *more in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                out += [(img, c, *r) for r in kernel(np.array(data, float).reshape(rows, cols), *more)]
+            out = [(img, c, *r) for img, c, a, *more in _planes_of(b) for r in kernel(a, *more)]
             columns = list(zip(*out, strict=True)) or [[]] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
@@ -36,11 +42,15 @@ def per_plane(planes: DataFrame, kernel: Callable[[np.ndarray], Iterable[tuple]]
 def per_image(planes: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], extra: Sequence[str] = ()) -> DataFrame:
     """Planes that kernel makes of planes."""
 
-    def one(a: np.ndarray, *more) -> list[tuple]:
-        out = kernel(a, *more)
-        return [(out.shape[0], out.shape[1], out.astype(float).ravel().tolist())]
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.asarray(kernel(a, *more), np.float64) for _, _, a, *more in _planes_of(b)]
+            flat = pa.array(np.concatenate([m.ravel() for m in made]) if made else np.zeros(0))
+            ends = np.concatenate(([0], np.cumsum([m.size for m in made]))).astype(np.int32)
+            sides = [pa.array([m.shape[k] for m in made], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *sides, pa.ListArray.from_arrays(pa.array(ends), flat)], ["img", "c", "rows", "cols", "data"])
 
-    return per_plane(planes, one, PLANE.split("c int, ")[1], extra)
+    return planes.select("img", "c", "rows", "cols", "data", *extra).mapInArrow(scan, PLANE)
 
 
 def _neighbours(connectivity: int) -> list[tuple[int, int]]:
@@ -565,3 +575,92 @@ def hough_segment(planes: DataFrame, rho: float, theta: float, threshold: int, g
         return [(int(x[p]), int(y[p]), int(x[q]), int(y[q]))]
 
     return per_plane(planes, run, "x0 int, y0 int, x1 int, y1 int")
+
+
+def padded(a: np.ndarray, reach: tuple[int, int, int, int], border: int, outside: float = 0.0) -> np.ndarray:
+    """a with (top, bottom, left, right) more rows and columns, filled as the border says."""
+    from gridloom.functions.planes import border_place
+
+    top, bottom, left, right = reach
+    y = [border_place(p, a.shape[0], border) for p in range(-top, a.shape[0] + bottom)]
+    x = [border_place(p, a.shape[1], border) for p in range(-left, a.shape[1] + right)]
+    out = a[np.ix_([0 if p is None else p for p in y], [0 if p is None else p for p in x])]
+    out[[k for k, p in enumerate(y) if p is None]] = outside
+    out[:, [k for k, p in enumerate(x) if p is None]] = outside
+    return out
+
+
+def around(a: np.ndarray, offsets: Sequence[tuple[int, int]], border: int, outside: float = 0.0) -> Iterator[np.ndarray]:
+    """For each offset (dy, dx) the values that lie so far from every pixel."""
+    dy, dx = zip(*offsets, strict=True)
+    top, bottom, left, right = max(0, -min(dy)), max(0, max(dy)), max(0, -min(dx)), max(0, max(dx))
+    p = padded(a, (top, bottom, left, right), border, outside)
+    for u, v in offsets:
+        yield p[top + u : top + u + a.shape[0], left + v : left + v + a.shape[1]]
+
+
+def weighted(planes: DataFrame, weights: Sequence[tuple[int, int, float]], border: int) -> DataFrame:
+    """At every pixel the sum of weight * value at (y + dy, x + dx); a constant border counts as 0."""
+    used = [t for t in weights if t[2] != 0]
+
+    def run(a: np.ndarray) -> np.ndarray:
+        out = np.zeros(a.shape)
+        if used:
+            for part, (_, _, w) in zip(around(a, [t[:2] for t in used], border), used, strict=True):
+                out += w * part
+        return out
+
+    return per_image(planes, run)
+
+
+def ordered(planes: DataFrame, offsets: Sequence[tuple[int, int]], border: int, outside: float, rank: int) -> DataFrame:
+    """At every pixel the value of that rank among those at the offsets; -1 is the greatest."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        parts = np.stack(list(around(a, offsets, border, outside)))
+        return parts.min(axis=0) if rank == 0 else parts.max(axis=0) if rank == -1 else np.partition(parts, rank, axis=0)[rank]
+
+    return per_image(planes, run)
+
+
+def match_template(planes: DataFrame, template: Sequence[Sequence[float]], method: int) -> DataFrame:
+    """Maps of how well a one-channel template fits at each place: 0 SQDIFF, 2 CCORR, 4 CCOEFF, and 1, 3, 5 normalised.
+
+    A norm of 0 gives 1 for method 1 and 0 for the others; a constant template gives 1 throughout method 5.
+    """
+    t = np.array(template, float)
+    h, w = t.shape
+    centred, square = t - t.mean(), float((t * t).sum())
+    spread = float((centred * centred).sum())
+
+    def box(a: np.ndarray) -> np.ndarray:
+        s = np.zeros((a.shape[0] + 1, a.shape[1] + 1))
+        s[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+        return s[h:, w:] - s[:-h, w:] - s[h:, :-w] + s[:-h, :-w]
+
+    def run(a: np.ndarray) -> np.ndarray:
+        rows, cols = a.shape[0] - h + 1, a.shape[1] - w + 1
+        if rows < 1 or cols < 1:
+            return np.zeros((max(rows, 0), max(cols, 0)))
+        kernel, crossed, part = centred if method in (4, 5) else t, np.zeros((rows, cols)), np.empty((rows, cols))
+        for i in range(h):
+            for j in range(w):
+                np.multiply(a[i : i + rows, j : j + cols], kernel[i, j], out=part)
+                crossed += part
+        if method in (2, 4):
+            return crossed
+        if method == 5 and spread == 0:
+            return np.ones((rows, cols))
+        squares = box(a * a)
+        if method == 5:
+            plain = box(a)
+            squares = squares - plain * plain / (h * w)
+            squares[squares < 1e-9 * np.maximum(1.0, plain * plain)] = 0
+        top = np.maximum(0, squares - 2 * crossed + square) if method in (0, 1) else crossed
+        if method == 0:
+            return top
+        norm = np.sqrt(np.maximum(0, squares) * (spread if method == 5 else square))
+        flat = norm == 0
+        return np.where(flat, 1.0 if method == 1 else 0.0, np.clip(top / np.where(flat, 1, norm), -1, 1))
+
+    return per_image(planes, run)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.functions import planes as P
 from gridloom.operators.common import COLS, D, ROWS, changed, paired
+from gridloom.operators.kernels import match_template, ordered, weighted
 
 Kernel = Sequence[Sequence[float]]
 ERODE, DILATE, OPEN, CLOSE, GRADIENT, TOPHAT, BLACKHAT = range(7)
@@ -23,24 +24,35 @@ def _offsets(kernel: Kernel, anchor: tuple[int, int] = (-1, -1)) -> list[tuple[i
     return [(i - ay, j - ax, float(w)) for i, line in enumerate(kernel) for j, w in enumerate(line)]
 
 
+#: Sums and orders of more values than this are numpy per image; the interpreted expressions would cost more than Arrow does.
+EXPRESSION_TAPS = 9
+
+
+def summed(planes: DataFrame, weights: list[tuple[int, int, float]], border: int) -> DataFrame:
+    """Planes of the weighted sums around every pixel."""
+    if len(weights) > EXPRESSION_TAPS:
+        return weighted(planes, weights, border)
+    return changed(planes, P.taps(D(), ROWS(), COLS(), weights, border))
+
+
 def _each(planes: DataFrame, data: Column, depth: int, delta: float = 0.0, rule: str = "generic") -> DataFrame:
     return changed(planes, F.transform(data, lambda v: N.saturate(v + delta if delta else v, depth, rule)))
 
 
 def filter2d(planes: DataFrame, kernel: Kernel, depth: int = N.F64, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: int = P.REFLECT_101) -> DataFrame:
     """Correlation with a kernel; a constant border counts as 0."""
-    return _each(planes, P.taps(D(), ROWS(), COLS(), _offsets(kernel, anchor), border), depth, delta)
+    return _each(summed(planes, _offsets(kernel, anchor), border), D(), depth, delta)
 
 
 def sep_filter2d(planes: DataFrame, kernel_x: Sequence[float], kernel_y: Sequence[float], depth: int = N.F64, anchor: tuple[int, int] = (-1, -1), delta: float = 0.0, border: int = P.REFLECT_101) -> DataFrame:
     """A row filter, then a column filter, with double precision between."""
-    across = changed(planes, P.taps(D(), ROWS(), COLS(), _offsets([kernel_x], (anchor[0], 0)), border))
-    return _each(across, P.taps(D(), ROWS(), COLS(), _offsets([[w] for w in kernel_y], (0, anchor[1])), border), depth, delta)
+    across = summed(planes, _offsets([kernel_x], (anchor[0], 0)), border)
+    return _each(summed(across, _offsets([[w] for w in kernel_y], (0, anchor[1])), border), D(), depth, delta)
 
 
 def box_filter(planes: DataFrame, rows: int, cols: int, depth: int = N.U8, normalise: bool = True, anchor: tuple[int, int] = (-1, -1), border: int = P.REFLECT_101, source: int = N.U8) -> DataFrame:
     """Sums or means of a box. Means of 8-bit values use the fixed-point reciprocal 65536 div area."""
-    sums = P.taps(D(), ROWS(), COLS(), _offsets([[1.0] * cols] * rows, anchor), border)
+    planes, sums = summed(planes, _offsets([[1.0] * cols] * rows, anchor), border), D()
     if not normalise:
         return _each(planes, sums, depth, rule="wrap" if depth == N.I32 else "generic")
     if source == N.U8 and depth == N.U8:
@@ -55,8 +67,7 @@ def blur(planes: DataFrame, rows: int, cols: int, depth: int = N.U8, anchor: tup
 
 def sqr_box_filter(planes: DataFrame, rows: int, cols: int, normalise: bool = True, anchor: tuple[int, int] = (-1, -1), border: int = P.REFLECT_101, depth: int = N.F32) -> DataFrame:
     squares = changed(planes, F.transform(D(), lambda v: v * v))
-    sums = P.taps(D(), ROWS(), COLS(), _offsets([[1.0] * cols] * rows, anchor), border)
-    return changed(squares, F.transform(sums, lambda v: N.saturate(v / (rows * cols) if normalise else v, depth)))
+    return changed(summed(squares, _offsets([[1.0] * cols] * rows, anchor), border), F.transform(D(), lambda v: N.saturate(v / (rows * cols) if normalise else v, depth)))
 
 
 def _square(size: int) -> list[tuple[int, int]]:
@@ -68,6 +79,8 @@ def median_blur(planes: DataFrame, size: int) -> DataFrame:
     """The middle value of an odd square, the border repeated."""
     if size % 2 == 0 or size < 1:
         raise ValueError("the size is odd")
+    if size * size > EXPRESSION_TAPS:
+        return ordered(planes, _square(size), P.REPLICATE, 0.0, size * size // 2)
     return changed(planes, P.neighbours(D(), ROWS(), COLS(), _square(size), P.REPLICATE, 0.0, lambda v: F.get(F.array_sort(v), F.lit(size * size // 2))))
 
 
@@ -82,7 +95,7 @@ def gaussian_kernel(size: int, sigma: float) -> list[float]:
 
 def gaussian_blur(planes: DataFrame, rows: int, cols: int, sigma_x: float, sigma_y: float = 0.0, border: int = P.REFLECT_101, depth: int = N.U8) -> DataFrame:
     x, y = gaussian_kernel(cols, sigma_x), gaussian_kernel(rows, sigma_y if sigma_y > 0 else sigma_x)
-    return _each(planes, P.taps(D(), ROWS(), COLS(), _offsets([[a * b for b in x] for a in y]), border), depth)
+    return _each(summed(planes, _offsets([[a * b for b in x] for a in y]), border), D(), depth)
 
 
 def _floored(whole: float):
@@ -122,6 +135,9 @@ def _extreme(planes: DataFrame, kernel: Kernel | None, anchor: tuple[int, int],
     used = [(dy, dx) for dy, dx, w in _offsets(kernel or [[1.0] * 3] * 3, anchor) if w != 0]
     neutral = float("inf") if least else float("-inf")
     for _ in range(iterations if used else 0):
+        if len(used) > EXPRESSION_TAPS:
+            planes = ordered(planes, used, border, neutral if outside is None else outside, 0 if least else -1)
+            continue
         planes = changed(planes, P.neighbours(D(), ROWS(), COLS(), used, border, neutral if outside is None else outside, F.array_min if least else F.array_max))
     return planes
 
@@ -206,7 +222,7 @@ def pyr_down(planes: DataFrame, border: int = P.REFLECT_101, depth: int = N.U8)
     """Smoothed with five binomial weights a side, every other row and column kept."""
     if border & ~P.ISOLATED in (P.CONSTANT, P.WRAP):
         raise ValueError("unsupported border")
-    smooth = changed(planes, P.taps(D(), ROWS(), COLS(), _offsets(_outer(_FIVE, _FIVE)), border))
+    smooth = summed(planes, _offsets(_outer(_FIVE, _FIVE)), border)
     finish = (lambda v: F.floor((v + 128) / 256).cast("double")) if depth in N.RANGE else (lambda v: v / 256)
     rows, cols = F.floor((ROWS() + 1) / 2).cast("int"), F.floor((COLS() + 1) / 2).cast("int")
     return changed(smooth, F.transform(P.gather(D(), COLS(), rows, cols, lambda y, x: (2 * y, 2 * x)), finish), rows, cols)
@@ -256,36 +272,6 @@ def pre_corner_detect(planes: DataFrame, size: int = 3, border: int = P.REFLECT_
     return changed(rows, F.transform(F.arrays_zip(*orders), lambda t: t["dx"] * t["dx"] * t["dyy"] + t["dy"] * t["dy"] * t["dxx"] - 2 * t["dx"] * t["dy"] * t["dxy"]))
 
 
-def match_template(planes: DataFrame, template: Sequence[Sequence[float]], method: int) -> DataFrame:
-    """Maps of how well a one-channel template fits at each place: 0 SQDIFF, 2 CCORR, 4 CCOEFF, and 1, 3, 5 normalised."""
-    h, w = len(template), len(template[0])
-    n, flat = h * w, [float(v) for line in template for v in line]
-    tmean, tsq = sum(flat) / n, sum(v * v for v in flat)
-    tvar = sum((v - tmean) ** 2 for v in flat)
-    rows, cols = ROWS() - (h - 1), COLS() - (w - 1)
-
-    def value(d: Column, y: Column, x: Column) -> Column:
-        cross, square, plain = F.lit(0.0), F.lit(0.0), F.lit(0.0)
-        for i in range(h):
-            for j in range(w):
-                v = P.at(d, COLS(), y + i, x + j)
-                cross, square, plain = cross + v * float(template[i][j]), square + v * v, plain + v
-        if method in (0, 1):
-            top, norm, empty = F.greatest(F.lit(0.0), square - 2 * cross + tsq), F.sqrt(square * tsq), 1.0
-        elif method in (2, 3):
-            top, norm, empty = cross, F.sqrt(square * tsq), 0.0
-        else:
-            top, norm, empty = cross - plain * tmean, F.sqrt(F.greatest(F.lit(0.0), square - plain * plain / n) * tvar), 0.0
-        if method % 2 == 0:
-            return top
-        if method == 5 and tvar == 0:
-            return F.lit(1.0)
-        quotient = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), top / F.when(norm == 0, F.lit(1.0)).otherwise(norm)))
-        return F.when(norm == 0, F.lit(empty)).otherwise(quotient)
-
-    return changed(planes, P.grid_over(D(), rows, cols, value), rows, cols)
-
-
 def gradient_magnitude(planes: DataFrame, border: int = P.REFLECT_101) -> DataFrame:
     x, y = spatial_gradient(planes, border)
     return changed(paired(x, y), F.zip_with(D(), "data2", lambda a, b: F.abs(a) + F.abs(b)))
