@@ -181,10 +181,4 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_embeddings": op8_embeddings}
-_PAIRS = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
-p AS (SELECT a.r AS i, b.r AS j, a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
-    WHERE list_cosine_similarity(a.e, b.e) >= 0.93)"""
 SQL: dict[str, str] = {}

@@ -119,4 +119,16 @@ def op6_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_relative_lz": op6_relative_lz}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_relative_lz": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win SEMI JOIN twice USING (g)),
+removed AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+words AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(t, ' ' ORDER BY p) AS k FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+}
