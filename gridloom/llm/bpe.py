@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import lean, small_batches, table
 
 #: Runs of characters that a worker remembers (about 350 bytes each).
-CACHE_RUNS = 600_000
+CACHE_RUNS = 500_000
 #: White space to Python's split(), but not to the pattern.
 _UNWHITE = re.compile("[\x1c-\x1f]").search
 _FIRST, _SECOND = itemgetter(0), itemgetter(1)
