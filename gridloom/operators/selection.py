@@ -36,7 +36,8 @@ def in_range(planes: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
 
 def histogram256(data: Column) -> Column:
     """Counts of the values 0 .. 255."""
-    return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.size(F.filter(data, lambda v: v == k)))
+    # array_remove compares without a lambda per value
+    return P.let(data, lambda d: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.size(d) - F.size(F.array_remove(d, k.cast("double")))))
 
 
 def otsu_level(data: Column) -> Column:
