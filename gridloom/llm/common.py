@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,10 +32,16 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where none is configured."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where none is named, a session in one process gets a temporary one, which goes with it; a cluster must name its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -105,17 +114,56 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def in_units(keyed: DataFrame, keys: list[str], spread: str, members: int) -> DataFrame:
+def joined(rows: DataFrame, known: DataFrame, keys: list[str], count: str, by: Column) -> DataFrame:
+    """rows, inner-joined with `known`, a written table with one row per key and, in `count`, the key's number of rows.
+
+    A key with more rows than half a partition's share is dealt over as many salts as it has shares; `by` decides which
+    row gets which. There are at most twice as many such keys as partitions, so their list can be broadcast, and no task
+    gets much more than its share, whatever the keys. The column `count` isn't in the result.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = (known.agg(F.sum(count)).first()[0] or 0) / (2 * parts)
+    salts = F.ceil(F.col(count) / F.lit(max(share, 1.0))).cast("int")
+    heavy = known.where(F.col(count) > max(share, 1.0)).select(*keys, salts.alias("_salts"))  # at most 2 * parts rows
+    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(3), by), F.col("_salts"))).cast("int")).drop("_salts")
+    each = F.when(F.col(count) > max(share, 1.0), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
+    return dealt.join(known.withColumn("_salt", F.explode(each)).drop(count), [*keys, "_salt"]).drop("_salt")
+
+
+def in_units(keyed: DataFrame, keys: list[str], spread: str, members: int) -> tuple[DataFrame, DataFrame]:
     """Rows of keys that at least two rows have, dealt into units of about 2 * members rows at most.
 
     A key with many rows is cut into chunks by the column `spread`; each pair of chunks is one unit (unit_a <= unit_b),
-    so any two rows of a key meet in some unit, and no task holds a whole hot key. Adds chunk, unit_a and unit_b.
+    so any two rows of a key meet in some unit, and no task holds a whole hot key, neither here nor in a unit. Adds
+    chunk, unit_a and unit_b. The second result is the table of counts, for discard() once the units are used.
     """
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    dealt = keyed.join(counts, keys).withColumn("_c", F.ceil(F.col("_n") / F.lit(members)).cast("int"))
+    counts = materialise(counts.withColumn("_c", F.ceil(F.col("_n") / F.lit(members)).cast("int")))
+    dealt = joined(keyed, counts, keys, "_n", F.col(spread))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), F.col(spread)), F.col("_c")).cast("int"))
     dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    return dealt.withColumns({"unit_a": F.least("chunk", "_x"), "unit_b": F.greatest("chunk", "_x")}).drop("_n", "_c", "_x")
+    return dealt.withColumns({"unit_a": F.least("chunk", "_x"), "unit_b": F.greatest("chunk", "_x")}).drop("_c", "_x"), counts
+
+
+def text_key(text_col: str) -> Column:
+    """A text's digest: half of its SHA-256. Null counts as empty."""
+    return F.unhex(F.substring(F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256), 1, 32))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of docs, with all its columns, for each group of texts: that of the smallest id, and of equal ids that of
+    the smallest digest of its text; a null id comes last. groups has (key, root) for the texts that are grouped; any
+    other text is a group of its own. Of rows that agree in id and text one stays."""
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
+    texts = keyed.groupBy("key").agg(F.min("id").alias("id")).join(groups, "key", "left")
+    chosen = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("s")
+    kept = texts.where("root IS NOT NULL").groupBy("root").agg(chosen).select("s.id", "s.key").unionByName(texts.where("root IS NULL").select("id", "key"))
+    kept = materialise(kept)
+    rows = docs.withColumns({"_key": text_key(text_col), "_id": F.col(id_col)})
+    same = rows["_key"].eqNullSafe(kept["key"]) & rows["_id"].eqNullSafe(kept["id"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_key", "_id"]).select(docs.columns)
 
 
 def spread(seed: int, *columns: str) -> Column:

@@ -30,5 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
             discard(done)
         stars = following
         if seen == state:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            out._gridloom_path = stars._gridloom_path
+            return out
         state = seen

@@ -12,7 +12,7 @@ from gridloom.llm.anchors import gram_hashes
 from gridloom.llm.common import ranges, table
 from gridloom.llm.repeats import HOT_RUNS, Kind, Runs, cover, digested
 
-WORDS, GRAM = 35, 8
+WORDS, GRAMS = 35, (8, 24)
 
 
 def _parse(text: bytes) -> tuple[np.ndarray, list[bytes]]:
@@ -20,36 +20,52 @@ def _parse(text: bytes) -> tuple[np.ndarray, list[bytes]]:
     return np.fromiter(map(digest, words), np.uint64, len(words)), words
 
 
-KIND = Kind(WORDS, GRAM, _parse, lambda words, i, j: b" ".join(words[i:j]))
+KIND = Kind(WORDS, GRAMS, _parse, lambda words, i, j: b" ".join(words[i:j]))
 
 
 class ReferenceBlock:
-    """The word sequences of a block's runs, indexed by their windows of WORDS words."""
+    """The word sequences of a block's runs, their windows of WORDS words sorted, so that the place with which any window
+    has most words in common is one of its two neighbours."""
 
     def __init__(self, runs: Runs):
         numbers: dict[bytes, int] = {}
         words = [s.split(b" ") for s in runs.segments]
         self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for ws in words for w in ws), np.int64)
         length = np.fromiter(map(len, words), np.int64, len(words))
-        self.base, self.stop = np.cumsum(length) - length, np.cumsum(length)
-        self.places = ranges(self.base, runs.windows)  # where each window begins
-        h = gram_hashes(self.ids, WORDS)[self.places]
-        self.entry = np.unique(h, return_inverse=True)[1]
-        self.order = np.argsort(self.entry, kind="stable")
-        self.count = np.bincount(self.entry)
-        self.begin = np.cumsum(self.count) - self.count
-
-    def longest(self, window: np.ndarray, rest: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """How many words from each window on, rest at most, the skip-th other place of its index entry has alike."""
-        own = self.places[window]
-        source = self.places[self.order[self.begin[self.entry[window]] + skip]]
-        room = np.minimum(rest, self.stop[np.searchsorted(self.stop, source, "right")] - source)
-        n, live = np.zeros(len(window), np.int64), np.flatnonzero((room > 0) & (source != own))
-        while len(live):
-            live = live[self.ids[own[live] + n[live]] == self.ids[source[live] + n[live]]]
-            n[live] += 1
-            live = live[n[live] < room[live]]
-        return n
+        base, stop = np.cumsum(length) - length, np.cumsum(length)
+        self.places = ranges(base, runs.windows)  # where each window begins
+        owner = np.repeat(np.arange(len(words)), runs.windows)
+        self.rest = stop[owner] - self.places
+        self.numbered = np.append(self.ids, np.full(int(length.max(initial=0)), -1))
+        entry = np.unique(gram_hashes(self.ids, WORDS)[self.places], return_inverse=True)[1]
+        # windows of one entry are alike up to the anchor and beyond, so what follows the anchor sorts them
+        after = [b" ".join(ws[o:]) + b" " for ws, o in zip(words, runs.offset.tolist(), strict=True)]
+        rank = np.empty(len(words), np.int64)
+        rank[sorted(range(len(words)), key=after.__getitem__)] = np.arange(len(words))
+        order = np.lexsort((rank[owner], entry))
+        same = np.diff(entry[order]) == 0
+        if (self.common(order[:-1][same], order[1:][same], WORDS) < WORDS).any():  # two windows with one hash
+            entry = np.unique(self.numbered[self.places[:, None] + np.arange(WORDS)], axis=0, return_inverse=True)[1].ravel()
+            order = np.lexsort((rank[owner], entry))
+            same = np.diff(entry[order]) == 0
+        self.before, self.behind = np.full(len(order), -1), np.full(len(order), -1)
+        self.before[order[1:][same]], self.behind[order[:-1][same]] = order[:-1][same], order[1:][same]
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """How many words, `most` at most, the runs have in common from the windows a and b on."""
+        k = np.arange(most)
+        n = np.minimum(np.minimum(self.rest[a], self.rest[b]), most)
+        differs = self.numbered[self.places[a][:, None] + k] != self.numbered[self.places[b][:, None] + k]
+        differs |= k >= n[:, None]
+        return np.where(differs.any(axis=1), differs.argmax(axis=1), most)
+
+    def longest(self, window: np.ndarray) -> np.ndarray:
+        """Words of the longest factor that begins with each window: what it has in common with any other place."""
+        most, best = int(self.rest[window].max(initial=0)), np.zeros(len(window), np.int64)
+        for other in (self.before[window], self.behind[window]):
+            there = np.flatnonzero(other >= 0)
+            best[there] = np.maximum(best[there], self.common(window[there], other[there], most))
+        return best
 
     def parse(self, runs: Runs) -> np.ndarray:
         """Windows that lie in factors of WORDS words or more. All runs are parsed side by side, greedily from the left.
@@ -60,19 +76,16 @@ class ReferenceBlock:
         ends = np.cumsum(runs.windows)
         hit, cursor = np.zeros(int(ends[-1]), bool), ends - runs.windows
         # the next window of each window's run that has another place in the index
-        able = np.where(self.count[self.entry] > 1, np.arange(len(hit)), len(hit))
+        able = np.where((self.before >= 0) | (self.behind >= 0), np.arange(len(hit)), len(hit))
         able = np.minimum.accumulate(np.append(able, len(hit))[::-1])[::-1]
         live = np.arange(len(ends))
         while len(live):
             cursor[live] = able[cursor[live]]
             live = live[cursor[live] < ends[live]]
+            if not len(live):
+                break
             at = cursor[live]
-            rest = ends[live] - at + WORDS - 1
-            best, skip, open_ = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
-            while len(open_):  # the first other place of equal words; more are tried only while hashes have misled
-                best[open_] = self.longest(at[open_], rest[open_], skip[open_])
-                skip[open_] += 1
-                open_ = open_[(best[open_] < WORDS) & (skip[open_] < self.count[self.entry[at[open_]]])]
+            best = self.longest(at)
             long = best >= WORDS
             step = np.where(long, best - WORDS + 1, 1)
             hit[ranges(at[long], step[long])] = True
@@ -86,19 +99,19 @@ def equal_windows(runs: Runs) -> np.ndarray:
     return ReferenceBlock(runs).parse(runs)
 
 
-def without_repeats(text: bytes, copies: int, spans: list | None) -> tuple[int, int, bytes]:
+def without_repeats(text: bytes, copies: int, spans: tuple | None) -> tuple[int, int, bytes]:
     """Words, removed words, and the others joined by single spaces."""
     words = text.split()
     n = len(words)
     if copies > 1 and n >= WORDS:
         return n, n, b""
-    if not spans:
+    if spans is None:
         return n, 0, b" ".join(words)
     gone = cover(n, spans)
     return n, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
 
 
-def _measure(text: bytes, copies: int, spans: list | None) -> tuple[int, int, str]:
+def _measure(text: bytes, copies: int, spans: tuple | None) -> tuple[int, int, str]:
     n, removed, kept = without_repeats(text, copies, spans)
     return n, removed, hashlib.sha256(kept).hexdigest()
 

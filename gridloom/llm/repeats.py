@@ -3,45 +3,53 @@
 1. Distinct texts, with their number of copies, go into a table bucketed by their digest; copies are not looked at again.
 2. Every text's anchors (see anchors.py) are counted; an anchor that occurs once leads to no repeated window.
 3. Runs of windows under a repeated anchor are brought together by the anchor's hash, and a resolver finds equal windows.
-   Anchors with very many runs are settled window by window instead, by aggregates over digests of the windows.
-4. What the repeated windows cover is cut out of each distinct text, and the result goes to all its copies.
+4. Windows whose anchor has very many runs are taken through 2 and 3 again with longer anchors, in the end with whole
+   windows as anchors, of which two of each kind are resolved for all. So no task gets more than HOT_RUNS runs of one
+   anchor, and every repeat is settled by the resolver.
+5. What the repeated windows cover is cut out of each distinct text, and the result goes to all its copies.
 """
 
 from __future__ import annotations
 
-import gc
-import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.anchors import anchors
-from gridloom.llm.common import as_bytes, lean, materialise, ranges, shared_folder, small_batches
+from gridloom.llm.common import as_bytes, discard, joined, lean, materialise, ranges, shared_folder, small_batches, text_key
 
-#: Anchors with more occurrences than this are settled window by window.
-HOT_RUNS = 20_000
+#: Windows under an anchor with more runs than this get longer anchors.
+HOT_RUNS = 2000
 #: Rows that a resolver gets at a time hold at most about so many bytes, if no single anchor has more.
 BLOCK_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
 class Kind:
-    """How a text is cut into items. items gives integers, equal for equal items; cut gives the bytes of items i .. j-1."""
+    """How a text is cut into items. items gives integers, equal for equal items; cut gives the bytes of items i .. j-1.
+
+    grams are the lengths of the anchors, one for each level.
+    """
 
     window: int
-    gram: int
+    grams: tuple[int, ...]
     parse: Callable[[bytes], tuple[np.ndarray, object]]
     cut: Callable[[object, int, int], bytes]
 
 
 @dataclass
 class Runs:
-    """Runs of one resolver block, sorted by anchor: windows k of run r start at item first[r] + k of text keys[r]."""
+    """Runs of one resolver block, sorted by anchor: windows k of run r start at item first[r] + k of text keys[r].
+
+    Of equal runs of one anchor there are two, however many texts hold them.
+    """
 
     group: np.ndarray  # number of the anchor
     offset: np.ndarray  # items from the first window's start to the anchor
@@ -49,85 +57,124 @@ class Runs:
     segments: list[bytes]  # the items that the windows cover
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of finished steps' shuffle files: Spark deletes them once the driver's JVM has dropped its references."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
     """(key, text, copies), one row per distinct text, as a table bucketed by key, so that later joins move no text."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("key"), text.alias("text"))
+    rows = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = rows.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     name, parts = f"gridloom_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
     once.write.bucketBy(parts, "key").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
-    release(spark)
-    return spark.table(name)
+    out = spark.table(name)
+    out._gridloom_path, out._gridloom_table = f"{shared_folder(spark)}/{name}", name
+    return out
+
+
+def drop(texts: DataFrame) -> None:
+    """Remove a table that distinct_texts() made and that no later plan reads."""
+    texts.sparkSession.sql(f"DROP TABLE IF EXISTS {texts._gridloom_table}")
+    discard(texts)
 
 
 def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
+def runs_at(kind: Kind, items: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, place, first, last) of the runs of the level after those whose hot anchors are given: windows
+    first .. last lie under hot anchors on all earlier levels, and under the anchor at place on this one."""
+    level = len(hot)
+    last_level = level == len(kind.grams)
+    if last_level:
+        n = max(0, len(items) - kind.window + 1)
+        h, place, first, last = np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.arange(n)
+    else:
+        h, place, first, last = anchors(items, kind.window, kind.grams[level])
+    if not level:
+        return h, place, first, last
+    under = np.ones(max(0, len(items) - kind.window + 1), bool)
+    for gram, known in zip(kind.grams, hot, strict=False):
+        g, _, a, z = anchors(items, kind.window, gram)
+        here, mark = np.isin(g, known), np.zeros(len(under), bool)
+        mark[ranges(a[here], z[here] - a[here] + 1)] = True
+        under &= mark
+    owner = np.repeat(np.arange(len(h)), last - first + 1)  # of every window, as the runs follow each other
+    at = np.flatnonzero(under)
+    begins = (np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0)
+    start, end = at[begins], at[np.append(begins[1:], True)] if len(at) else at
+    return h[owner[start]], place[owner[start]], start, end
+
+
+def _rows(kind: Kind, b: pa.RecordBatch, hot_from: int) -> Iterator[tuple]:
+    """(number of the row, items, handle, hot anchors by level) of each text."""
+    hot = [c for c in b.columns[hot_from:]]
+    for r, text in enumerate(as_bytes(b.column(1))):
+        items, handle = kind.parse(text)
+        yield r, items, handle, [c[r].values.to_numpy().view(np.uint64) for c in hot]
+
+
 def _anchor_counts(kind: Kind):
+    """(h, key, n): the anchors of each text. Columns: key, text, hot anchors of earlier levels."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, hashes, counts = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                h, n = np.unique(anchors(kind.parse(text)[0], kind.window, kind.gram)[0], return_counts=True)
+            hashes, counts = [], []
+            for _, items, _, hot in _rows(kind, b, 2):
+                h, n = np.unique(runs_at(kind, items, hot)[0], return_counts=True)
                 hashes.append(h)
                 counts.append(n)
-                keys += [key] * len(h)
             if hashes:
+                keys = b.column(0).take(pa.array(np.repeat(np.arange(len(hashes)), [*map(len, hashes)])))
                 yield _batch({"h": (np.concatenate(hashes).view(np.int64), pa.int64()), "key": (keys, pa.binary()), "n": (np.concatenate(counts).astype(np.int64), pa.int64())})
 
     return scan
 
 
+_RUN = "h long, key binary, first long, n int, offset int, segment binary"
+
+
 def _runs(kind: Kind):
-    """Runs under a text's repeated anchors. Equal runs of one text are told at once (segment null); one of them stands for all."""
+    """The runs under a text's wanted anchors. Columns: key, text, wanted anchors, hot anchors of earlier levels."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text, wanted in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2), strict=True):
-                items, handle = kind.parse(text)
-                h, place, first, last = anchors(items, kind.window, kind.gram)
-                got = np.flatnonzero(np.isin(h, wanted.values.to_numpy().view(np.uint64)))
-                seen: dict[tuple[int, bytes], int] = {}
-                rows = []
-                for r in got.tolist():
-                    a, z = int(first[r]), int(last[r])
-                    segment = kind.cut(handle, a, z + kind.window)
-                    twin = seen.setdefault((int(h[r]), segment), len(rows))
-                    if twin < len(rows):
-                        rows[twin][5] = True
-                        segment = None
-                    rows.append([int(h[r]), a, z - a + 1, int(place[r]) - a, segment, segment is None])
-                for k in range(0, len(rows), 4096):
-                    hs, a, n, o, s, d = zip(*rows[k : k + 4096], strict=True)
-                    yield _batch({"h": (np.array(hs, np.uint64).view(np.int64), pa.int64()), "key": ([key] * len(a), pa.binary()), "first": (a, pa.int64()), "n": (n, pa.int32()), "offset": (o, pa.int32()), "segment": (s, pa.binary()), "known": (d, pa.bool_())})
+            for r, items, handle, hot in _rows(kind, b, 3):
+                h, place, first, last = runs_at(kind, items, hot)
+                got = np.flatnonzero(np.isin(h, b.column(2)[r].values.to_numpy().view(np.uint64)))
+                for k in range(0, len(got), 4096):
+                    part = got[k : k + 4096]
+                    a, z = first[part], last[part]
+                    cut = [kind.cut(handle, i, j + kind.window) for i, j in zip(a.tolist(), z.tolist(), strict=True)]
+                    yield _batch({"h": (h[part].view(np.int64), pa.int64()), "key": ([b.column(0)[r].as_py()] * len(part), pa.binary()), "first": (a, pa.int64()), "n": ((z - a + 1).astype(np.int32), pa.int32()), "offset": ((place[part] - a).astype(np.int32), pa.int32()), "segment": (cut, pa.binary())})
 
     return scan
 
 
-_RUN = "h long, key binary, first long, n int, offset int, segment binary, known boolean"
-
-
 def _windows(kind: Kind):
-    """Every window under a text's hot anchors, by the digest of what it holds."""
+    """(w, key, first): every window that is under hot anchors on all levels, by its digest. Columns: key, text, hot anchors."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text, wanted in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2), strict=True):
-                items, handle = kind.parse(text)
-                h, _, first, last = anchors(items, kind.window, kind.gram)
-                got = np.isin(h, wanted.values.to_numpy().view(np.uint64))
-                starts = ranges(first[got], last[got] - first[got] + 1)
+            for r, items, handle, hot in _rows(kind, b, 2):
+                starts = runs_at(kind, items, hot)[2]
                 for k in range(0, len(starts), 4096):
                     at = starts[k : k + 4096]
-                    yield _batch({"w": ([hashlib.md5(kind.cut(handle, i, i + kind.window)).digest() for i in at.tolist()], pa.binary()), "key": ([key] * len(at), pa.binary()), "first": (at, pa.int64())})
+                    w = [blake2b(kind.cut(handle, i, i + kind.window), digest_size=16).digest() for i in at.tolist()]
+                    yield _batch({"w": (w, pa.binary()), "key": ([b.column(0)[r].as_py()] * len(at), pa.binary()), "first": (at, pa.int64())})
+
+    return scan
+
+
+def _cuts(kind: Kind):
+    """Windows as runs of their own, keyed by their digest. Columns: key, text, places array<struct<first, w>>."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, places in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                handle = kind.parse(text)[1]
+                for k in range(0, len(places), 4096):
+                    part = places[k : k + 4096]
+                    w, n = [p["w"] for p in part], len(part)
+                    yield _batch({"h": ([int.from_bytes(x[:8], "little", signed=True) for x in w], pa.int64()), "key": (w, pa.binary()), "first": ([0] * n, pa.int64()), "n": ([1] * n, pa.int32()), "offset": ([0] * n, pa.int32()), "segment": ([kind.cut(handle, p["first"], p["first"] + kind.window) for p in part], pa.binary())})
 
     return scan
 
@@ -135,105 +182,130 @@ def _windows(kind: Kind):
 def _resolved(kind: Kind, resolver: Callable[[Runs], np.ndarray]):
     """Spans (key, first, end) of items that repeated windows cover. Rows come sorted by anchor."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        known = np.array([r[6] for r in rows])
-        whole = np.flatnonzero([r[5] is not None for r in rows])
-        # equal runs of different texts
+    def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, segments = t["h"].to_numpy(), t["segment"].to_pylist()
         seen: dict[tuple[int, bytes], int] = {}
-        for r in whole.tolist():
-            twin = seen.setdefault((rows[r][0], rows[r][5]), r)
-            if twin != r:
-                known[r] = known[twin] = True
-        spans = [(rows[r][1], rows[r][2], rows[r][2] + rows[r][3] - 1 + kind.window) for r in np.flatnonzero(known).tolist()]
-        # different runs of an anchor, if one of them is still open
-        one = np.fromiter(seen.values(), np.int64, len(seen))
-        group = np.array([rows[r][0] for r in one.tolist()])
-        names, number, size = np.unique(group, return_inverse=True, return_counts=True)
-        still = np.bincount(number, ~known[one], len(names)) > 0
-        at = np.flatnonzero((size[number] > 1) & still[number])
-        at = at[np.argsort(number[at], kind="stable")]
-        if len(at):
-            picked = one[at].tolist()
-            runs = Runs(number[at], np.array([rows[r][4] for r in picked]), np.array([rows[r][3] for r in picked]), [rows[r][5] for r in picked])
-            hit = resolver(runs)
-            starts = np.cumsum(runs.windows) - runs.windows
-            padded = starts + np.arange(len(starts))  # a gap after each run keeps the spans of two runs apart
-            marks = np.zeros(len(hit) + len(starts) + 1, np.int8)
-            marks[1 + ranges(padded, runs.windows)] = hit
-            opens, closes = np.flatnonzero(np.diff(marks) == 1), np.flatnonzero(np.diff(marks, append=0) == -1)
-            owner = np.searchsorted(padded, opens, "right") - 1
-            for o, a, z in zip(owner.tolist(), (opens - padded[owner]).tolist(), (closes - padded[owner]).tolist(), strict=True):
-                row = rows[picked[o]]
-                if not known[picked[o]]:
-                    spans.append((row[1], row[2] + a, row[2] + z - 1 + kind.window))
-        if spans:
-            keys, a, z = zip(*spans, strict=True)
-            yield _batch({"key": (keys, pa.binary()), "first": (a, pa.int64()), "end": (z, pa.int64())})
+        alike = np.fromiter((seen.setdefault(x, len(seen)) for x in zip(h.tolist(), segments, strict=True)), np.int64, len(h))
+        order, size = np.argsort(alike, kind="stable"), np.bincount(alike)
+        begin = np.cumsum(size) - size
+        picked = np.sort(np.concatenate([order[begin], order[begin[size > 1] + 1]]))  # two of each kind
+        group = np.cumsum(np.diff(h[picked], prepend=h[:1]) != 0)
+        some = np.bincount(group)[group] > 1
+        picked, group = picked[some], group[some]
+        if not len(picked):
+            return
+        windows = t["n"].to_numpy()[picked].astype(np.int64)
+        hit = resolver(Runs(np.unique(group, return_inverse=True)[1], t["offset"].to_numpy()[picked].astype(np.int64), windows, [segments[r] for r in picked.tolist()]))
+        starts = np.cumsum(windows) - windows
+        apart = starts + np.arange(len(starts))  # a gap after each run keeps the spans of two runs apart
+        marks = np.zeros(len(hit) + len(starts) + 1, np.int8)
+        marks[1 + ranges(apart, windows)] = hit
+        opens, closes = np.flatnonzero(np.diff(marks) == 1), np.flatnonzero(np.diff(marks, append=0) == -1)
+        owner = np.searchsorted(apart, opens, "right") - 1
+        kinds = alike[picked[owner]]
+        stands = order[begin[kinds]] == picked[owner]  # what one of a kind has, all of them have
+        opens, closes, owner, kinds = opens[stands], closes[stands], owner[stands], kinds[stands]
+        row, reach = order[ranges(begin[kinds], size[kinds])], size[kinds]
+        if len(row):
+            first = t["first"].to_numpy()[row]
+            keys = t["key"].combine_chunks().take(pa.array(row))
+            yield _batch({"key": (keys, pa.binary()), "first": (first + np.repeat(opens - apart[owner], reach), pa.int64()), "end": (first + np.repeat(closes - apart[owner], reach) - 1 + kind.window, pa.int64())})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
+        held, size = [], 0
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size > BLOCK_BYTES and row[0] != held[-1][0]:
-                    yield from settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += 64 + len(row[5] or b"")
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if size > BLOCK_BYTES:
+                t = pa.Table.from_batches(held)
+                h = t["h"].to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))
+                if cut:
+                    yield from settle(t.slice(0, cut))
+                    rest = t.slice(cut).combine_chunks()
+                    held, size = rest.to_batches(), rest.nbytes
         if held:
-            yield from settle(held)
+            yield from settle(pa.Table.from_batches(held))
 
     return scan
 
 
-def repeated_spans(texts: DataFrame, kind: Kind, resolver: Callable[[Runs], np.ndarray], hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(key, first, end): items of distinct texts that are covered by windows which start at two places or more.
+def repeated_spans(texts: DataFrame, kind: Kind, resolver: Callable[[Runs], np.ndarray], hot_runs: int = HOT_RUNS) -> list[DataFrame]:
+    """Tables (key, first, end): items of distinct texts that are covered by windows which start at two places or more.
 
     Spans of a text may overlap. Copies of a text do not count as places here.
     """
-    spark = texts.sparkSession
-    counts = texts.select("key", "text").mapInArrow(lean(_anchor_counts(kind)), "h long, key binary, n long")
-    place = F.xxhash64("key")
-    often = counts.select("h", "n", place.alias("p")).groupBy("h").agg(F.min("p").alias("p"), F.max("p").alias("q"), F.sum("n").alias("n"))
-    often = often.where("p <> q or n > 1").select("h", (F.col("n") > hot_runs).alias("hot"))
-    wanted = materialise(counts.select("h", "key").join(often, "h").groupBy("key", "hot").agg(F.collect_list("h").alias("wanted")))
-    release(spark)
-
-    def joined(hot: bool) -> DataFrame:
-        return texts.select("key", "text").join(wanted.where(F.col("hot") == hot).select("key", "wanted"), "key").select("key", "text", "wanted")
-
-    runs = joined(False).mapInArrow(lean(_runs(kind)), _RUN).repartition("h").sortWithinPartitions("h")
-    spans = runs.mapInArrow(lean(_resolved(kind, resolver)), "key binary, first long, end long")
-    hot = joined(True).mapInArrow(lean(_windows(kind)), "w binary, key binary, first long")
-    twice = hot.groupBy("w").agg(F.min(F.struct("key", "first")).alias("a"), F.max(F.struct("key", "first")).alias("b")).where("a <> b").select("w")
-    hot_spans = hot.join(twice, "w").select("key", "first", (F.col("first") + kind.window).alias("end"))
-    out = materialise(spans.unionByName(hot_spans))
-    release(spark)
-    return out
-
-
-def cover(n: int, spans: list | None) -> np.ndarray:
-    """Which of n items any of the spans covers."""
+    plain, source, hots, found, used = texts.select("key", "text"), texts.select("key", "text"), [], [], []
+
+    def resolved(runs: DataFrame) -> DataFrame:
+        return runs.repartition("h").sortWithinPartitions("h").mapInArrow(lean(_resolved(kind, resolver)), "key binary, first long, end long")
+
+    for level in range(len(kind.grams)):
+        counts = materialise(source.mapInArrow(lean(_anchor_counts(kind)), "h long, key binary, n long"))
+        often = counts.groupBy("h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where("n > 1")
+        often = materialise(often.select("h", "texts", (F.col("n") > hot_runs).alias("hot")))
+        wanted = materialise(joined(counts, often, ["h"], "texts", F.col("key")).groupBy("key", "hot").agg(F.collect_list("h").alias("wanted")))
+        any_hot = not often.where("hot").isEmpty()
+        for done in (counts, often):
+            discard(done)
+        used.append(wanted)
+        named = source.join(wanted.where("NOT hot").select("key", "wanted"), "key").select("key", "text", "wanted", *hots)
+        spans = materialise(resolved(named.mapInArrow(lean(_runs(kind)), _RUN)))
+        found.append(spans)
+        if not any_hot:
+            break
+        hots.append(f"hot{level}")
+        source = source.join(wanted.where("hot").select("key", F.col("wanted").alias(hots[-1])), "key").select("key", "text", *hots)
+    else:
+        windows = source.mapInArrow(lean(_windows(kind)), "w binary, key binary, first long")
+        place = F.struct("key", "first")
+        twice = materialise(windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        two = twice.select("w", F.explode(F.array("a", "b")).alias("p")).groupBy("p.key").agg(F.collect_list(F.struct("p.first", "w")).alias("places"))
+        cuts = plain.join(two, "key").select("key", "text", "places").mapInArrow(lean(_cuts(kind)), _RUN)
+        known = materialise(resolved(cuts).select(F.col("key").alias("w")).distinct().join(twice.select("w", "n"), "w"))
+        spans = joined(windows, known, ["w"], "n", F.xxhash64("key", "first"))
+        found.append(materialise(spans.select("key", "first", (F.col("first") + kind.window).alias("end"))))
+        used += [twice, known]
+    for done in used:
+        discard(done)
+    return found
+
+
+def cover(n: int, spans: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of n items any of the spans (firsts, ends) covers."""
     change = np.zeros(n + 1, np.int64)
-    for s in spans or ():
-        change[s["first"]] += 1
-        change[s["end"]] -= 1
+    np.add.at(change, spans[0], 1)
+    np.add.at(change, spans[1], -1)
     return np.cumsum(change[:n]) > 0
 
 
-def digested(docs: DataFrame, kind: Kind, resolver: Callable[[Runs], np.ndarray], measure: Callable[[bytes, int, list | None], tuple], columns: str, id_col: str, text_col: str, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """(id, columns) of every row of docs: measure(text, copies, spans) of its text."""
+def _spans_of(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """(firsts, ends) for each row of array<struct<first, end>>, None for a null."""
+    flat, ends = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    first, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return [(first[a:z], end[a:z]) if z > a else None for a, z in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
+
+def digested(docs: DataFrame, kind: Kind, resolver: Callable[[Runs], np.ndarray], measure: Callable[[bytes, int, tuple | None], tuple], columns: str, id_col: str, text_col: str, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """(id, columns) of every row of docs: measure(text, copies, spans) of its text, as a table in the shared folder."""
     small_batches(docs.sparkSession)
     texts = distinct_texts(docs, text_col)
-    spans = repeated_spans(texts, kind, resolver, hot_runs).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    repeated = repeated_spans(texts, kind, resolver, hot_runs)
+    spans = reduce(DataFrame.unionByName, repeated).groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
     kinds = [{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in columns.split(", ")]
     names = [c.split()[0] for c in columns.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [measure(*x) for x in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True))], ["key", *names])
-
-    found = texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(lean(scan), f"key binary, {columns}")
-    keyed = docs.select(F.col(id_col), F.unhex(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))).alias("key"))
-    return keyed.join(found, "key").select(id_col, *names)
+            rows = [measure(*x) for x in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), _spans_of(b.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True))], ["key", "copies", *names])
+
+    found = materialise(texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(lean(scan), f"key binary, copies long, {columns}"))
+    keyed = docs.select(F.col(id_col), text_key(text_col).alias("key"))
+    out = materialise(joined(keyed, found, ["key"], "copies", F.col(id_col)).select(id_col, *names))
+    drop(texts)
+    for done in (found, *repeated):
+        discard(done)
+    return out

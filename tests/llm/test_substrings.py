@@ -32,7 +32,7 @@ def by_bytes(texts):
     return [(len(t), int(g.sum()), int((np.diff(g.astype(int), prepend=0) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~g])).hexdigest()) for t, g in zip(texts, covered(texts, 200), strict=True)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
+@pytest.mark.parametrize("hot", [2000, 3, 1])
 @pytest.mark.parametrize(("module", "brute"), [(relative_lz, by_words), (suffix_array, by_bytes)])
 def test_against_brute_force(awkward, module, brute, hot):
     rows = awkward.select("doc_id", "text").collect()
@@ -43,6 +43,28 @@ def test_against_brute_force(awkward, module, brute, hot):
     assert any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize(("module", "window"), [(relative_lz, 35), (suffix_array, 200)])
+def test_all_repeats_come_through_the_resolver(awkward, monkeypatch, module, window, hot):
+    """With a resolver that finds nothing, only copies of whole texts go."""
+    monkeypatch.setattr(module, "equal_windows", lambda runs: np.zeros(int(runs.windows.sum()), bool))
+    texts = {r.doc_id: r.text or "" for r in awkward.where("doc_id IS NOT NULL").collect()}
+    copies = Counter(r.text or "" for r in awkward.collect())
+    items = (lambda t: t.split()) if window == 35 else str.encode
+    for r in module.deduplicated(awkward, hot_runs=hot).where("doc_id IS NOT NULL").collect():
+        text = texts[r.doc_id]
+        assert r.n_removed == (len(items(text)) if copies[text] > 1 and len(items(text)) >= window else 0)
+
+
+def test_a_factor_is_the_longest(spark):
+    """A run that shares 40 words with one place and 55 with another is one factor of 55, whichever place is indexed first."""
+    w = [b"w%d" % k for k in range(60)]
+    segments = [b" ".join(x) for x in (w, [*w[:40], *[b"x%d" % k for k in range(20)]], [*w[:55], b"y1", b"y2", b"y3", b"y4", b"y5"])]
+    runs = repeats.Runs(np.zeros(3, int), np.full(3, 26), np.full(3, 26), segments)
+    block = relative_lz.ReferenceBlock(runs)
+    assert block.longest(np.array([0, 26, 52])).tolist() == [55, 40, 55]
+
+
 @pytest.mark.parametrize("module", [relative_lz, suffix_array])
 def test_no_rows(nothing, module):
     assert module.deduplicated(nothing).count() == 0
