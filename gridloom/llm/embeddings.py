@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gridloom.llm.common import flat_lists, in_units, lean, local_roots, materialise, small_batches, table
+from gridloom.llm.common import discard, flat_lists, in_units, joined, lean, local_roots, materialise, small_batches, table
 from gridloom.llm.components import components
 
 COSINE = 0.93
@@ -81,7 +81,9 @@ class LatticeHash:
 
 
 def _vectors(values: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors; scaled by their largest component first, so that no square overflows or vanishes."""
     x = values.reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -112,7 +114,7 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = b.column(b.schema.get_field_index("members"))
         n, rows = np.diff(members.offsets.to_numpy()), members.flatten()
         field = {rows.type.field(k).name: c for k, c in enumerate(rows.flatten())}
-        rep, weight, chunk = (field[x].to_numpy() for x in ("rep", "weight", "chunk"))
+        no, weight, chunk = (field[x].to_numpy() for x in ("no", "weight", "chunk"))
         values = field["embedding"].flatten().to_numpy(zero_copy_only=False)
         at = np.concatenate(([0], np.cumsum(np.diff(field["embedding"].offsets.to_numpy()))))
         cells = field["cells"].flatten().to_numpy().reshape(len(rows), -1) if len(rows) else np.zeros((0, 1), np.int32)
@@ -136,9 +138,9 @@ def _unit_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count = np.bincount(i, w[j], hi - lo) + np.bincount(j, w[i], hi - lo)
             root = local_roots(hi - lo, i, j)
             hit = np.flatnonzero(count > 0)
-            out.append((rep[lo + hit], count[hit].astype(np.int64), rep[lo + root[hit]]))
+            out.append((no[lo + hit], count[hit].astype(np.int64), no[lo + root[hit]]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rep", "links", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["no", "links", "root"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -158,19 +160,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
-    classes = materialise(rows.where(sound).groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
-    schema = ", ".join(f"{k} {v}" for k, v in kinds.items())
-    keyed = classes.withColumn("dim", F.size("embedding")).mapInArrow(lean(_with_cells), f"{schema}, dim int, cells array<int>")
-    keyed = keyed.withColumn("cell", F.explode(F.array_distinct("cells")))
-    units = in_units(keyed, ["label", "dim", "cell"], "rep", CELL_ROWS).groupBy("label", "dim", "cell", "unit_a", "unit_b")
-    units = units.agg(F.collect_list(F.struct("rep", "weight", "chunk", "embedding", "cells")).alias("members"))
-    met = materialise(units.select("cell", "unit_a", "unit_b", "members").mapInArrow(lean(_unit_links), f"rep {kinds['rep']}, links long, root {kinds['rep']}"))
-    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(met.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")).distinct())
-    named = classes.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    good = rows.where(sound).join(named, ["label", "embedding"]).select("id", "n_links", "component_id")
+    classes = rows.where(sound).groupBy("label", "embedding").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"))
+    classes = classes.withColumns({"no": F.monotonically_increasing_id(), "dim": F.size("embedding")})
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema.fields)
+    classes = materialise(classes.mapInArrow(lean(_with_cells), f"{kinds}, cells array<int>"))
+    # only numbers and cells are dealt into units; vectors go to the members of units, not to every cell
+    keyed = classes.select("label", "dim", "no", F.explode(F.array_distinct("cells")).alias("cell"))
+    units, sizes = in_units(keyed, ["label", "dim", "cell"], "no", CELL_ROWS)
+    units = units.join(classes.select("no", "weight", "embedding", "cells"), "no").groupBy("label", "dim", "cell", "unit_a", "unit_b")
+    units = units.agg(F.collect_list(F.struct("no", "weight", "chunk", "embedding", "cells")).alias("members"))
+    met = materialise(units.select("cell", "unit_a", "unit_b", "members").mapInArrow(lean(_unit_links), "no long, links long, root long"))
+    counts = met.groupBy("no").agg(F.sum("links").alias("links"))
+    roots = components(met.where("no <> root").select(F.col("no").alias("u"), F.col("root").alias("v")).distinct())
+    linked = classes.select("no", "rep", "label", "embedding", "weight").join(counts, "no", "left").join(roots.withColumnRenamed("node", "no"), "no", "left")
+    linked = materialise(linked.withColumn("root", F.coalesce("root", "no")))
+    least = materialise(linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    named = joined(linked, least, ["root"], "members", F.col("no"))
+    named = materialise(named.select("label", "embedding", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
+    for done in (classes, sizes, met, roots, linked, least):
+        discard(done)
+    good = joined(rows.where(sound), named, ["label", "embedding"], "weight", F.col("id")).select("id", "n_links", "component_id")
     odd = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return good.unionByName(odd).select(F.col("id").alias(id_col), "n_links", "component_id", kept.alias("kept"))
@@ -181,4 +190,16 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_embeddings": op8_embeddings}
-SQL: dict[str, str] = {}
+SQL = {
+    "op8_embeddings": """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+sound AS (SELECT r, vec_id, label, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM e WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT r, r FROM e UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+component AS (SELECT reach.a, min(e.vec_id) AS c FROM reach JOIN e ON e.r = reach.b GROUP BY reach.a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, c AS component_id, coalesce(vec_id = c, false) AS kept
+FROM e LEFT JOIN n ON n.a = e.r LEFT JOIN component ON component.a = e.r
+"""
+}

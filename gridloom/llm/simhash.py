@@ -8,17 +8,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, flat_lists, in_units, lean, local_roots, materialise, ranges, slices_by_cost, small_batches, table
+from gridloom.llm.common import as_bytes, discard, first_of_each, flat_lists, in_units, joined, lean, local_roots, materialise, ranges, slices_by_cost, small_batches, table, text_key
 from gridloom.llm.components import components
 
 RADIUS = 4
-#: Six blocks of the 64 bits: 4 differing bits leave at least two blocks untouched, whichever they are.
-BLOCKS = ((53, 11), (42, 11), (31, 11), (20, 11), (10, 10), (0, 10))
-#: A shard tree has about so many nodes at most; larger shards are split.
-SHARD_NODES = 512
+#: A shard tree has about so many nodes on average, and never much more than MOST_NODES; larger shards are split.
+SHARD_NODES, MOST_NODES = 256, 1024
 _SLICE = 1 << 16
 
 
@@ -121,22 +119,61 @@ def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(part[linked].view(np.int64)), pa.array(part[root[linked]].view(np.int64))], ["u", "v"])
 
 
-def _block_keys() -> Column:
-    """Fifteen keys: the number of a pair of blocks, above the bits of both."""
-    keys = []
-    for k, ((s1, n1), (s2, n2)) in enumerate(combinations(BLOCKS, 2)):
-        a = F.shiftrightunsigned("fp", s1).bitwiseAND(F.lit((1 << n1) - 1))
-        b = F.shiftrightunsigned("fp", s2).bitwiseAND(F.lit((1 << n2) - 1))
-        keys.append((F.lit(k << 22) + F.shiftleft(a, n2) + b).cast("int"))
-    return F.explode(F.array(*keys))
-
+def shard_keys(n: int) -> list[list[tuple[int, int]]]:
+    """For n fingerprints the shard keys, each a list of (shift, width) of bits: two fingerprints within RADIUS agree in
+    one key at least.
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (u, v) that connect every two distinct fingerprints (column fp) within the radius; not all such pairs."""
-    keyed = fps.select("fp", _block_keys().alias("key"))
-    units = in_units(keyed, ["key"], "fp", SHARD_NODES).groupBy("key", "unit_a", "unit_b")
-    units = units.agg(F.collect_list("fp").alias("fps"), F.collect_list("chunk").alias("chunks"))
-    return units.mapInArrow(lean(_shard_links), "u long, v long")
+    The 64 bits are cut into RADIUS + j blocks; RADIUS differing bits leave j blocks untouched, whichever they are, and
+    every j blocks make a key. Of a key's bits so many are used that a shard has SHARD_NODES of n random fingerprints.
+    """
+    wanted = max(0, (max(1, n) // SHARD_NODES).bit_length() - 1)
+    if not wanted:
+        return [[]]
+    for j in range(1, 9):
+        ends = [64 * k // (RADIUS + j) for k in range(RADIUS + j + 1)]
+        if j * (64 // (RADIUS + j)) >= wanted or j == 8:
+            break
+    keys = []
+    for blocks in combinations(range(RADIUS + j), j):
+        left, parts = wanted, []
+        for k in blocks:
+            width = min(left, ends[k + 1] - ends[k])
+            parts.append((ends[k], width))
+            left -= width
+        keys.append(parts)
+    return keys
+
+
+def _keyed(fps: DataFrame, n: int) -> DataFrame:
+    """(fp, block, key): every fingerprint under each of its shard keys."""
+    keys = []
+    for k, parts in enumerate(shard_keys(n)):
+        value = F.lit(0).cast("long")
+        for shift, width in parts:
+            value = F.shiftleft(value, width) + F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+        keys.append(F.struct(F.lit(k).alias("block"), value.alias("key")))
+    return fps.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.block", "_k.key")
+
+
+def links(fps: DataFrame, n: int) -> DataFrame:
+    """Links (u, v) that connect every two of n distinct fingerprints (column fp) within the radius; not all such pairs."""
+    units, counts = in_units(_keyed(fps, n), ["block", "key"], "fp", MOST_NODES)
+    units = units.groupBy("block", "key", "unit_a", "unit_b").agg(F.collect_list("fp").alias("fps"), F.collect_list("chunk").alias("chunks"))
+    found = materialise(units.mapInArrow(lean(_shard_links), "u long, v long").distinct())
+    discard(counts)
+    return found
+
+
+def _rooted(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (id, fp): (fp, n, root), the root being one fingerprint of each component, and (root, members, component_id)."""
+    fps = materialise(marked.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    found = links(fps, fps.count())
+    root = components(found)
+    rooted = materialise(fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = materialise(rooted.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("component_id")))
+    for done in (fps, found, root):
+        discard(done)
+    return rooted, least
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,23 +185,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Copies share a fingerprint and are linked through it once, never pair by pair.
     """
     marked = materialise(fingerprints(docs, id_col, text_col))
-    fps = materialise(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    root = components(links(fps).distinct())
-    rooted = fps.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    out = marked.join(named, "fp")
+    rooted, least = _rooted(marked)
+    named = materialise(joined(rooted, least, ["root"], "members", F.col("fp")).select("fp", "n", "component_id"))
+    out = joined(marked, named, ["fp"], "n", F.col("id"))
+    for done in (rooted, least):
+        discard(done)
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their components: those of the smallest id.
 
-    The id names a document: of rows that repeat it one stays. Rows with a null id belong to no group and stay.
+    Different texts under one id are rows of their own, and rows with a null id are compared as all are; they stand for
+    a component only if it has no other. Of rows that agree in id and text one stays.
     """
-    kept = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    named = docs.join(kept.select(id_col).distinct(), id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull())).select(docs.columns)
+    texts = docs.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    marked = materialise(fingerprints(texts, "key", "text"))
+    rooted, least = _rooted(marked)
+    groups = joined(marked, rooted, ["fp"], "n", F.col("id")).select(F.col("id").alias("key"), "root")
+    discard(least)
+    return first_of_each(docs, groups, id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm import components, embeddings, simhash
+from gridloom.llm import common, components, embeddings, near_copies, simhash
 
 
 def brute_fingerprint(text):
@@ -49,6 +49,28 @@ def test_null_ids_and_no_rows(awkward, nothing):
     assert ids.count(None) == 1 and len(set(ids)) == len(ids) and 0 in ids and 12 not in ids
 
 
+@pytest.mark.parametrize("module", [simhash, near_copies])
+def test_one_row_of_each_group_stays(spark, module):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (7, a), (None, b), (None, c), (None, c), (9, None), (8, "")]
+    df = spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "n long, doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in module.one_of_each(df).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (None, c), (8, "")], key=str)
+
+
+@pytest.mark.parametrize("n", [1, 1000, 10**5, 10**7, 10**9, 10**11])
+def test_shard_keys_hold_every_pair(n):
+    rng = np.random.default_rng(n % 97)
+    keys = simhash.shard_keys(n)
+    assert max(sum(w for _, w in parts) for parts in keys) == min(sum(w for _, w in parts) for parts in keys) >= min(40, max(0, (n // 256).bit_length() - 1))
+    for _ in range(200):
+        x = int(rng.integers(0, 2**63)) << 1
+        y = x
+        for b in rng.choice(64, 4, replace=False).tolist():
+            y ^= 1 << b
+        assert any(all((x ^ y) >> shift & ((1 << width) - 1) == 0 for shift, width in parts) for parts in keys)
+
+
 def test_long_texts_are_read_whole():
     text = " ".join(f"w{i}" for i in range(simhash._SLICE + 500))
     assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
@@ -69,8 +91,9 @@ def test_hot_shards_are_split(spark, monkeypatch):
     base = int(rng.integers(0, 2**63))
     fps = {base ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (300, 2))} | {int(x) for x in rng.integers(0, 2**63, 50)}
     monkeypatch.setattr(simhash, "SHARD_NODES", 16)
+    monkeypatch.setattr(simhash, "MOST_NODES", 8)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r.node: r.root for r in components.components(simhash.links(df)).collect()}
+    got = {r.node: r.root for r in components.components(simhash.links(df, len(fps))).collect()}
     order = sorted(fps)
     links = [(i, j) for i in range(len(order)) for j in range(i) if (order[i] ^ order[j]).bit_count() <= 4]
     want = {f: r for f, r in zip(order, closure(len(order), links, order), strict=True) if f != r}
@@ -117,14 +140,38 @@ def test_embeddings_against_brute_force(spark, monkeypatch, cell_rows):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
-def test_lattice_recall():
+def test_a_hot_key_is_dealt_over_tasks(spark):
+    """100,000 rows of one key: no partition of the join holds them all, and every row is there once."""
+    rows = spark.range(120_000).selectExpr("id", "IF(id < 100000, 7, id) AS k")
+    known = common.materialise(rows.groupBy("k").count())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = common.joined(rows, known, ["k"], "count", rows["id"])
+        sizes = [r.n for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").agg({"*": "count"}).toDF("p", "n").collect()]
+        assert sum(sizes) == 120_000 and max(sizes) < 60_000
+        units, counts = common.in_units(rows.select("k", "id"), ["k"], "id", 4000)
+        assert units.groupBy("k", "unit_a", "unit_b").count().agg({"count": "max"}).first()[0] < 9000
+        assert units.select("id", "unit_a", "unit_b").distinct().count() == 100_000 * 25
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_extreme_doubles(spark):
+    rows = [(1, [1e200] * 4, 0), (2, [1e200] * 4, 0), (3, [1e-200] * 4, 0), (4, [2e200, 2e200, 2e200, 1.9e200], 0), (5, [5e-324, 0.0, 0.0, 0.0], 0), (6, [1e-200, -1e-200, 1e-200, -1e-200], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
+@pytest.mark.parametrize("dim", [16, 64, 128, 768])
+def test_lattice_recall(dim):
     rng = np.random.default_rng(9)
-    u = rng.standard_normal((1500, 64))
+    u = rng.standard_normal((1500, dim))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     n = rng.standard_normal(u.shape)
     n -= (n * u).sum(1, keepdims=True) * u
     n /= np.linalg.norm(n, axis=1, keepdims=True)
     v = 0.93 * u + np.sqrt(1 - 0.93**2) * n
-    h = embeddings.LatticeHash(64)
+    h = embeddings.LatticeHash(dim)
     a, b = h.cells(u), h.cells(v)
     assert (a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean() >= 0.97
