@@ -10,7 +10,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +19,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import lean, small_batches, table
 
-#: Runs of characters that a worker remembers (about 350 bytes each).
+#: Runs of characters that a worker remembers (about 250 bytes each).
 CACHE_RUNS = 500_000
 #: White space to Python's split(), but not to the pattern.
 _UNWHITE = re.compile("[\x1c-\x1f]").search
-_FIRST, _SECOND = itemgetter(0), itemgetter(1)
 #: A full stop or comma that the pattern groups with what stands before it.
 _GROUPED = re.compile(r"(?:[^\w\s]|_)[,.]\s").search
 _END = 256  # the code of the word end, after those of the bytes
@@ -79,6 +77,7 @@ class Tokenizer:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.strings = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
+        self.spoken = {str(i): s for i, s in self.strings.items()}
         self.size = max(self.strings) + 1
         ids = {s: i for s, i in model["vocab"].items() if s not in self.special}
         #: Ids of single bytes, inside a word and at its end.
@@ -110,6 +109,16 @@ class Tokenizer:
         self.starts = Table(np.array(list(known), np.uint64), np.array(list(known.values()), np.int32))
         self._encoder: Encoder | None = None
 
+    def decode(self, ids: str) -> str:
+        """As a tokenizer without a decoder does: the strings of the tokens, joined by one space. Unknown ids are left out."""
+        if not ids:
+            return ""
+        listed = ids.split(" ")
+        try:
+            return " ".join(map(self.spoken.__getitem__, listed))
+        except KeyError:
+            return " ".join(self.spoken[i] for i in listed if i in self.spoken)
+
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
@@ -301,15 +310,14 @@ class Encoder:
     def _learn(self, runs: set[str]) -> None:
         parts = {r: self._split_run(r) for r in self.known.missing(runs)}
         words = list({w for p in parts.values() for w in p})
-        names, strings = self.names.__getitem__, self.t.strings.__getitem__
-        spelled = {w: (" ".join(map(names, ids)), " ".join(map(strings, ids))) for w, ids in zip(words, self.t.encode_words([w.encode() for w in words]), strict=True)}
+        names = self.names.__getitem__
+        spelled = {w: " ".join(map(names, ids)) for w, ids in zip(words, self.t.encode_words([w.encode() for w in words]), strict=True)}
         young = self.known.young
         for r, p in parts.items():
             if len(p) == 1:
                 young[r] = spelled[p[0]]
             else:
-                got = [spelled[w] for w in p]
-                young[r] = " ".join([x[0] for x in got]), " ".join([x[1] for x in got])
+                young[r] = " ".join([spelled[w] for w in p])
                 self.blanks |= not p
 
     def _runs_of(self, text: str) -> list[str]:
@@ -321,8 +329,8 @@ class Encoder:
             text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
         return text.split()
 
-    def _plain(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """Ids and token strings, joined by spaces, of texts without special tokens."""
+    def _plain(self, texts: list[str]) -> Iterator[str]:
+        """Ids, joined by spaces, of texts without special tokens."""
         split = [self._runs_of(t) for t in texts]
         runs = set().union(*split)
         most = CACHE_RUNS // 4
@@ -332,35 +340,26 @@ class Encoder:
             return
         if len(runs) > most:  # one text with more different runs than the cache holds: in parts
             words = split[0]
-            parts = [next(self._plain([" ".join(words[k : k + most])])) for k in range(0, len(words), most)]
-            yield " ".join(p[0] for p in parts if p[0]), " ".join(p[1] for p in parts if p[0])
+            yield " ".join(filter(None, (next(self._plain([" ".join(words[k : k + most])])) for k in range(0, len(words), most))))
             return
         self._learn(runs)
         known = self.known.young.__getitem__
         for words in split:
-            got = list(map(known, words))
-            if self.blanks:  # a run without tokens must not leave a space behind
-                got = [x for x in got if x[0]]
-            yield " ".join(map(_FIRST, got)), " ".join(map(_SECOND, got))
+            got = map(known, words)
+            yield " ".join(filter(None, got) if self.blanks else got)  # a run without tokens leaves no space behind
 
     def _pieces(self, text: str) -> list[str]:
         """Text and special tokens in turn; a text without the latter is one piece."""
         return self.specials.split(text) if self.specials and any(h in text for h in self.hints) else [text]
 
     def batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, ids joined by spaces, decoded text) of each text."""
+        """(number of tokens, ids joined by spaces, text decoded from those ids) of each text."""
         for group in self._groups(texts):
             pieces = [self._pieces(t or "") for t in group]
             plain = self._plain([x for p in pieces for x in p[::2]])
             for p in pieces:
-                ids, tokens = [], []
-                for k, piece in enumerate(p):
-                    i, t = (str(self.t.special[piece]), piece) if k % 2 else next(plain)
-                    if i:
-                        ids.append(i)
-                        tokens.append(t)
-                joined = " ".join(ids)
-                yield joined.count(" ") + 1 if joined else 0, joined, " ".join(tokens)
+                ids = " ".join(filter(None, [str(self.t.special[piece]) if k % 2 else next(plain) for k, piece in enumerate(p)]))
+                yield ids.count(" ") + 1 if ids else 0, ids, self.t.decode(ids)
 
     @staticmethod
     def _groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[list[str | None]]:
@@ -375,11 +374,6 @@ class Encoder:
             yield group
 
 
-def decode(tokenizer: Tokenizer, ids: list[int]) -> str:
-    """As a tokenizer without a decoder does: the tokens' strings, joined by one space."""
-    return " ".join(tokenizer.strings[i] for i in ids if i in tokenizer.strings)
-
-
 def _encoded(docs: DataFrame, file: str, id_col: str, text_col: str, give, schema: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
@@ -404,6 +398,20 @@ def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "
     return _encoded(docs, file, id_col, text_col, lambda x: x, "id any, n_tokens long, ids string, decoded string")
 
 
+def decode(encoded: DataFrame, file: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, text) of every row of ids as decimal numbers joined by spaces. Null ids give an empty text."""
+    spark = encoded.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(Tokenizer(file))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shared.value.decode(x or "") for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+    rows = encoded.select(F.col(id_col).alias("id"), ids_col)
+    return rows.mapInArrow(lean(scan), f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+
+
 def _digest(x: tuple[int, str, str]) -> tuple[int, str, str]:
     return x[0], hashlib.sha256(x[1].encode()).hexdigest(), hashlib.sha256(x[2].encode()).hexdigest()
 

@@ -65,7 +65,7 @@ class WindowSet:
             yield length, at[exact], which[exact], owners
 
 
-def _marked(known: WindowSet, texts: list[bytes | None], items: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]]]:
+def _marked(known: WindowSet, texts: list[bytes | None], items: list[set[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of each text, where they start among all words, which of those are hit; the items found are added to items."""
     own = [words_of(t) for t in texts]
     n = np.fromiter(map(len, own), np.int64, len(own))
@@ -78,22 +78,21 @@ def _marked(known: WindowSet, texts: list[bytes | None], items: list[set[str]])
         np.add.at(covered, at, 1)
         np.add.at(covered, at + length, -1)
         for doc, w in set(zip((np.searchsorted(starts, at, "right") - 1).tolist(), which.tolist(), strict=True)):
-            items[doc].update(known.items[i] for i in owners[w])
-    return n, starts, np.cumsum(covered[:-1]) > 0, items
+            items[doc].update(known.items[i] for i in owners[w] if known.items[i] is not None)
+    return n, starts, np.cumsum(covered[:-1]) > 0
 
 
 def _window_sets(bench: DataFrame, id_col: str, text_col: str, words: int) -> Iterator[WindowSet]:
-    """The benchmark in sets of bounded size; rows are fetched one partition at a time."""
+    """The benchmark in sets of bounded size, at least one; rows are fetched one partition at a time and let go with their set."""
     held, windows = [], 0
-    rows = bench.select(F.col(id_col).cast("string"), F.encode(F.col(text_col), "UTF-8")).where(F.col(id_col).isNotNull())
+    rows = bench.select(F.col(id_col).cast("string"), F.encode(F.col(text_col), "UTF-8"))
     for name, text in rows.toLocalIterator():
         held.append((name, own := words_of(bytes(text) if text is not None else None)))
         windows += max(1, len(own) - words + 1)
         if windows >= SET_WINDOWS:
             yield WindowSet(held, words)
             held, windows = [], 0
-    if held:
-        yield WindowSet(held, words)
+    yield WindowSet(held, words)
 
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", words: int = WORDS) -> DataFrame:
@@ -101,20 +100,20 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
 
     hit has one bit for each word of the text (most significant first): set if a benchmark window covers the word.
     items are the item ids, as strings, that have a window in the text. Null texts have no words; items that are null
-    or without words match nothing; items with a null id are ignored; repeated items count once; an empty benchmark
-    or an empty table gives no hits.
+    or without words match nothing; windows of items with a null id hit, but no item is named for them; repeated items
+    count once; an empty benchmark or an empty table gives no hits.
     """
     spark = docs.sparkSession
     small_batches(spark)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
     schema = f"id {out.schema['id'].dataType.simpleString()}, text string, n_words long, n_hit long, hit binary, items array<string>"
-    sets = list(_window_sets(bench, item_col, text_col, words)) or [WindowSet([], words)]
-    for one in sets:
+    for one in _window_sets(bench, item_col, text_col, words):
         shared = spark.sparkContext.broadcast(one)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n, starts, hit, items = _marked(shared.value, as_bytes(b.column(1)), [set(x or ()) for x in b.column(5).to_pylist()])
+                items = [set(x or ()) for x in b.column(5).to_pylist()]
+                n, starts, hit = _marked(shared.value, as_bytes(b.column(1)), items)
                 bits, counts = [], []
                 for k, before in enumerate(b.column(4).to_pylist()):
                     mine = hit[starts[k] : starts[k] + n[k]]
@@ -170,8 +169,9 @@ def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", it
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                found = _marked(shared.value, as_bytes(b.column(place)), [set() for _ in range(b.num_rows)])[3]
-                yield b.filter(pa.array([not x for x in found], pa.bool_()))
+                _, starts, hit = _marked(shared.value, as_bytes(b.column(place)), [set() for _ in range(b.num_rows)])
+                before = np.concatenate(([0], np.cumsum(hit)))[starts]
+                yield b.filter(pa.array(np.diff(before) == 0))
 
         docs = docs.mapInArrow(lean(scan), schema)
     return docs
@@ -186,14 +186,14 @@ QUERIES = {"op2_decontaminate": op2_decontaminate}
 SQL = {
     "op2_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark),
 sized AS (SELECT item_id, w, least(len(w), 10) AS n FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM sized)),
 lengths AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
 found AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, g)),
 hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS joined FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
     sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
