@@ -16,13 +16,14 @@ from gridloom.llm.common import as_bytes, lean, ranges, small_batches, spread, t
 
 #: The network is fitted on at most so many texts of each language and in all, and so many pieces of each text.
 TEXTS_PER_LANGUAGE, TEXTS, PIECES = 500, 8000, 8
-#: Bytes of a piece in training, and of a segment in prediction. Each segment starts with empty states at both ends.
-PIECE, SEGMENT = 96, 128
+#: Bytes of a piece in training. In prediction, bytes that a segment labels, and those before and after them that it also
+#: reads, so that every byte is labelled with states that have seen what stands around it.
+PIECE, SEGMENT, CONTEXT = 96, 256, 32
 HIDDEN, STEPS, BATCH, RATE, SEED = 8, 400, 256, 0.02, 5
 UNDETERMINED = "und"
 _PAD = 256  # the byte code that leaves states as they are
 _KEEP = 60.0  # an update gate of this input is exactly 1 in single precision
-_SEGMENTS = 2048
+_SEGMENTS = 1024
 _LETTER = regex.compile(r"\p{L}").search
 
 
@@ -179,13 +180,17 @@ class ByteTagger:
         pieces = -(-size // SEGMENT)
         owner = np.repeat(np.arange(len(texts)), pieces)
         inside = ranges(np.zeros(len(texts), np.int64), pieces) * SEGMENT
-        starts, lengths = (np.cumsum(size) - size)[owner] + inside, np.minimum(SEGMENT, size[owner] - inside)
+        before = np.minimum(CONTEXT, inside)
+        own = np.minimum(SEGMENT, size[owner] - inside)
+        after = np.minimum(CONTEXT, size[owner] - inside - own)
+        starts, lengths, wide = (np.cumsum(size) - size)[owner] + inside - before, before + own + after, SEGMENT + 2 * CONTEXT
         for k in range(0, len(starts), _SEGMENTS):
-            s, n = starts[k : k + _SEGMENTS], lengths[k : k + _SEGMENTS]
-            codes = np.full((len(s), SEGMENT), _PAD, np.int64)
-            codes[np.arange(SEGMENT) < n[:, None]] = data[ranges(s, n)]
+            s, n, first, last = (x[k : k + _SEGMENTS] for x in (starts, lengths, before, before + own))
+            codes = np.full((len(s), wide), _PAD, np.int64)
+            codes[np.arange(wide) < n[:, None]] = data[ranges(s, n)]
             codes = np.ascontiguousarray(codes.T)
-            real, acc = (codes != _PAD).astype(np.float32), np.zeros((len(self.languages), len(s)), np.float32)
+            at = np.arange(wide)[:, None]
+            real, acc = ((at >= first) & (at < last)).astype(np.float32), np.zeros((len(self.languages), len(s)), np.float32)
             for t, p in self.positions(codes):
                 p *= real[t]
                 acc += p
@@ -198,21 +203,24 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of each text, from places that a checksum of the text spreads over the whole of it."""
+    """Pieces of each text, from places that a checksum of the text spreads over the whole of it. Columns: u, tie, lang, text."""
     for b in batches:
-        langs, out = [], []
-        for lang, text in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+        row, number, out = [], [], []
+        for r, text in enumerate(as_bytes(b.column(3))):
             for k in range(min(PIECES, -(-len(text) // PIECE))):
                 at = zlib.crc32(text, k) % max(1, len(text) - PIECE + 1)
-                langs.append(lang)
+                row.append(r)
+                number.append(k)
                 out.append(text[at : at + PIECE])
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
+        rows = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns[:3]), pa.array(number, pa.int32()), pa.array(out, pa.binary())], ["u", "tie", "lang", "k", "piece"])
 
 
 def fit(docs: DataFrame, learn: Column) -> ByteTagger | None:
     """Learn from text and lang of the rows for which `learn` holds; None if there is nothing to learn from.
 
-    The sample is bounded: TEXTS_PER_LANGUAGE ids of each language and TEXTS ids in all, in the order of a hash.
+    The sample is bounded: TEXTS_PER_LANGUAGE ids of each language and TEXTS ids in all, in the order of a hash, and
+    of each text PIECES pieces of PIECE bytes from all over it.
     """
     small_batches(docs.sparkSession)
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
@@ -223,8 +231,8 @@ def fit(docs: DataFrame, learn: Column) -> ByteTagger | None:
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id")))
     chosen = ranked.where(F.col("_k") <= TEXTS_PER_LANGUAGE).orderBy("_k", by_hash, "doc_id").limit(TEXTS).select("doc_id").distinct()
     rows = known.where(F.length("text") > 0).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most TEXTS ids
-    rows = rows.orderBy(by_hash, F.xxhash64("text"), "lang").limit(TEXTS).select("lang", "text")
-    got = rows.mapInArrow(lean(_pieces), "lang string, piece binary").collect()
+    rows = rows.select(by_hash.alias("u"), F.xxhash64("text").alias("tie"), "lang", "text")
+    got = rows.mapInArrow(lean(_pieces), "u double, tie long, lang string, k int, piece binary").orderBy("u", "tie", "lang", "k").limit(TEXTS * PIECES).collect()
     languages = sorted({r.lang for r in got})
     if not languages:
         return None

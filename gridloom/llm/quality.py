@@ -50,8 +50,9 @@ class PuModel:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(x).astype(np.float64), -500, 500)))
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> PuModel:
-        """Adam over shuffled batches; where the negative part falls below zero, its gradient is reversed."""
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> PuModel:
+        """Adam over shuffled batches; where the negative part falls below zero, its gradient is reversed. Without a prior
+        the scorer tells positives from unlabelled texts, both sides of equal weight."""
         if not len(positive) or not len(unlabelled):
             return self
         both = np.concatenate([positive, unlabelled])
@@ -59,6 +60,14 @@ class PuModel:
         p, u = ((x - self.mean) / self.scale for x in (positive, unlabelled))
         rng, w, b = np.random.default_rng(SEED), np.zeros(FEATURES), 0.0
         m, v, step = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1), 0
+
+        def move(g: np.ndarray, epoch: int, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+            nonlocal m, v, step
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            by = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            return w - by[:-1], b - by[-1]
+
         softplus = lambda z: np.logaddexp(0, z)
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         for epoch in range(EPOCHS):
@@ -67,6 +76,10 @@ class PuModel:
                 xu = u[order_u[k : k + BATCH]]
                 xp = p[order_p[np.arange(k, k + BATCH) % len(p)]]
                 zu, zp = xu @ w + b, xp @ w + b
+                if prior is None:
+                    gp, gu = -sigmoid(-zp) / len(zp), sigmoid(zu) / len(zu)
+                    w, b = move(np.append(xp.T @ gp + xu.T @ gu + DECAY * w, gp.sum() + gu.sum()), epoch, w, b)
+                    continue
                 negative = softplus(zu).mean() - prior * softplus(zp).mean()
                 gp, gu = -prior * sigmoid(-zp) / len(zp), np.zeros(len(zu))
                 if negative >= 0:
@@ -74,50 +87,66 @@ class PuModel:
                     gp -= prior * sigmoid(zp) / len(zp)
                 else:
                     gu, gp = -sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp)
-                g = np.append(xp.T @ gp + xu.T @ gu + DECAY * w, gp.sum() + gu.sum())
-                step += 1
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                move = RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                w, b = w - move[:-1], b - move[-1]
+                w, b = move(np.append(xp.T @ gp + xu.T @ gu + DECAY * w, gp.sum() + gu.sum()), epoch, w, b)
         self.w, self.b = w.astype(np.float32), float(b)
         return self
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled texts, from these two samples alone.
+
+    One half of each trains a scorer of positives against unlabelled texts. On the other halves, above any threshold,
+    the share of the unlabelled divided by that of the positives bounds the prior from above; the threshold is the one
+    at which this, with its confidence margin, is least.
+    """
+    p, u = positive[: len(positive) // 2], unlabelled[: len(unlabelled) // 2]
+    if not len(p) or not len(u):
+        return 0.5
+    model = PuModel().fit(p, u, None)
+    sp, su = (np.sort(model.logits(x[len(x) // 2 :]).astype(np.float64)) for x in (positive, unlabelled))
+    above = lambda s: 1 - np.searchsorted(s, sp, "left") / len(s)
+    qp, qu = above(sp), above(su)
+    margin = np.sqrt(np.log(4 / 0.1) / 2 / len(su)) + np.sqrt(np.log(4 / 0.1) / 2 / len(sp))
+    at = ((qu + 1.01 * margin) / qp).argmin()
+    return float(np.clip(qu[at] / qp[at], 0.01, 0.99))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 def _with_features(rows: DataFrame) -> DataFrame:
-    """(role, features) of the rows (role, text)."""
+    """(u, tie, role, features) of the rows (u, tie, role, text): of fixed size, however long the texts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(as_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["role", "features"])
+            x = features(as_bytes(b.column(3)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([r.tobytes() for r in x], pa.binary())], ["u", "tie", "role", "features"])
 
-    return rows.select("role", "text").mapInArrow(lean(scan), "role int, features binary")
+    return rows.select("u", "tie", "role", "text").mapInArrow(lean(scan), "u double, tie long, role int, features binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> PuModel:
     """Learn from rows of docs for which `learn` holds: those labelled 1 are the positives, any are unlabelled.
 
-    The prior is the share of ones among all labels that may be learned from. Ids that several rows share take part
+    No other label is looked at; the prior is estimated from the two samples. Ids that several rows share take part
     through the first few of them in the order of a hash, so the sample's bound holds whatever the table.
     """
     small_batches(docs.sparkSession)
-    known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learn)
-    ones, n = known.agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)), F.count(F.lit(1))).first()
+    known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & learn).select("doc_id")
+    ones = known.count()
     if not ones:
         return PuModel()
-    p = smallest(known.where("quality = 1").select("doc_id"), SEED, "doc_id", POSITIVES, ones).distinct().withColumn("role", F.lit(1))
+    p = smallest(known, SEED, "doc_id", POSITIVES, ones).distinct().withColumn("role", F.lit(1))
     open_ = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id")
     u = smallest(open_, SEED, "doc_id", UNLABELLED, open_.count()).distinct().withColumn("role", F.lit(0))
     chosen = F.broadcast(p.unionByName(u))  # at most POSITIVES + UNLABELLED ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy(spread(SEED, "doc_id"), F.xxhash64("text"), "role").limit(POSITIVES + UNLABELLED)
-    got = _with_features(rows).collect()
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(spread(SEED, "doc_id").alias("u"), F.xxhash64("text").alias("tie"), "role", "text")
+    got = _with_features(rows).orderBy("u", "tie", "role").limit(POSITIVES + UNLABELLED).collect()
     x = np.stack([np.frombuffer(r.features, np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
     role = np.array([r.role for r in got])
-    return PuModel().fit(x[role == 1], x[role == 0], ones / n)
+    positive, unlabelled = x[role == 1], x[role == 0]
+    return PuModel().fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
