@@ -4,23 +4,26 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import json
 import re
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, lean, materialise, small_batches, table
+from gridloom.llm.common import as_bytes, joined, lean, materialise, shared_folder, small_batches, table
 
 #: An archive is closed once its records hold so many bytes; one record never spans two archives.
-ARCHIVE_BYTES = 4 << 20
+ARCHIVE_BYTES = 64 << 20
+#: Records that follow each other are read by one range of at most so many bytes, if no single one has more.
+RANGE_BYTES = 4 << 20
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures of the end record, the ZIP64 locator and end record, central and local headers.
 _END, _LOCATOR, _END64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -135,107 +138,169 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return headers, http, payload
 
 
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or address, and its own name for it."""
+    return pafs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+
+
 class ArchiveWriter:
-    """Collects records into one archive: a stored WARC member and a stored index of lines `page_id {offset, length}`."""
+    """Writes records to one archive as they come: a stored WARC member, then a stored index of lines
+    `page_id {filename, offset, length}`."""
 
-    def __init__(self):
-        self.warc, self.index = io.BytesIO(), []
+    def __init__(self, out):
+        self.zip, self.index, self.at = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True), [], 0
+        self.warc = self.zip.open(zipfile.ZipInfo(WARC_MEMBER, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
 
     def add(self, *args) -> None:
-        raw = record(*args)
-        self.index.append(f"{'-' if args[0] is None else args[0]} {json.dumps({'offset': self.warc.tell(), 'length': len(raw)})}\n")
+        raw, name = record(*args), WARC_MEMBER.partition("/")[2]
+        self.index.append(f"{'-' if args[0] is None else args[0]} {json.dumps({'filename': name, 'offset': self.at, 'length': len(raw)})}\n")
         self.warc.write(raw)
+        self.at += len(raw)
 
-    def close(self) -> bytes:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-            for name, data in ((WARC_MEMBER, self.warc.getbuffer()), (INDEX_MEMBER, "".join(self.index).encode()), ("datapackage.json", b'{"profile": "data-package"}')):
-                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
-        self.__init__()
-        return out.getvalue()
+    def close(self) -> None:
+        self.warc.close()
+        for name, data in ((INDEX_MEMBER, "".join(self.index).encode()), ("datapackage.json", b'{"profile": "data-package"}')):
+            self.zip.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
+        self.zip.close()
 
 
-def records_of(archive: ZipArchive) -> Iterator[bytes]:
-    """The records of an archive, each by its own range."""
-    base = archive.data_at(WARC_MEMBER)
-    for line in archive.read(INDEX_MEMBER).decode().splitlines():
-        where = json.loads(line.partition(" ")[2])
-        yield bytes(archive.read_at(base + where["offset"], where["length"]))
+def record_ranges(archive: ZipArchive) -> Iterator[list[tuple[int, int]]]:
+    """(offset in the archive, length) of every indexed record, in lists of records that one read of RANGE_BYTES gives.
+
+    Every member under indexes/ is read; a line names the WARC member of its record, or there is only one. A WARC
+    member that no index names raises.
+    """
+    warcs = {n.partition("/")[2]: n for n in archive.members if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))}
+    found: dict[str, list[tuple[int, int]]] = {}
+    for name in sorted(n for n in archive.members if n.startswith("indexes/") and n.endswith((".cdxj", ".cdx"))):
+        for line in archive.read(name).decode().splitlines():
+            if "{" not in line:
+                continue
+            where = json.loads(line[line.index("{") :])
+            member = where.get("filename") or (next(iter(warcs)) if len(warcs) == 1 else None)
+            if member not in warcs:
+                raise ValueError(f"an index line names no WARC member of the archive: {line[:200]}")
+            found.setdefault(member, []).append((int(where["offset"]), int(where["length"])))
+    for member, name in warcs.items():
+        if archive.members[name].size and member not in found:
+            raise ValueError(f"no index covers {name}")
+        base, held = archive.data_at(name), []
+        for offset, length in sorted(found.get(member, [])):
+            if offset < 0 or length < 0 or offset + length > archive.members[name].size:
+                raise ValueError(f"an index line points beyond the end of {name}")
+            if held and base + offset + length - held[0][0] > RANGE_BYTES:
+                yield held
+                held = []
+            held.append((base + offset, length))
+        if held:
+            yield held
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of at least least_bytes, all but that of the largest id refer to it."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"_sha1": F.sha1("payload"), "_n": F.octet_length("payload")})
-    largest = rows.groupBy("_sha1", "_n").agg(F.max("page_id").alias("_largest"))
+    largest = materialise(rows.groupBy("_sha1", "_n").agg(F.max("page_id").alias("_largest"), F.count(F.lit(1)).alias("_rows")))
     other = (F.col("_n") >= least_bytes) & F.col("_largest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_largest"))
-    return rows.join(largest, ["_sha1", "_n"]).select("page_id", "url", "payload", F.when(other, F.col("_largest")).alias("refers_to"))
+    return joined(rows, largest, ["_sha1", "_n"], "_rows", F.col("page_id")).select("page_id", "url", "payload", F.when(other, F.col("_largest")).alias("refers_to"))
 
 
-def to_archives(records: DataFrame) -> DataFrame:
-    """(name, content): ZIP archives of about ARCHIVE_BYTES of WARC records, written by each task as its rows come."""
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """(path, length) of ZIP archives of about ARCHIVE_BYTES of WARC records, written to the folder, which all executors
+    share, by each task as its rows come. A file that a failed attempt leaves behind is named by no row."""
     small_batches(records.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = ArchiveWriter()
+        store, base = _file_system(folder)
+        store.create_dir(base, recursive=True)
+        writer = None
 
         def closed() -> pa.RecordBatch:
-            content = writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(content).hexdigest()}.wacz"]), pa.array([content], pa.binary())], ["name", "content"])
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([store.get_file_info(f"{base}/{name}").size])], ["path", "length"])
 
         for b in batches:
             for page_id, url, payload, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
+                if writer is None:
+                    name = f"{uuid.uuid4().hex}.wacz"
+                    out = store.open_output_stream(f"{base}/{name}")
+                    writer = ArchiveWriter(out)
                 writer.add(page_id, url, payload, refers_to)
-                if writer.warc.tell() >= ARCHIVE_BYTES:
+                if writer.at >= ARCHIVE_BYTES:
                     yield closed()
-        if writer.index:
+                    writer = None
+        if writer is not None:
             yield closed()
 
-    return records.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(write), "name string, content binary")
-
-
-def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
-    """One row for each record of archives held in a binary column (as the binaryFile source gives them).
-
-    Responses carry their payload, whose digest is computed anew and must match the header; revisits carry none, and
-    their length comes from the kept HTTP headers. An archive without records gives no rows; a damaged one raises.
+    return materialise(records.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(write), "path string, length long"))
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For archives (path, length): which ranges hold which records. Only directories and indexes are read."""
+    for b in batches:
+        for path, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            store, name = _file_system(path)
+            with store.open_input_file(name) as f:
+                parts = list(record_ranges(ZipArchive(lambda at, n, f=f: f.read_at(n, at), length)))
+            for k in range(0, len(parts), 256):
+                some = parts[k : k + 256]
+                at, n = ([[x[i] for x in p] for p in some] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(some)), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.int64()))], ["path", "at", "n"])
+
+
+_NAMES = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of ranges, each range by one read."""
+    opened: tuple = (None, None)
+    for b in batches:
+        for path, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if opened[0] != path:
+                store, name = _file_system(path)
+                opened = path, store.open_input_file(name)
+            raw, rows = opened[1].read_at(max(a + m for a, m in zip(at, n, strict=True)) - at[0], at[0]), []
+            for a, m in zip(at, n, strict=True):
+                one = raw[a - at[0] : a - at[0] + m]
+                headers, http, payload = parse_record(zlib.decompress(one, 31) if one[:2] == b"\x1f\x8b" else one)
+                digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+                if kind == "response" and base32_sha1(payload) != digest:
+                    raise ValueError(f"payload digest of {headers['warc-record-id']} does not match")
+                length = int(re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)[1])
+                rows.append((headers.get("page-id"), headers.get("warc-target-uri"), length, digest, kind, headers.get("refers-to-page-id"), payload if kind == "response" else None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
+
+
+def read_archives(archives: DataFrame) -> DataFrame:
+    """One row for each record of archives (path, length).
+
+    Directories and indexes are read first; the ranges that hold records are then dealt over all tasks, so one large
+    archive is read by many. Responses carry their payload, whose digest is computed anew and must match the header;
+    revisits carry none, and their length comes from the kept HTTP headers. An archive without records gives no rows; a
+    damaged one raises.
     """
     small_batches(archives.sparkSession)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for held in b.column(0):
-                view = memoryview(held.as_buffer()) if held.is_valid else memoryview(b"")
-                if not len(view):
-                    continue
-                rows = []
-                for raw in records_of(ZipArchive(lambda at, n, view=view: view[at : at + n], len(view))):
-                    headers, http, payload = parse_record(raw)
-                    digest, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    if kind == "response" and base32_sha1(payload) != digest:
-                        raise ValueError(f"payload digest of {headers['warc-record-id']} does not match")
-                    length = int(re.search(rb"(?i)^content-length:\s*(\d+)", http, re.M)[1])
-                    rows.append((headers.get("page-id"), headers.get("warc-target-uri"), length, digest, kind, headers.get("refers-to-page-id"), payload if kind == "response" else None))
-                names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, kinds, strict=True))))
-
+    found = archives.select("path", "length").mapInArrow(lean(_ranges), "path string, at array<long>, n array<long>")
+    dealt = found.repartition("path", F.col("at")[0])
     schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
-    return archives.select(content).mapInArrow(lean(read), schema)
+    return dealt.mapInArrow(lean(_records), schema)
 
 
 def read_archive_files(spark: SparkSession, path: str) -> DataFrame:
-    """Records of archive files in any store that Spark reads."""
-    return read_archives(spark.read.format("binaryFile").load(path))
+    """Records of the archive files of a folder or pattern. Spark lists them; no file is read as a whole."""
+    return read_archives(spark.read.format("binaryFile").load(path).select("path", "length"))
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write pages to archives in the shared folder and read them back, one row per page without its payload.
+    """Write pages to archives in the shared folder and read them back by range, one row per page without its payload.
 
     Null html is an empty payload and takes part as any other. A null page_id is kept as null; rows that repeat the
     largest id of their group are all responses. An empty table gives no archives and no rows; extra columns are not read.
     """
-    back = read_archives(materialise(to_archives(with_revisits(pages, least_bytes))))
+    folder = f"{shared_folder(pages.sparkSession)}/gridloom-{uuid.uuid4().hex}"
+    back = read_archives(write_archives(with_revisits(pages, least_bytes), folder))
     kind = pages.schema["page_id"].dataType
     return back.select(F.col("page_id").cast(kind), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind))
 

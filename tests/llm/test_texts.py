@@ -1,10 +1,13 @@
 """Decontamination, tokens, personal data, archives, quality, language and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import io
+import json
 import os
 import re
+import struct
 import zipfile
 
 import duckdb
@@ -21,7 +24,7 @@ key = lambda r: tuple("" if v is None else str(v) for v in r)
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         p = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     got, want = queries.QUERIES[name](spark, sf_dir), con.execute(queries.SQL[name])
@@ -39,11 +42,11 @@ def brute_report(rows, items):
         for item, t in items:
             own = words(t)
             n = min(10, len(own))
-            grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own and item is not None else set()
+            grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
             for i in range(len(w) - n + 1 if grams else 0):
                 if tuple(w[i : i + n]) in grams:
                     hit |= set(range(i, i + n))
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
         out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
 
@@ -83,7 +86,7 @@ def test_tokens_are_the_library_s(tokenizer, library, text):
     ids = library.encode(text, add_special_tokens=False).ids
     n, got, decoded = next(tokenizer.encoder().batch([text]))
     assert (n, got) == (len(ids), " ".join(map(str, ids)))
-    assert decoded == library.decode(ids, skip_special_tokens=False) == bpe.decode(tokenizer, ids)
+    assert decoded == library.decode(ids, skip_special_tokens=False) == tokenizer.decode(got)
 
 
 def test_tokens_of_rows(awkward, nothing, library, monkeypatch):
@@ -92,6 +95,9 @@ def test_tokens_of_rows(awkward, nothing, library, monkeypatch):
     for r in bpe.encode(awkward, bpe.tokenizer_file()).collect():
         ids = library.encode(rows[r.doc_id] or "", add_special_tokens=False).ids
         assert (r.n_tokens, r.ids) == (len(ids), " ".join(map(str, ids)))
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(awkward, bpe.tokenizer_file()), bpe.tokenizer_file()).collect()}
+    assert back == {k: library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for k, t in rows.items()}
+    assert bpe.Tokenizer(bpe.tokenizer_file()).decode("320 99999999 ") == library.decode([320, 99999999])
     special = "a<|endoftext|>b <|startoftext|>"
     assert next(bpe.Tokenizer(bpe.tokenizer_file()).encoder().batch([special]))[1] == " ".join(map(str, library.encode(special, add_special_tokens=False).ids))
     assert bpe.encode(nothing, bpe.tokenizer_file()).count() == 0
@@ -164,9 +170,47 @@ def test_archives(spark, tmp_path):
     assert got == sorted(want, key=key)
     assert warc.round_trip(pages, least_bytes=1).where("page_id in (2, 3) AND record_type = 'response'").count() == 2
     assert warc.round_trip(pages.where("false")).count() == 0
-    for n, r in enumerate(warc.to_archives(warc.with_revisits(pages)).collect()):
-        (tmp_path / f"{n}.wacz").write_bytes(r.content)
-    assert warc.read_archive_files(spark, str(tmp_path)).where("record_type = 'response'").count() == 6
+    files = warc.write_archives(warc.with_revisits(pages), str(tmp_path / "a")).collect()
+    assert all(zipfile.ZipFile(r.path).testzip() is None and os.path.getsize(r.path) == r.length for r in files)
+    assert warc.read_archive_files(spark, str(tmp_path / "a")).where("record_type = 'response'").count() == 6
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Several WARC members, one of them compressed record by record, several indexes, lines with a timestamp."""
+    records = [warc.record(k, f"http://x/{k}", b"page %d" % k, None) for k in range(4)]
+    with zipfile.ZipFile(tmp_path / "x.wacz", "w") as z:
+        z.writestr("pages/pages.jsonl", "{}")
+        z.writestr("archive/one.warc", records[0] + records[1])
+        packed = [gzip.compress(r) for r in records[2:]]
+        z.writestr("archive/two.warc.gz", b"".join(packed))
+        line = lambda f, at, n: f"com,x)/ 20200101000000 {json.dumps({'filename': f, 'offset': str(at), 'length': n})}\n"
+        z.writestr("indexes/a.cdxj", line("one.warc", len(records[0]), len(records[1])) + line("one.warc", 0, len(records[0])))
+        z.writestr("indexes/b.cdxj", line("two.warc.gz", 0, len(packed[0])) + line("two.warc.gz", len(packed[0]), len(packed[1])))
+    got = warc.read_archive_files(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, bytes(r.payload)) for r in got) == [(str(k), b"page %d" % k) for k in range(4)]
+    with zipfile.ZipFile(tmp_path / "x.wacz", "a") as z:
+        z.writestr("archive/three.warc", records[0])
+    with pytest.raises(Exception, match="no index covers archive/three.warc"):
+        warc.read_archive_files(spark, str(tmp_path)).count()
+
+
+def test_archives_over_four_gigabytes(spark, tmp_path):
+    """A sparse ZIP64 file whose WARC member lies beyond 4 GB: only its end and the asked-for ranges are read."""
+    hole, record = (9 << 29) + 7, warc.record(1, "u", b"far away", None)
+    members = [("filler.bin", None, hole), ("archive/far.warc", record, len(record)), ("indexes/index.cdxj", b'1 {"offset": 0, "length": %d}\n' % len(record), 0)]
+    directory = b""
+    with open(tmp_path / "far.wacz", "wb") as f:
+        for name, data, size in members:
+            size, at, raw = len(data) if data else size, f.tell(), name.encode()
+            f.write(b"PK\x03\x04" + struct.pack("<HHHHHIIIHH", 45, 0, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), 20) + raw + struct.pack("<HHQQ", 1, 16, size, size))
+            f.write(data) if data else f.seek(size, 1)
+            directory += b"PK\x01\x02" + struct.pack("<HHHHHHIIIHHHHHII", 45, 45, 0, 0, 0, 33, 0, 0xFFFFFFFF, 0xFFFFFFFF, len(raw), 28, 0, 0, 0, 0, 0xFFFFFFFF) + raw + struct.pack("<HHQQQ", 1, 24, size, size, at)
+        start = f.tell()
+        f.write(directory + b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, 3, 3, len(directory), start))
+        f.write(b"PK\x06\x07" + struct.pack("<IQI", 0, start + len(directory), 1) + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    got = warc.read_archive_files(spark, str(tmp_path)).collect()
+    assert [(r.page_id, bytes(r.payload)) for r in got] == [("1", b"far away")]
+    assert os.path.getsize(tmp_path / "far.wacz") > 4 << 30
 
 
 def test_zip64_and_damage():
@@ -214,6 +258,41 @@ def test_quality_edges(spark, awkward, nothing):
     assert quality.score(nothing, quality.fit(nothing, labels, ~quality.held_out())).count() == 0
 
 
+def test_the_prior_is_estimated():
+    rng = np.random.default_rng(1)
+    for prior in (0.3, 0.6, 0.9):
+        x = np.zeros((9000, quality.FEATURES), np.float32)
+        y = rng.random(9000) < prior
+        y[:3000] = True
+        x[:, 0], x[:, 1] = np.where(y, 1, -1) + rng.standard_normal(9000) * 0.4, rng.standard_normal(9000)
+        assert abs(quality.estimated_prior(x[:3000], x[3000:]) - prior) < 0.05
+    assert quality.estimated_prior(x[:1], x[:1]) == 0.5
+
+
+def test_scores_against_brute_force(spark, awkward):
+    """The features of every text, counted one by one, under a fixed model."""
+    model = quality.PuModel()
+    rng = np.random.default_rng(4)
+    model.w, model.b = rng.standard_normal(quality.FEATURES).astype(np.float32), 0.1
+    kind = lambda b: 8 if b >= 128 else 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in b" \t" else 4 if b in b"\n\r" else {46: 5, 44: 6}.get(b, 7)
+
+    def brute(text):
+        raw, x = (text or "").encode(), [0.0] * quality.FEATURES
+        if raw:
+            words, k = raw.split(), [kind(b) for b in raw]
+            n = max(1, len(words))
+            for a, b, c in zip(k, k[1:], k[2:], strict=False):
+                x[81 * a + 9 * b + c] += 1
+            x[:729] = [(v / max(1, len(raw) - 2)) ** 0.5 for v in x[:729]]
+            same = sum(1 for a, b in zip(words, words[1:], strict=False) if a == b)
+            x[729:] = len(set(words)) / n, same / n, min(20, len(raw) / n) / 20, np.log(1 + len(raw)) / 15, np.log(1 + len(words)) / 15, raw.count(b"\n") / n
+        return 1 / (1 + np.exp(-(float(np.dot(x, model.w)) + 0.1)))
+
+    want = {r.doc_id: brute(r.text) for r in awkward.where("doc_id IS NOT NULL").collect()}
+    got = {r.doc_id: r.score for r in quality.score(awkward, model).where("doc_id IS NOT NULL").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in got)
+
+
 def test_non_negative_risk():
     rng = np.random.default_rng(0)
     x = np.zeros((900, quality.FEATURES), np.float32)
@@ -244,15 +323,15 @@ def test_gradients():
 
 def test_prediction_is_the_trained_network():
     m = language.ByteTagger(["a", "b"], 4, 2)
-    text = bytes(range(97, 117)) * 9
-    pieces = [text[i : i + language.SEGMENT] for i in range(0, len(text), language.SEGMENT)]
+    text = bytes(range(97, 117)) * 40
     total = np.zeros(2)
-    for p in pieces:
-        codes = np.frombuffer(p, np.uint8).astype(int)[:, None]
+    for at in range(0, len(text), language.SEGMENT):
+        low, high = max(0, at - language.CONTEXT), min(len(text), at + language.SEGMENT + language.CONTEXT)
+        codes = np.frombuffer(text[low:high], np.uint8).astype(int)[:, None]
         hf, hb = m.ways[0].forward(codes)[0], m.ways[1].forward(codes[::-1])[0][::-1]
         z = m.v[0] @ hf + m.v[1] @ hb + m.c
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        total += (e / e.sum(axis=1, keepdims=True)).sum(axis=(0, 2))
+        total += (e / e.sum(axis=1, keepdims=True))[at - low : at - low + language.SEGMENT].sum(axis=(0, 2))
     assert np.allclose(m.probabilities([text, b""])[0], total / len(text), atol=1e-4)
 
 
