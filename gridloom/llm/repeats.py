@@ -3,9 +3,9 @@
 1. Distinct texts, with their number of copies, go into a table bucketed by their digest; copies are not looked at again.
 2. Every text's anchors (see anchors.py) are counted; an anchor that occurs once leads to no repeated window.
 3. Runs of windows under a repeated anchor are brought together by the anchor's hash, and a resolver finds equal windows.
-4. Windows whose anchor has very many runs are taken through 2 and 3 again with longer anchors, in the end with whole
-   windows as anchors, of which two of each kind are resolved for all. So no task gets more than HOT_RUNS runs of one
-   anchor, and every repeat is settled by the resolver.
+4. Windows whose anchor has very many runs are taken through 2 and 3 again with longer anchors. Where even the longest
+   has very many, equal runs are one kind, the windows of each kind are their own anchors, and two of each are resolved
+   for all. So no task gets more than HOT_RUNS runs of one anchor, and every repeat is settled by the resolver.
 5. What the repeated windows cover is cut out of each distinct text, and the result goes to all its copies.
 """
 
@@ -82,14 +82,8 @@ def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
 def runs_at(kind: Kind, items: np.ndarray, hot: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place, first, last) of the runs of the level after those whose hot anchors are given: windows
     first .. last lie under hot anchors on all earlier levels, and under the anchor at place on this one."""
-    level = len(hot)
-    last_level = level == len(kind.grams)
-    if last_level:
-        n = max(0, len(items) - kind.window + 1)
-        h, place, first, last = np.zeros(n, np.uint64), np.arange(n), np.arange(n), np.arange(n)
-    else:
-        h, place, first, last = anchors(items, kind.window, kind.grams[level])
-    if not level:
+    h, place, first, last = anchors(items, kind.window, kind.grams[len(hot)])
+    if not hot:
         return h, place, first, last
     under = np.ones(max(0, len(items) - kind.window + 1), bool)
     for gram, known in zip(kind.grams, hot, strict=False):
@@ -149,17 +143,51 @@ def _runs(kind: Kind):
     return scan
 
 
-def _windows(kind: Kind):
-    """(w, key, first): every window that is under hot anchors on all levels, by its digest. Columns: key, text, hot anchors."""
+def _digest(raw: bytes) -> bytes:
+    return blake2b(raw, digest_size=16).digest()
+
+
+def _hot_runs(kind: Kind):
+    """(s, key, first, n): runs that are hot on the last level too, by the digest of what they hold. Columns: key, text, hot anchors."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, items, handle, hot in _rows(kind, b, 2):
-                starts = runs_at(kind, items, hot)[2]
-                for k in range(0, len(starts), 4096):
-                    at = starts[k : k + 4096]
-                    w = [blake2b(kind.cut(handle, i, i + kind.window), digest_size=16).digest() for i in at.tolist()]
-                    yield _batch({"w": (w, pa.binary()), "key": ([b.column(0)[r].as_py()] * len(at), pa.binary()), "first": (at, pa.int64())})
+                h, _, first, last = runs_at(kind, items, hot[:-1])
+                got = np.isin(h, hot[-1])
+                first, last = first[got], last[got]
+                s = [_digest(kind.cut(handle, a, z + kind.window)) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                yield _batch({"s": (s, pa.binary()), "key": ([b.column(0)[r].as_py()] * len(s), pa.binary()), "first": (first, pa.int64()), "n": ((last - first + 1).astype(np.int64), pa.int64())})
+
+    return scan
+
+
+def _windows(kind: Kind):
+    """(w, s, at, key, first): the windows of runs, by their digest. Columns: key, text, places array<struct<first, n, s>>."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text, places in zip(b.column(0), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                handle = kind.parse(text)[1]
+                for p in places:
+                    first, n = p["first"], p["n"]
+                    w = [_digest(kind.cut(handle, i, i + kind.window)) for i in range(first, first + n)]
+                    yield _batch({"w": (w, pa.binary()), "s": ([p["s"]] * n, pa.binary()), "at": (np.arange(n), pa.int64()), "key": ([key.as_py()] * n, pa.binary()), "first": (np.arange(first, first + n), pa.int64())})
+
+    return scan
+
+
+def _merged(kind: Kind):
+    """(s, c, spans) of rows (s, c, places of repeated windows in the run): spans of items, those that touch as one."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for places in b.column(2):
+                at = np.sort(places.values.to_numpy())
+                begins = np.diff(at, prepend=-1 - kind.window) > kind.window
+                out.append([{"a": a, "z": z + kind.window} for a, z in zip(at[begins].tolist(), at[np.append(begins[1:], True)].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))], ["s", "c", "spans"])
 
     return scan
 
@@ -259,15 +287,23 @@ def repeated_spans(texts: DataFrame, kind: Kind, resolver: Callable[[Runs], np.n
         hots.append(f"hot{level}")
         source = source.join(wanted.where("hot").select("key", F.col("wanted").alias(hots[-1])), "key").select("key", "text", *hots)
     else:
-        windows = source.mapInArrow(lean(_windows(kind)), "w binary, key binary, first long")
+        runs, place = source.mapInArrow(lean(_hot_runs(kind)), "s binary, key binary, first long, n long"), F.struct("key", "first", "n")
+        kinds = materialise(runs.groupBy("s").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count(F.lit(1)).alias("c")))
+        two = kinds.select("s", F.explode(F.array_distinct(F.array("p", "q"))).alias("p"))
+        named = two.groupBy("p.key").agg(F.collect_list(F.struct("p.first", "p.n", "s")).alias("places"))
+        windows = plain.join(named, "key").select("key", "text", "places").mapInArrow(lean(_windows(kind)), "w binary, s binary, at long, key binary, first long")
+        windows = materialise(windows)
         place = F.struct("key", "first")
-        twice = materialise(windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-        two = twice.select("w", F.explode(F.array("a", "b")).alias("p")).groupBy("p.key").agg(F.collect_list(F.struct("p.first", "w")).alias("places"))
-        cuts = plain.join(two, "key").select("key", "text", "places").mapInArrow(lean(_cuts(kind)), _RUN)
+        twice = materialise(windows.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b"))
+        ends = twice.select("w", F.explode(F.array("a", "b")).alias("p")).groupBy("p.key").agg(F.collect_list(F.struct("p.first", "w")).alias("places"))
+        cuts = plain.join(ends, "key").select("key", "text", "places").mapInArrow(lean(_cuts(kind)), _RUN)
         known = materialise(resolved(cuts).select(F.col("key").alias("w")).distinct().join(twice.select("w", "n"), "w"))
-        spans = joined(windows, known, ["w"], "n", F.xxhash64("key", "first"))
-        found.append(materialise(spans.select("key", "first", (F.col("first") + kind.window).alias("end"))))
-        used += [twice, known]
+        hits = joined(windows, known, ["w"], "n", F.col("s")).groupBy("s").agg(F.collect_set("at").alias("at"))
+        hits = kinds.select("s", "c").join(hits, "s").select("s", "c", "at").mapInArrow(lean(_merged(kind)), "s binary, c long, spans array<struct<a:long,z:long>>")
+        hits = materialise(hits)
+        spans = joined(runs, hits, ["s"], "c", F.xxhash64("key", "first")).select("key", "first", F.explode("spans").alias("x"))
+        found.append(materialise(spans.select("key", (F.col("first") + F.col("x.a")).alias("first"), (F.col("first") + F.col("x.z")).alias("end"))))
+        used += [kinds, windows, twice, known, hits]
     for done in used:
         discard(done)
     return found
