@@ -2,7 +2,8 @@
 
 Every surrogate comes from a keyed permutation of all values that share the entity's type and shape, so two different
 entities never get one surrogate and one entity gets the same surrogate wherever it occurs, without a table of entities
-and without a shuffle. surrogate_collisions() checks this on a corpus.
+and without a shuffle. No surrogate is its own original. surrogate_collisions() checks a corpus, and pseudonymise()
+raises if it finds any.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import hmac
 import ipaddress
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -22,14 +25,33 @@ from gridloom.llm.common import lean, small_batches, table
 
 #: Key of the registered query; a real run passes its own.
 KEY = b"gridloom demonstration key"
-#: Letters are replaced within these sets, so script and case stay. Ideographs and syllabaries are ranges of their blocks.
-_ALPHABETS = (
-    "abcdefghijklmnopqrstuvwxyz", "àáâãäåæçèéêëìíîïñòóôõöøùúûüý", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя",
-    "".join(map(chr, range(0x5D0, 0x5EB))), "".join(map(chr, range(0x621, 0x63B))), "".join(map(chr, range(0x3041, 0x3097))),
-    "".join(map(chr, range(0x30A1, 0x30FB))), "".join(map(chr, range(0xAC00, 0xD7A4))), "".join(map(chr, range(0x4E00, 0x9FA6))),
-)
-_ALPHABET_OF = {c: k for k, letters in enumerate(_ALPHABETS) for c in letters}
-_PLACE_OF = {c: i for letters in _ALPHABETS for i, c in enumerate(letters)}
+#: Characters of a value that are permuted together. A longer value goes in parts, each under what stands before it.
+PART = 48
+_VOWELS = "aeiou"
+
+
+@cache
+def _alphabet(c: str, sounds: bool = False) -> str:
+    """The letters or digits that may stand for a lower-case letter or digit: those of its script, case and block of 256
+    code points, ASCII apart from the rest; with sounds, ASCII vowels and consonants apart. Empty for other characters."""
+    if c.isdecimal():
+        return "".join(chr(ord(c) - unicodedata.decimal(c) + k) for k in range(10))
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo") or (kind == "Ll" and not _cased(c)):
+        return ""
+    if c.isascii():
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        return "".join(x for x in letters if (x in _VOWELS) == (c in _VOWELS)) if sounds else letters
+    script, low = unicodedata.name(c, "?").split()[0], ord(c) & ~0xFF
+    block = (chr(k) for k in range(low, low + 256) if k > 0x7F)
+    return "".join(x for x in block if unicodedata.category(x) == kind and unicodedata.name(x, "").split()[:1] == [script] and (kind == "Lo" or _cased(x)))
+
+
+def _cased(c: str) -> bool:
+    """Whether a lower-case letter has one upper-case letter, and that none but this."""
+    return len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+
+
 #: Given names by gender and script; a listed name is replaced by another of its list.
 _GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Camille Carmen Claire Elena Emma Eva Helen Ines Isabel Julia Karen Laura Linda Lucia Maria Marie Martha Nina Patricia Sarah Sophie".split(),
@@ -39,7 +61,12 @@ _GIVEN = {
     ("f", "greek"): "Αγγελική Ελένη Ιωάννα Κατερίνα Μαρία Σοφία".split(),
     ("m", "greek"): "Ανδρέας Γιώργος Δημήτρης Κώστας Νίκος Πέτρος".split(),
 }
-_LIST_OF = {name: names for names in _GIVEN.values() for name in names}
+_SURNAMES = {
+    "latin": "Anderson Baker Brown Carter Clark Davis Evans Fernandez Fischer Garcia Harris Johnson Jones Klein Lopez Martinez Miller Moore Moreau Meyer Rossi Schmidt Smith Taylor Walker Weber Wilson Wright".split(),
+    "cyrillic": "Васильев Волков Зайцев Иванов Козлов Лебедев Морозов Новиков Павлов Петров Смирнов Соколов".split(),
+}
+_GIVEN_NAMES = {name for names in _GIVEN.values() for name in names}
+_LIST_OF = {name: names for names in (*_GIVEN.values(), *_SURNAMES.values()) for name in names}
 _TITLES = {
     "m": "Mr Mister Sir Herr Monsieur Señor Signor г-н Господин κύριος Κύριος".split(),
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Señorita Sra Srta Signora г-жа Госпожа κυρία Κυρία".split(),
@@ -48,7 +75,7 @@ _TITLES = {
 
 
 class Permutation:
-    """Keyed permutations of 0 .. size-1, one for each (size, tweak)."""
+    """Keyed permutations of 0 .. size-1 without fixed points, one for each (size, tweak): a secret order, one step on."""
 
     def __init__(self, key: bytes):
         self.key = blake2b(key, digest_size=32).digest()
@@ -58,28 +85,29 @@ class Permutation:
         out = b"".join(blake2b(value.to_bytes(size, "big") + bytes([k, i]) + tweak, key=self.key, digest_size=64).digest() for i in range(-(-size // 64)))
         return int.from_bytes(out[:size], "big") & ((1 << bits) - 1)
 
-    def __call__(self, value: int, size: int, tweak: bytes, valid: Callable[[int], bool] = lambda _: True) -> int:
-        """The image of value. With `valid`, a permutation of the valid values, by walking the cycle to the next of them."""
-        if size < 2:
-            return value
-        if size < 1024:  # a rotation, which moves every value
-            step = 1 + int.from_bytes(hmac.digest(self.key, tweak, "sha256")[:8], "big") % (size - 1)
-            moved = (value + step) % size
-            while not valid(moved):
-                moved = (moved + step) % size
-                if moved == value:
-                    break
-            return moved
+    def _shuffled(self, value: int, size: int, tweak: bytes, back: bool) -> int:
+        """A Feistel network over the next power of two, walked until the value is below size; back is its inverse."""
         half = ((size - 1).bit_length() + 1) // 2
         mask = (1 << half) - 1
         while True:
             left, right = value >> half, value & mask
-            for k in range(8):
-                left, right = right, left ^ self._round(tweak, k, right, half)
+            for k in range(7, -1, -1) if back else range(8):
+                left, right = (right ^ self._round(tweak, k, left, half), left) if back else (right, left ^ self._round(tweak, k, right, half))
             value = left << half | right
-            if value < size and valid(value):
+            if value < size:
                 return value
 
+    def __call__(self, value: int, size: int, tweak: bytes, valid: Callable[[int], bool] = lambda _: True) -> int:
+        """The image of value. With `valid`, a permutation of the valid values; a value that is valid alone is its own."""
+        if size < 2:
+            return value
+        at = self._shuffled(value, size, tweak, back=True)
+        while True:
+            at = (at + 1) % size
+            image = self._shuffled(at, size, tweak, back=False)
+            if image == value or valid(image):
+                return image
+
 
 def _mixed(values: list[int], sizes: list[int]) -> tuple[int, int]:
     n, total = 0, 1
@@ -129,13 +157,23 @@ _LONG_HEX = re.compile(r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.+?)-----END", re.S)
 _NAME_WORD = r"[^\W\d_a-zà-ÿα-ωа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _NAMED = re.compile(rf"\b({'|'.join(t for ts in _TITLES.values() for t in ts)})\.?[  ]({_NAME_WORD}(?:[  ]{_NAME_WORD}){{0,2}})")
+_LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN_NAMES, key=len, reverse=True))})((?:[  ]{_NAME_WORD}){{1,2}})(?!\w)")
+_GENDER_OF = {name: gender for (gender, _), names in _GIVEN.items() for name in names}
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){0,6}(?::[0-9A-Fa-f]{1,4})?(?![\w:])|(?<![\w:.])[0-9A-Fa-f]{1,4}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])")
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return bool(ipaddress.IPv6Address(text)) and any(c.isdigit() for c in text)
+    except ValueError:
+        return False
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, in order, none overlapping another; of overlapping finds the earlier kind in this list stays:
-    e-mail addresses, IBANs, private keys and secrets, IP addresses, national numbers, telephone and card numbers, names
-    after a title and later mentions of the same names."""
+    e-mail addresses, IBANs, private keys and secrets, IP addresses of both versions, national numbers, telephone and card
+    numbers, names after a title or after a listed given name, and all mentions of the same names in the text."""
     found: list[Entity] = []
     at = text.find("@")
     while at >= 0:
@@ -164,7 +202,13 @@ def detect(text: str) -> list[Entity]:
                 found.append(Entity(at, m.end(), kind))
                 end = m.end()
                 break
+    if "::" in text or text.count(":") > 6:
+        found += [Entity(*m.span(), "ipv6") for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     names: dict[str, str] = {}
+    for m in _LISTED.finditer(text):
+        for w in re.finditer(_NAME_WORD, m[0]):
+            found.append(Entity(m.start() + w.start(), m.start() + w.end(), "name", _GENDER_OF[m[1]]))
+            names.setdefault(w[0], _GENDER_OF[m[1]])
     for m in _NAMED.finditer(text):
         gender = _GENDER[m[1]]
         for w in re.finditer(_NAME_WORD, m[2]):
@@ -174,10 +218,10 @@ def detect(text: str) -> list[Entity]:
         again = re.compile(rf"\b({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b")
         found += [Entity(*m.span(), "name", names[m[1]]) for m in again.finditer(text)]
     out: list[Entity] = []
-    taken: set[int] = set()
+    taken = bytearray(len(text))
     for e in found:  # in the order of the kinds
-        if taken.isdisjoint(span := range(e.start, e.end)):
-            taken.update(span)
+        if not any(taken[e.start : e.end]):
+            taken[e.start : e.end] = b"\1" * (e.end - e.start)
             out.append(e)
     return sorted(out, key=lambda e: e.start)
 
@@ -188,23 +232,33 @@ class Surrogates:
     def __init__(self, key: bytes):
         self.permute = Permutation(key)
 
-    def _letters(self, text: str, kind: str, keep: Callable[[int, str], bool] = lambda i, c: False, taken: Callable[[str], bool] = lambda s: False) -> str:
-        """Letters and digits replaced within their sets, position by position; case and everything else stay."""
-        low = text.lower() if len(text.lower()) == len(text) else text
-        places = [i for i, c in enumerate(low) if (c in _PLACE_OF or c in "0123456789") and not keep(i, c)]
-        sizes = [10 if low[i].isdigit() else len(_ALPHABETS[_ALPHABET_OF[low[i]]]) for i in places]
-        values = [int(low[i]) if low[i].isdigit() else _PLACE_OF[low[i]] for i in places]
-        shape = "".join("0" if c in "0123456789" else chr(0x100 + _ALPHABET_OF[c]) if c in _PLACE_OF and i in set(places) else c for i, c in enumerate(low))
-
-        def built(n: int) -> str:
-            out = list(text)
-            for i, v in zip(places, _unmixed(n, sizes), strict=True):
-                c = str(v) if low[i].isdigit() else _ALPHABETS[_ALPHABET_OF[low[i]]][v]
-                out[i] = c.upper() if text[i] != low[i] and len(c.upper()) == 1 else c
-            return "".join(out)
-
-        n, size = _mixed(values, sizes)
-        return built(self.permute(n, size, f"{kind}|{shape}".encode(), lambda m: not taken(built(m))))
+    def _letters(self, text: str, kind: str, keep: Callable[[int, str], bool] = lambda i, c: False, taken: Callable[[str], bool] = lambda s: False, sounds: bool = False) -> str:
+        """Letters and digits replaced within their alphabets, PART of them at a time; case and everything else stay."""
+        low = [x if len(x := c.lower()) == 1 else c for c in text]
+        sets = [_alphabet(c, sounds) for c in low]
+        places = [i for i, c in enumerate(low) if len(sets[i]) > 1 and not keep(i, c)]
+        chosen, out = set(places), list(text)
+        shape = "".join(chr(0x100 + ord(sets[i][0])) if i in chosen else c for i, c in enumerate(low))
+        tweak = blake2b(f"{kind}|{shape}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        for k in range(0, len(places), PART):
+            part = places[k : k + PART]
+            sizes = [len(sets[i]) for i in part]
+            n, size = _mixed([sets[i].index(low[i]) for i in part], sizes)
+
+            def built(n: int, part=part, sizes=sizes) -> list[str]:
+                new = (sets[i][v] for i, v in zip(part, _unmixed(n, sizes), strict=True))
+                return [c.upper() if text[i] != low[i] else c for i, c in zip(part, new, strict=True)]
+
+            def free(m: int, part=part, built=built) -> bool:
+                whole = list(text)
+                for i, c in zip(part, built(m), strict=True):
+                    whole[i] = c
+                return not taken("".join(whole))
+
+            for i, c in zip(part, built(self.permute(n, size, tweak, free if len(places) <= PART else lambda _: True)), strict=True):
+                out[i] = c
+            tweak = blake2b("".join(low[i] for i in part).encode(), key=tweak, digest_size=16).digest()
+        return "".join(out)
 
     def _digits(self, digits: str, kind: str, valid: Callable[[str], bool] = lambda s: True, first: bool = True) -> str:
         """A number of the same length; a leading zero stays one, and with first=False the first digit stays."""
@@ -224,6 +278,12 @@ class Surrogates:
             return f"{self._letters(local, 'local')}@{self._letters(host, 'host')}{dot}{top}"
         if kind == "ip":
             return self._address(value)
+        if kind == "ipv6":  # the first group tells the kind of address and stays
+            first = value.index(":")
+            digits = [i for i in range(first, len(value)) if value[i] in "0123456789abcdefABCDEF"]
+            n = self.permute(int("".join(value[i] for i in digits) or "0", 16), 16 ** len(digits), f"ipv6|{''.join(c if c == ':' else 'x' for c in value)}|{value[:first]}".encode())
+            new = dict(zip(digits, format(n, "x").zfill(len(digits)), strict=True)) if digits else {}
+            return "".join((new[i].upper() if any(c in "ABCDEF" for c in value) else new[i]) if i in new else c for i, c in enumerate(value))
         if kind == "iban":
             bare = value.replace(" ", "")
             body = self._letters(bare[4:], "iban" + bare[:2])
@@ -260,8 +320,10 @@ class Surrogates:
         if listed in _LIST_OF:
             names = _LIST_OF[listed]
             return style(names[self.permute(names.index(listed), len(names), repr(names[:2]).encode())])
-        # the last letter stays: it often tells the gender of a name
-        return self._letters(value, "name", keep=lambda i, c: i == len(low) - 1, taken=lambda s: s.lower().capitalize() in _LIST_OF)
+        taken = lambda s: s.lower().capitalize() in _LIST_OF
+        # the last letter stays, as it often tells the gender of a name, unless the name has no other letter to change
+        new = self._letters(value, "name", keep=lambda i, c: i == len(low) - 1, taken=taken, sounds=True)
+        return new if new != value else self._letters(value, "name", taken=taken)
 
 
 def replace(text: str, surrogates: Surrogates) -> tuple[str, list[Entity]]:
@@ -273,14 +335,17 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[Entity]]:
     return "".join(out) + text[at:], found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", check: bool = True) -> DataFrame:
     """docs with surrogates in text_col, and n_entities and kinds (such as 'email:2,ip:1', sorted) beside its columns.
 
-    A null text stays null with 0 entities; empty texts stay empty. Whole texts are searched, one pass, no shuffle.
+    With check, the entities of docs are looked over first, and two different ones with one surrogate, or one that is its
+    own surrogate, raise. A null text stays null with 0 entities; empty texts stay empty. Whole texts are searched, one pass, no shuffle.
     Repeated rows are changed alike. Columns of docs named n_entities or kinds give way to the new ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    if check and (bad := surrogate_collisions(docs, key, text_col).first()):
+        raise ValueError(f"the surrogate {bad.surrogate} of kind {bad.kind} stands for more than one value, or for itself")
     rows = docs.drop("n_entities", "kinds")
     place = rows.columns.index(text_col)
 
@@ -317,9 +382,9 @@ def entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataF
 
 
 def surrogate_collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """(kind, surrogate) that stand for more than one value, case aside; the permutations leave none."""
+    """(kind, surrogate) that stand for more than one value, case aside, or for themselves; the permutations leave none."""
     found = entities(docs, key, text_col).groupBy("kind", "surrogate").agg(F.min(F.lower("value")).alias("a"), F.max(F.lower("value")).alias("b"))
-    return found.where("a <> b").select("kind", "surrogate")
+    return found.where(F.expr("a <> b") | (F.col("a") == F.lower("surrogate"))).select("kind", "surrogate")
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

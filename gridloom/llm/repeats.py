@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.anchors import anchors
 from gridloom.llm.common import as_bytes, discard, joined, lean, materialise, ranges, shared_folder, small_batches, text_key
 
-#: Windows under an anchor with more runs than this get longer anchors.
-HOT_RUNS = 2000
+#: Windows under an anchor with more runs than this, about 20 MB of them in a task, get longer anchors.
+HOT_RUNS = 50_000
 #: Rows that a resolver gets at a time hold at most about so many bytes, if no single anchor has more.
 BLOCK_BYTES = 2 << 20
 

@@ -8,6 +8,8 @@ import json
 import os
 import re
 import struct
+import time
+import unicodedata
 import zipfile
 
 import duckdb
@@ -135,7 +137,48 @@ def test_names_keep_gender_and_coreference():
     assert len(found) == 6
     first, last = new.split()[1:3]
     assert first in pii._GIVEN["m", "latin"] and new.split()[5] in pii._GIVEN["f", "latin"]
-    assert new.count(last) == 2 and last.endswith("h") and any(n in new for n in pii._GIVEN["m", "cyrillic"])
+    assert new.count(last) == 2 and last in pii._SURNAMES["latin"] and new.split()[6].endswith("a.") and any(n in new for n in pii._GIVEN["m", "cyrillic"])
+
+
+@pytest.mark.parametrize("name", ["राम", "नेहा", "Ő", "Žižek", "Łoś", "Nguyễn", "محمد", "李小龙", "Smith", "O'Neill", "José", "Ann", "Jo", "김민수", "Ωmega", "İpek", "Ян"])
+def test_no_name_is_its_own_surrogate(name):
+    new = pii.Surrogates(pii.KEY).of(name, "name")
+    assert new != name and new.isupper() == name.isupper()
+    if name in pii._LIST_OF:
+        return
+    changed = [(a, b) for a, b in zip(name, new, strict=True) if len(a.lower()) == 1 and pii._alphabet(a.lower())]
+    assert all(a.isupper() == b.isupper() for a, b in changed) and all(unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0] for a, b in changed)
+
+
+def test_surrogates_of_small_worlds_are_permutations():
+    """Every value of a shape against every other: distinct surrogates of the same shape, none its own."""
+    s = pii.Surrogates(b"k")
+    worlds = {
+        "name": [a + b + "x" for a in "BCDFGH" for b in "aeiou"], "secret": [f"{n:08b}"[-3:] + "abcde"[:0] for n in range(8)],
+        "ssn": [f"0{n:08d}"[:3] + "-" + f"{n:08d}"[2:4] + "-" + f"{n:08d}"[4:] for n in range(300)], "card": [x for x in (f"41111111111{n:04d}" for n in range(3000)) if pii.luhn(x)],
+        "ip": [f"10.0.0.{n}" for n in range(256)], "ipv6": [f"fe80::{n:x}" for n in range(16)], "email": [f"{a}{b}@x.org" for a in "abcdef" for b in "abcdef"],
+    }
+    for kind, values in worlds.items():
+        got = [s.of(v, kind) for v in values]
+        assert len(set(got)) == len(set(values)) and not any(a == b for a, b in zip(values, got, strict=True)), kind
+        assert all(re.sub(r"\w", "x", a) == re.sub(r"\w", "x", b) for a, b in zip(values, got, strict=True)) or kind == "ip"
+    assert all(pii.luhn(s.of(v, "card")) for v in worlds["card"])
+
+
+def test_long_secrets_take_linear_time():
+    began, secret = time.time(), "Zq9" * 340_000
+    new, found = pii.replace(f"token={secret} end", pii.Surrogates(b"k"))
+    assert [e.kind for e in found] == ["secret"] and len(new) == len(secret) + 10 and secret not in new
+    assert sum(a == b for a, b in zip(new[6:], secret, strict=False)) < len(secret) / 5
+    assert time.time() - began < 30
+
+
+def test_names_without_a_title_and_new_addresses():
+    s = pii.Surrogates(b"k")
+    new, found = pii.replace("Maria Garcia wrote; Garcia agreed. See fe80::1ff:fe23:4567:890a or 2001:db8:0:0:8d3:0:0:7 at 12:30:45, std::vector a::b.", s)
+    assert [e.kind for e in found] == ["name", "name", "name", "ipv6", "ipv6"] and new.count(new.split()[1]) == 2
+    assert "Maria" not in new and "Garcia" not in new and "12:30:45, std::vector a::b." in new
+    assert new.split()[0] in pii._GIVEN["f", "latin"] and new.split()[1] in pii._SURNAMES["latin"]
 
 
 def test_clean_texts_stay():
