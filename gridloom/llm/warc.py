@@ -24,7 +24,7 @@ from gridloom.llm.common import as_bytes, joined, lean, materialise, shared_fold
 ARCHIVE_BYTES = 64 << 20
 #: Records that follow each other are read by one range of at most so many bytes, if no single one has more.
 RANGE_BYTES = 4 << 20
-WARC_MEMBER, INDEX_MEMBER = "archive/data.warc", "indexes/index.cdxj"
+WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed values of the ZIP format: signatures of the end record, the ZIP64 locator and end record, central and local headers.
 _END, _LOCATOR, _END64, _CENTRAL, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
 _DATE = "1970-01-01T00:00:00Z"  # pages carry no time of their own
@@ -152,7 +152,8 @@ class ArchiveWriter:
         self.warc = self.zip.open(zipfile.ZipInfo(WARC_MEMBER, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=True)
 
     def add(self, *args) -> None:
-        raw, name = record(*args), WARC_MEMBER.partition("/")[2]
+        packed = zlib.compressobj(1, zlib.DEFLATED, 31)  # each record is compressed by itself, the member is stored
+        raw, name = packed.compress(record(*args)) + packed.flush(), WARC_MEMBER.partition("/")[2]
         self.index.append(f"{'-' if args[0] is None else args[0]} {json.dumps({'filename': name, 'offset': self.at, 'length': len(raw)})}\n")
         self.warc.write(raw)
         self.at += len(raw)
