@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -58,21 +57,35 @@ def _neighbours(connectivity: int) -> list[tuple[int, int]]:
     return four if connectivity == 4 else [*four, (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 .. n-1 and links a-b the smallest node that each reaches: minimum labels and pointer jumping."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        before = root.copy()
+        for ends in (a, b):
+            np.minimum.at(root, root[ends], low)
+        while not np.array_equal(root, further := root[root]):
+            root = further
+        if np.array_equal(root, before):
+            return root
+
+
 def label(a: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Labels of the non-zero regions, from 1 in the order in which a scan meets them."""
-    out, n = np.zeros(a.shape, int), 0
-    for y, x in zip(*np.nonzero(a), strict=True):
-        if out[y, x]:
-            continue
-        n += 1
-        out[y, x], todo = n, deque([(y, x)])
-        while todo:
-            v, u = todo.popleft()
-            for dy, dx in _neighbours(connectivity):
-                q, p = v + dy, u + dx
-                if 0 <= q < a.shape[0] and 0 <= p < a.shape[1] and a[q, p] and not out[q, p]:
-                    out[q, p] = n
-                    todo.append((q, p))
+    """Labels of the non-zero regions, from 1 in the order in which a scan meets them: runs of pixels, joined where they
+    touch a run of the row above."""
+    wide, reach = a.shape[1] + 2, 1 if connectivity == 8 else 0
+    edges = np.diff(np.pad((a != 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    (y, start), end = np.nonzero(edges == 1), np.nonzero(edges == -1)[1]
+    above = (y - 1) * wide
+    first = np.searchsorted(y * wide + end, above + start - reach, "right")
+    stop = np.maximum(first, np.searchsorted(y * wide + start, above + end + reach, "left"))
+    count = stop - first
+    below = np.repeat(np.arange(len(y)), count)
+    touched = np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(below))
+    number = np.unique(_roots(len(y), below, touched), return_inverse=True)[1] + 1
+    out = np.zeros(a.shape, int)
+    out[a != 0] = np.repeat(number, end - start)
     return out
 
 
@@ -85,11 +98,19 @@ def component_stats(planes: DataFrame, connectivity: int = 8) -> DataFrame:
 
     def stats(a: np.ndarray) -> Iterator[tuple]:
         labels = label(a, connectivity)
-        for k in range(labels.max(initial=0) + 1):
-            y, x = np.nonzero(labels == k)
-            if len(y):
-                yield k, int(x.min()), int(y.min()), int(np.ptp(x)) + 1, int(np.ptp(y)) + 1, len(y), float(x.mean()), float(y.mean())
-            elif k == 0:
+        y, x = (v.ravel() for v in np.indices(a.shape))
+        k = labels.ravel()
+        n = labels.max(initial=0) + 1
+        area = np.bincount(k, minlength=n)
+        low, high = np.full((2, n), max(a.shape)), np.full((2, n), -1)
+        for side, v in enumerate((x, y)):
+            np.minimum.at(low[side], k, v)
+            np.maximum.at(high[side], k, v)
+        cx, cy = (np.bincount(k, v, n) / np.maximum(area, 1) for v in (x, y))
+        for j in range(n):
+            if area[j]:
+                yield j, int(low[0, j]), int(low[1, j]), int(high[0, j] - low[0, j]) + 1, int(high[1, j] - low[1, j]) + 1, int(area[j]), float(cx[j]), float(cy[j])
+            elif j == 0:
                 yield 0, 0, 0, 0, 0, 0, 0.0, 0.0
 
     return per_plane(planes, stats, "label int, left int, top int, width int, height int, area int, center_x double, center_y double")
@@ -100,21 +121,22 @@ _CHAMFER = {("l1", 3): (1.0, 2.0, None), ("c", 3): (1.0, 1.0, None), ("l2", 3):
 
 
 def chamfer(a: np.ndarray, kind: str = "l2", mask: int = 3) -> np.ndarray:
-    """Distance of every pixel to the nearest zero, in two passes; 1e30 if there is none."""
+    """Distance of every pixel to the nearest zero, in two passes of whole rows; 1e30 if there is none."""
     straight, diagonal, knight = _CHAMFER[kind, mask if kind == "l2" else 3]
-    steps = [(-1, 0, straight), (0, -1, straight), (-1, -1, diagonal), (-1, 1, diagonal)]
+    steps = [(1, 0, straight), (1, 1, diagonal), (1, -1, diagonal)]
     if knight:
-        steps += [(-2, -1, knight), (-2, 1, knight), (-1, -2, knight), (-1, 2, knight)]
+        steps += [(2, 1, knight), (2, -1, knight), (1, 2, knight), (1, -2, knight)]
     h, w = a.shape
-    d = np.where(a == 0, 0.0, 1e30)
-    for sign, ys, xs in ((1, range(h), range(w)), (-1, range(h - 1, -1, -1), range(w - 1, -1, -1))):
-        for y in ys:
-            for x in xs:
-                for dy, dx, s in steps:
-                    q, p = y + sign * dy, x + sign * dx
-                    if 0 <= q < h and 0 <= p < w and d[q, p] + s < d[y, x]:
-                        d[y, x] = d[q, p] + s
-    return d
+    d = np.full((h + 2, w + 4), 1e30)
+    d[2:, 2:-2] = np.where(a == 0, 0.0, 1e30)
+    run = straight * np.arange(w)
+    for _ in range(2):  # downwards, then turned by half a circle
+        for y in range(2, h + 2):
+            row = np.minimum.reduce([d[y, 2:-2], *(d[y - dy, 2 - dx : 2 - dx + w] + s for dy, dx, s in steps)])
+            row = np.minimum(row, np.minimum.accumulate(row - run) + run)
+            d[y, 2:-2] = np.where(row < 1e29, row, 1e30)
+        d[2:] = d[:1:-1, ::-1].copy()
+    return d[2:, 2:-2]
 
 
 def distance_transform(planes: DataFrame, kind: str = "l2", mask: int = 3) -> DataFrame:
@@ -125,31 +147,33 @@ def distance_transform_with_labels(planes: DataFrame, kind: str = "l2") -> DataF
     """(img, c, rows, cols, data, labels): exact distances, and the 8-connected region of zeros that is nearest."""
 
     def run(a: np.ndarray) -> list[tuple]:
-        zy, zx = np.nonzero(a == 0)
-        if not len(zy):
+        if not (a == 0).any():
             return [(*a.shape, [1e30] * a.size, [0] * a.size)]
-        marks = label((a == 0).astype(int))[zy, zx]
-        y, x = (v.ravel()[:, None] for v in np.indices(a.shape))
-        dy, dx = np.abs(y - zy), np.abs(x - zx)
-        d = dy + dx if kind == "l1" else np.maximum(dy, dx) if kind == "c" else np.hypot(dy, dx)
-        k = d.argmin(axis=1)
-        return [(*a.shape, d[np.arange(len(k)), k].astype(float).tolist(), marks[k].tolist())]
+        h, w = a.shape
+        y, far = np.arange(h)[:, None], h + w
+        up = np.maximum.accumulate(np.where(a == 0, y, -far), axis=0)  # the nearest zero of the column above and below
+        down = np.minimum.accumulate(np.where(a == 0, y, 2 * far)[::-1], axis=0)[::-1]
+        near = np.where(y - up <= down - y, up, down)
+        gap = np.abs(y - near).astype(float)
+        join = {"l1": np.add, "c": np.maximum}.get(kind, np.hypot)
+        best, by = np.where(gap < far, gap, np.inf), np.broadcast_to(np.arange(w), a.shape).copy()
+        for dx in range(1, w):  # columns further and further away, while any can still be nearer
+            if dx > best.max():
+                break
+            for x, z in ((slice(dx, w), slice(0, w - dx)), (slice(0, w - dx), slice(dx, w))):
+                d = np.where(gap[:, z] < far, join(gap[:, z], dx), np.inf)
+                nearer = d < best[:, x]
+                best[:, x][nearer], by[:, x][nearer] = d[nearer], np.broadcast_to(np.arange(w)[z], d.shape)[nearer]
+        marks = label((a == 0).astype(int))[near[y, by], by]
+        return [(h, w, best.ravel().tolist(), marks.ravel().tolist())]
 
     return per_plane(planes, run, "rows int, cols int, data array<double>, labels array<int>")
 
 
 def flooded(a: np.ndarray, seed: tuple[int, int], low: float, high: float, connectivity: int = 4) -> np.ndarray:
     """Pixels connected to the seed (y, x) whose values lie within low below and high above the seed's."""
-    base, out, todo = a[seed], np.zeros(a.shape, bool), deque([seed])
-    out[seed] = True
-    while todo:
-        y, x = todo.popleft()
-        for dy, dx in _neighbours(connectivity):
-            q, p = y + dy, x + dx
-            if 0 <= q < a.shape[0] and 0 <= p < a.shape[1] and not out[q, p] and base - low <= a[q, p] <= base + high:
-                out[q, p] = True
-                todo.append((q, p))
-    return out
+    regions = label((a >= a[seed] - low) & (a <= a[seed] + high), connectivity)
+    return regions == regions[seed]
 
 
 def flood_fill(planes: DataFrame, seed: tuple[int, int], value: float, low: float = 0.0, high: float = 0.0, connectivity: int = 4) -> DataFrame:
@@ -268,16 +292,45 @@ def find_contours(planes: DataFrame, mode: int = TREE, simple: bool = True, offs
             if mode in (EXTERNAL, LIST) or (mode == CCOMP and not hole):
                 parent = -1
             parents.append(number.get(parent, -1))
+        family: dict[int, list[int]] = {}
+        for n, parent in enumerate(parents):
+            family.setdefault(parent, []).append(n)
+        place = {n: i for same in family.values() for i, n in enumerate(same)}
         for n, k in enumerate(keep):
-            same = [m for m, p in enumerate(parents) if p == parents[n]]
-            at = same.index(n)
-            child = next((m for m, p in enumerate(parents) if p == n), -1)
+            same, at = family[parents[n]], place[n]
+            child = family[n][0] if n in family else -1
             points = simplified(found[k][0]) if simple else found[k][0]
             yield n, same[at + 1] if at + 1 < len(same) else -1, same[at - 1] if at else -1, child, parents[n], [{"x": x + offset[0], "y": y + offset[1]} for x, y in points]
 
     return per_plane(planes, run, "contour int, next int, previous int, child int, parent int, points array<struct<x:int,y:int>>")
 
 
+def otsu_level(a: np.ndarray) -> int:
+    """The 8-bit level that maximises the variance between the classes at or below it and above it; the first of equals."""
+    share = np.bincount(a.astype(int).ravel(), minlength=256) / a.size
+    q, m = share.cumsum(), (share * np.arange(256)).cumsum()
+    sound = np.minimum(q, 1 - q) >= 1.1920929e-07
+    low, high = m / np.where(sound, q, 1), (m[-1] - m) / np.where(sound, 1 - q, 1)
+    return int(np.round(np.where(sound, q * (1 - q) * (low - high) ** 2, 0), 9).argmax())
+
+
+def otsu_threshold(planes: DataFrame, maximum: float, kind: int) -> DataFrame:
+    return _by_level(planes, otsu_level, maximum, kind)
+
+
+def equalized(planes: DataFrame) -> DataFrame:
+    """8-bit planes with an even histogram: the table of the counts, from the least value that occurs, in one pass."""
+
+    def run(a: np.ndarray) -> np.ndarray:
+        counts = np.bincount(a.astype(int).ravel(), minlength=256)
+        first = counts[np.flatnonzero(counts)[0]] if a.size else 0
+        if first == a.size:
+            return a
+        return np.clip(np.rint((counts.cumsum() - first) * 255.0 / (a.size - first)), 0, 255)[a.astype(int)]
+
+    return per_image(planes, run)
+
+
 def triangle_level(a: np.ndarray) -> int:
     """The 8-bit level farthest from the line between the histogram's peak and its longer tail."""
     h = np.bincount(a.astype(int).ravel(), minlength=256).astype(float)
@@ -292,8 +345,12 @@ def triangle_level(a: np.ndarray) -> int:
 
 
 def triangle_threshold(planes: DataFrame, maximum: float, kind: int) -> DataFrame:
+    return _by_level(planes, triangle_level, maximum, kind)
+
+
+def _by_level(planes: DataFrame, level: Callable[[np.ndarray], int], maximum: float, kind: int) -> DataFrame:
     def run(a: np.ndarray) -> np.ndarray:
-        above = a > (t := triangle_level(a))
+        above = a > (t := level(a))
         return [np.where(above, maximum, 0), np.where(above, 0, maximum), np.minimum(a, t), np.where(above, a, 0), np.where(above, 0, a)][kind]
 
     return per_image(planes, run)

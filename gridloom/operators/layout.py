@@ -108,3 +108,14 @@ def get_rect_sub_pix(planes: DataFrame, rows: int, cols: int, center: tuple[floa
         return F.signum(mixed) * F.floor(F.abs(mixed) + 0.5) if integer else mixed
 
     return changed(planes, P.grid_over(D(), rows, cols, value), rows, cols)
+
+
+def extract_channel(planes: DataFrame, channel: int) -> DataFrame:
+    """One channel of each image, as channel 0."""
+    return planes.where(F.col("c") == channel).withColumn("c", F.lit(0)).select("img", "c", "rows", "cols", "data")
+
+
+def insert_channel(planes: DataFrame, plane: DataFrame, channel: int) -> DataFrame:
+    """Images with one channel replaced by the image's plane of `plane`; both sides have the image."""
+    new = plane.select("img", F.lit(channel).alias("c"), "rows", "cols", "data").join(planes.where(F.col("c") == channel).select("img"), "img", "left_semi")
+    return planes.where(F.col("c") != channel).unionByName(new)

@@ -224,15 +224,11 @@ def calc_back_project(planes: DataFrame, histogram: Sequence[float], low: float,
 
 def equalize_hist(planes: DataFrame) -> DataFrame:
     """8-bit planes with an even distribution; a constant plane stays."""
-    from gridloom.operators.selection import histogram256
+    from gridloom.operators.kernels import equalized
 
-    def table(h: Column) -> Column:
-        """The cumulative counts, and the count of the least value."""
-        cdf = F.aggregate(h, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-        return F.struct(F.slice(cdf, 2, 256).alias("cdf"), F.element_at(F.filter(h, lambda n: n > 0), 1).alias("first"))
+    return equalized(planes)
 
-    def leveled(d: Column, t: Column) -> Column:
-        rest = F.size(d) - t["first"]
-        return F.transform(d, lambda v: F.when(rest == 0, v).otherwise(F.rint((F.get(t["cdf"], v.cast("int")) - t["first"]) * 255.0 / F.when(rest == 0, F.lit(1)).otherwise(rest))))
 
-    return changed(planes, P.let(D(), lambda d: P.let(histogram256(d), lambda h: P.let(table(h), lambda t: leveled(d, t)))))
+def total(planes: DataFrame) -> DataFrame:
+    """(img, c, sum)."""
+    return planes.select("img", "c", P.total(D()).alias("sum"))

@@ -34,35 +34,6 @@ def in_range(planes: DataFrame, low: DataFrame, high: DataFrame) -> DataFrame:
     return listed.select("img", F.lit(0).alias("c"), "rows", "cols", every.alias("data"))
 
 
-def histogram256(data: Column) -> Column:
-    """Counts of the values 0 .. 255."""
-    # array_remove compares without a lambda per value
-    return P.let(data, lambda d: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.size(d) - F.size(F.array_remove(d, k.cast("double")))))
-
-
-def otsu_level(data: Column) -> Column:
-    """The 8-bit level that maximises the variance between the classes at or below it and above it; the first of equals."""
-    return P.let(F.struct((P.total(data) / F.size(data)).alias("mean"), F.size(data).cast("double").alias("n")), lambda s: _otsu(histogram256(data), s["n"], s["mean"]))
-
-
-def _otsu(hist: Column, n: Column, mean: Column) -> Column:
-    start = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("m"), F.lit(0.0).alias("best"), F.lit(0.0).alias("level"), F.lit(0).alias("k"))
-
-    def step(s: Column, h: Column) -> Column:
-        p = h / n
-        q1 = s["q"] + p
-        q2 = F.lit(1.0) - q1
-        sound = (F.least(q1, q2) >= 1.1920929e-07) & (F.greatest(q1, q2) <= 1 - 1.1920929e-07)
-        mu1 = F.when(sound, (s["m"] * s["q"] + s["k"] * p) / F.when(q1 == 0, F.lit(1.0)).otherwise(q1)).otherwise(s["m"] * s["q"])
-        mu2 = (mean - q1 * mu1) / F.when(q2 == 0, F.lit(1.0)).otherwise(q2)
-        sigma = F.when(sound, q1 * q2 * (mu1 - mu2) * (mu1 - mu2)).otherwise(F.lit(0.0))
-        mu = F.when(sound, mu1).otherwise(F.when(q1 > 0, (s["m"] * s["q"] + s["k"] * p) / F.when(q1 == 0, F.lit(1.0)).otherwise(q1)).otherwise(F.lit(0.0)))
-        better = sigma > s["best"]
-        return F.struct(q1.alias("q"), mu.alias("m"), F.when(better, sigma).otherwise(s["best"]).alias("best"), F.when(better, s["k"].cast("double")).otherwise(s["level"]).alias("level"), (s["k"] + 1).alias("k"))
-
-    return F.aggregate(hist, start, step, lambda s: s["level"])
-
-
 def thresholded(v: Column, level: Column, maximum: float, kind: int) -> Column:
     above, top = v > level, F.lit(float(maximum))
     return {BINARY: F.when(above, top).otherwise(F.lit(0.0)), BINARY_INV: F.when(above, F.lit(0.0)).otherwise(top), TRUNC: F.when(above, level).otherwise(v), TOZERO: F.when(above, v).otherwise(F.lit(0.0)), TOZERO_INV: F.when(above, F.lit(0.0)).otherwise(v)}[kind]
@@ -81,7 +52,9 @@ def threshold(planes: DataFrame, level: float, maximum: float, kind: int, depth:
 
         return triangle_threshold(planes, maximum, base)
     if kind & OTSU:
-        return changed(planes, P.let(D(), lambda d: P.let(otsu_level(d), lambda t: F.transform(d, lambda v: thresholded(v, t, maximum, base)))))
+        from gridloom.operators.kernels import otsu_threshold
+
+        return otsu_threshold(planes, maximum, base)
     if depth in N.RANGE:
         import math
 

@@ -168,31 +168,42 @@ unary("normalize_l2", "real", lambda p: R.normalize(p, 2.0), "SELECT img, c, y,
 _INTEGRAL = "SELECT g.img, g.c, g.y, g.x, coalesce(sum(s.v%s), 0) AS v FROM (SELECT DISTINCT img, c, j AS y, i AS x FROM {p} CROSS JOIN range(0, 9) a(j) CROSS JOIN range(0, 9) b(i)) g LEFT JOIN {p} s ON s.img = g.img AND s.y < g.y AND s.x < g.x GROUP BY 1, 2, 3, 4"
 unary("integral", "eight", R.integral, _INTEGRAL % "")
 unary("integral2", "eight", lambda p: R.integral(p, True), _INTEGRAL % " * s.v")
-_RAW = ", ".join(f"sum(v * pow(x, {p}) * pow(y, {q})) AS m{p}{q}" for p, q in R._ORDERS)
-_CENTRAL = ", ".join(f"sum(v * pow(x - cx, {k[0]}) * pow(y - cy, {k[1]})) AS mu{k}" for k in ("20", "11", "02", "30", "21", "12", "03"))
-_MOMENTS = f"SELECT img, c, {_RAW}, {_CENTRAL} FROM (SELECT *, sum(v * x) OVER w / sum(v) OVER w AS cx, sum(v * y) OVER w / sum(v) OVER w AS cy FROM {{p}} WINDOW w AS (PARTITION BY img, c)) GROUP BY img, c"
-_NU = ", ".join(f"mu{k} / pow(m00, {(int(k[0]) + int(k[1])) / 2 + 1}) AS nu{k}" for k in ("20", "11", "02", "30", "21", "12", "03"))
-_ALL = [f"m{p}{q}" for p, q in R._ORDERS] + [f"{n}{k}" for n in ("mu", "nu") for k in ("20", "11", "02", "30", "21", "12", "03")]
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    """Moments span many magnitudes: eight significant digits of each."""
-    return df.select("img", "c", *[_digits(F.col(n)).alias(n) for n in df.columns[2:]])
-
-
-def _digits(v):
-    return F.when(F.abs(v) < 1e-9, F.lit("0")).otherwise(F.format_string("%.6e", v))
-
-
-def _digits_sql(x: str) -> str:
-    return f"CASE WHEN abs({x}) < 1e-9 THEN '0' ELSE printf('%.6e', {x}) END"
-
-
-QUERIES["moments"] = lambda spark, d: _rounded(R.moments(eight(spark, d)))
-SQL["moments"] = f"SELECT img, CAST(c AS INTEGER) AS c, {', '.join(f'{_digits_sql(n)} AS {n}' for n in _ALL)} FROM (SELECT *, {_NU} FROM ({_MOMENTS}))".replace("{p}", f"({EIGHT})")
-_HU = ["nu20 + nu02", "pow(nu20 - nu02, 2) + 4 * nu11 * nu11", "pow(nu30 - 3 * nu12, 2) + pow(3 * nu21 - nu03, 2)", "pow(nu30 + nu12, 2) + pow(nu21 + nu03, 2)"]
-QUERIES["hu_moments"] = lambda spark, d: R.hu_moments(R.moments(eight(spark, d))).select("img", "c", *[F.round(f"hu{k}", 9).alias(f"hu{k}") for k in range(1, 5)])
-SQL["hu_moments"] = f"SELECT img, CAST(c AS INTEGER) AS c, {', '.join(f'round({h}, 9) AS hu{k}' for k, h in enumerate(_HU, 1))} FROM (SELECT *, {_NU} FROM ({_MOMENTS}))".replace("{p}", f"({EIGHT})")
+_ORDER3 = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)]
+_RAW = ", ".join(f"CAST(sum(v * pow(x, {p}) * pow(y, {q})) AS DOUBLE) AS m{p}{q}" for p, q in _ORDER3)
+_MOMENTS = f"""SELECT *, mu20 * s2 AS nu20, mu11 * s2 AS nu11, mu02 * s2 AS nu02, mu30 * s3 AS nu30, mu21 * s3 AS nu21, mu12 * s3 AS nu12, mu03 * s3 AS nu03 FROM (
+    SELECT *, m30 - cx * (3.0::DOUBLE * mu20 + cx * m10) AS mu30, m21 - cx * (2.0::DOUBLE * mu11 + cx * m01) - cy * mu20 AS mu21,
+        m12 - cy * (2.0::DOUBLE * mu11 + cy * m10) - cx * mu02 AS mu12, m03 - cy * (3.0::DOUBLE * mu02 + cy * m01) AS mu03, inv * inv AS s2, inv * inv * sqrt(abs(inv)) AS s3 FROM (
+        SELECT *, m20 - m10 * cx AS mu20, m11 - m10 * cy AS mu11, m02 - m01 * cy AS mu02 FROM (
+            SELECT *, m10 * inv AS cx, m01 * inv AS cy FROM (SELECT *, CASE WHEN m00 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE / m00 END AS inv FROM (SELECT img, c, {_RAW} FROM {{p}} GROUP BY img, c)))))""".replace("{p}", f"({EIGHT})")
+_ALL = [f"m{p}{q}" for p, q in _ORDER3] + [f"{n}{k}" for n in ("mu", "nu") for k in ("20", "11", "02", "30", "21", "12", "03")]
+# central moments are differences of large sums: what is left of those is rounded to where it is sure
+QUERIES["moments"] = lambda spark, d: R.moments(eight(spark, d)).select("img", "c", *[F.round(n, 12 if n.startswith("nu") else 3).alias(n) for n in _ALL])
+_ROUNDED = [f"round({n}, {12 if n.startswith('nu') else 3}) AS {n}" for n in _ALL]
+SQL["moments"] = f"SELECT img, CAST(c AS INTEGER) AS c, {', '.join(_ROUNDED)} FROM ({_MOMENTS})"
+_HU_SQL = """SELECT img, c, s AS hu1, d * d + 4 * nu11 * nu11 AS hu2, a * a + b * b AS hu3, t0 * t0 + t1 * t1 AS hu4, a * t0 * (t0 * t0 - 3 * t1 * t1) + b * t1 * (3 * t0 * t0 - t1 * t1) AS hu5,
+    d * (t0 * t0 - t1 * t1) + 4 * nu11 * t0 * t1 AS hu6, b * t0 * (t0 * t0 - 3 * t1 * t1) - a * t1 * (3 * t0 * t0 - t1 * t1) AS hu7 FROM (
+    SELECT img, c, nu11, nu20 + nu02 AS s, nu20 - nu02 AS d, nu30 - 3 * nu12 AS a, 3 * nu21 - nu03 AS b, nu30 + nu12 AS t0, nu21 + nu03 AS t1 FROM ({m}))""".replace("{m}", _MOMENTS)
+_HU_DIGITS = (12, 15, 15, 15, 20, 20, 20)
+QUERIES["hu_moments"] = lambda spark, d: R.hu_moments(R.moments(eight(spark, d))).select("img", "c", *[(F.round(F.col(f"hu{k}") * 10.0 ** (n - 9), 9) + 0.0).alias(f"hu{k}") for k, n in enumerate(_HU_DIGITS, 1)])
+SQL["hu_moments"] = f"SELECT img, CAST(c AS INTEGER) AS c, {', '.join(f'round(hu{k} * 1e{n - 9}::DOUBLE, 9) + 0.0 AS hu{k}' for k, n in enumerate(_HU_DIGITS, 1))} FROM ({_HU_SQL})"
+# the third method looks at the leading invariants' sizes in decades: only those that are well above rounding take part
+_LEVEL = lambda h: f"sign({h}) * log10(abs({h}))"
+QUERIES["match_shapes"] = lambda spark, d: _compared_shapes(R.hu_moments(R.moments(eight(spark, d))))
+SQL["match_shapes"] = f"SELECT a.img, CAST(a.c AS INTEGER) AS c, round({' + '.join(f'CASE WHEN abs(a.hu{k}) > 0 AND abs(b.hu{k}) > 0 THEN abs(' + _LEVEL(f'b.hu{k}') + ' - ' + _LEVEL(f'a.hu{k}') + ') ELSE 0 END' for k in range(1, 4))}, 5) + 0.0 AS distance FROM ({_HU_SQL}) a JOIN ({_HU_SQL}) b ON a.img = b.img - 1"
+
+
+def _compared_shapes(hu: DataFrame) -> DataFrame:
+    first = hu.select("img", "c", "hu1", "hu2", "hu3", *[F.lit(0.0).alias(f"hu{k}") for k in range(4, 8)])
+    return R.match_shapes(first, first.withColumn("img", F.col("img") - 1), 2).select("img", "c", (F.round("distance", 5) + 0.0).alias("distance"))
+
+
+table("total", "real", R.total, f"SELECT img, CAST(c AS INTEGER) AS c, {r6('sum(v)')} AS sum FROM {{p}} GROUP BY img, c")
+unary("extract_channel", "color", lambda p: L.extract_channel(p, 1), "SELECT img, 0 AS c, y, x, v FROM {p} WHERE c = 1")
+unary("insert_channel", "color", lambda p: L.insert_channel(p, L.extract_channel(p, 2), 0), "SELECT img, c, y, x, v FROM {p} WHERE c > 0 UNION ALL SELECT img, 0, y, x, v FROM {p} WHERE c = 2")
+QUERIES["randu"] = lambda spark, d: A.randu(real(spark, d), -2.0, 3.0).select("img", "c", F.forall("data", lambda v: (v >= -2) & (v < 3)).alias("inside"), (F.size(F.array_distinct("data")) > 60).alias("mixed"))
+SQL["randu"] = f"SELECT DISTINCT CAST(img AS BIGINT) AS img, CAST(c AS INTEGER) AS c, true AS inside, true AS mixed FROM ({REAL})"
+QUERIES["randn"] = lambda spark, d: A.randn(real(spark, d), 5.0, 2.0).agg((F.abs(F.avg(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)) / 64 - 5) < 0.2).alias("mean"), (F.count(F.lit(1))).alias("n"))
+SQL["randn"] = f"SELECT true AS mean, count(DISTINCT img) AS n FROM ({REAL})"
 table("calc_hist", "real", lambda p: R.calc_hist(p, 16, -0.3, 0.3), "SELECT g.img, CAST(g.c AS INTEGER) AS c, CAST(g.b AS INTEGER) AS bin, CAST(count(s.v) AS INTEGER) AS n FROM (SELECT DISTINCT img, c, b FROM {p} CROSS JOIN range(0, 16) t(b)) g LEFT JOIN (SELECT img, v, floor((v - (-0.3)) * 16 / CAST(0.6 AS DOUBLE)) AS b FROM {p} WHERE v >= -0.3 AND v < 0.3) s ON s.img = g.img AND s.b = g.b GROUP BY 1, 2, 3")
 _HIST = "(SELECT g.img, g.b, CAST(count(s.v) AS DOUBLE) AS n FROM (SELECT DISTINCT img, b FROM {p} CROSS JOIN range(0, 8) t(b)) g LEFT JOIN (SELECT img, v, floor(v / 32) AS b FROM {p}) s ON s.img = g.img AND s.b = g.b GROUP BY 1, 2)"
 for _k, _sql in enumerate(("CASE WHEN var_pop(a.n) * var_pop(b.n) <= 0 THEN 1 ELSE corr(a.n, b.n) END", "coalesce(sum((a.n - b.n) * (a.n - b.n) / a.n) FILTER (WHERE a.n > 0), 0)", "sum(least(a.n, b.n))", "sqrt(greatest(0.0, round(1 - sum(sqrt(a.n * b.n)) / 64, 12)))")):
@@ -225,7 +236,7 @@ window("blur", "eight", lambda p: W.blur(p, 3, 3), W._offsets([[1.0] * 3] * 3),
 window("box_filter", "real", lambda p: W.box_filter(p, 3, 5, N.F64, False), W._offsets([[1.0] * 5] * 3))
 window("sqr_box_filter", "real", lambda p: W.sqr_box_filter(p, 3, 3, depth=N.F64), W._offsets([[1.0] * 3] * 3), value="sum(s * s) / 9")
 window("median_blur", "eight", lambda p: W.median_blur(p, 3), W._offsets([[1.0] * 3] * 3), P.REPLICATE, "median(s)")
-_G3 = W.gaussian_kernel(3, 1.2)
+_G3 = [math.exp(-(k * k) / (2 * 1.2 * 1.2)) / sum(math.exp(-(j * j) / (2 * 1.2 * 1.2)) for j in (-1, 0, 1)) for k in (-1, 0, 1)]
 window("gaussian_blur", "eight", lambda p: W.gaussian_blur(p, 3, 3, 1.2), W._offsets(W._outer(_G3, _G3)), finish=u8("round(v, 9)"))
 unary("stack_blur", "eight", lambda p: W.stack_blur(p, 3, 3), f"SELECT img, c, y, x, floor(v / 4) AS v FROM ({taps_sql('(SELECT img, c, y, x, floor(v / 4) AS v FROM (' + taps_sql('{p}', [(0, -1, 1.0), (0, 0, 2.0), (0, 1, 1.0)], P.REPLICATE) + '))', [(-1, 0, 1.0), (0, 0, 2.0), (1, 0, 1.0)], P.REPLICATE)})")
 unary("bilateral_filter", "real", lambda p: W.bilateral_filter(p, 3, 0.2, 1.5, depth=N.F64), f"SELECT img, c, y, x, sum(s * k) / sum(k) AS v FROM (SELECT a.img, a.c, a.y, a.x, a.s, exp((a.s - q.v) * (a.s - q.v) * (-0.5 / (0.2 * 0.2)) + (a.dy * a.dy + a.dx * a.dx) * (-0.5 / (1.5 * 1.5))) AS k FROM ({around_sql('{p}', W._offsets([[1.0] * 3] * 3), B101)}) a JOIN {{p}} q ON a.img = q.img AND a.y = q.y AND a.x = q.x) GROUP BY img, c, y, x")
@@ -249,6 +260,7 @@ window("scharr", "eight", lambda p: W.scharr(p, 1, 0), W._offsets(W._outer([3, 1
 window("laplacian", "eight", lambda p: W.laplacian(p, size=3), W._offsets([[2, 0, 2], [0, -8, 0], [2, 0, 2]]))
 window("laplacian_5", "real", lambda p: W.laplacian(p, N.F64, 5), W._offsets([[a * p + b * q for p, q in zip([1, 4, 6, 4, 1], [1, 0, -2, 0, 1], strict=True)] for a, b in zip([1, 0, -2, 0, 1], [1, 4, 6, 4, 1], strict=True)]))
 window("spatial_gradient_x", "eight", lambda p: W.spatial_gradient(p)[0], _SX)
+window("spatial_gradient_y", "eight", lambda p: W.spatial_gradient(p)[1], _SY)
 unary("pyr_down", "eight", W.pyr_down, f"SELECT img, c, y // 2 AS y, x // 2 AS x, floor((v + 128) / 256) AS v FROM ({taps_sql('{p}', W._offsets(W._outer(W._FIVE, W._FIVE)), B101)}) WHERE y % 2 = 0 AND x % 2 = 0")
 unary("pyr_up", "eight", W.pyr_up, "SELECT img, c, y, x, floor((v + 32) / 64) AS v FROM (" + taps_sql("(SELECT g.img, g.c, g.y, g.x, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT img, c, j AS y, i AS x FROM {p} CROSS JOIN range(0, 16) a(j) CROSS JOIN range(0, 16) b(i)) g LEFT JOIN {p} s ON s.img = g.img AND 2 * s.y = g.y AND 2 * s.x = g.x)", W._offsets(W._outer(W._FIVE, W._FIVE)), B101, rows=16, cols=16) + ")")
 _SC = 1 / (4 * 255.0 * 3)

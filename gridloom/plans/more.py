@@ -18,7 +18,9 @@ from gridloom.operators import kernels as K
 from gridloom.operators import linear as N
 from gridloom.operators import resampling as S
 from gridloom.plans import fixtures as X
+from gridloom.plans import settings as P
 from gridloom.plans.fixtures import BINARY, COLOR, EIGHT, POLYGONS, REAL, binary, color, eight, pixels, pixels_sql, polygons, real, shift_sql, shifted
+from gridloom.sources import images as I
 from gridloom.streaming import tracking as T
 
 QUERIES: dict[str, Callable] = {}
@@ -55,10 +57,11 @@ of_sets("is_contour_convex", G.is_contour_convex, f"SELECT set_id, min(t) > 0 OR
 _DIST = "(SELECT set_id, y, v, x, u, CASE WHEN s = 0 THEN 0 ELSE greatest(0, least(1, ((5 - x) * (u - x) + (50 - y) * (v - y)) / s)) END AS t FROM (SELECT *, (u - x) * (u - x) + (v - y) * (v - y) AS s FROM " + _EDGES + "))"
 of_sets("point_polygon_test", lambda p: G.point_polygon_test(p, (5.0, 50.0), True), f"SELECT set_id, {r6('CASE WHEN d = 0 THEN 0 WHEN n % 2 = 1 THEN sqrt(d) ELSE -sqrt(d) END')} AS result FROM (SELECT set_id, min((x + t * (u - x) - 5) * (x + t * (u - x) - 5) + (y + t * (v - y) - 50) * (y + t * (v - y) - 50)) AS d, sum(CASE WHEN (y > 50) <> (v > 50) AND 5 < x + (50 - y) * (u - x) / (v - y) THEN 1 ELSE 0 END) AS n FROM {_DIST} GROUP BY set_id)")
 of_sets("fit_line", G.fit_line, f"SELECT set_id, {r6('CASE WHEN cos(t) < 0 THEN -cos(t) ELSE cos(t) END')} AS vx, {r6('CASE WHEN cos(t) < 0 THEN -sin(t) ELSE sin(t) END')} AS vy, {r6('x0')} AS x0, {r6('y0')} AS y0 FROM (SELECT set_id, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS t, avg(x) AS x0, avg(y) AS y0 FROM {_POLY} GROUP BY set_id)")
-QUERIES["clip_line"] = lambda spark, d: rounded(G.clip_line(G.edges(polygons(spark, d)).select("set_id", F.col("pos").cast("long").alias("pos"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("u").alias("x1"), F.col("v").alias("y1")), 20, 60)).select("set_id", "pos", "visible")
+QUERIES["clip_line"] = lambda spark, d: rounded(G.clip_line(G.edges(polygons(spark, d)).select("set_id", F.col("pos").cast("long").alias("pos"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("u").alias("x1"), F.col("v").alias("y1")), 20, 60)).select("set_id", "pos", "visible", "cx0", "cy0", "cx1", "cy1")
 _LOW = "greatest(0, CASE WHEN d1 < 0 THEN q1 / d1 END, CASE WHEN d2 < 0 THEN q2 / d2 END, CASE WHEN d3 < 0 THEN q3 / d3 END, CASE WHEN d4 < 0 THEN q4 / d4 END)"
 _HIGH = _LOW.replace("greatest(0", "least(1").replace("< 0", "> 0")
-SQL["clip_line"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, NOT ((d1 = 0 AND (q1 < 0 OR q2 < 0)) OR (d3 = 0 AND (q3 < 0 OR q4 < 0))) AND {_LOW} <= {_HIGH} AS visible FROM (SELECT set_id, pos, -(u - x) AS d1, x AS q1, u - x AS d2, 19 - x AS q2, -(v - y) AS d3, y AS q3, v - y AS d4, 59 - y AS q4 FROM {_EDGES})"
+_SEEN = f"NOT ((d1 = 0 AND (q1 < 0 OR q2 < 0)) OR (d3 = 0 AND (q3 < 0 OR q4 < 0))) AND {_LOW} <= {_HIGH}"
+SQL["clip_line"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, visible, {', '.join(f'CASE WHEN visible THEN {r6(v)} END AS {k}' for k, v in (('cx0', 'q1 - low * d1'), ('cy0', 'q3 - low * d3'), ('cx1', 'q1 - high * d1'), ('cy1', 'q3 - high * d3')))} FROM (SELECT *, {_SEEN} AS visible, {_LOW} AS low, {_HIGH} AS high FROM (SELECT set_id, pos, -(u - x) AS d1, x AS q1, u - x AS d2, 19 - x AS q2, -(v - y) AS d3, y AS q3, v - y AS d4, 59 - y AS q4 FROM {_EDGES}))"
 of_sets("convex_hull", G.convex_hull)
 of_sets("convexity_defects", G.convexity_defects)
 of_sets("min_area_rect", G.min_area_rect)
@@ -76,6 +79,24 @@ def _five(points: DataFrame) -> DataFrame:
     return points.join(points.groupBy("set_id").count().where("count >= 5").select("set_id"), "set_id", "left_semi")
 
 
+def _strong(planes: DataFrame) -> DataFrame:
+    """Matrices with 3 added on the diagonal, which makes them well conditioned."""
+    from gridloom.functions.planes import let
+    from gridloom.operators.common import changed
+
+    return changed(planes, let(F.col("data"), lambda d: F.transform(d, lambda v, i: F.when(i % 9 == 0, v + 3).otherwise(v))))
+
+
+def _decomposed(planes: DataFrame) -> DataFrame:
+    """What the eigenvalues and vectors of a symmetric part must satisfy: their sum, sum of squares, and scalar products."""
+    value, vector = F.col("values"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("vectors", k * 8 + 1, F.lit(8)))
+    product = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    found = K.eigen(planes).withColumn("vector", vector)
+    grid = F.flatten(F.transform("vector", lambda p, i: F.transform("vector", lambda q, j: F.when(F.abs(product(p, q) - F.when(i == j, 1.0).otherwise(0.0)) < 1e-9, 1).otherwise(0))))
+    falling = F.forall(F.sequence(F.lit(1), F.lit(7)), lambda k: F.get(value, k - 1) >= F.get(value, k))
+    return rounded(found.select("img", "c", F.aggregate(value, F.lit(0.0), lambda s, v: s + v).alias("trace"), F.aggregate(value, F.lit(0.0), lambda s, v: s + v * v).alias("squares"), F.aggregate(grid, F.lit(0), lambda s, v: s + v).alias("orthonormal"), falling.alias("falling")))
+
+
 # linear algebra
 _MAT = f"({REAL})"
 QUERIES["gemm"] = lambda spark, d: pixels(N.gemm(real(spark, d), shifted(real(spark, d)), 2.0, shifted(real(spark, d), 2), 0.5))
@@ -86,23 +107,38 @@ QUERIES["optimal_dft_size"] = lambda spark, d: N.optimal_dft_sizes(spark.read.pa
 SQL["optimal_dft_size"] = "SELECT n, min(s) AS size FROM (SELECT o_orderkey AS n FROM orders) JOIN (SELECT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS s FROM range(0, 26) t(a) CROSS JOIN range(0, 16) u(b) CROSS JOIN range(0, 11) v(c) WHERE pow(2, a) * pow(3, b) * pow(5, c) < 3e7) ON s >= n GROUP BY n, rowid".replace(", rowid", "")
 QUERIES["dft"] = lambda spark, d: pixels(N.dft(real(spark, d)))
 SQL["dft"] = pixels_sql(f"SELECT s.img, 0 AS c, j AS y, i AS x, sum(s.v * cos(2 * pi() * (j * s.y + i * s.x) / 8)) AS v FROM {_MAT} s CROSS JOIN range(0, 8) a(j) CROSS JOIN range(0, 8) b(i) GROUP BY s.img, j, i")
-of_planes("determinant", eight, K.determinant)
-of_planes("invert", eight, lambda p: K.invert(p).select("img", "c", "ok"))
-of_planes("solve", eight, lambda p: K.solve(p, shifted(p)).select("img", "c", "ok"))
-of_planes("eigen", real, lambda p: K.eigen(p).select("img", "c", F.element_at("values", 1).alias("largest"), F.element_at("values", -1).alias("least")))
+QUERIES["dft_imaginary"] = lambda spark, d: pixels(N.dft(real(spark, d), imaginary=True))
+SQL["dft_imaginary"] = SQL["dft"].replace("sum(s.v * cos(", "sum(-s.v * sin(")
+QUERIES["determinant"] = lambda spark, d: rounded(K.determinant(I.roi(real(spark, d), 1, 2, 3, 3)))
+_CELL = lambda y, x: f"max(v) FILTER (WHERE y = {y + 1} AND x = {x + 2})"
+SQL["determinant"] = f"SELECT img, CAST(c AS INTEGER) AS c, {r6(' + '.join(f'{_CELL(0, a)} * ({_CELL(1, b)} * {_CELL(2, c)} - {_CELL(1, c)} * {_CELL(2, b)})' for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1))))} AS determinant FROM {_MAT} GROUP BY img, c"
+# matrices that are easy to check: the inverse times the matrix is one, the solution put in gives the right side
+QUERIES["invert"] = lambda spark, d: pixels(N.gemm(K.invert(_strong(real(spark, d))).drop("ok"), _strong(real(spark, d))))
+SQL["invert"] = pixels_sql(f"SELECT img, c, y, x, CASE WHEN y = x THEN 1.0 ELSE 0.0 END AS v FROM {_MAT}")
+QUERIES["solve"] = lambda spark, d: pixels(N.gemm(_strong(real(spark, d)), K.solve(_strong(real(spark, d)), shifted(real(spark, d))).drop("ok")))
+SQL["solve"] = pixels_sql(f"SELECT a.img, a.c, b.y, b.x, b.v FROM (SELECT DISTINCT img, c FROM {_MAT}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img")
+QUERIES["eigen"] = lambda spark, d: _decomposed(real(spark, d))
+SQL["eigen"] = f"SELECT CAST(img AS BIGINT) AS img, 0 AS c, {r6('sum(CASE WHEN y = x THEN v ELSE 0 END)')} AS trace, {r6('sum(w * w)')} AS squares, 64 AS orthonormal, true AS falling FROM (SELECT a.img, a.y, a.x, a.v, (a.v + b.v) / 2 AS w FROM {_MAT} a JOIN {_MAT} b ON a.img = b.img AND a.y = b.x AND a.x = b.y) GROUP BY img"
 QUERIES["kmeans"] = lambda spark, d: rounded(N.kmeans(spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) = 64").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 4, 5).select("label", F.transform("center", lambda v: F.round(v, 5) + 0.0).alias("center")))
 
 # image by image
 of_planes("connected_components", binary, lambda p: X.to_pixels(K.connected_components(p)))
+_REACH = f"reach AS (SELECT img, y, x, y * 8 + x AS k FROM ({BINARY}) WHERE v <> 0 UNION SELECT p.img, p.y, p.x, r.k FROM reach r JOIN ({BINARY}) p ON p.img = r.img AND p.v <> 0 AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1)"
+_LABELS = f"(SELECT b.img, b.c, b.y, b.x, CASE WHEN b.v = 0 THEN 0 ELSE dense_rank() OVER (PARTITION BY b.img, b.v ORDER BY f.k) END AS l FROM ({BINARY}) b LEFT JOIN (SELECT img, y, x, min(k) AS k FROM reach GROUP BY img, y, x) f ON f.img = b.img AND f.y = b.y AND f.x = b.x)"
+SQL["connected_components"] = f"WITH RECURSIVE {_REACH} " + pixels_sql(f"SELECT img, c, y, x, l AS v FROM {_LABELS}")
 of_planes("component_stats", binary, K.component_stats)
-of_planes("distance_transform", binary, lambda p: X.to_pixels(K.distance_transform(p)))
+SQL["component_stats"] = f"WITH RECURSIVE {_REACH} SELECT CAST(img AS BIGINT) AS img, CAST(c AS INTEGER) AS c, CAST(l AS INTEGER) AS label, CAST(min(x) AS INTEGER) AS \"left\", CAST(min(y) AS INTEGER) AS top, CAST(max(x) - min(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height, CAST(count(*) AS INTEGER) AS area, {r6('avg(x)')} AS center_x, {r6('avg(y)')} AS center_y FROM {_LABELS} GROUP BY img, c, l"
+QUERIES["distance_transform"] = lambda spark, d: pixels(K.distance_transform(binary(spark, d)))
+# without obstacles the chamfer distance is that of the free steps: diagonals as far as both sides go, then straight on
+SQL["distance_transform"] = pixels_sql(f"SELECT a.img, a.c, a.y, a.x, coalesce(min(1.3693 * least(abs(a.y - z.y), abs(a.x - z.x)) + 0.955 * abs(abs(a.y - z.y) - abs(a.x - z.x))), 1e30) AS v FROM ({BINARY}) a LEFT JOIN (SELECT * FROM ({BINARY}) WHERE v = 0) z ON a.img = z.img GROUP BY 1, 2, 3, 4")
 QUERIES["distance_transform_l1"] = lambda spark, d: pixels(K.distance_transform(binary(spark, d), "l1"))
 SQL["distance_transform_l1"] = pixels_sql(f"SELECT a.img, a.c, a.y, a.x, coalesce(min(abs(a.y - z.y) + abs(a.x - z.x)), 1e30) AS v FROM ({BINARY}) a LEFT JOIN (SELECT * FROM ({BINARY}) WHERE v = 0) z ON a.img = z.img GROUP BY 1, 2, 3, 4")
 QUERIES["distance_transform_exact"] = lambda spark, d: pixels(K.distance_transform_with_labels(binary(spark, d)).drop("labels"))
 SQL["distance_transform_exact"] = pixels_sql(f"SELECT a.img, a.c, a.y, a.x, coalesce(min(sqrt((a.y - z.y) * (a.y - z.y) + (a.x - z.x) * (a.x - z.x))), 1e30) AS v FROM ({BINARY}) a LEFT JOIN (SELECT * FROM ({BINARY}) WHERE v = 0) z ON a.img = z.img GROUP BY 1, 2, 3, 4")
 of_planes("flood_fill", eight, lambda p: X.to_pixels(K.flood_fill(p, (3, 3), 255.0, 20, 20)))
+SQL["flood_fill"] = f"WITH RECURSIVE e AS (SELECT p.*, s.v AS base FROM ({EIGHT}) p JOIN ({EIGHT}) s ON s.img = p.img AND s.y = 3 AND s.x = 3), reach AS (SELECT img, y, x FROM e WHERE y = 3 AND x = 3 UNION SELECT e.img, e.y, e.x FROM reach r JOIN e ON e.img = r.img AND abs(e.v - e.base) <= 20 AND abs(e.y - r.y) + abs(e.x - r.x) = 1) " + pixels_sql("SELECT e.img, e.c, e.y, e.x, CASE WHEN r.img IS NULL THEN e.v ELSE 255.0 END AS v FROM e LEFT JOIN reach r ON r.img = e.img AND r.y = e.y AND r.x = e.x")
 of_planes("watershed", eight, lambda p: X.to_pixels(K.watershed(p, _markers(p))))
-of_planes("find_contours", binary, lambda p: K.find_contours(p).select("img", "contour", "next", "previous", "child", "parent", F.size("points").alias("points")))
+QUERIES["find_contours"] = lambda spark, d: K.find_contours(binary(spark, d)).select("img", "contour", "next", "previous", "child", "parent", F.to_json("points").alias("points"))
 of_planes("threshold_triangle", eight, lambda p: X.to_pixels(K.triangle_threshold(p, 255.0, 0)))
 of_planes("clahe", eight, lambda p: X.to_pixels(K.clahe(p, 2.0, (2, 2))))
 of_planes("canny", eight, lambda p: X.to_pixels(K.canny(p, 100, 200)))
@@ -113,10 +149,10 @@ of_planes("cam_shift", eight, lambda p: T.cam_shift_planes(p, (2, 2, 4, 4)))
 
 
 def _markers(planes: DataFrame) -> DataFrame:
+    from gridloom.functions.planes import grid
     from gridloom.operators.common import changed
-    from gridloom.functions import planes as P
 
-    return changed(planes, P.grid(F.col("rows"), F.col("cols"), lambda y, x: F.when((y == 2) & (x == 2), 1.0).when((y == 5) & (x == 5), 2.0).otherwise(0.0)))
+    return changed(planes, grid(F.col("rows"), F.col("cols"), lambda y, x: F.when((y == 2) & (x == 2), 1.0).when((y == 5) & (x == 5), 2.0).otherwise(0.0)))
 
 
 def drawn(name: str, op: Callable[[DataFrame], DataFrame], covered: str | None = None) -> None:
@@ -133,7 +169,7 @@ drawn("draw_line_diagonal", lambda p: W.line(p, (1, 1), (6, 6), [99]), "x = y AN
 drawn("draw_marker", lambda p: W.draw_marker(p, (3, 3), [99], size=8), "(x = 3 AND y BETWEEN 0 AND 6) OR (y = 3 AND x BETWEEN 0 AND 6)")
 drawn("fill_poly", lambda p: W.fill_poly(p, [[(1, 1), (6, 1), (6, 5), (1, 5)]], [99]), "x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 5")
 drawn("draw_circle", lambda p: W.circle(p, (3, 3), 3, [99]))
-drawn("draw_line", lambda p: W.line(p, (0, 1), (7, 4), [99]))
+drawn("draw_line", lambda p: W.line(p, (0, 1), (7, 4), [99]), "y = 1 + round(3 * x / 7.0)")
 drawn("draw_ellipse", lambda p: W.ellipse(p, (4, 4), (3, 2), 30, 0, 360, [99]))
 drawn("draw_polylines", lambda p: W.polylines(p, [[(0, 0), (4, 2), (7, 7)]], True, [99]))
 drawn("draw_arrow", lambda p: W.arrowed_line(p, (0, 0), (6, 5), [99], 0.3))
@@ -156,14 +192,23 @@ QUERIES["undistort_map"] = lambda spark, d: rounded(C.undistort_map(spark, _CAME
 SQL["undistort_map"] = f"SELECT CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, {r6('bx * 6 + 3.5')} AS map_x, {r6('b_y * 5.5 + 3.25')} AS map_y FROM (SELECT j, i, {_BENT} FROM (SELECT *, 1 + {_BEND[0]!r} * r + {_BEND[1]!r} * r * r AS k FROM (SELECT *, x * x + y * y AS r FROM (SELECT j, i, (i - 3.5) / 6 AS x, (j - 3.25) / 5.5 AS y FROM range(0, 8) a(j) CROSS JOIN range(0, 8) b(i)))))"
 QUERIES["fisheye_project_points"] = lambda spark, d: rounded(C.fisheye_project_points(_solid(spark, d), _R, _T, _CAMERA, (0.01, 0.002, 0, 0)).select("set_id", "pos", "u", "v"))
 QUERIES["fisheye_undistort_map"] = lambda spark, d: rounded(C.undistort_map(spark, _CAMERA, (0.01, 0.002, 0, 0), 8, 8, new_camera=_CAMERA, fisheye=True))
+_FISH = "CASE WHEN r = 0 THEN 1 ELSE atan(r) * (1 + 0.01 * pow(atan(r), 2) + 0.002 * pow(atan(r), 4)) / r END AS k"
+SQL["fisheye_project_points"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, {r6('x * k * 6 + 3.5')} AS u, {r6('y * k * 5.5 + 3.25')} AS v FROM (SELECT *, {_FISH} FROM (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT set_id, pos, p0 / p2 AS x, p1 / p2 AS y FROM {_FRAME})))"
+SQL["fisheye_undistort_map"] = f"SELECT CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, {r6('x * k * 6 + 3.5')} AS map_x, {r6('y * k * 5.5 + 3.25')} AS map_y FROM (SELECT *, {_FISH} FROM (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT j, i, (i - 3.5) / 6 AS x, (j - 3.25) / 5.5 AS y FROM range(0, 8) a(j) CROSS JOIN range(0, 8) b(i))))"
 QUERIES["undistort"] = lambda spark, d: pixels(C.undistort(eight(spark, d), _CAMERA, _BEND))
-QUERIES["estimate_affine_2d"] = lambda spark, d: C.estimate_affine_2d(_pairs(spark, d), "all").select("set_id", F.transform("matrix", lambda v: F.round(v, 4) + 0.0).alias("matrix"))
-QUERIES["find_homography"] = lambda spark, d: C.find_homography(_pairs(spark, d)).select("set_id", F.transform("matrix", lambda v: F.round(v, 3) + 0.0).alias("matrix"))
+QUERIES["estimate_affine_2d"] = lambda spark, d: C.estimate_affine_2d(_pairs(spark, d), "all").select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 4) + 0.0).alias("v"))
+QUERIES["find_homography"] = lambda spark, d: C.find_homography(_pairs(spark, d)).select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 3) + 0.0).alias("v"))
 
 
 def _pairs(spark, d):
     return polygons(spark, d).withColumns({"u": F.col("x") * 2 - F.col("y") + 3, "v": F.col("x") + F.col("y") * 0.5 - 1})
 
+
+# all pairs lie on one map, which the estimates must find
+_MAP = "(VALUES (0, 2.0), (1, -1.0), (2, 3.0), (3, 1.0), (4, 0.5), (5, -1.0), (6, 0.0), (7, 0.0), (8, 1.0)) t(i, v)"
+SQL["find_homography"] = f"SELECT set_id, CAST(i AS INTEGER) AS i, CAST(v AS DOUBLE) AS v FROM (SELECT DISTINCT set_id FROM {_POLY}) CROSS JOIN {_MAP}"
+SQL["estimate_affine_2d"] = SQL["find_homography"] + " WHERE i < 6"
+
 # colour
 _BGR = f"(SELECT img, y, x, max(v) FILTER (WHERE c = 0) AS b, max(v) FILTER (WHERE c = 1) AS g, max(v) FILTER (WHERE c = 2) AS r FROM ({COLOR}) GROUP BY img, y, x)"
 
@@ -173,9 +218,9 @@ def _rows_sql(values: list[str]) -> str:
 
 
 QUERIES["cvt_color_xyz"] = lambda spark, d: pixels(A.to_xyz(color(spark, d)))
-SQL["cvt_color_xyz"] = _rows_sql([f"floor((b * {w[0]} + g * {w[1]} + r * {w[2]} + 2048) / 4096)" for w in A._XYZ])
+SQL["cvt_color_xyz"] = _rows_sql([f"floor((b * {w[0]} + g * {w[1]} + r * {w[2]} + 2048) / 4096)" for w in ((739, 1465, 1689), (296, 2929, 871), (3892, 488, 79))])
 _Y = "floor((b * 1868 + g * 9617 + r * 4899 + 8192) / 16384)"
-for _kind, _parts in A._CHROMA.items():
+for _kind, _parts in (("ycrcb", (("r", 11682), ("b", 9241))), ("yuv", (("b", 8061), ("r", 14369)))):
     QUERIES[f"cvt_color_{_kind}"] = lambda spark, d, k=_kind: pixels(A.to_luma_chroma(color(spark, d), k))
     SQL[f"cvt_color_{_kind}"] = _rows_sql([_Y, *[f"floor((({c} - {_Y}) * {w} + {128 * 2**14} + 8192) / 16384)" for c, w in _parts]])
 for _name in M._RULES:
@@ -186,3 +231,76 @@ QUERIES["convert_maps"] = lambda spark, d: S.convert_maps(real(spark, d), shifte
 SQL["convert_maps"] = f"SELECT a.img, a.c, CAST(a.y * 8 + a.x AS INTEGER) AS i, CAST(floor(round_even(a.v * 32, 0) / 32) AS INTEGER) AS xi, CAST(floor(round_even(b.v * 32, 0) / 32) AS INTEGER) AS yi, CAST(round_even(a.v * 32, 0) - floor(round_even(a.v * 32, 0) / 32) * 32 + (round_even(b.v * 32, 0) - floor(round_even(b.v * 32, 0) / 32) * 32) * 32 AS INTEGER) AS fraction FROM ({REAL}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img AND a.y = b.y AND a.x = b.x"
 of_planes("hough_segment", binary, lambda p: K.hough_segment(p, 1.0, math.pi / 18, 5, 1))
 drawn("draw_frame_axes", lambda p: W.draw_frame_axes(p, _CAMERA, [], (0.1, 0.2, 0.0), (0, 0, 4.0), 2.0, 1))
+
+
+# values of one call: the rows are the entries of a small matrix or list
+def listed(name: str, values: Callable[[], object], sql: str) -> None:
+    """A query of (i, v): the numbers of a result in order, to nine places; sql gives the same two columns."""
+    QUERIES[name] = lambda spark, d: spark.createDataFrame([(i, round(float(v), 9) + 0.0) for i, v in enumerate(np.ravel(np.array(values(), float)))], "i int, v double")
+    SQL[name] = f"SELECT CAST(i AS INTEGER) AS i, round(CAST(v AS DOUBLE), 9) + 0.0 AS v FROM ({sql})"
+
+
+def _of(*values: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({v} AS DOUBLE))" for i, v in enumerate(values)) + ") t(i, v)"
+
+
+listed("rotation_matrix", lambda: S.rotation_matrix((1.5, 2.5), 30, 2.0), _of("2 * cos(radians(30))", "2 * sin(radians(30))", "(1 - 2 * cos(radians(30))) * 1.5 - 2 * sin(radians(30)) * 2.5", "-2 * sin(radians(30))", "2 * cos(radians(30))", "2 * sin(radians(30)) * 1.5 + (1 - 2 * cos(radians(30))) * 2.5"))
+listed("affine_from_points", lambda: S.affine_from_points([(0, 0), (4, 1), (2, 5)], [(3, -1), (12, 5), (12, 20)]), _of("2", "1", "3", "0.5", "4", "-1"))
+listed("invert_affine", lambda: S.invert_affine([[2, 1, 3], [0.5, 4, -1]]), _of("4 / 7.5", "-1 / 7.5", "(1 * -1 - 4 * 3) / 7.5", "-0.5 / 7.5", "2 / 7.5", "(3 * 0.5 - 2 * -1) / 7.5"))
+listed("perspective_from_points", lambda: S.perspective_from_points([(0, 0), (1, 0), (0, 1), (1, 1)], [(3, -1), (5 / 1.1, -0.5 / 1.1), (4 / 1.2, 3 / 1.2), (6 / 1.3, 3.5 / 1.3)]), _of("2", "1", "3", "0.5", "4", "-1", "0.1", "0.2", "1"))
+listed("rodrigues", lambda: C.rodrigues((0, 0, 0.5)), _of("cos(0.5)", "-sin(0.5)", "0", "sin(0.5)", "cos(0.5)", "0", "0", "0", "1"))
+listed("rotation_vector", lambda: C.rotation_vector(C.rodrigues((0.3, -0.2, 0.6))), _of("0.3", "-0.2", "0.6"))
+listed("default_new_camera_matrix", lambda: C.default_new_camera_matrix(_CAMERA, (9, 7), True), _of("6", "0", "4", "0", "5.5", "3", "0", "0", "1"))
+_EYE5 = "FROM range(0, 5) a(y) CROSS JOIN range(0, 5) b(x)"
+for _kind, _where in (("rect", "true"), ("cross", "y = 2 OR x = 2"), ("ellipse", "abs(x - 2) <= round_even(2 * sqrt(1 - (y - 2) * (y - 2) / 4.0), 0)"), ("diamond", "abs(x - 2) + abs(y - 2) <= 2")):
+    listed(f"structuring_element_{_kind}", lambda k=_kind: K.structuring_element(k, 5, 5), f"SELECT y * 5 + x AS i, CASE WHEN {_where} THEN 1 ELSE 0 END AS v {_EYE5}")
+listed("font_scale", lambda: [N.font_scale(0, 30, 3), N.font_scale(1, 11)], _of("(30 - 2) / 21.0", "(11 - 1) / 9.0"))
+listed("solve_poly", lambda: sorted(r.real for r in K.solve_poly([-6, 11, -6, 1])), _of("1", "2", "3"))
+listed("ellipse_points", lambda: W.ellipse_points((10, 10), (5, 3), 0, 0, 360, 90), _of("15", "10", "10", "13", "5", "10", "10", "7", "15", "10"))
+listed("intersect_convex", lambda: [G.intersect_convex([(0, 0), (10, 0), (10, 10), (0, 10)], [(k, 4), (k + 8, 4), (k + 8, 9), (k, 9)])[0] for k in range(12)], "SELECT k AS i, 5 * greatest(0, least(10, k + 8) - k) AS v FROM range(0, 12) t(k)")
+listed("rotated_rectangle_intersection", lambda: [G.intersect_convex(*[G.rectangle_corners(*r) for r in ((5, 5, 4, 4, 0), (5 + k, 5, 4, 2, 90))])[0] for k in range(5)] + [G.rotated_rectangle_intersection((0, 0, 2, 2, 0), (9, 9, 2, 2, 45))[0]], "SELECT k AS i, CASE WHEN k = 5 THEN 0 ELSE 4 * greatest(0, least(7, 6 + k) - greatest(3, 4 + k)) END AS v FROM range(0, 6) t(k)")
+listed("group_rectangles", lambda: sorted(G.group_rectangles([(0, 0, 10, 10), (1, 1, 10, 10), (50, 50, 8, 8)], 0.3)), _of(*(str(v) for v in (0, 0, 10, 10, 50, 50, 8, 8))))
+drawn("fill_convex_poly", lambda p: W.fill_convex_poly(p, [(2, 1), (6, 1), (6, 6), (2, 6)], [99]), "x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 6")
+
+#: Every setting with its default, another value, and that again; typed here, not taken from the classes.
+_SETTINGS = {
+    "akaze": (P.AKAZE, "AKAZE", "descriptor_type 5 3, descriptor_size 0 64, descriptor_channels 3 1, threshold 0.001 0.5, octaves 4 2, octave_layers 4 3, diffusivity 1 2"),
+    "kaze": (P.KAZE, "KAZE", "extended False True, upright False True, threshold 0.001 0.25, octaves 4 5, octave_layers 4 2, diffusivity 1 3"),
+    "mser": (P.MSER, "MSER", "delta 5 7, min_area 60 30, max_area 14400 900, pass_2_only False True"),
+    "orb": (P.ORB, "ORB", "max_features 500 100, scale_factor 1.2 1.5, levels 8 4, edge_threshold 31 15, first_level 0 1, wta_k 2 3, score_type 0 1, patch_size 31 21, fast_threshold 20 10"),
+    "agast": (P.Agast, "AgastFeatureDetector", "threshold 10 25, nonmax_suppression True False, kind 3 1"),
+    "fast": (P.Fast, "FastFeatureDetector", "threshold 10 25, nonmax_suppression True False, kind 2 0"),
+    "good_features": (P.GoodFeatures, "GFTTDetector", "max_features 1000 50, quality_level 0.01 0.5, min_distance 1.0 4.0, block_size 3 5, harris_detector False True, k 0.04 0.06"),
+    "clahe": (P.Clahe, None, "clip_limit 40.0 2.5"),
+    "tonemap": (P.Tonemap, None, "gamma 1.0 2.2"),
+    "tonemap_drago": (P.TonemapDrago, None, "gamma 1.0 2.2, saturation 1.0 0.5, bias 0.85 0.7"),
+    "tonemap_mantiuk": (P.TonemapMantiuk, None, "gamma 1.0 2.2, scale 0.7 0.9, saturation 1.0 0.5"),
+    "tonemap_reinhard": (P.TonemapReinhard, None, "gamma 1.0 2.2, intensity 0.0 1.5, light_adaptation 1.0 0.5, color_adaptation 0.0 0.25"),
+}
+
+
+def _settings(spark, made: type, name: str | None, fields: str) -> DataFrame:
+    rows = [("default_name", made().default_name, made().default_name)] if name else []
+    for field, _, value in (f.split() for f in fields.split(", ")):
+        kind = type(getattr(made(), field))
+        rows.append((field, str(getattr(made(), field)), str(getattr(made().with_(**{field: value == "True" if kind is bool else kind(value)}), field))))
+    return spark.createDataFrame(rows, "name string, at_first string, changed string")
+
+
+for _name, (_made, _default, _fields) in _SETTINGS.items():
+    QUERIES[f"settings_{_name}"] = lambda spark, d, m=_made, n=_default, f=_fields: _settings(spark, m, n, f)
+    _rows = [tuple(f.split()) for f in _fields.split(", ")] + ([("default_name", f"Feature2D.{_default}", f"Feature2D.{_default}")] if _default else [])
+    SQL[f"settings_{_name}"] = f"SELECT * FROM (VALUES {', '.join(str(r) for r in _rows)}) t(name, at_first, changed)"
+
+
+def _log_levels(spark) -> DataFrame:
+    before = P.set_log_level(spark, "WARN")
+    try:
+        first, seen = P.get_log_level(spark), P.set_log_level(spark, "ERROR")
+        return spark.createDataFrame([(first, seen, P.get_log_level(spark))], "first string, before string, after string")
+    finally:
+        P.set_log_level(spark, before)
+
+
+QUERIES["log_level"] = lambda spark, d: _log_levels(spark)
+SQL["log_level"] = "SELECT 'WARN' AS first, 'WARN' AS before, 'ERROR' AS after"

@@ -4,7 +4,7 @@ description or tone mapping of pixels belongs to them. `with_(field=value)` give
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
-from typing import Self
+from typing import ClassVar, Self
 
 
 @dataclass(frozen=True)
@@ -14,7 +14,7 @@ class Settings:
 
     @property
     def default_name(self) -> str:
-        return f"Feature2D.{type(self).__name__}"
+        return f"Feature2D.{getattr(self, '_NAME', type(self).__name__)}"
 
     def _least(self, **bounds: float) -> None:
         for name, low in bounds.items():
@@ -78,6 +78,7 @@ class ORB(Settings):
 
 @dataclass(frozen=True)
 class Agast(Settings):
+    _NAME: ClassVar[str] = "AgastFeatureDetector"
     threshold: int = 10
     nonmax_suppression: bool = True
     kind: int = 3
@@ -85,6 +86,7 @@ class Agast(Settings):
 
 @dataclass(frozen=True)
 class Fast(Settings):
+    _NAME: ClassVar[str] = "FastFeatureDetector"
     threshold: int = 10
     nonmax_suppression: bool = True
     kind: int = 2
@@ -92,6 +94,7 @@ class Fast(Settings):
 
 @dataclass(frozen=True)
 class GoodFeatures(Settings):
+    _NAME: ClassVar[str] = "GFTTDetector"
     max_features: int = 1000
     quality_level: float = 0.01
     min_distance: float = 1.0
@@ -133,3 +136,15 @@ class TonemapReinhard(Tonemap):
     intensity: float = 0.0
     light_adaptation: float = 1.0
     color_adaptation: float = 0.0
+
+
+def get_log_level(spark) -> str:
+    """The level of the driver's root logger."""
+    return spark._jvm.org.apache.logging.log4j.LogManager.getRootLogger().getLevel().toString()
+
+
+def set_log_level(spark, level: str) -> str:
+    """Set the level and give the one before."""
+    before = get_log_level(spark)
+    spark.sparkContext.setLogLevel(level)
+    return before

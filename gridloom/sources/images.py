@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,3 +80,21 @@ def roi(planes: DataFrame, y: int, x: int, rows: int, cols: int) -> DataFrame:
     part = F.flatten(F.transform(F.sequence(F.lit(y), F.lit(y + rows - 1)), lambda r: F.slice("data", r * F.col("cols") + x + 1, F.lit(cols))))
     ready = planes.withColumn("_d", F.when(fits, part).otherwise(F.raise_error(F.lit("the rectangle leaves the image"))))
     return ready.select("img", "c", F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.col("_d").alias("data"))
+
+
+def encode_bmp(planes: DataFrame) -> DataFrame:
+    """(img, content): 8-bit images of one or three channels (blue, green, red) as BMP files, which read_images() reads."""
+    whole = planes.groupBy("img").agg(F.first("rows").alias("rows"), F.first("cols").alias("cols"), F.transform(F.array_sort(F.collect_list(F.struct("c", "data"))), lambda p: p["data"]).alias("data"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = []
+            for rows, cols, data in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                pixels = np.stack([np.array(d).reshape(rows, cols) for d in (data * 3 if len(data) == 1 else data[:3])], axis=-1).astype(np.uint8)
+                lines = np.zeros((rows, -(-3 * cols // 4) * 4), np.uint8)
+                lines[:, : 3 * cols] = pixels[::-1].reshape(rows, -1)  # from the lowest row up, each filled to four bytes
+                head = struct.pack("<2sIHHI", b"BM", 54 + lines.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, cols, rows, 1, 24, 0, lines.size, 2835, 2835, 0, 0)
+                files.append(head + lines.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], ["img", "content"])
+
+    return whole.mapInArrow(pack, "img long, content binary")

@@ -2,6 +2,7 @@
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -15,17 +16,21 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from pyspark.sql import SparkSession
 
+    folder = tempfile.TemporaryDirectory(prefix="gridloom-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"{folder.name}/shared")
+        .config("spark.sql.warehouse.dir", f"{folder.name}/warehouse")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    folder.cleanup()
 
 
 @pytest.fixture(scope="session")

@@ -210,3 +210,82 @@ def test_settings():
     assert O.AKAZE().default_name == "Feature2D.AKAZE"
     with pytest.raises(ValueError, match="octaves"):
         O.KAZE(octaves=0)
+
+
+def _frame(shape, *pixels):
+    out = np.zeros(shape)
+    for x, y in pixels:
+        out[y, x] = 255
+    return out
+
+
+@pytest.mark.parametrize(
+    ("shape", "pixels", "rect", "want"),
+    [
+        ((20, 20), [], (5, 5, 10, 10), ((0, 0, 0, 0, 0), (0, 0, 20, 20))),
+        ((20, 20), [(10, 12)], (5, 5, 10, 10), ((10, 12, 0, 0, 90), (9, 11, 2, 2))),
+        ((40, 40), [(20, 18), (20, 22)], (15, 15, 10, 10), ((20, 20, 0, 8, 90), (19, 15, 2, 10))),
+        ((20, 20), [(2, 2), (10, 10)], (5, 5, 10, 10), ((9, 9, 0, 22.6274, 135), (0, 0, 18, 18))),
+        ((40, 40), [(20, 20), (20, 24), (22, 20)], (18, 18, 4, 4), ((21.5, 21.5, 3.1489808559, 7.8227252960, 16.8450336456), (19, 17, 5, 9))),
+        ((40, 40), [], (15, 15, 10, 10), ((0, 0, 0, 0, 0), (5, 5, 30, 30))),
+    ],
+)
+def test_adaptive_window(shape, pixels, rect, want):
+    ellipse, window = T.cam_shift(_frame(shape, *pixels), rect)
+    keep = [k for k in range(5) if not (k == 4 and len(pixels) == 2 and pixels[0][0] == pixels[1][0])]
+    assert np.allclose([ellipse[k] for k in keep], [want[0][k] for k in keep], atol=1e-3) and window == want[1]
+
+
+def test_mean_shift_counts_passes():
+    one = _frame((20, 20), (10, 12))
+    assert T.mean_shift(one, (5, 5, 10, 10), 10, 1.0, T.COUNT) == (1, (5, 7, 10, 10))
+    assert T.mean_shift(one, (5, 5, 10, 10), 10, 1.0, T.COUNT | T.EPS) == (10, (5, 7, 10, 10))
+    assert T.mean_shift(one, (5, 5, 10, 10), 10, 1.0, T.EPS) == (100, (5, 7, 10, 10))
+    assert T.mean_shift(one, (5, 5, 10, 10), 10, 3.0) == (0, (5, 5, 10, 10))
+    assert T.mean_shift(np.zeros((20, 20)), (15, 15, 10, 10)) == (0, (15, 15, 5, 5))
+    assert T.mean_shift(_frame((20, 20), (19, 5)), (12, 0, 10, 10), 10, 0.0, T.COUNT) == (0, (12, 0, 8, 10))
+
+
+def brute_labels(a, connectivity):
+    near = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0) and (connectivity == 8 or 0 in (dy, dx))]
+    out, n = np.zeros(a.shape, int), 0
+    for at in zip(*np.nonzero(a), strict=True):
+        if not out[at]:
+            n, todo = n + 1, [at]
+            out[at] = n
+            while todo:
+                y, x = todo.pop()
+                for dy, dx in near:
+                    q = (y + dy, x + dx)
+                    if 0 <= q[0] < a.shape[0] and 0 <= q[1] < a.shape[1] and a[q] and not out[q]:
+                        out[q] = n
+                        todo.append(q)
+    return out
+
+
+def test_regions_and_distances_against_brute_force():
+    rng = np.random.default_rng(3)
+    for shape in ((1, 1), (1, 9), (9, 1), (13, 17), (40, 30)):
+        for density in (0.0, 0.2, 0.5, 0.8, 1.0):
+            a = (rng.random(shape) < density).astype(float)
+            for connectivity in (4, 8):
+                assert np.array_equal(K.label(a, connectivity), brute_labels(a, connectivity))
+            zeros = np.argwhere(a == 0)
+            if not len(zeros):
+                assert (K.chamfer(a) == 1e30).all()
+                continue
+            gap = np.abs(np.argwhere(np.ones(shape))[:, None] - zeros[None])
+            low, high = gap.min(axis=2), gap.max(axis=2)
+            for kind, mask, d in (("l1", 3, low + high), ("c", 3, high), ("l2", 3, 1.3693 * low + 0.955 * (high - low))):
+                assert np.allclose(K.chamfer(a, kind, mask).ravel(), d.min(axis=1))
+            knight = np.where(high - low >= low, 2.0 * low + high - 2 * low, np.where(2 * low >= high, 0, 0) + (high - low) * 2.0 + (2 * low - high) * 1.4)
+            assert np.allclose(K.chamfer(a, "l2", 5).ravel(), np.where(2 * low <= high, low * 2.0 + (high - 2 * low), knight).min(axis=1))
+
+
+def test_pictures_are_written_and_read(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(7, c, 3, 5, rng.integers(0, 256, 15).astype(float).tolist()) for c in range(3)]
+    planes = spark.createDataFrame(rows, I.PLANE)
+    (tmp_path / "a.bmp").write_bytes(I.encode_bmp(planes).first().content)
+    got = sorted((r.c, r["rows"], r.cols, list(r["data"])) for r in I.read_images(spark, str(tmp_path)).collect())
+    assert got == [(c, 3, 5, data) for _, c, _, _, data in rows]
