@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridloom.llm.common import as_bytes, lean, ranges, small_batches, spread, table
+from gridloom.llm.common import as_bytes, discard, joined, lean, materialise, ranges, small_batches, spread, table
 
 #: The network is fitted on at most so many texts of each language and in all, and so many pieces of each text.
 TEXTS_PER_LANGUAGE, TEXTS, PIECES = 500, 8000, 8
@@ -225,14 +225,15 @@ def fit(docs: DataFrame, learn: Column) -> ByteTagger | None:
     small_batches(docs.sparkSession)
     known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     by_hash = spread(SEED, "doc_id")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).withColumn("_of", F.col("_n")))
     # what is surely beyond a language's share goes first: a window then sees about twice the share, not the language
-    near = known.select("doc_id", "lang").join(counts, "lang").where(by_hash * F.col("_n") < 2.0 * TEXTS_PER_LANGUAGE + 100)
+    near = joined(known.select("doc_id", "lang"), counts, ["lang"], "_n", F.col("doc_id")).where(by_hash * F.col("_of") < 2.0 * TEXTS_PER_LANGUAGE + 100)
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(by_hash, "doc_id")))
     chosen = ranked.where(F.col("_k") <= TEXTS_PER_LANGUAGE).orderBy("_k", by_hash, "doc_id").limit(TEXTS).select("doc_id").distinct()
     rows = known.where(F.length("text") > 0).select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")  # at most TEXTS ids
     rows = rows.select(by_hash.alias("u"), F.xxhash64("text").alias("tie"), "lang", "text")
     got = rows.mapInArrow(lean(_pieces), "u double, tie long, lang string, k int, piece binary").orderBy("u", "tie", "lang", "k").limit(TEXTS * PIECES).collect()
+    discard(counts)
     languages = sorted({r.lang for r in got})
     if not languages:
         return None
