@@ -699,11 +699,13 @@ def match_template(planes: DataFrame, template: Sequence[Sequence[float]], metho
         rows, cols = a.shape[0] - h + 1, a.shape[1] - w + 1
         if rows < 1 or cols < 1:
             return np.zeros((max(rows, 0), max(cols, 0)))
-        kernel, crossed, part = centred if method in (4, 5) else t, np.zeros((rows, cols)), np.empty((rows, cols))
-        for i in range(h):
-            for j in range(w):
-                np.multiply(a[i : i + rows, j : j + cols], kernel[i, j], out=part)
-                crossed += part
+        kernel, crossed = centred if method in (4, 5) else t, np.zeros((rows, cols))
+        for top in range(0, rows, 64):  # a block's rows against all rows of the template in one product, then summed down
+            own = min(64, rows - top)
+            lines = np.lib.stride_tricks.sliding_window_view(a[top : top + own + h - 1], w, axis=1)
+            parts = (kernel @ lines.reshape(-1, w).T).reshape(h, own + h - 1, cols)
+            for i in range(h):
+                crossed[top : top + own] += parts[i, i : i + own]
         if method in (2, 4):
             return crossed
         if method == 5 and spread == 0:
