@@ -155,14 +155,17 @@ def text_key(text_col: str) -> Column:
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of docs, with all its columns, for each group of texts: that of the smallest id, and of equal ids that of
     the smallest digest of its text; a null id comes last. groups has (key, root) for the texts that are grouped; any
-    other text is a group of its own. Of rows that agree in id and text one stays."""
-    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"))
-    texts = keyed.groupBy("key").agg(F.min("id").alias("id")).join(groups, "key", "left")
-    chosen = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("s")
-    kept = texts.where("root IS NOT NULL").groupBy("root").agg(chosen).select("s.id", "s.key").unionByName(texts.where("root IS NULL").select("id", "key"))
+    other text is a group of its own. Of rows that agree in id and text that of the smallest hash of all columns (maps
+    aside) stays, so every run keeps the same."""
+    whole = F.xxhash64(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    keyed = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), whole.alias("whole"))
+    own = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "whole")).alias("own")
+    texts = keyed.groupBy("key").agg(own).select("key", "own.*").join(groups, "key", "left")
+    chosen = F.min(F.struct("last", "id", "key", "whole")).alias("s")
+    kept = texts.where("root IS NOT NULL").groupBy("root").agg(chosen).select("s.id", "s.key", "s.whole").unionByName(texts.where("root IS NULL").select("id", "key", "whole"))
     kept = materialise(kept)
-    rows = docs.withColumns({"_key": text_key(text_col), "_id": F.col(id_col)})
-    same = rows["_key"].eqNullSafe(kept["key"]) & rows["_id"].eqNullSafe(kept["id"])
+    rows = docs.withColumns({"_key": text_key(text_col), "_id": F.col(id_col), "_whole": whole})
+    same = (rows["_key"] == kept["key"]) & rows["_id"].eqNullSafe(kept["id"]) & (rows["_whole"] == kept["whole"])
     return rows.join(kept, same, "left_semi").dropDuplicates(["_key", "_id"]).select(docs.columns)
 
 

@@ -2,8 +2,8 @@
 
 Every surrogate comes from a keyed permutation of all values that share the entity's type and shape, so two different
 entities never get one surrogate and one entity gets the same surrogate wherever it occurs, without a table of entities
-and without a shuffle. No surrogate is its own original. surrogate_collisions() checks a corpus, and pseudonymise()
-raises if it finds any.
+and without a shuffle. No surrogate is its own original. surrogate_collisions() looks a corpus over and reports; it is a
+table of its own that nothing waits for, because the permutations leave nothing to find.
 """
 
 from __future__ import annotations
@@ -141,6 +141,8 @@ class Entity:
     gender: str = ""
 
 
+#: Vowel signs and other marks, which belong to the letter before them but aren't word characters, for a character class.
+_MARKS = "".join(chr(k) for k in range(0x300, 0x10000) if unicodedata.category(chr(k)) in ("Mn", "Mc"))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NUMBERS = re.compile(r"[+(\d]")  # where a number may begin; the patterns below decide
 _AT_NUMBER = [
@@ -155,21 +157,29 @@ _KEYWORDED = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|api[ _-]?key|acce
 _PREFIXED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})")
 _LONG_HEX = re.compile(r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.+?)-----END", re.S)
-_NAME_WORD = r"[^\W\d_a-zà-ÿα-ωа-я][^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_NAME_WORD = rf"[^\W\d_a-zà-ÿα-ωа-я](?:[^\W\d_]|[{_MARKS}])+(?:[-'’](?:[^\W\d_]|[{_MARKS}])+)*"
 _NAMED = re.compile(rf"\b({'|'.join(t for ts in _TITLES.values() for t in ts)})\.?[  ]({_NAME_WORD}(?:[  ]{_NAME_WORD}){{0,2}})")
 _LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN_NAMES, key=len, reverse=True))})((?:[  ]{_NAME_WORD}){{1,2}})(?!\w)")
+_WORD = re.compile(rf"(?<!\w){_NAME_WORD}(?!\w)")
 _GENDER_OF = {name: gender for (gender, _), names in _GIVEN.items() for name in names}
-_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){0,6}(?::[0-9A-Fa-f]{1,4})?(?![\w:])|(?<![\w:.])[0-9A-Fa-f]{1,4}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![\w:])")
+_IPV6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)[0-9A-Fa-f:]{2,45}(?![\w:]|\.\d)")
 _GENDER = {t: g for g, ts in _TITLES.items() for t in ts}
 
 
 def _is_ipv6(text: str) -> bool:
+    """An address that ipaddress accepts, with a digit; what begins with :: also needs a second group, or to be ::1, since
+    programs write ::2 and ::add for other things."""
     try:
-        return bool(ipaddress.IPv6Address(text)) and any(c.isdigit() for c in text)
+        return bool(ipaddress.IPv6Address(text)) and any(c.isdigit() for c in text) and (not text.startswith("::") or text == "::1" or text.count(":") > 2)
     except ValueError:
         return False
 
 
+def _secret(text: str) -> bool:
+    """Whether a find has a letter or digit that others can stand for; lines to fill in and rules have none."""
+    return any(len(_alphabet(x)) > 1 for c in text if len(x := c.lower()) == 1)
+
+
 def detect(text: str) -> list[Entity]:
     """Entities of a text, in order, none overlapping another; of overlapping finds the earlier kind in this list stays:
     e-mail addresses, IBANs, private keys and secrets, IP addresses of both versions, national numbers, telephone and card
@@ -185,9 +195,9 @@ def detect(text: str) -> list[Entity]:
     if digits:
         found += [Entity(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if iban(m[0].replace(" ", ""))]
     if "-----BEGIN" in text:
-        found += [Entity(*m.span(1), "secret") for m in _PEM.finditer(text)]
+        found += [Entity(*m.span(1), "secret") for m in _PEM.finditer(text) if _secret(m[1])]
     if "=" in text or ":" in text:
-        found += [Entity(*m.span(1), "secret") for m in _KEYWORDED.finditer(text) if re.search(r"\d", m[1]) or len(m[1]) >= 20]
+        found += [Entity(*m.span(1), "secret") for m in _KEYWORDED.finditer(text) if (re.search(r"\d", m[1]) or len(m[1]) >= 20) and _secret(m[1])]
     if digits or "AKIA" in text or "-" in text or "_" in text:  # no other prefixed secret is without these
         found += [Entity(*m.span(), "secret") for m in _PREFIXED.finditer(text)]
     if digits:
@@ -215,8 +225,11 @@ def detect(text: str) -> list[Entity]:
             found.append(Entity(m.start(2) + w.start(), m.start(2) + w.end(), "name", gender))
             names.setdefault(w[0], gender)
     if names:
-        again = re.compile(rf"\b({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\b")
-        found += [Entity(*m.span(), "name", names[m[1]]) for m in again.finditer(text)]
+        for w in _WORD.finditer(text):
+            if w[0] in names:
+                found.append(Entity(*w.span(), "name", names[w[0]]))
+            elif re.search("[-'’]", w[0]):
+                found += [Entity(w.start() + part.start(), w.start() + part.end(), "name", names[part[0]]) for part in re.finditer("[^-'’]+", w[0]) if part[0] in names]
     out: list[Entity] = []
     taken = bytearray(len(text))
     for e in found:  # in the order of the kinds
@@ -299,10 +312,11 @@ class Surrogates:
         if kind == "name":
             return self._name(value, gender)
         if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) and not value.isdigit():
-            n = self.permute(int(value, 16), 16 ** len(value), b"hex%d" % len(value))
-            return format(n, "X" if value.isupper() else "x").zfill(len(value))
+            hexed = lambda n: format(n, "X" if value.isupper() else "x").zfill(len(value))
+            return hexed(self.permute(int(value, 16), 16 ** len(value), b"hex%d" % len(value), lambda n: not hexed(n).isdigit()))
         prefix = len(m[0]) if (m := re.match("AKIA|gh[pousr]_|xox[abprs]-|sk-|eyJ", value)) else 0
-        return self._letters(value, "secret", keep=lambda i, c: i < prefix)
+        hexadecimal = lambda t: bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", t)) and not t.isdigit()
+        return self._letters(value, "secret", keep=lambda i, c: i < prefix, taken=hexadecimal)
 
     def _address(self, value: str) -> str:
         address = int(ipaddress.IPv4Address(value))
@@ -335,17 +349,15 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[Entity]]:
     return "".join(out) + text[at:], found
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text", check: bool = True) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
     """docs with surrogates in text_col, and n_entities and kinds (such as 'email:2,ip:1', sorted) beside its columns.
 
-    With check, the entities of docs are looked over first, and two different ones with one surrogate, or one that is its
-    own surrogate, raise. A null text stays null with 0 entities; empty texts stay empty. Whole texts are searched, one pass, no shuffle.
+    A null text stays null with 0 entities; empty texts stay empty. Whole texts are searched, one pass, no shuffle. No text
+    stops the job: what has no letter or digit to change, such as a line to fill in, is no entity.
     Repeated rows are changed alike. Columns of docs named n_entities or kinds give way to the new ones.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    if check and (bad := surrogate_collisions(docs, key, text_col).first()):
-        raise ValueError(f"the surrogate {bad.surrogate} of kind {bad.kind} stands for more than one value, or for itself")
     rows = docs.drop("n_entities", "kinds")
     place = rows.columns.index(text_col)
 
@@ -382,7 +394,8 @@ def entities(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataF
 
 
 def surrogate_collisions(docs: DataFrame, key: bytes = KEY, text_col: str = "text") -> DataFrame:
-    """(kind, surrogate) that stand for more than one value, case aside, or for themselves; the permutations leave none."""
+    """(kind, surrogate) that stand for more than one value, case aside, or for themselves: a report to run beside
+    pseudonymise(). The permutations leave none; one of a single value that nothing else shares the shape of would show."""
     found = entities(docs, key, text_col).groupBy("kind", "surrogate").agg(F.min(F.lower("value")).alias("a"), F.max(F.lower("value")).alias("b"))
     return found.where(F.expr("a <> b") | (F.col("a") == F.lower("surrogate"))).select("kind", "surrogate")
 

@@ -46,7 +46,18 @@ def test_null_ids_and_no_rows(awkward, nothing):
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(None) == 1 and len(set(ids)) == len(ids) and 0 in ids and 12 not in ids
+    assert None not in ids and 3 in ids  # the row without an id repeats document 3, which stands for both
+    assert len(set(ids)) == len(ids) and 0 in ids and 12 not in ids
+    alone = awkward.where("doc_id IS NULL OR doc_id <> 3")
+    assert [r.doc_id for r in simhash.one_of_each(alone).collect()].count(None) == 1
+
+
+@pytest.mark.parametrize("module", [simhash, near_copies])
+def test_of_rows_with_one_id_and_text_every_run_keeps_the_same(spark, module):
+    text = " ".join(f"a{k}" for k in range(60))
+    rows = [(1, text, f"lang{k}") for k in range(20)]
+    kept = {module.one_of_each(spark.createDataFrame(order, "doc_id long, text string, lang string")).first().lang for order in (rows, rows[::-1], rows[7:] + rows[:7])}
+    assert len(kept) == 1
 
 
 @pytest.mark.parametrize("module", [simhash, near_copies])

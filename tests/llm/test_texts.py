@@ -181,6 +181,70 @@ def test_names_without_a_title_and_new_addresses():
     assert new.split()[0] in pii._GIVEN["f", "latin"] and new.split()[1] in pii._SURNAMES["latin"]
 
 
+@pytest.mark.parametrize("line", ["Password: ______________________________ (min 8)", "token: -----------------------------", "secret: ====================", "password = ~~~~~~~~~~~~~~~~~~~~~~~~~", "-----BEGIN PRIVATE KEY-----\n\n-----END PRIVATE KEY-----", "x[::2] and std::add, ::before", "credential: ....................."])
+def test_lines_to_fill_in_stay(spark, line):
+    docs = spark.createDataFrame([(1, line), (2, line + " Mr Brown")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(docs).collect()}
+    assert got[1].text == line and got[1].n_entities == 0 and got[2].text.startswith(line) and got[2].kinds == "name:1"
+    assert pii.surrogate_collisions(docs).count() == 0
+
+
+def test_marks_and_short_addresses():
+    s = pii.Surrogates(b"k")
+    new, found = pii.replace("Mr राम met Dr नेहा; नेहा left. From ::1 to 2001:db8:: and fe80::2, ::ffff:10.1.2.3.", s)
+    assert [e.kind for e in found] == ["name"] * 3 + ["ipv6"] * 3 + ["ip"]
+    assert not any(x in new for x in ("राम", "नेहा", "::1 ", "db8", "fe80::2,", "10.1.2.3"))
+
+
+def test_many_names_take_linear_time():
+    names = ["".join(chr(97 + n // 26**k % 26) for k in range(4)).title() + "son" for n in range(20_000)]
+    text = " ".join(f"Mr {n}" for n in names) + " " + " ".join(names)
+    began = time.time()
+    found = pii.detect(text)
+    assert len(found) == 40_000 and time.time() - began < 3
+
+
+def brute_entities(parts):
+    """Spans and kinds of a text that is given in parts: plain strings, and (kind, value)."""
+    text, out = "", []
+    for p in parts:
+        if isinstance(p, tuple):
+            out.append((len(text), len(text) + len(p[1]), p[0]))
+        text += p if isinstance(p, str) else p[1]
+    return text, out
+
+
+def test_whole_rows_against_planted_entities(spark):
+    """Rows made of known parts: just the planted values change, each to one surrogate of its own form everywhere."""
+    rng = np.random.default_rng(5)
+    kinds = [(k, v) for k, vs in PRIVATE.items() if k != "name" for v in vs]
+    people = [("Mr. ", "name", "Okafor"), ("Mrs. ", "name", "Lindqvist"), ("Dr. ", "name", "Haddad")]
+    rows, planted = [], {}
+    for doc in range(60):
+        parts = []
+        for _ in range(int(rng.integers(0, 12))):
+            parts.append(" ".join(rng.choice("the river runs under copper bridge seven times quietly".split(), int(rng.integers(1, 6)))) + " ")
+            if rng.random() < 0.3:
+                title, kind, name = people[int(rng.integers(3))]
+                parts += [title, (kind, name), " "]
+            else:
+                parts += [kinds[int(rng.integers(len(kinds)))], ". "]
+        text, spans = brute_entities(parts)
+        assert [(e.start, e.end, e.kind) for e in pii.detect(text)] == spans
+        rows.append((doc, text))
+        planted[doc] = parts
+    table, images = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}, {}
+    for doc, parts in planted.items():
+        pattern = "".join(re.escape(p) if isinstance(p, str) else "(.+?)" for p in parts)
+        values = [p for p in parts if not isinstance(p, str)]
+        new = re.fullmatch(pattern, table[doc].text, re.S)
+        assert new and table[doc].n_entities == len(values)
+        for (kind, value), image in zip(values, new.groups(), strict=True):
+            assert images.setdefault((kind, value), image) == image != value
+            assert kind == "ip" or re.sub(r"[^\W_]", "x", image) == re.sub(r"[^\W_]", "x", value)
+    assert len(set(images.values())) == len(images) > 10
+
+
 def test_clean_texts_stay():
     for text in ["2024-01-02 12:30:45, v4.0.1 on pages 10-20 of 1,234,567", "Licensed under CC BY-NC 4.0.", "ratio 3:16, time: morning", "a@b", "Don the cap."]:
         assert pii.replace(text, pii.Surrogates(b"k")) == (text, [])
