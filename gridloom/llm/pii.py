@@ -158,7 +158,8 @@ _PREFIXED = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[ab
 _LONG_HEX = re.compile(r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b")
 _PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(.+?)-----END", re.S)
 _NAME_WORD = rf"[^\W\d_a-zà-ÿα-ωа-я](?:[^\W\d_]|[{_MARKS}])+(?:[-'’](?:[^\W\d_]|[{_MARKS}])+)*"
-_NAMED = re.compile(rf"\b({'|'.join(t for ts in _TITLES.values() for t in ts)})\.?[  ]({_NAME_WORD}(?:[  ]{_NAME_WORD}){{0,2}})")
+_TITLE = f"(?:{'|'.join(t for ts in _TITLES.values() for t in ts)})"
+_NAMED = re.compile(rf"\b({_TITLE})\.?[  ]((?!{_TITLE}\b){_NAME_WORD}(?:[  ](?!{_TITLE}\b){_NAME_WORD}){{0,2}})")
 _LISTED = re.compile(rf"\b({'|'.join(sorted(_GIVEN_NAMES, key=len, reverse=True))})((?:[  ]{_NAME_WORD}){{1,2}})(?!\w)")
 _WORD = re.compile(rf"(?<!\w){_NAME_WORD}(?!\w)")
 _GENDER_OF = {name: gender for (gender, _), names in _GIVEN.items() for name in names}
