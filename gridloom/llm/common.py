@@ -132,6 +132,48 @@ def joined(rows: DataFrame, known: DataFrame, keys: list[str], count: str, by: C
     return dealt.join(known.withColumn("_salt", F.explode(each)).drop(count), [*keys, "_salt"]).drop("_salt")
 
 
+def numbered(rows: DataFrame, group: str, order: list[Column], pos: str) -> DataFrame:
+    """The written table `rows` with, in `pos`, each row's place (from 0) in its group by `order`; group is a long, not null.
+
+    Rows are dealt out by ranges of group and order, so a group of any size is spread over as many tasks as it fills.
+    Tasks number what they get as it streams by; only the first group of a task may have begun before, and what came
+    before it is known from one row per task. The result is a written table, for discard().
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    place = rows.columns.index(group)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        held = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(place).to_numpy()
+            first = int(g[0]) if first is None else first
+            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+            sizes = np.diff(np.append(starts, len(g)))
+            local = np.arange(len(g)) - np.repeat(starts, sizes)
+            if last is not None and g[0] == last:
+                local[: sizes[0]] += held
+            last, held = int(g[-1]), int(local[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local), pa.array(g == first)], [*b.schema.names, pos, "_first"])
+
+    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), group, *order).sortWithinPartitions(group, *order).withColumn("_task", F.spark_partition_id())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields)
+    local = materialise(dealt.mapInArrow(lean(scan), f"{schema}, `{pos}` long, _first boolean"))
+    ends = local.groupBy("_task").agg(F.min(group).alias("a"), F.max(group).alias("b"), F.max_by(F.col(pos), F.struct(group, pos)).alias("n")).orderBy("_task").collect()  # one row per task
+    before, last, held = [], None, 0
+    for task, a, b, n in ends:
+        offset = held if a == last else 0
+        before.append((task, offset))
+        last, held = b, n + 1 + (offset if a == b else 0)
+    known = spark.createDataFrame(before or [(0, 0)], "_task int, _before long")
+    out = local.join(F.broadcast(known), "_task").withColumn(pos, F.col(pos) + F.when(F.col("_first"), F.col("_before")).otherwise(0)).drop("_task", "_first", "_before")
+    out._gridloom_path = local._gridloom_path
+    return out
+
+
 def in_units(keyed: DataFrame, keys: list[str], spread: str, members: int) -> tuple[DataFrame, DataFrame]:
     """Rows of keys that at least two rows have, dealt into units of about 2 * members rows at most.
 

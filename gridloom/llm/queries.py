@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality", "language", "pii", "embeddings", "relative_lz", "suffix_array")
+MODULES = ("simhash", "decontaminate", "bpe", "warc", "quality", "language", "pii", "embeddings", "relative_lz", "suffix_array", "importance", "lines", "prefix_trie")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
