@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, discard, lean, materialise, small_batches, table
+from gridloom.llm.common import as_bytes, discard, joined, lean, materialise, small_batches, table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: A task holds at most so many rows of one hash while too few documents have been seen; more are passed on.
@@ -139,8 +139,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     found = materialise(dealt.mapInArrow(lean(_streamed(least_docs)), f"{schema}, open boolean"))
     left = found.where("open")
-    whole = left.select("h1", "h2", "id").distinct().groupBy("h1", "h2").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    more = left.join(whole, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first")) & (F.size("lines") > 0))
+    counted = left.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("_n"))
+    whole = counted.groupBy("h1", "h2").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("_n").alias("_n")).where(F.col("n") >= least_docs)
+    whole = materialise(whole)
+    more = joined(left, whole, ["h1", "h2"], "_n", F.xxhash64("id", "digest")).where(~F.col("id").eqNullSafe(F.col("first")) & (F.size("lines") > 0))
     gone = found.where("NOT open").select("id", "digest", "n_lines", "lines").unionByName(more.select("id", "digest", "n_lines", "lines"))
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     per_row = gone.groupBy("id", "digest").agg(F.max("n_lines").alias("n_lines"), F.collect_list("lines").alias("lines"))
     out = materialise(per_row.mapInArrow(lean(bits), f"id {rows.schema['id'].dataType.simpleString()}, digest long, n_lines long, n_dropped long, keep binary"))
-    for done in (rows, found):
+    for done in (rows, found, whole):
         discard(done)
     return out
 
