@@ -241,44 +241,6 @@ def gray_to_color(planes: DataFrame, channels: int = 3, alpha: float = 255.0) ->
     return copies.select("img", "c", "rows", "cols", F.when(F.col("c") == 3, F.transform(D(), lambda _: F.lit(float(alpha)))).otherwise(D()).alias("data"))
 
 
-_MASK64 = (1 << 64) - 1
-
-
-def _splitmix(state: int) -> tuple[int, int]:
-    state = (state + 0x9E3779B97F4A7C15) & _MASK64
-    z = state
-    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & _MASK64
-    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & _MASK64
-    return state, z ^ (z >> 31)
-
-
-def randu(planes: DataFrame, low: float, high: float, seed: int = _MASK64, depth: int = N.F64) -> DataFrame:
-    """Uniform values of the half-open range; each plane has a stream of its own, from the seed, img and c."""
-    return _random(planes, seed, lambda u, _: low + u * (high - low), depth, math.floor)
-
-
-def randn(planes: DataFrame, mean: float, deviation: float, seed: int = _MASK64, depth: int = N.F64) -> DataFrame:
-    """Normal values, by the Box-Muller transform."""
-    return _random(planes, seed, lambda u, v: mean + deviation * math.sqrt(-2 * math.log(1 - u)) * math.cos(2 * math.pi * v), depth, round)
-
-
-def _random(planes: DataFrame, seed: int, value, depth: int, whole) -> DataFrame:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for img, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
-                state, line = (seed ^ (img * 0x9E3779B97F4A7C15 + c)) & _MASK64, []
-                for _ in data:
-                    state, a = _splitmix(state)
-                    state, z = _splitmix(state)
-                    v = value((a >> 11) / 2**53, (z >> 11) / 2**53)
-                    line.append(float(min(max(whole(v), N.RANGE[depth][0]), N.RANGE[depth][1])) if depth in N.RANGE else v)
-                out.append(line)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.list_(pa.float64()))], ["img", "c", "rows", "cols", "data"])
-
-    return planes.select("img", "c", "rows", "cols", "data").mapInArrow(scan, "img long, c int, rows int, cols int, data array<double>")
-
-
 #: Integer rows and shifts of the 8-bit colour transforms, for blue, green, red.
 _XYZ, _XYZ_SHIFT = ((739, 1465, 1689), (296, 2929, 871), (3892, 488, 79)), 12
 _LUMA, _CHROMA_SHIFT = (1868, 9617, 4899), 14

@@ -13,6 +13,7 @@ from gridloom.functions import planes as P
 from gridloom.operators import arithmetic as A
 from gridloom.operators import layout as L
 from gridloom.operators import neighbourhood as W
+from gridloom.operators import noise as Z
 from gridloom.operators import reductions as R
 from gridloom.operators import resampling as G
 from gridloom.operators import selection as S
@@ -200,10 +201,18 @@ def _compared_shapes(hu: DataFrame) -> DataFrame:
 table("total", "real", R.total, f"SELECT img, CAST(c AS INTEGER) AS c, {r6('sum(v)')} AS sum FROM {{p}} GROUP BY img, c")
 unary("extract_channel", "color", lambda p: L.extract_channel(p, 1), "SELECT img, 0 AS c, y, x, v FROM {p} WHERE c = 1")
 unary("insert_channel", "color", lambda p: L.insert_channel(p, L.extract_channel(p, 2), 0), "SELECT img, c, y, x, v FROM {p} WHERE c > 0 UNION ALL SELECT img, 0, y, x, v FROM {p} WHERE c = 2")
-QUERIES["randu"] = lambda spark, d: A.randu(real(spark, d), -2.0, 3.0).select("img", "c", F.forall("data", lambda v: (v >= -2) & (v < 3)).alias("inside"), (F.size(F.array_distinct("data")) > 60).alias("mixed"))
-SQL["randu"] = f"SELECT DISTINCT CAST(img AS BIGINT) AS img, CAST(c AS INTEGER) AS c, true AS inside, true AS mixed FROM ({REAL})"
-QUERIES["randn"] = lambda spark, d: A.randn(real(spark, d), 5.0, 2.0).agg((F.abs(F.avg(F.aggregate("data", F.lit(0.0), lambda a, v: a + v)) / 64 - 5) < 0.2).alias("mean"), (F.count(F.lit(1))).alias("n"))
-SQL["randn"] = f"SELECT true AS mean, count(DISTINCT img) AS n FROM ({REAL})"
+for _name, _load, _px, _seed, _kind in (("randu", real, REAL, Z.SEED, "u"), ("randn", real, REAL, Z.SEED, "n"), ("set_rng_seed", color, COLOR, 12345, "u"), ("randn_color", color, COLOR, 7, "n")):
+    QUERIES[_name] = lambda spark, d, a=_load, s=_seed, k=_kind: pixels(Z.randu(a(spark, d), [-2.0, 1.0, 0.0], [3.0, 2.0, 256.0], s) if k == "u" else Z.randn(a(spark, d), 5.0, 2.0, s))
+    # the generator step by step, one number after another
+    _two = "18446744073709551616::UHUGEINT"
+    _mixed = f"SELECT k, xor(z, z >> 31) AS z FROM (SELECT k, xor(z, z >> 27) * 10723151780598845931::UHUGEINT % {_two} AS z FROM (SELECT k, xor(s, s >> 30) * 13787848793156543929::UHUGEINT % {_two} AS z FROM g WHERE k >= 0))"
+    _value = "CASE c WHEN 0 THEN -2 * (1 - u) + 3 * u WHEN 1 THEN 1 - u + 2 * u ELSE 256 * u END" if _kind == "u" else "5 + 2 * r * CASE WHEN n % 2 = 0 THEN cos(w) ELSE sin(w) END"
+    _numbers = "SELECT k, CAST(z >> 11 AS DOUBLE) / 9007199254740992 AS u FROM z" if _kind == "u" else "SELECT k, sqrt(-2 * ln((CAST(z >> 11 AS DOUBLE) + 0.5) / 9007199254740992)) AS r, 2 * pi() * lead(CAST(z >> 11 AS DOUBLE) / 9007199254740992) OVER (ORDER BY k) AS w FROM z"
+    _at = "n" if _kind == "u" else "n - n % 2"
+    SQL[_name] = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY img, y, x, c) - 1 AS n FROM ({_px})),
+g AS (SELECT -1::BIGINT AS k, {_seed}::UHUGEINT AS s UNION ALL SELECT k + 1, (s + 11400714819323198485::UHUGEINT) % {_two} FROM g WHERE k <= (SELECT count(*) FROM p)),
+z AS MATERIALIZED ({_mixed}), v AS MATERIALIZED ({_numbers})
+{pixels_sql(f"SELECT img, c, y, x, {_value} AS v FROM p JOIN v ON v.k = {_at}")}"""
 table("calc_hist", "real", lambda p: R.calc_hist(p, 16, -0.3, 0.3), "SELECT g.img, CAST(g.c AS INTEGER) AS c, CAST(g.b AS INTEGER) AS bin, CAST(count(s.v) AS INTEGER) AS n FROM (SELECT DISTINCT img, c, b FROM {p} CROSS JOIN range(0, 16) t(b)) g LEFT JOIN (SELECT img, v, floor((v - (-0.3)) * 16 / CAST(0.6 AS DOUBLE)) AS b FROM {p} WHERE v >= -0.3 AND v < 0.3) s ON s.img = g.img AND s.b = g.b GROUP BY 1, 2, 3")
 _HIST = "(SELECT g.img, g.b, CAST(count(s.v) AS DOUBLE) AS n FROM (SELECT DISTINCT img, b FROM {p} CROSS JOIN range(0, 8) t(b)) g LEFT JOIN (SELECT img, v, floor(v / 32) AS b FROM {p}) s ON s.img = g.img AND s.b = g.b GROUP BY 1, 2)"
 for _k, _sql in enumerate(("CASE WHEN var_pop(a.n) * var_pop(b.n) <= 0 THEN 1 ELSE corr(a.n, b.n) END", "coalesce(sum((a.n - b.n) * (a.n - b.n) / a.n) FILTER (WHERE a.n > 0), 0)", "sum(least(a.n, b.n))", "sqrt(greatest(0.0, round(1 - sum(sqrt(a.n * b.n)) / 64, 12)))")):

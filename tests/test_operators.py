@@ -16,6 +16,7 @@ from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators import linear as L
 from gridloom.operators import neighbourhood as W
+from gridloom.operators import noise as Z
 from gridloom.operators import reductions as R
 from gridloom.operators import resampling as S
 from gridloom.operators import selection as E
@@ -81,12 +82,45 @@ def test_gaussian_matches_numpy(spark):
     assert np.allclose(values(W.gaussian_blur(plane(spark, a), 3, 5, 0.9, depth=N.F64)), want)
 
 
-def test_random_streams_repeat(spark):
-    z = I.zeros(spark, 3, 4, 4)
-    one, two = (A.randu(z, 2, 5, 7).orderBy("img").collect() for _ in range(2))
-    assert one == two and one[0]["data"] != one[1]["data"]
-    assert all(2 <= v < 5 for r in one for v in r["data"])
-    assert A.randn(z, 0, 1).count() == 3
+def brute_stream(seed):
+    """The generator one number after another."""
+    mask = (1 << 64) - 1
+    while True:
+        seed = (seed + 0x9E3779B97F4A7C15) & mask
+        z = ((seed ^ (seed >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & mask
+        yield z ^ (z >> 31)
+
+
+def test_random_stream(spark):
+    assert [hex(int(v)) for v in Z.drawn(0, np.arange(2))] == ["0xe220a8397b1dcdaf", "0x6e789e6aa1b965f4"]
+    sizes = {5: (2, 3, 2), -1: (1, 1, 1), 9: (4, 2, 3), 6: (3, 3, 1)}
+    rows = [(img, c, h, w, [0.0] * (h * w)) for img, (h, w, n) in sizes.items() for c in range(n)]
+    planes = spark.createDataFrame(rows, "img long, c int, rows int, cols int, data array<double>").repartition(5)
+    for seed, skip in ((7, 0), (2**64 - 1, 3)):
+        stream = brute_stream(seed)
+        numbers = [next(stream) for _ in range(skip + 100)]
+        got = {(r.img, r.c): r.data for r in Z.randu(planes, [2, 200, 0], [7, 205, 1], seed, N.U8, skip).collect()}
+        at = skip
+        for img in sorted(sizes):
+            h, w, n = sizes[img]
+            for p in range(h * w):
+                for c in range(n):
+                    low, high = ((2, 7), (200, 205), (0, 1))[c]
+                    u = (numbers[at] >> 11) / 2**53
+                    assert got[img, c][p] == math.floor(low * (1 - u) + high * u)
+                    at += 1
+    pairs, stream = [], brute_stream(9)
+    for _ in range(40):
+        a, b = next(stream), next(stream)
+        radius, angle = math.sqrt(-2 * math.log(((a >> 11) + 0.5) / 2**53)), 2 * math.pi * ((b >> 11) / 2**53)
+        pairs += [radius * math.cos(angle), radius * math.sin(angle)]
+    got = {(r.img, r.c): r.data for r in Z.randn(planes, 3, 2, 9, skip=1).collect()}
+    assert got[-1, 0] == pytest.approx([3 + 2 * pairs[1]]) and got[5, 1] == pytest.approx([3 + 2 * pairs[3 + 2 * p] for p in range(6)])
+    assert Z.randu(planes.where("false"), 0, 1).count() == 0
+    assert all(r.data == [float(v)] * len(r.data) for r in Z.randn(planes, [2, 200, 9], 0, 7, N.U8).collect() for v in [(2, 200, 9)[r.c]])
+    with pytest.raises(ValueError):
+        Z.randu(planes, 1, 1)
 
 
 def test_empty_selection(spark):
