@@ -6,10 +6,11 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators import consensus
+
 
 def rodrigues(r: Sequence[float]) -> np.ndarray:
     """The rotation matrix of a rotation vector."""
@@ -122,81 +123,17 @@ def undistort(planes: DataFrame, camera: np.ndarray, d: Sequence[float], new_cam
     return changed(planes, P.grid_over(D(), ROWS(), COLS(), value))
 
 
-def _groups(pairs: DataFrame, kernel, schema: str) -> DataFrame:
-    names = ["set_id", *[c.split()[0] for c in schema.split(", ")]]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        return pd.DataFrame([(rows["set_id"].iloc[0], *kernel(rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float)))], columns=names)
-
-    return pairs.select("set_id", "pos", "x", "y", "u", "v").groupBy("set_id").applyInPandas(run, f"set_id {pairs.schema['set_id'].dataType.simpleString()}, {schema}")
-
-
-def _robust(a: np.ndarray, b: np.ndarray, least: int, model, error, method: str, threshold: float, rounds: int, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
-    if method == "all":
-        m = model(a, b)
-        return m, np.ones(len(a), bool)
-    rng, best = np.random.default_rng(seed), (None, None, None)
-    for _ in range(rounds):
-        pick = rng.choice(len(a), least, replace=False)
-        m = model(a[pick], b[pick])
-        if m is None or not np.isfinite(m).all():
-            continue
-        e = error(m, a, b)
-        quality = np.median(e) if method == "lmeds" else -int((e < threshold**2).sum())
-        if best[0] is None or quality < best[0]:
-            best = quality, m, e
-    if best[1] is None:
-        return None, np.zeros(len(a), bool)
-    limit = threshold**2 if method == "ransac" else (2.5 * 1.4826 * (1 + 5 / max(1, len(a) - least)) * math.sqrt(max(best[0], 0))) ** 2
-    inliers = best[2] <= max(limit, 1e-12) if method == "lmeds" else best[2] < limit
-    return (model(a[inliers], b[inliers]) if inliers.sum() >= least else best[1]), inliers
-
-
-def affine_model(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    m = np.column_stack([a, np.ones(len(a))])
-    return np.linalg.lstsq(m, b, rcond=None)[0].T if np.linalg.matrix_rank(m) == 3 else None
-
-
-def estimate_affine_2d(pairs: DataFrame, method: str = "ransac", threshold: float = 3.0, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """(set_id, matrix, inliers) of point pairs (set_id, pos, x, y, u, v); an empty matrix where there is none."""
-
-    def run(a: np.ndarray, b: np.ndarray) -> tuple:
-        if len(a) < 3:
-            return [], []
-        error = lambda m, p, q: ((p @ m[:, :2].T + m[:, 2] - q) ** 2).sum(1)
-        m, inliers = _robust(a, b, 3, affine_model, error, method, threshold, rounds, seed)
-        return ([] if m is None else m.ravel().tolist()), inliers.tolist()
-
-    return _groups(pairs, run, "matrix array<double>, inliers array<boolean>")
-
-
-def homography_model(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The normalised linear solution."""
-
-    def normal(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c, s = p.mean(0), np.abs(p - p.mean(0)).mean(0)
-        s = np.where(s > 0, s, 1)
-        return np.array([[1 / s[0], 0, -c[0] / s[0]], [0, 1 / s[1], -c[1] / s[1]], [0, 0, 1]]), (p - c) / s
-
-    (ta, p), (tb, q) = normal(a), normal(b)
-    rows = np.concatenate([np.column_stack([p, np.ones(len(p)), np.zeros((len(p), 3)), -q[:, :1] * p, -q[:, :1]]), np.column_stack([np.zeros((len(p), 3)), p, np.ones(len(p)), -q[:, 1:] * p, -q[:, 1:]])])
-    h = np.linalg.inv(tb) @ np.linalg.svd(rows)[2][-1].reshape(3, 3) @ ta
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
-
+def _gathered(models: DataFrame, flagged: DataFrame) -> DataFrame:
+    masks = flagged.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "inlier"))), lambda p: p["inlier"]).alias("inliers"))
+    return masks.join(models, "set_id", "left").select("set_id", F.coalesce("model", F.array().cast("array<double>")).alias("matrix"), "inliers")
 
-def find_homography(pairs: DataFrame, method: str = "all", threshold: float = 3.0, rounds: int = 500, seed: int = 1) -> DataFrame:
-    """(set_id, matrix, inliers); sets of fewer than four pairs have an empty matrix."""
 
-    def error(m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        w = p @ m[2, :2] + m[2, 2]
-        w = np.where(np.abs(w) < 1e-12, 1e-12, w)
-        return (((p @ m[:2, :2].T + m[:2, 2]) / w[:, None] - q) ** 2).sum(1)
+def estimate_affine_2d(pairs: DataFrame, method: str = "ransac", threshold: float = 3.0, rounds: int = 2000, confidence: float = 0.99) -> DataFrame:
+    """(set_id, matrix, inliers) of point pairs (set_id, pos, x, y, u, v), an empty matrix where there is none; see
+    consensus.affine, which keeps large sets in rows."""
+    return _gathered(*consensus.affine(pairs, method, threshold, rounds, confidence))
 
-    def run(a: np.ndarray, b: np.ndarray) -> tuple:
-        if len(a) < 4:
-            return [], []
-        m, inliers = _robust(a, b, 4, homography_model, error, method, threshold, rounds, seed)
-        return ([] if m is None else m.ravel().tolist()), inliers.tolist()
 
-    return _groups(pairs, run, "matrix array<double>, inliers array<boolean>")
+def find_homography(pairs: DataFrame, method: str = "all", threshold: float = 3.0, rounds: int = 2000, confidence: float = 0.99) -> DataFrame:
+    """(set_id, matrix, inliers); sets of fewer than four pairs have an empty matrix; see consensus.homography."""
+    return _gathered(*consensus.homography(pairs, method, threshold, rounds, confidence))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import arithmetic as A
 from gridloom.operators import calibration as C
 from gridloom.operators import colormaps as M
+from gridloom.operators import consensus as O
 from gridloom.operators import drawing as W
 from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
@@ -209,6 +211,87 @@ _MAP = "(VALUES (0, 2.0), (1, -1.0), (2, 3.0), (3, 1.0), (4, 0.5), (5, -1.0), (6
 SQL["find_homography"] = f"SELECT set_id, CAST(i AS INTEGER) AS i, CAST(v AS DOUBLE) AS v FROM (SELECT DISTINCT set_id FROM {_POLY}) CROSS JOIN {_MAP}"
 SQL["estimate_affine_2d"] = SQL["find_homography"] + " WHERE i < 6"
 
+# robust estimates: three pairs of ten are far off, the others a little
+_OFF = "pos % 10 IN (1, 4, 8)"
+_ROUNDS = 60
+
+
+def _rough(spark, d):
+    small = (F.col("pos") * 7 % 5 - 2) * 0.2, (F.col("pos") * 3 % 7 - 3) * 0.1
+    far = F.expr(_OFF)
+    return polygons(spark, d).withColumns({"u": F.col("x") * 2 - F.col("y") + 3 + small[0] + F.when(far, 25 + F.col("pos") % 13 * 3).otherwise(0), "v": F.col("x") + F.col("y") * 0.5 - 1 + small[1] - F.when(far, 30 + F.col("pos") % 7 * 5).otherwise(0)})
+
+
+def _agreed(estimate):
+    return lambda spark, d: estimate(_rough(spark, d), "ransac", 3.0, _ROUNDS)[1].select("set_id", "idx", "inlier")
+
+
+QUERIES["estimate_affine_2d_inliers"] = _agreed(O.affine)
+QUERIES["find_homography_inliers"] = _agreed(partial(O.homography, refine=False))
+QUERIES["estimate_affine_2d_ransac"] = lambda spark, d: O.affine(_rough(spark, d), "ransac", 3.0, _ROUNDS)[0].select("set_id", F.posexplode("model").alias("i", "v")).select("set_id", "i", (F.round("v", 5) + 0.0).alias("v"))
+
+_CASTS = {3: "CAST({} AS DOUBLE)", 4: "CAST(CAST({} AS FLOAT) AS DOUBLE)"}
+
+
+def _drawn_sql(members: int) -> str:
+    """Tables pr (the pairs), sb (draws of each set size, one number of the stream after another) and hy (their points)."""
+    real = ", ".join(f"{_CASTS[members].format(e)} AS {n}" for n, e in (("x", "pos"), ("y", "y"), ("u", "pos * 2.0::DOUBLE - y + 3 + (pos * 7 % 5 - 2) * 0.2::DOUBLE + CASE WHEN " + _OFF + " THEN 25 + pos % 13 * 3 ELSE 0 END"), ("v", "pos + y * 0.5::DOUBLE - 1 + (pos * 3 % 7 - 3) * 0.1::DOUBLE - CASE WHEN " + _OFF + " THEN 30 + pos % 7 * 5 ELSE 0 END")))
+    once = "WHERE step = (SELECT min(step) FROM g o WHERE o.n = g.n AND list_sort(o.sub) = list_sort(g.sub))" if members == 3 else "WHERE true"
+    points = " ".join(f"JOIN pr p{k} ON p{k}.set_id = s.set_id AND p{k}.idx = sub[{k + 1}]" for k in range(members))
+    columns = ", ".join(f"p{k}.{c} AS {c}{k}" for k in range(members) for c in "xyuv")
+    return f"""WITH RECURSIVE pr AS MATERIALIZED (SELECT set_id, pos - 1 AS idx, count(*) OVER (PARTITION BY set_id) AS n, {real} FROM ({POLYGONS})),
+steps AS (SELECT DISTINCT n, 0 AS step, 18446744073709551615::UHUGEINT AS s, CAST([] AS BIGINT[]) AS sub FROM pr WHERE n > {members}
+    UNION ALL SELECT n, step + 1, s, CASE WHEN len(sub) = {members} THEN [k] WHEN list_contains(sub, k) THEN sub ELSE list_append(sub, k) END
+    FROM (SELECT n, step, s, sub, CAST(s % 4294967296 % n AS BIGINT) AS k FROM (SELECT n, step, sub, s % 4294967296 * 4164903690::UHUGEINT + (s >> 32) AS s FROM steps WHERE step < {(_ROUNDS + 20) * members + 60}))),
+g AS MATERIALIZED (SELECT * FROM steps WHERE len(sub) = {members}),
+sb AS MATERIALIZED (SELECT n, sub, row_number() OVER (PARTITION BY n ORDER BY step) - 1 AS draw FROM g {once}),
+hy AS (SELECT s.set_id, s.n, draw, {columns} FROM (SELECT DISTINCT set_id, n FROM pr) s JOIN sb USING (n) {points})"""
+
+
+def _won_sql(members: int, error: str) -> str:
+    """Tables sc (agreeing pairs of each draw) and wn (each set's winner), after a table md of models."""
+    spent = "draw" if members == 3 else "coalesce(sum(1) OVER (PARTITION BY set_id ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    return f"""sc AS MATERIALIZED (SELECT md.set_id, md.n, draw, count(*) FILTER (WHERE {error} < 3) AS agreed FROM md JOIN pr USING (set_id) GROUP BY md.set_id, md.n, draw),
+sq AS (SELECT *, {spent} AS spent, coalesce(max(agreed) OVER (PARTITION BY set_id ORDER BY draw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM sc),
+ok AS (SELECT *, spent < least({_ROUNDS}, CASE WHEN top = 0 THEN {_ROUNDS} WHEN top = n THEN 1 ELSE greatest(1, round(ln(1 - 0.99::DOUBLE) / ln(1 - pow(top / n, {members})))) END) AS live FROM sq),
+wn AS (SELECT set_id, arg_min(draw, (-agreed, draw)) AS draw FROM ok WHERE live AND agreed > 0 GROUP BY set_id)"""
+
+
+def _det(a: str, b: str, c: str, x: str = "x", y: str = "y") -> str:
+    return f"(({x}{b} - {x}{a}) * ({y}{c} - {y}{a}) - ({y}{b} - {y}{a}) * ({x}{c} - {x}{a}))"
+
+
+# an affine map through three pairs by ratios of areas; a homography through four by the two frames they span
+_D = _det("0", "1", "2")
+_PLANE = {c: (f"(({c}1 - {c}0) * (y2 - y0) - ({c}2 - {c}0) * (y1 - y0)) / {_D}", f"(({c}2 - {c}0) * (x1 - x0) - ({c}1 - {c}0) * (x2 - x0)) / {_D}") for c in "uv"}
+_AFFINE_MD = "md AS (SELECT *, u0 - a * x0 - b * y0 AS c, v0 - d * x0 - e * y0 AS f FROM (SELECT *, {} AS a, {} AS b, {} AS d, {} AS e FROM hy WHERE {} <> 0))".format(*_PLANE["u"], *_PLANE["v"], _D)
+_AFFINE_ERROR = "sqrt(pow(a * x + b * y + c - u, 2) + pow(d * x + e * y + f - v, 2))"
+_AREAS = {k: (_det(*t), _det(*t, "u", "v")) for k, t in enumerate((("3", "1", "2"), ("0", "3", "2"), ("0", "1", "3")))}
+_FRAMES = ", ".join(f"{_AREAS[k][0]} AS l{k}, {_AREAS[k][1]} AS m{k}" for k in range(3))
+
+
+def _homography_cell(r: int, c: int) -> str:
+    p, q = (lambda k: (f"x{k}", f"y{k}", "1")), (lambda k: (f"u{k}", f"v{k}", "1"))
+    terms = []
+    for k, (i, j) in enumerate(((1, 2), (2, 0), (0, 1))):
+        a, b = p(i), p(j)
+        e, f = (c + 1) % 3, (c + 2) % 3
+        terms.append(f"m{k} * {q(k)[r]} * l{i} * l{j} * ({a[e]} * {b[f]} - {a[f]} * {b[e]})")
+    return " + ".join(terms)
+
+
+_HOMOGRAPHY_MD = f"md AS (SELECT *, {', '.join(f'{_homography_cell(r, c)} AS h{r}{c}' for r in range(3) for c in range(3))} FROM (SELECT *, {_FRAMES} FROM hy WHERE abs({_D}) > 2.3e-16 AND {' AND '.join(f'abs({_AREAS[k][0]}) > 2.3e-16' for k in range(3))}))"
+_HOMOGRAPHY_ERROR = "sqrt(pow((h00 * x + h01 * y + h02) / nullif(h20 * x + h21 * y + h22, 0) - u, 2) + pow((h10 * x + h11 * y + h12) / nullif(h20 * x + h21 * y + h22, 0) - v, 2))"
+for _name, _members, _md, _error in (("estimate_affine_2d", 3, _AFFINE_MD, _AFFINE_ERROR), ("find_homography", 4, _HOMOGRAPHY_MD, _HOMOGRAPHY_ERROR)):
+    _body = f"{_drawn_sql(_members)},\n{_md},\n{_won_sql(_members, _error)},\nmk AS (SELECT pr.*, coalesce({_error} < 3, false) AS inlier FROM pr LEFT JOIN (SELECT md.* FROM md JOIN wn USING (set_id, draw)) w ON w.set_id = pr.set_id)"
+    SQL[f"{_name}_inliers"] = f"{_body}\nSELECT set_id, idx, inlier FROM mk"
+    if _members == 3:
+        _fit = f"(SELECT set_id, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy, sum(x) AS sx, sum(y) AS sy, count(*) AS k, {', '.join(f'sum({p}{q}) AS {n}{q}' for q in 'uv' for n, p in (('x', 'x * '), ('y', 'y * '), ('s', '')))} FROM mk WHERE inlier GROUP BY set_id HAVING count(*) >= 3)"
+        # centred sums, so that the two slopes are a system of two
+        _slopes = ", ".join(f"((x{q} - sx * s{q} / k) * (yy - sy * sy / k) - (y{q} - sy * s{q} / k) * (xy - sx * sy / k)) / z AS a{q}, ((y{q} - sy * s{q} / k) * (xx - sx * sx / k) - (x{q} - sx * s{q} / k) * (xy - sx * sy / k)) / z AS b{q}" for q in "uv")
+        _wide = f"SELECT set_id, unnest(range(0, 6)) AS i, unnest([au, bu, (su - au * sx - bu * sy) / k, av, bv, (sv - av * sx - bv * sy) / k]) AS v FROM (SELECT *, {_slopes} FROM (SELECT *, (xx - sx * sx / k) * (yy - sy * sy / k) - pow(xy - sx * sy / k, 2) AS z FROM {_fit}))"
+        SQL[f"{_name}_ransac"] = f"{_body}\nSELECT set_id, CAST(i AS INTEGER) AS i, round(v, 5) + 0.0 AS v FROM ({_wide})"
+
 # colour
 _BGR = f"(SELECT img, y, x, max(v) FILTER (WHERE c = 0) AS b, max(v) FILTER (WHERE c = 1) AS g, max(v) FILTER (WHERE c = 2) AS r FROM ({COLOR}) GROUP BY img, y, x)"
 
