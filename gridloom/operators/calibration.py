@@ -48,11 +48,31 @@ def default_new_camera_matrix(camera: np.ndarray, size: tuple[int, int] | None =
 
 
 def _coefficients(d: Sequence[float]) -> list[float]:
-    """k1 k2 p1 p2 k3 k4 k5 k6 s1 s2 s3 s4 of 4, 5, 8, 12 or 14 coefficients (the tilt of the last two is not applied)."""
+    """k1 k2 p1 p2 k3 k4 k5 k6 s1 s2 s3 s4 of 0, 4, 5, 8, 12 or 14 coefficients; the last two tilt, see tilt()."""
+    if len(d) not in (0, 4, 5, 8, 12, 14):
+        raise ValueError("distortion has 4, 5, 8, 12 or 14 coefficients")
     return [float(v) for v in d[:12]] + [0.0] * (12 - min(12, len(d)))
 
 
+def tilt(d: Sequence[float]) -> np.ndarray | None:
+    """The map of image places onto a sensor tilted about x and y by the last two of 14 coefficients; None without."""
+    if len(d) < 14 or not (d[12] or d[13]):
+        return None
+    turn = math.atan2(d[13], d[12])
+    about_z = rodrigues((0, 0, turn))
+    return np.linalg.inv(about_z @ rodrigues((d[12], 0, 0)) @ rodrigues((0, d[13], 0)) @ about_z.T)
+
+
 def distorted(x: Column, y: Column, d: Sequence[float]) -> tuple[Column, Column]:
+    """Where a lens and a tilted sensor put the normalised place (x, y)."""
+    bent, m = _bent(x, y, d), tilt(d)
+    if m is None:
+        return bent
+    a, b, c = (float(m[k][0]) * bent[0] + float(m[k][1]) * bent[1] + float(m[k][2]) for k in range(3))
+    return a / c, b / c
+
+
+def _bent(x: Column, y: Column, d: Sequence[float]) -> tuple[Column, Column]:
     k1, k2, p1, p2, k3, k4, k5, k6, s1, s2, s3, s4 = _coefficients(d)
     r2 = x * x + y * y
     r4, r6 = r2 * r2, r2 * r2 * r2
@@ -73,6 +93,72 @@ def project_points(points: DataFrame, r: Sequence[float], t: Sequence[float], ca
     return points.withColumns({"u": x * float(camera[0][0]) + float(camera[0][2]), "v": y * float(camera[1][1]) + float(camera[1][2])})
 
 
+def rotation_derivatives(r: Sequence[float]) -> list[np.ndarray]:
+    """The derivatives of the rotation matrix by the three parts of its vector."""
+    r, m = np.array(r, float), rodrigues(r)
+    cross = lambda v: np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]])
+    theta2 = float(r @ r)
+    if theta2 <= 1e-28:
+        return [cross(e) for e in np.eye(3)]
+    return [(r[k] * cross(r) + cross(np.cross(r, (np.eye(3) - m)[:, k]))) @ m / theta2 for k in range(3)]
+
+
+#: What the derivatives of project_jacobian are by, in this order.
+PARAMETERS = ("r0", "r1", "r2", "t0", "t1", "t2", "fx", "fy", "cx", "cy", "k1", "k2", "p1", "p2", "k3")
+
+
+def project_jacobian(points: DataFrame, r: Sequence[float], t: Sequence[float], camera: np.ndarray, d: Sequence[float] = (), aspect_ratio: float = 0.0) -> DataFrame:
+    """project_points() with du and dv: the derivatives of u and v by each of PARAMETERS, as arrays of 15.
+
+    Derivatives go forward with the values, as columns of each row: through rotation and translation, the division by
+    depth (a depth of 0 counts as 1), the lens and the tilt. They are true derivatives for every number of coefficients.
+    With an aspect ratio, fy is fx times that.
+    """
+    fx, cx, cy = float(camera[0][0]), float(camera[0][2]), float(camera[1][2])
+    fy = fx * aspect_ratio if aspect_ratio else float(camera[1][1])
+    k1, k2, p1, p2, k3, k4, k5, k6, s1, s2, s3, s4 = _coefficients(d)
+    own = points.columns
+    frame = _camera_frame(r, t)
+    turned = {f"_p{k}{i}": F.col("x") * float(m[i][0]) + F.col("y") * float(m[i][1]) + F.col("z") * float(m[i][2]) for k, m in enumerate(rotation_derivatives(r)) for i in range(3)}
+    rows = points.withColumns({"_z": frame[2], **turned}).withColumn("_inv", F.when(F.col("_z") == 0, F.lit(1.0)).otherwise(1 / F.when(F.col("_z") == 0, F.lit(1.0)).otherwise(F.col("_z"))))
+    inv = F.col("_inv")
+    rows = rows.withColumns({"_x": frame[0] * inv, "_y": frame[1] * inv})
+    x, y, r2 = F.col("_x"), F.col("_y"), F.col("_r2")
+    rows = rows.withColumn("_r2", x * x + y * y)
+    rows = rows.withColumns({"_over": 1 + r2 * (k1 + r2 * (k2 + r2 * k3)), "_under": 1 + r2 * (k4 + r2 * (k5 + r2 * k6))})
+    over, under = F.col("_over"), F.col("_under")
+    # the ratio's derivative by r2, and from it the lens's by x and y
+    slope = ((k1 + r2 * (2 * k2 + r2 * (3 * k3))) * under - over * (k4 + r2 * (2 * k5 + r2 * (3 * k6)))) / (under * under)
+    bent = _bent(x, y, d)
+    rows = rows.withColumns({"_ratio": over / under, "_slope": slope, "_bx": bent[0], "_by": bent[1]})
+    ratio, slope = F.col("_ratio"), F.col("_slope")
+    lens = {
+        "_xx": ratio + 2 * x * x * slope + 2 * p1 * y + 6 * p2 * x + 2 * x * (s1 + 2 * s2 * r2), "_xy": 2 * x * y * slope + 2 * p1 * x + 2 * p2 * y + 2 * y * (s1 + 2 * s2 * r2),
+        "_yx": 2 * x * y * slope + 2 * p1 * x + 2 * p2 * y + 2 * x * (s3 + 2 * s4 * r2), "_yy": ratio + 2 * y * y * slope + 6 * p1 * y + 2 * p2 * x + 2 * y * (s3 + 2 * s4 * r2),
+    }
+    m = np.eye(3) if tilt(d) is None else tilt(d)
+    a, b, c = (float(m[k][0]) * F.col("_bx") + float(m[k][1]) * F.col("_by") + float(m[k][2]) for k in range(3))
+    rows = rows.withColumns({**lens, "_c": c, "_dx": a / c, "_dy": b / c})
+    at = {"_u": F.col("_dx"), "_v": F.col("_dy")}
+    rows = rows.withColumns({f"{n}{j}": (float(m[i][j]) - v * float(m[2][j])) / F.col("_c") for i, (n, v) in enumerate(at.items()) for j in range(2)})
+
+    def by_lens(bx: Column, b_y: Column, n: str) -> Column:
+        """The derivative of a sensor place, given that of the bent one."""
+        return F.col(f"{n}0") * bx + F.col(f"{n}1") * b_y
+
+    def by_place(dx: Column, dy: Column, n: str) -> Column:
+        return by_lens(F.col("_xx") * dx + F.col("_xy") * dy, F.col("_yx") * dx + F.col("_yy") * dy, n)
+
+    poses = [((F.col(f"_p{k}0") - x * F.col(f"_p{k}2")) * inv, (F.col(f"_p{k}1") - y * F.col(f"_p{k}2")) * inv) for k in range(3)]
+    poses += [(inv, F.lit(0.0)), (F.lit(0.0), inv), (-x * inv, -y * inv)]
+    bends = [(x * r2 / under, y * r2 / under), (x * r2 * r2 / under, y * r2 * r2 / under), (2 * x * y, r2 + 2 * y * y), (r2 + 2 * x * x, 2 * x * y), (x * r2 * r2 * r2 / under, y * r2 * r2 * r2 / under)]
+    out = {}
+    for name, n, f, place, whole in (("du", "_u", fx, "_dx", (True, False, True, False)), ("dv", "_v", fy, "_dy", (False, True, False, True))):
+        inner = [F.col(place) if k < 2 and on else F.lit(1.0 if on else 0.0) for k, on in enumerate(whole)]
+        out[name] = F.array(*[f * by_place(*p, n) for p in poses], *inner, *[f * by_lens(*p, n) for p in bends])
+    return rows.select(*own, (fx * F.col("_dx") + cx).alias("u"), (fy * F.col("_dy") + cy).alias("v"), *[c.alias(k) for k, c in out.items()])
+
+
 def _theta_scale(r: Column, d: Sequence[float]) -> Column:
     theta = F.atan(r)
     t2 = theta * theta

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from gridloom.functions import numeric as N
 from gridloom.sources.images import PLANE
 
 
@@ -680,12 +681,59 @@ def ordered(planes: DataFrame, offsets: Sequence[tuple[int, int]], border: int,
     return per_image(planes, run)
 
 
-def match_template(planes: DataFrame, template: Sequence[Sequence[float]], method: int) -> DataFrame:
+def correlated(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The sums of kernel * a at every place where the kernel lies inside a: 64 rows of a against all rows of the kernel in
+    one product, then summed down."""
+    h, w = kernel.shape
+    rows, cols = a.shape[0] - h + 1, a.shape[1] - w + 1
+    out = np.zeros((rows, cols))
+    for top in range(0, rows, 64):
+        own = min(64, rows - top)
+        lines = np.lib.stride_tricks.sliding_window_view(a[top : top + own + h - 1], w, axis=1)
+        parts = (kernel @ lines.reshape(-1, w).T).reshape(h, own + h - 1, cols)
+        for i in range(h):
+            out[top : top + own] += parts[i, i : i + own]
+    return out
+
+
+def _masked_template(planes: DataFrame, t: np.ndarray, w: np.ndarray, method: int) -> DataFrame:
+    """With weights w: differences from the weighted means, where a method centres, times w, in place of the values."""
+    if t.shape != w.shape:
+        raise ValueError("a mask has its template's size")
+    centres = method in (4, 5)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        values = (t - ((t * w).sum() / w.sum() if centres else 0.0)) * w
+    energy, weight = float((values * values).sum()), w.sum()
+
+    def run(a: np.ndarray) -> np.ndarray:
+        rows, cols = a.shape[0] - t.shape[0] + 1, a.shape[1] - t.shape[1] + 1
+        if rows < 1 or cols < 1:
+            return np.zeros((max(rows, 0), max(cols, 0)))
+        crossed, squares = correlated(a, w * values), correlated(a * a, w * w) if method != 2 else 0.0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            if centres:
+                mean = correlated(a, w) / weight
+                crossed = crossed - mean * float((w * values).sum())
+                whole, squares = squares, squares - 2 * mean * correlated(a, w * w) + mean * mean * float((w * w).sum())
+                level = squares < 1e-12 * whole  # a window of one value: what is left is rounding
+                squares, crossed = np.where(level, 0.0, squares), np.where(level, 0.0, crossed)
+            top = crossed if method > 1 else np.maximum(0, squares - 2 * crossed + energy)
+            return top / np.sqrt(squares * energy) if method % 2 else top
+
+    return per_image(planes, run)
+
+
+def match_template(planes: DataFrame, template: Sequence[Sequence[float]], method: int, mask: Sequence[Sequence[float]] | None = None, mask_depth: int = N.U8) -> DataFrame:
     """Maps of how well a one-channel template fits at each place: 0 SQDIFF, 2 CCORR, 4 CCOEFF, and 1, 3, 5 normalised.
 
-    A norm of 0 gives 1 for method 1 and 0 for the others; a constant template gives 1 throughout method 5.
+    A norm of 0 gives 1 for method 1 and 0 for the others; a constant template gives 1 throughout method 5. An 8-bit mask
+    takes the places where it isn't 0, a float one weighs them; with a mask, a norm of 0 gives what the quotient gives.
+    An empty mask is none.
     """
     t = np.array(template, float)
+    if mask is not None and np.size(mask):
+        m = np.array(mask, float)
+        return _masked_template(planes, t, (m != 0).astype(float) if mask_depth == N.U8 else m, method)
     h, w = t.shape
     centred, square = t - t.mean(), float((t * t).sum())
     spread = float((centred * centred).sum())
@@ -699,13 +747,7 @@ def match_template(planes: DataFrame, template: Sequence[Sequence[float]], metho
         rows, cols = a.shape[0] - h + 1, a.shape[1] - w + 1
         if rows < 1 or cols < 1:
             return np.zeros((max(rows, 0), max(cols, 0)))
-        kernel, crossed = centred if method in (4, 5) else t, np.zeros((rows, cols))
-        for top in range(0, rows, 64):  # a block's rows against all rows of the template in one product, then summed down
-            own = min(64, rows - top)
-            lines = np.lib.stride_tricks.sliding_window_view(a[top : top + own + h - 1], w, axis=1)
-            parts = (kernel @ lines.reshape(-1, w).T).reshape(h, own + h - 1, cols)
-            for i in range(h):
-                crossed[top : top + own] += parts[i, i : i + own]
+        crossed = correlated(a, centred if method in (4, 5) else t)
         if method in (2, 4):
             return crossed
         if method == 5 and spread == 0:

@@ -286,6 +286,17 @@ _TSQ, _TVAR = sum(v * v for r in _TPL for v in r), sum((v - _TM) ** 2 for r in _
 _MATCH = "(SELECT img, c, y, x, sum(s) AS plain, sum(s * s) AS square, sum(w * s) AS crossed FROM (" + around_sql("{p}", [(i, j, w) for i, r in enumerate(_TPL) for j, w in enumerate(r)], P.CONSTANT) + ") WHERE y <= 6 AND x <= 5 GROUP BY img, c, y, x)"
 for _k, _sql in enumerate(("square - 2 * crossed + {q}", "least(1.0, (square - 2 * crossed + {q}) / sqrt(square * {q}))", "crossed", "crossed / sqrt(square * {q})", "crossed - plain * {m}", "CASE WHEN square - plain * plain / 6 <= 0 THEN 0 ELSE (crossed - plain * {m}) / sqrt((square - plain * plain / 6) * {v}) END")):
     unary(f"match_template_{_k}", "eight", lambda p, k=_k: W.match_template(p, _TPL, k), "SELECT img, c, y, x, " + _sql.format(q=f"CAST({_TSQ} AS DOUBLE)", m=f"CAST({_TM!r} AS DOUBLE)", v=f"CAST({_TVAR!r} AS DOUBLE)") + f" AS v FROM {_MATCH}")
+# masked: the differences from the weighted means, times the weights, window by window
+_WHOLE = [[0, 1, 2], [3, 0, 255]]
+_SHARES = [[0.5, 1.25, 0.0], [2.0, 0.75, 1.0]]
+for _label, _given, _w, _depth in (("u8", _WHOLE, [[float(v != 0) for v in r] for r in _WHOLE], N.U8), ("f32", _SHARES, _SHARES, N.F32)):
+    _listed = ", ".join(f"({i}, {j}, {float(_TPL[i][j])!r}::DOUBLE, {float(_w[i][j])!r}::DOUBLE)" for i in range(2) for j in range(3))
+    _taken = f"SELECT q.img, q.c, q.y, q.x, s.v AS i, t, w, sum(t * w) OVER z / sum(w) OVER z AS tm, sum(s.v * w) OVER z / sum(w) OVER z AS im FROM {{p}} q CROSS JOIN (VALUES {_listed}) m(dy, dx, t, w) JOIN {{p}} s ON s.img = q.img AND s.c = q.c AND s.y = q.y + dy AND s.x = q.x + dx WHERE q.y <= 6 AND q.x <= 5 WINDOW z AS (PARTITION BY q.img, q.c, q.y, q.x)"
+    for _k in range(6):
+        _t, _i = ("(t - tm) * w", "(i - im) * w") if _k > 3 else ("t * w", "i * w")
+        _top = f"sum(pow({_i} - {_t}, 2))" if _k < 2 else f"sum(({_i}) * ({_t}))"
+        _score = f"{_top} / sqrt(sum(pow({_i}, 2)) * sum(pow({_t}, 2)))" if _k % 2 else _top
+        unary(f"match_template_{_k}_masked_{_label}", "eight", lambda p, k=_k, g=_given, d=_depth: W.match_template(p, _TPL, k, g, d), f"SELECT img, c, y, x, {_score} AS v FROM ({_taken}) GROUP BY img, c, y, x")
 
 
 # resampling

@@ -211,6 +211,30 @@ _MAP = "(VALUES (0, 2.0), (1, -1.0), (2, 3.0), (3, 1.0), (4, 0.5), (5, -1.0), (6
 SQL["find_homography"] = f"SELECT set_id, CAST(i AS INTEGER) AS i, CAST(v AS DOUBLE) AS v FROM (SELECT DISTINCT set_id FROM {_POLY}) CROSS JOIN {_MAP}"
 SQL["estimate_affine_2d"] = SQL["find_homography"] + " WHERE i < 6"
 
+QUERIES["project_points_jacobian"] = lambda spark, d: C.project_jacobian(_solid(spark, d), _R, _T, _CAMERA, _BEND).select("set_id", "pos", F.posexplode(F.arrays_zip("du", "dv")).alias("k", "p")).select("set_id", "pos", "k", (F.round("p.du", 6) + 0.0).alias("du"), (F.round("p.dv", 6) + 0.0).alias("dv"))
+# the rotation's derivatives by complex steps; the rest by the chain rule, the lens in terms of its radius
+_h = 1e-30
+
+
+def _stepped(k: int) -> np.ndarray:
+    r = np.array(_R, complex)
+    r[k] += 1j * _h
+    t = np.sqrt((r * r).sum())
+    x = np.array([[0, -r[2], r[1]], [r[2], 0, -r[0]], [-r[1], r[0], 0]])
+    return (np.eye(3) + np.sin(t) / t * x + (1 - np.cos(t)) / (t * t) * (x @ x)).imag / _h
+
+
+_SPUN = ", ".join(f"x * {float(m[i][0])!r}::DOUBLE + y * {float(m[i][1])!r}::DOUBLE + {float(m[i][2])!r}::DOUBLE AS d{k}{i}" for k, m in enumerate(map(_stepped, range(3))) for i in range(3))
+_K1, _K2, _P1, _P2 = (f"{float(v)!r}::DOUBLE" for v in _BEND[:4])
+_POSED = [(f"(d{k}0 - a * d{k}2) / p2", f"(d{k}1 - b * d{k}2) / p2") for k in range(3)] + [("1 / p2", "0"), ("0", "1 / p2"), ("-a / p2", "-b / p2")]
+_BY_R = f"({_K1} + 2 * {_K2} * r)"
+_ROW_U = [f"6 * (({_RX}) * ({dx}) + ({_RY}) * ({dy}))" for _RX, _RY in [(f"1 + {_K1} * r + {_K2} * r * r + 2 * a * a * {_BY_R} + 2 * {_P1} * b + 6 * {_P2} * a", f"2 * a * b * {_BY_R} + 2 * {_P1} * a + 2 * {_P2} * b")] for dx, dy in _POSED]
+_ROW_V = [f"5.5 * (({_RX}) * ({dx}) + ({_RY}) * ({dy}))" for _RX, _RY in [(f"2 * a * b * {_BY_R} + 2 * {_P1} * a + 2 * {_P2} * b", f"1 + {_K1} * r + {_K2} * r * r + 2 * b * b * {_BY_R} + 6 * {_P1} * b + 2 * {_P2} * a")] for dx, dy in _POSED]
+_K = f"(1 + {_K1} * r + {_K2} * r * r)"
+_ROW_U += [f"a * {_K} + 2 * {_P1} * a * b + {_P2} * (r + 2 * a * a)", "0", "1", "0", "6 * a * r", "6 * a * r * r", "12 * a * b", "6 * (r + 2 * a * a)", "6 * a * r * r * r"]
+_ROW_V += ["0", f"b * {_K} + {_P1} * (r + 2 * b * b) + 2 * {_P2} * a * b", "0", "1", "5.5 * b * r", "5.5 * b * r * r", "5.5 * (r + 2 * b * b)", "11 * a * b", "5.5 * b * r * r * r"]
+SQL["project_points_jacobian"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, CAST(k AS INTEGER) AS k, {r6('du')} AS du, {r6('dv')} AS dv FROM (SELECT set_id, pos, unnest(range(0, 15)) AS k, unnest([{', '.join(_ROW_U)}]) AS du, unnest([{', '.join(_ROW_V)}]) AS dv FROM (SELECT *, a * a + b * b AS r FROM (SELECT *, p0 / p2 AS a, p1 / p2 AS b, {_SPUN} FROM (SELECT f.*, q.x / 100 AS x, q.y / 100 AS y FROM {_FRAME} f JOIN {_POLY} q USING (set_id, pos)))))"
+
 # robust estimates: three pairs of ten are far off, the others a little
 _OFF = "pos % 10 IN (1, 4, 8)"
 _ROUNDS = 60

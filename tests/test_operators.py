@@ -323,3 +323,64 @@ def test_pictures_are_written_and_read(spark, tmp_path):
     (tmp_path / "a.bmp").write_bytes(I.encode_bmp(planes).first().content)
     got = sorted((r.c, r["rows"], r.cols, list(r["data"])) for r in I.read_images(spark, str(tmp_path)).collect())
     assert got == [(c, 3, 5, data) for _, c, _, _, data in rows]
+
+
+def test_masked_templates(spark):
+    rng = np.random.default_rng(8)
+    a, t, w = rng.integers(0, 256, (7, 9)).astype(float), rng.integers(0, 256, (3, 2)).astype(float), rng.random((3, 2))
+    a[:4, :4] = 9.0
+    for mask, weights, depth in ((w, w, N.F32), (np.array([[0, 3], [255, 0], [1, 1]]), np.array([[0, 1], [1, 0], [1, 1.0]]), N.U8)):
+        for method in range(6):
+            want = np.zeros((5, 8))
+            for y, x in np.ndindex(5, 8):
+                i, own = a[y : y + 3, x : x + 2], t
+                if method > 3:
+                    i, own = i - (i * weights).sum() / weights.sum(), own - (own * weights).sum() / weights.sum()
+                i, own = i * weights, own * weights
+                top = ((i - own) ** 2).sum() if method < 2 else (i * own).sum()
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    want[y, x] = top / np.sqrt((i**2).sum() * (own**2).sum()) if method % 2 else top
+            got = values(W.match_template(plane(spark, a), t.tolist(), method, mask.tolist(), depth))
+            level = np.zeros((5, 8), bool)
+            level[:2, :3] = method == 5  # windows of one value: no number, or one that is rounding alone
+            assert np.isnan(got[level]).all() and np.allclose(got[~level], want[~level], atol=1e-6)
+    with pytest.raises(ValueError):
+        W.match_template(plane(spark, a), [[1.0]], 0, [[1.0, 1.0]])
+
+
+@pytest.mark.parametrize("bend", [(), (0.05, -0.01, 0.002, -0.001), (0.05, -0.01, 0.002, -0.001, 0.003), (0.05, -0.01, 0.002, -0.001, 0.003, 0.02, 0.01, -0.004), (0.05, -0.01, 0.002, -0.001, 0.003, 0.02, 0.01, -0.004, 0.01, 0.002, -0.01, 0.003), (0.05, -0.01, 0.002, -0.001, 0.003, 0.02, 0.01, -0.004, 0.01, 0.002, -0.01, 0.003, 0.2, -0.1)])
+@pytest.mark.parametrize("r", [(0.1, -0.4, 0.3), (0.0, 0.0, 0.0)])
+def test_jacobians_are_central_differences(spark, bend, r):
+    camera, t, points = np.array([[600.0, 0, 320], [0, 500, 240], [0, 0, 1]]), (0.1, -0.2, 4.0), np.random.default_rng(0).uniform(-1, 1, (5, 3))
+
+    def places(q):
+        m = C.rodrigues(q[:3])
+        out = []
+        for p in points:
+            a, b, z = m @ p + q[3:6]
+            x, y = a / z, b / z
+            d = [*q[10:15], *bend[5:], *[0] * 14][:14] if bend else [0] * 14
+            k1, k2, p1, p2, k3, k4, k5, k6, s1, s2, s3, s4, tx, ty = d
+            s = x * x + y * y
+            ratio = (1 + k1 * s + k2 * s**2 + k3 * s**3) / (1 + k4 * s + k5 * s**2 + k6 * s**3)
+            x, y = x * ratio + 2 * p1 * x * y + p2 * (s + 2 * x * x) + s1 * s + s2 * s * s, y * ratio + p1 * (s + 2 * y * y) + 2 * p2 * x * y + s3 * s + s4 * s * s
+            if tx or ty:
+                turn = math.atan2(ty, tx)
+                rz = lambda v: np.array([[math.cos(v), -math.sin(v), 0], [math.sin(v), math.cos(v), 0], [0, 0, 1]])
+                rx = np.array([[1, 0, 0], [0, math.cos(tx), -math.sin(tx)], [0, math.sin(tx), math.cos(tx)]])
+                ry = np.array([[math.cos(ty), 0, math.sin(ty)], [0, 1, 0], [-math.sin(ty), 0, math.cos(ty)]])
+                v = np.linalg.solve(rz(turn) @ rx @ ry @ rz(-turn), [x, y, 1])
+                x, y = v[0] / v[2], v[1] / v[2]
+            out.append((q[6] * x + q[8], q[7] * y + q[9]))
+        return np.array(out)
+
+    q = np.array([*r, *t, 600, 500, 320, 240, *(list(bend[:5]) + [0.0] * 5)[:5]])
+    rows = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(points)], "pos int, x double, y double, z double")
+    got = C.project_jacobian(rows, r, t, camera, bend).orderBy("pos").collect()
+    assert np.allclose([(g.u, g.v) for g in got], places(q))
+    plain = C.project_points(rows, r, t, camera, bend).orderBy("pos").collect()
+    assert np.allclose([(g.u, g.v) for g in plain], places(q))
+    for k in range(15 if bend else 10):
+        h = np.zeros(15)
+        h[k] = 1e-5
+        assert np.allclose([(g.du[k], g.dv[k]) for g in got], (places(q + h) - places(q - h)) / 2e-5, rtol=1e-5, atol=1e-5), C.PARAMETERS[k]
