@@ -18,22 +18,50 @@ def _set(m: np.ndarray, x: int, y: int) -> None:
         m[y, x] = True
 
 
+def _pixels(a: Point, b: Point, shape: tuple[int, int], reach: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of the line from its left end to its right one, as far as they are within `reach` of the image.
+
+    The longer axis goes pixel by pixel; the other has moved as often as half the longer side, taken as the first error,
+    has been used up, so each pixel is known without those before it.
+    """
+    (x, y), (u, v) = sorted((tuple(map(int, p)) for p in (a, b)), key=lambda p: p[0]) if a[0] != b[0] else (tuple(map(int, p)) for p in (a, b))
+    steep = abs(v - y) >= u - x
+    start, end, other, far, size = (y, v, x, u, shape[0]) if steep else (x, u, y, v, shape[1])
+    sign, length, rise = (1 if end >= start else -1), abs(end - start), abs(far - other)
+    low, high = ((-reach - start), (size - 1 + reach - start)) if sign > 0 else ((start - size + 1 - reach), (start + reach))
+    k = np.arange(max(0, low), min(length, high) + 1)
+    moved = -((length // 2 - k * rise) // length) if length else np.zeros(len(k), int)
+    along, across = start + sign * k, other + (1 if far >= other else -1) * np.maximum(moved, 0)
+    return (along, across) if steep else (across, along)
+
+
 def _line(m: np.ndarray, a: Point, b: Point, thickness: int = 1) -> None:
-    (x, y), (u, v) = (tuple(map(int, p)) for p in (a, b))
-    dx, dy, sx, sy = abs(u - x), -abs(v - y), 1 if x < u else -1, 1 if y < v else -1
-    error = dx + dy
+    reach = (thickness + 1) // 2 if thickness > 1 else 0
+    y, x = _pixels(a, b, m.shape, reach)
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            if dx * dx + dy * dy <= reach * reach:
+                q, p = y + dy, x + dx
+                inside = (q >= 0) & (q < m.shape[0]) & (p >= 0) & (p < m.shape[1])
+                m[q[inside], p[inside]] = True
+
+
+def clipped(a: Point, b: Point, rows: int, cols: int) -> tuple[Point, Point] | None:
+    """The ends of a line moved onto the image's edge, the first one first; None where the line surely misses it. Whole
+    numbers, cut towards zero."""
+    ends, size = [[int(v) for v in p] for p in (a, b)], (cols, rows)
+    beyond = lambda p, axis: -1 if p[axis] < 0 else 1 if p[axis] >= size[axis] else 0
     while True:
-        if thickness > 1:
-            _disc(m, (x, y), (thickness + 1) // 2)
-        else:
-            _set(m, x, y)
-        if (x, y) == (u, v):
-            return
-        twice = 2 * error
-        if twice >= dy:
-            error, x = error + dy, x + sx
-        if twice <= dx:
-            error, y = error + dx, y + sy
+        if any(beyond(ends[0], k) * beyond(ends[1], k) > 0 for k in (0, 1)):
+            return None
+        out = [(p, o, k) for p, o in (ends, ends[::-1]) for k in (0, 1) if beyond(p, k)]
+        if not out:
+            return tuple(ends[0]), tuple(ends[1])
+        p, o, k = out[0]
+        edge = 0 if p[k] < 0 else size[k] - 1
+        top, bottom = (edge - p[k]) * (o[1 - k] - p[1 - k]), o[k] - p[k]
+        p[1 - k] += abs(top) // abs(bottom) * (1 if (top >= 0) == (bottom > 0) else -1)
+        p[k] = edge
 
 
 def _disc(m: np.ndarray, center: Point, radius: float) -> None:
@@ -85,7 +113,13 @@ def painted(planes: DataFrame, shape: Callable[[np.ndarray], None], color: Seque
 
 
 def line(planes: DataFrame, a: Point, b: Point, color: Sequence[float], thickness: int = 1) -> DataFrame:
-    return painted(planes, lambda m: _line(m, a, b, thickness), color)
+    """A line, clipped to the image before it is drawn; thick ones are discs at every pixel of the thin one."""
+
+    def shape(m: np.ndarray) -> None:
+        if seen := clipped(a, b, *m.shape):
+            _line(m, *seen, thickness)
+
+    return painted(planes, shape, color)
 
 
 def rectangle(planes: DataFrame, a: Point, b: Point, color: Sequence[float], thickness: int = 1) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 import math
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gridloom.functions import numeric as N
+from gridloom.functions.planes import REFLECT_101
 from gridloom.sources.images import PLANE
 
 
@@ -182,30 +183,47 @@ def flood_fill(planes: DataFrame, seed: tuple[int, int], value: float, low: floa
 
 
 def watershed(planes: DataFrame, markers: DataFrame) -> DataFrame:
-    """Marked regions grown in the order of the gray levels they meet; -1 on the frame and between regions."""
+    """Marked regions flooded level by level; -1 on the frame, where regions meet, and at marks between older regions.
+
+    At each gray level, marks of that level beside two or more regions of lower levels give way; then the unmarked pixels
+    of the level take the region beside them, first those beside what is marked, in the order of the scan, then those
+    beside these. Images of fewer than three rows or columns are all frame; their marks stay.
+    """
 
     def run(a: np.ndarray, marks: list) -> np.ndarray:
         m = np.array(marks, int).reshape(a.shape)
+        if min(a.shape) < 3:
+            return np.where(m == 0, -1, m)
         m[[0, -1], :] = m[:, [0, -1]] = -1
-        heap, n = [], 0
-        for y, x in zip(*np.nonzero(m > 0), strict=True):
-            heapq.heappush(heap, (0.0, n, y, x))
-            n += 1
-        seen = m != 0
-        while heap:
-            level, _, y, x = heapq.heappop(heap)
-            if m[y, x] == 0:
-                around = {m[y + dy, x + dx] for dy, dx in _neighbours(4)} - {0, -1}
-                m[y, x] = around.pop() if len(around) == 1 else -1
-                if m[y, x] < 0:
-                    continue
-            for dy, dx in _neighbours(4):
-                q, p = y + dy, x + dx
-                if m[q, p] == 0 and not seen[q, p]:
-                    seen[q, p] = True
-                    heapq.heappush(heap, (max(level, abs(a[q, p] - a[y, x])), n, q, p))
-                    n += 1
-        return m
+        w, v = a.shape[1], a.ravel()
+        m = m.ravel()
+        inner = np.flatnonzero(np.pad(np.ones((a.shape[0] - 2, w - 2), bool), 1).ravel())
+        inner = inner[np.argsort(v[inner], kind="stable")]
+        sides = (-w, w, -1, 1)  # in the order in which a pixel reaches them
+        for level in np.split(inner, np.flatnonzero(np.diff(v[inner])) + 1):
+            seeds = level[m[level] > 0]
+            beside = np.stack([np.where((m[seeds + d] > 0) & (v[seeds + d] < v[level[0]]), m[seeds + d], 0) for d in sides])
+            high = beside.max(axis=0, initial=0)
+            m[seeds[(high > 0) & ((beside > 0) & (beside != high)).any(axis=0)]] = -1
+            bare = level[m[level] == 0]
+            met = np.stack([m[bare + d] > 0 for d in (-w, -1, 1, w)])
+            first = met.argmax(axis=0)  # the marked neighbour that the scan comes to first, and its turn to reach this pixel
+            key = (bare + np.array([-w, -1, 1, w])[first]) * 4 + np.array([1, 3, 2, 0])[first]
+            reached = bare[met.any(axis=0)]
+            queue = deque(reached[np.argsort(key[met.any(axis=0)], kind="stable")].tolist())
+            waiting, open_pixels = set(queue), set(bare.tolist())
+            while queue:
+                p = queue.popleft()
+                around = {int(m[p + d]) for d in sides if m[p + d] > 0}
+                if len(around) > 1:
+                    m[p] = -1
+                elif around:
+                    m[p] = around.pop()
+                    for d in sides:
+                        if p + d in open_pixels and p + d not in waiting:
+                            waiting.add(p + d)
+                            queue.append(p + d)
+        return m.reshape(a.shape)
 
     both = planes.where("c = 0").join(markers.selectExpr("img", "data AS _marks"), "img")
     return per_image(both, run, ["_marks"])
@@ -358,26 +376,31 @@ def _by_level(planes: DataFrame, level: Callable[[np.ndarray], int], maximum: fl
 
 
 def clahe(planes: DataFrame, clip: float = 40.0, tiles: tuple[int, int] = (8, 8), levels: int = 256) -> DataFrame:
-    """Equalised by tiles with clipped histograms, the tiles' tables mixed bilinearly."""
+    """Equalised by tiles with histograms clipped from a limit of 1 on, the tiles' tables mixed bilinearly.
+
+    A grid has no more tiles than the image has rows or columns. Scales and mixtures are 32-bit floats.
+    """
+    grid, f = tiles, np.float32
 
     def run(a: np.ndarray) -> np.ndarray:
         h, w = a.shape
-        tables = np.zeros((*tiles, levels))
+        tiles = min(max(grid[0], 1), h), min(max(grid[1], 1), w)
+        tables = np.zeros((*tiles, levels), f)
         for i in range(tiles[0]):
             for j in range(tiles[1]):
                 part = a[i * h // tiles[0] : max(i * h // tiles[0] + 1, (i + 1) * h // tiles[0]), j * w // tiles[1] : max(j * w // tiles[1] + 1, (j + 1) * w // tiles[1])]
                 hist = np.bincount(part.astype(int).ravel(), minlength=levels)
-                if clip > 0:
+                if clip >= 1:
                     most = max(1, int(clip * part.size / levels))
                     over = int(np.maximum(hist - most, 0).sum())
                     hist = np.minimum(hist, most) + over // levels
                     rest = over % levels
                     if rest:
                         hist[np.arange(0, levels, max(1, levels // rest))[:rest]] += 1
-                tables[i, j] = np.clip(np.rint(np.cumsum(hist) * (levels - 1) / part.size), 0, levels - 1)
-        y, x = np.arange(h) * tiles[0] / h - 0.5, np.arange(w) * tiles[1] / w - 0.5
+                tables[i, j] = np.rint(np.cumsum(hist).astype(f) * (f(levels - 1) / f(part.size)))
+        y, x = (np.clip(np.arange(n, dtype=f) * f(t) / f(n) - f(0.5), f(0), f(t - 1)) for n, t in ((h, tiles[0]), (w, tiles[1])))
         y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-        fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+        fy, fx = (y - y0.astype(f))[:, None], (x - x0.astype(f))[None, :]
         rows = [np.clip(v, 0, tiles[0] - 1)[:, None] for v in (y0, y0 + 1)]
         cols = [np.clip(v, 0, tiles[1] - 1)[None, :] for v in (x0, x0 + 1)]
         v = a.astype(int)
@@ -392,17 +415,18 @@ def canny(planes: DataFrame, low: float, high: float, l2: bool = False) -> DataF
     low, high = sorted((low, high))
 
     def run(a: np.ndarray) -> np.ndarray:
-        p = np.pad(a, 1, mode="edge")
+        p = padded(a, (1, 1, 1, 1), REFLECT_101)
         h, w = a.shape
         at = lambda dy, dx: p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
         gx = at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)
         gy = at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)
         m = np.hypot(gx, gy) if l2 else np.abs(gx) + np.abs(gy)
-        q = np.pad(m, 1)
+        q = np.pad(m, 1, mode="edge")
         near = lambda dy, dx: q[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w]
-        flat, steep = np.abs(gy) <= np.abs(gx) * math.tan(math.pi / 8), np.abs(gy) > np.abs(gx) * math.tan(3 * math.pi / 8)
-        same = (gx < 0) == (gy < 0)
-        top = np.where(flat, (m > near(0, -1)) & (m >= near(0, 1)), np.where(steep, (m > near(-1, 0)) & (m >= near(1, 0)), np.where(same, (m > near(-1, -1)) & (m > near(1, 1)), (m > near(-1, 1)) & (m > near(1, -1)))))
+        # fixed value: a gradient lies along an axis if its other part is at most 0.414 of this one
+        flat, steep = np.abs(gy) * 1000 <= np.abs(gx) * 414, np.abs(gx) * 1000 <= np.abs(gy) * 414
+        over = lambda dy, dx: (m > near(dy, dx)) & (m >= near(-dy, -dx))
+        top = np.where(flat, over(0, -1), np.where(steep, over(-1, 0), np.where((gx < 0) == (gy < 0), over(-1, -1), over(1, -1))))
         weak = top & (m > low)
         regions = label(weak.astype(int))
         strong = np.unique(regions[weak & (m > high)])
@@ -412,26 +436,52 @@ def canny(planes: DataFrame, low: float, high: float, l2: bool = False) -> DataF
 
 
 def good_features(planes: DataFrame, most: int, quality: float, distance: float, block: int = 3) -> DataFrame:
-    """(img, c, rank, x, y, response): local maxima of the smaller eigenvalue, no two nearer than `distance`."""
-    from gridloom.operators.neighbourhood import corner_min_eigen_val
-
-    def run(r: np.ndarray) -> Iterator[tuple]:
-        h, w = r.shape
-        margin = max(block - 1, 1)
-        p = np.pad(r, 1, constant_values=-np.inf)
-        local = np.max([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0) == r
-        ok = local & (r > 0) & (r >= quality * r.max(initial=0))
-        ok[:margin], ok[-margin:], ok[:, :margin], ok[:, -margin:] = False, False, False, False
-        y, x = np.nonzero(ok)
-        kept: list[tuple[int, int]] = []
-        for k in np.lexsort((x, y, -r[y, x])):
-            if all((y[k] - v) ** 2 + (x[k] - u) ** 2 >= distance**2 for u, v in kept):
-                kept.append((int(x[k]), int(y[k])))
-                yield len(kept) - 1, kept[-1][0], kept[-1][1], float(r[y[k], x[k]])
-                if most and len(kept) == most:
+    """(img, c, rank, x, y, response): the pixels of largest smaller eigenvalue, no two within `distance`.
+
+    Gradients count what is outside of the image as 0 and are summed over the block, outside as inside. Pixels over
+    `quality` of the largest value are taken in falling order, equal ones in that of the scan, at least block - 1 from the
+    edge; each bars the disc around it. most limits their number, 0 doesn't.
+    """
+
+    def run(a: np.ndarray) -> Iterator[tuple]:
+        h, w = a.shape
+        r, margin = max(block, 1) // 2, max(block - 1, 1)
+        p = np.pad(a, r + 1)
+        gx, gy = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2], p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:])
+        xx, xy, yy = (sum(t[i : i + h, j : j + w] for i in range(2 * r + 1) for j in range(2 * r + 1)) for t in (gx * gx, gx * gy, gy * gy))
+        s = (xx + yy - np.sqrt((xx - yy) ** 2 + 4 * xy * xy)) / 2
+        free = s > max(quality * max(0.0, s.max(initial=0)), np.finfo(float).tiny)
+        free[:margin], free[:, :margin], free[max(0, h - margin) :], free[:, max(0, w - margin) :] = False, False, False, False
+        y, x = np.nonzero(free)
+        reach, rank = math.floor(distance), 0
+        dy, dx = np.mgrid[-reach : reach + 1, -reach : reach + 1]
+        disc = dy * dy + dx * dx <= distance * distance
+        for k in np.argsort(-s[y, x], kind="stable").tolist():
+            v, u = int(y[k]), int(x[k])
+            if free[v, u]:
+                yield rank, u, v, float(s[v, u])
+                rank += 1
+                if most and rank == most:
                     return
+                top, left = max(0, v - reach), max(0, u - reach)
+                part = free[top : v + reach + 1, left : u + reach + 1]
+                part &= ~disc[top - v + reach :, left - u + reach :][: part.shape[0], : part.shape[1]]
+
+    return per_plane(planes, run, "rank int, x int, y int, response double")
 
-    return per_plane(corner_min_eigen_val(planes, block), run, "rank int, x int, y int, response double")
+
+def _peaks(x: np.ndarray, y: np.ndarray, shape: tuple[int, int], rho: float, theta: float, threshold: int) -> Iterator[tuple[float, float, int]]:
+    """(distance, angle, votes) of at most 16 lines over the threshold, most votes first, then the least angle and distance;
+    each has six cells of both around it to itself. Cells go from minus the diagonal on; one angle is counted at a time."""
+    top = math.floor(math.hypot(*shape)) + 1.0
+    n, cells = math.ceil(math.pi / theta), math.ceil(2 * top / rho) + 2
+    votes = np.stack([np.bincount(np.floor((x * math.cos(k * theta) + y * math.sin(k * theta) + top) / rho + 0.5).astype(int), minlength=cells)[:cells] for k in range(n)])
+    for _ in range(16):
+        k, r = np.unravel_index(votes.argmax(), votes.shape)
+        if votes[k, r] <= max(threshold, 0):
+            return
+        yield r * rho - top, k * theta, int(votes[k, r])
+        votes[max(0, k - 6) : k + 7, max(0, r - 6) : r + 7] = 0
 
 
 def hough_lines(planes: DataFrame, rho: float, theta: float, threshold: int) -> DataFrame:
@@ -439,17 +489,8 @@ def hough_lines(planes: DataFrame, rho: float, theta: float, threshold: int) ->
 
     def run(a: np.ndarray) -> Iterator[tuple]:
         y, x = np.nonzero(a)
-        n, reach = max(1, round(math.pi / theta)), math.hypot(*a.shape)
-        r = np.rint((x[:, None] * np.cos(np.arange(n) * theta) + y[:, None] * np.sin(np.arange(n) * theta)) / rho).astype(int)
-        half = int(reach / rho) + 1
-        votes = np.zeros((n, 2 * half + 1), int)
-        np.add.at(votes, (np.arange(n)[None, :].repeat(len(y), 0), r + half), 1)
-        for k in range(16):
-            t, b = np.unravel_index(votes.argmax(), votes.shape)
-            if votes[t, b] <= threshold:
-                return
-            yield k, float((b - half) * rho), float(t * theta), int(votes[t, b])
-            votes[max(0, t - 6) : t + 7, max(0, b - 6) : b + 7] = 0
+        for k, (r, t, votes) in enumerate(_peaks(x, y, a.shape, rho, theta, threshold)):
+            yield k, float(np.float32(r)), float(np.float32(t)), votes
 
     return per_plane(planes, run, "rank int, rho double, theta double, votes int")
 
@@ -610,27 +651,24 @@ def kmeans(points: np.ndarray, k: int, iterations: int = 10, epsilon: float = 0.
 
 
 def hough_segment(planes: DataFrame, rho: float, theta: float, threshold: int, gap: int) -> DataFrame:
-    """(img, c, x0, y0, x1, y1): the longest run of edge pixels along the line with most votes; gaps of gap + 2 are bridged."""
+    """(img, c, x0, y0, x1, y1): the longest run of edge pixels on the first peak that has any within 0.35 of its line.
+
+    Gaps up to gap + 2 along the line are bridged, and of equally long runs the first stays. The end that the scan comes
+    to first is given first.
+    """
 
     def run(a: np.ndarray) -> list[tuple]:
         y, x = np.nonzero(a)
-        if not len(y):
-            return []
-        n, half = max(1, round(math.pi / theta)), int(math.hypot(*a.shape) / rho) + 1
-        t = np.arange(n) * theta
-        r = np.rint((x[:, None] * np.cos(t) + y[:, None] * np.sin(t)) / rho).astype(int)
-        votes = np.zeros((n, 2 * half + 1), int)
-        np.add.at(votes, (np.arange(n)[None, :].repeat(len(y), 0), r + half), 1)
-        k, b = np.unravel_index(votes.argmax(), votes.shape)
-        if votes[k, b] < threshold:
-            return []
-        on = np.flatnonzero(r[:, k] + half == b)
-        along = -x[on] * math.sin(t[k]) + y[on] * math.cos(t[k])
-        order = np.argsort(along, kind="stable")
-        cuts = np.flatnonzero(np.diff(along[order]) > gap + 2) + 1
-        part = max(np.split(order, cuts), key=len)
-        p, q = on[part[0]], on[part[-1]]
-        return [(int(x[p]), int(y[p]), int(x[q]), int(y[q]))]
+        for r, t, _ in _peaks(x, y, a.shape, rho, theta, threshold):
+            on = np.flatnonzero(np.abs(x * math.cos(t) + y * math.sin(t) - r) < 0.35)
+            if len(on):
+                along = y[on] * math.cos(t) - x[on] * math.sin(t)
+                order = np.argsort(along, kind="stable")
+                parts = np.split(order, np.flatnonzero(np.diff(along[order]) > max(gap, 0) + 2.0) + 1)
+                longest = max(parts, key=lambda part: along[part[-1]] - along[part[0]])
+                p, q = sorted((on[longest[0]], on[longest[-1]]))
+                return [(int(x[p]), int(y[p]), int(x[q]), int(y[q]))]
+        return []
 
     return per_plane(planes, run, "x0 int, y0 int, x1 int, y1 int")
 
