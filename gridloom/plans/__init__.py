@@ -1,8 +1,8 @@
 """Registered queries and their SQL."""
 
-from gridloom.plans import catalog, more
+from gridloom.plans import catalog, more, scenes
 
-QUERIES = catalog.QUERIES | more.QUERIES
-SQL = catalog.SQL | more.SQL
+QUERIES = catalog.QUERIES | more.QUERIES | scenes.QUERIES
+SQL = catalog.SQL | more.SQL | scenes.SQL
 
 __all__ = ["QUERIES", "SQL"]
