@@ -17,7 +17,7 @@ from gridloom.functions import numeric as N
 from gridloom.functions import planes as P
 from gridloom.functions.tables import settled
 from gridloom.operators.common import D, changed, mapped, paired
-from gridloom.operators.neighbourhood import pyr_down, pyr_up
+from gridloom.operators.neighbourhood import _FIVE, _offsets, _outer, pyr_down, summed
 
 LEVELS = 256
 _CROSS = [(0, 0, -4.0), (-1, 0, 1.0), (1, 0, 1.0), (0, -1, 1.0), (0, 1, 1.0)]
@@ -73,10 +73,15 @@ def quality(planes: DataFrame, contrast: float = 1.0, saturation: float = 1.0, e
     return parts.select("img", "c", "rows", "cols", worth.alias("data"))
 
 
-def _cut(planes: DataFrame, like: DataFrame) -> DataFrame:
-    """Planes without the last row or column where `like` has an odd side."""
+def _raised(planes: DataFrame, like: DataFrame) -> DataFrame:
+    """pyr_up to the size of `like`, whose odd sides lack the last row or column. Many taps, so numpy per image."""
+    even = lambda k: F.when(F.pmod(k, F.lit(2)) == 0, F.floor(k / 2).cast("int"))
+    spread = changed(planes, P.gather(D(), F.col("cols"), 2 * F.col("rows"), 2 * F.col("cols"), lambda y, x: (even(y), even(x))), 2 * F.col("rows"), 2 * F.col("cols"))
+    full = summed(spread, _offsets(_outer(_FIVE, _FIVE)), P.REFLECT_101)
     sizes = like.select("img", "c", F.col("rows").alias("_r"), F.col("cols").alias("_c"))
-    return changed(planes.join(sizes, ["img", "c"]).withColumn("data", P.gather(D(), F.col("cols"), F.col("_r"), F.col("_c"), lambda y, x: (y, x))), D(), F.col("_r"), F.col("_c"))
+    whole = (F.col("_r") == F.col("rows")) & (F.col("_c") == F.col("cols"))
+    cut = P.gather(D(), F.col("cols"), F.col("_r"), F.col("_c"), lambda y, x: (y, x))
+    return changed(full.join(sizes, ["img", "c"]).withColumn("data", F.transform(F.when(whole, D()).otherwise(cut), lambda v: v / 64)), D(), F.col("_r"), F.col("_c"))
 
 
 def _combined(a: DataFrame, b: DataFrame, value) -> DataFrame:
@@ -103,14 +108,14 @@ def merge_mertens(planes: DataFrame, exposures: DataFrame, contrast: float = 1.0
         if level < last:
             deeper = scenes.where(F.col("_top") > level).select("img")
             lower = settled(pyr_down(image.join(deeper, "img", "left_semi"), depth=N.F64))
-            detail = _combined(image, _cut(pyr_up(lower, depth=N.F64), image), lambda v, u: v - u).unionByName(image.join(deeper, "img", "left_anti"))
+            detail = _combined(image, _raised(lower, image), lambda v, u: v - u).unionByName(image.join(deeper, "img", "left_anti"))
         blended = paired(detail, _every_channel(weight, detail)).join(scenes, "img").withColumn("_v", F.zip_with("data", "data2", lambda v, w: v * w))
         levels.append(settled(added(blended, ["scene", "c"], "_v").select(F.col("scene").alias("img"), "c", "rows", "cols", F.col("_v").alias("data"))))
         if level < last:
             image, weight = lower, pyr_down(weight.join(deeper, "img", "left_semi"), depth=N.F64)
     out = levels[-1]
     for below in reversed(levels[:-1]):
-        up = _cut(pyr_up(out, depth=N.F64), below)
+        up = _raised(out, below)
         out = settled(_combined(below, up, lambda v, u: v + u).unionByName(below.join(out, ["img", "c"], "left_anti")))
     return out
 
