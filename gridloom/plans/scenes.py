@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import planes as P
+from gridloom.operators import circles as R
 from gridloom.operators import exposures as E
 from gridloom.operators import matching as H
 from gridloom.operators import neighbourhood as W
-from gridloom.plans.fixtures import COLOR, color, pixels, pixels_sql, real, taps_sql
+from gridloom.plans.fixtures import COLOR, EIGHT, binary, color, eight, pixels, pixels_sql, real, taps_sql
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +93,28 @@ QUERIES["merge_mertens"] = lambda spark, d: pixels(E.merge_mertens(*_shots(spark
 SQL["merge_mertens"] = _fusion_sql()
 #: By least squares over sums of all pixels; tested against the whole system of equations.
 QUERIES["calibrate_debevec"] = lambda spark, d: E.calibrate_debevec(*_shots(spark, d)).select("c", "level", F.round("response", 6).alias("response"))
+
+# circles: edges are the pixels over 127
+_DP, _FAR, _OVER, _LEAST, _MOST = 1.0, 2.5, 3, 1, 4
+
+
+def _circles_sql() -> str:
+    slope = lambda down: [(i - 1, j - 1, float((a * b) if down else (b * a))) for i, a in enumerate((-1, 0, 1) if down else (1, 2, 1)) for j, b in enumerate((1, 2, 1) if down else (-1, 0, 1))]
+    cell = lambda p, d: f"CAST(floor({p} / {_DP} + 0.5 + r * {d} / (sqrt(dx * dx + dy * dy) * {_DP})) AS INTEGER)"
+    at = lambda dy, dx: f"coalesce((SELECT n.votes FROM votes n WHERE n.img = v.img AND n.cy = v.cy + {dy} AND n.cx = v.cx + {dx}), 0)"
+    steps = [
+        ("edge", f"SELECT e.img, e.y, e.x, a.v AS dx, b.v AS dy FROM ({EIGHT}) e JOIN ({taps_sql(EIGHT, slope(False), P.REFLECT_101)}) a ON a.img = e.img AND a.y = e.y AND a.x = e.x JOIN ({taps_sql(EIGHT, slope(True), P.REFLECT_101)}) b ON b.img = e.img AND b.y = e.y AND b.x = e.x WHERE e.v > 127 AND (a.v <> 0 OR b.v <> 0)"),
+        ("cast_", f"SELECT img, {cell('y', 'dy')} AS cy, {cell('x', 'dx')} AS cx FROM edge CROSS JOIN (SELECT s * k AS r FROM range({_LEAST}, {_MOST + 1}) a(k) CROSS JOIN (VALUES (-1), (1)) b(s))"),
+        ("votes", "SELECT img, cy, cx, count(*) AS votes FROM cast_ WHERE cy BETWEEN 0 AND 7 AND cx BETWEEN 0 AND 7 GROUP BY img, cy, cx"),
+        ("peak", f"SELECT img, votes, (cy + 0.5) * {_DP} AS y, (cx + 0.5) * {_DP} AS x, row_number() OVER (PARTITION BY img ORDER BY votes DESC, cy, cx) AS place FROM votes v WHERE votes > {_OVER} AND votes > {at(0, -1)} AND votes > {at(-1, 0)} AND votes >= {at(0, 1)} AND votes >= {at(1, 0)}"),
+        # one peak after the other, with the places of those chosen so far
+        ("choice", f"SELECT img, CAST(0 AS BIGINT) AS place, CAST([] AS DOUBLE[]) AS ys, CAST([] AS DOUBLE[]) AS xs FROM peak GROUP BY img UNION ALL SELECT g.img, p.place, CASE WHEN ok THEN list_append(ys, CAST(p.y AS DOUBLE)) ELSE ys END, CASE WHEN ok THEN list_append(xs, CAST(p.x AS DOUBLE)) ELSE xs END FROM choice g JOIN (SELECT * FROM peak) p ON p.img = g.img AND p.place = g.place + 1, LATERAL (SELECT len(list_filter(range(1, len(g.ys) + 1), lambda k: (g.ys[k] - p.y) * (g.ys[k] - p.y) + (g.xs[k] - p.x) * (g.xs[k] - p.x) < {_FAR * _FAR})) = 0 AS ok)"),
+        ("chosen", "SELECT img, unnest(ys) AS y, unnest(xs) AS x FROM (SELECT img, arg_max(ys, place) AS ys, arg_max(xs, place) AS xs FROM choice GROUP BY img)"),
+        ("ring", "SELECT h.img, h.y, h.x, CAST(floor(sqrt((e.y - h.y) * (e.y - h.y) + (e.x - h.x) * (e.x - h.x)) + 0.5) AS INTEGER) AS radius, count(*) AS support FROM chosen h JOIN edge e ON e.img = h.img GROUP BY ALL"),
+        ("best", f"SELECT *, row_number() OVER (PARTITION BY img, y, x ORDER BY support / radius DESC, radius) AS place FROM ring WHERE radius BETWEEN {_LEAST} AND {_MOST}"),
+    ]
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({s})" for n, s in steps) + " SELECT b.img, CAST(0 AS INTEGER) AS c, b.x, b.y, b.radius, p.votes, b.support FROM best b JOIN peak p ON p.img = b.img AND p.y = b.y AND p.x = b.x WHERE b.place = 1"
+
+
+QUERIES["hough_circles"] = lambda spark, d: R.hough_circles(eight(spark, d), _DP, _FAR, 100.0, _OVER, _LEAST, _MOST, binary(spark, d))
+SQL["hough_circles"] = _circles_sql()
