@@ -13,6 +13,7 @@ from gridloom.operators import exposures as E
 from gridloom.operators import matching as H
 from gridloom.operators import neighbourhood as W
 from gridloom.plans.fixtures import COLOR, EIGHT, binary, color, eight, pixels, pixels_sql, real, taps_sql
+from gridloom.streaming import background as B
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,14 @@ def _circles_sql() -> str:
 
 QUERIES["hough_circles"] = lambda spark, d: R.hough_circles(eight(spark, d), _DP, _FAR, 100.0, _OVER, _LEAST, _MOST, binary(spark, d))
 SQL["hough_circles"] = _circles_sql()
+
+
+def _foreground(spark, sf_dir: str) -> DataFrame:
+    """Every fourth image is of one stream; masks of bands of three rows."""
+    frames = eight(spark, sf_dir).select(F.pmod("img", F.lit(4)).alias("stream"), F.floor(F.col("img") / 4).alias("frame"), "rows", "cols", "data")
+    masks = B.foreground(frames, band=3).select("stream", "frame", "y", "cols", F.posexplode("data").alias("_i", "mask"))
+    return masks.select("stream", "frame", (F.col("y") + F.floor(F.col("_i") / F.col("cols"))).cast("int").alias("y"), F.pmod("_i", "cols").alias("x"), "mask")
+
+
+#: A recursion with mixtures per pixel; tested against a loop over pixels.
+QUERIES["foreground"] = _foreground
