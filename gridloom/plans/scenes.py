@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import planes as P
+from gridloom.operators import alignment as A
 from gridloom.operators import circles as R
 from gridloom.operators import exposures as E
 from gridloom.operators import matching as H
@@ -130,3 +131,28 @@ def _foreground(spark, sf_dir: str) -> DataFrame:
 
 #: A recursion with mixtures per pixel; tested against a loop over pixels.
 QUERIES["foreground"] = _foreground
+
+
+# alignment: five images are a scene, of which the third is the pivot
+def _align_sql() -> str:
+    steps = [("px", EIGHT), ("five", "SELECT img, img // 5 AS scene, arg_min(p, k) AS pivot FROM (SELECT a.img, b.img AS p, abs(row_number() OVER (PARTITION BY a.img ORDER BY b.img) - 1 - count(*) OVER (PARTITION BY a.img) // 2) AS k FROM (SELECT DISTINCT img FROM px) a JOIN (SELECT DISTINCT img FROM px) b ON a.img // 5 = b.img // 5) GROUP BY img"), ("s8", "SELECT img, 0 AS dx, 0 AS dy FROM five")]
+    last = "s8"
+    for step in (4, 2, 1):
+        n, code = 8 // step, f"c{step}"
+        steps.append((f"m{step}", f"SELECT img, list_sort(list(v))[count(*) // 2] + 1 AS m FROM px WHERE y % {step} = 0 AND x % {step} = 0 GROUP BY img"))
+        steps.append((code, f"SELECT img, y // {step} AS y, x // {step} AS x, CASE WHEN v > m THEN 1 ELSE 0 END AS bit FROM px JOIN m{step} USING (img) WHERE y % {step} = 0 AND x % {step} = 0 AND abs(v - m) > 4"))
+        steps.append((f"t{step}", f"SELECT f.img, f.pivot, 2 * s.dx + i AS dx, 2 * s.dy + j AS dy, i, j FROM five f JOIN {last} s USING (img) CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(j)"))
+        steps.append((f"e{step}", f"SELECT t.img, t.dx, t.dy, t.i, t.j, count(q.img) AS e FROM t{step} t LEFT JOIN {code} p ON p.img = t.pivot LEFT JOIN {code} q ON q.img = t.img AND q.y = p.y - t.dy AND q.x = p.x - t.dx AND q.bit <> p.bit GROUP BY ALL"))
+        last = f"s{step}"
+        pick = lambda k: f"CASE WHEN min(e) < {n * n} THEN arg_min({k}, (e, i, j)) ELSE max({k}) - 1 END AS {k}"
+        steps.append((last, f"SELECT img, {pick('dx')}, {pick('dy')}, min(e) AS e FROM e{step} GROUP BY img"))
+    return "WITH " + ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps) + " SELECT f.img, f.scene, f.pivot, CAST(s.dx AS INTEGER) AS dx, CAST(s.dy AS INTEGER) AS dy, CAST(s.e AS INTEGER) AS differing FROM five f JOIN s1 s USING (img)"
+
+
+def _fives(spark, sf_dir: str) -> DataFrame:
+    planes = eight(spark, sf_dir)
+    return A.shifts(planes, planes.select("img", F.floor(F.col("img") / 5).alias("scene")))
+
+
+QUERIES["align_mtb"] = _fives
+SQL["align_mtb"] = _align_sql()
