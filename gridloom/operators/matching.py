@@ -35,10 +35,10 @@ def signed(planes: DataFrame, level: float = 0.0) -> DataFrame:
     return planes.where(F.size(data) > 0).select(F.col("img").alias("key"), F.transform(F.sequence(F.lit(0), F.floor((F.size(data) - 1) / 64).cast("int")), word).alias("words"))
 
 
-def _counts(a: str, b: str, width: int) -> Column:
-    """Differing bits of every block."""
-    part = lambda x, j: F.bit_count(F.call_function("shiftrightunsigned", x, F.lit(j * width)).bitwiseAND(F.lit((1 << width) - 1)))
-    return F.flatten(F.zip_with(a, b, lambda x, y: F.array(*[part(x.bitwiseXOR(y), j) for j in range(64 // width)])))
+def _counts(a: str, b: str, size: int, width: int) -> Column:
+    """Differing bits of every block of descriptors of `size` words; written out, so that it is compiled."""
+    words = [F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w))) for w in range(size)]
+    return F.array(*[F.bit_count(F.call_function("shiftrightunsigned", x, F.lit(j * width)).bitwiseAND(F.lit((1 << width) - 1))) for x in words for j in range(64 // width)])
 
 
 def _distance(a: str, b: str) -> Column:
@@ -75,7 +75,7 @@ class _Cells:
     """The blocks of distinct descriptors `t`, and what they are dealt over."""
 
     def __init__(self, train: DataFrame, n: int, size: int, width: int):
-        self.width, self.blocks = width, size * 64 // width
+        self.width, self.size, self.blocks = width, size, size * 64 // width
         cells = settled(train.select("t", F.posexplode(_blocks("t", width)).alias("block", "value")))
         limit = max(CELL, n * self.blocks // SALTED + 1)
         # at most SALTED of them, since each has over n * blocks / SALTED rows
@@ -88,7 +88,7 @@ class _Cells:
         probes = queries.select("q", F.posexplode(_blocks("q", self.width)).alias("block", "_v")).select("q", "block", F.explode(flips).alias("_f"), "_v")
         probes = probes.select("q", "block", F.col("_v").bitwiseXOR(F.col("_f")).alias("value")).join(self.heavy, ["block", "value"], "left")
         probes = probes.select("q", "block", "value", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
-        met = probes.join(self.cells, ["block", "value", "salt"]).withColumn("_n", _counts("q", "t", self.width))
+        met = probes.join(self.cells, ["block", "value", "salt"]).withColumn("_n", _counts("q", "t", self.size, self.width))
         first = F.array_position("_n", F.array_min("_n")) == F.col("block") + 1
         return met.where(first).select("q", "t", F.aggregate("_n", F.lit(0), lambda s, n: s + n).alias("distance"))
 
