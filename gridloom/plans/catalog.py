@@ -302,8 +302,20 @@ for _label, _given, _w, _depth in (("u8", _WHOLE, [[float(v != 0) for v in r] fo
 # resampling
 def resized(name: str, source: str, target: tuple[int, int], mode: int, depth: int, finish: str) -> None:
     def taps(n: int, m: int) -> str:
-        used = G.AREA if mode == G.LINEAR and target == (4, 4) else mode
-        return "(VALUES " + ", ".join(f"({k}, {i}, CAST({w!r} AS DOUBLE))" for k, t in enumerate(G.axis_taps(n, m, used)) for i, w in t) + ")"
+        """(k, i, w): the weight of source place i in target place k."""
+        size = f"({n} / {m}::DOUBLE)"
+        if mode == G.NEAREST:
+            return f"(SELECT k, CAST(least({n - 1}, floor(k * {size})) AS BIGINT) AS i, 1.0::DOUBLE AS w FROM range(0, {m}) r(k))"
+        if mode == G.AREA or target == (4, 4):
+            return f"(SELECT k, i, (least(i + 1, (k + 1) * {size}) - greatest(i, k * {size})) / {size} AS w FROM range(0, {m}) r(k) JOIN range(0, {n}) q(i) ON i + 1 > k * {size} AND i < (k + 1) * {size})"
+        reach, weight = {
+            G.LINEAR: (1, "1 - t"),
+            G.CUBIC: (2, "CASE WHEN t <= 1 THEN 1.25::DOUBLE * t * t * t - 2.25::DOUBLE * t * t + 1 ELSE -0.75::DOUBLE * (t * t * t - 5 * t * t + 8 * t - 4) END"),
+            G.LANCZOS4: (4, "CASE WHEN t = 0 THEN 1 WHEN t < 4 THEN 4 * sin(pi() * t) * sin(pi() * t / 4) / (pi() * pi() * t * t) ELSE 0 END"),
+        }[mode]
+        near = f"SELECT k, i, CAST({weight} AS DOUBLE) AS w FROM (SELECT k, b + o AS i, abs(p - b - o) AS t FROM (SELECT k, p, floor(p) AS b FROM (SELECT k, (k + 0.5::DOUBLE) * {size} - 0.5::DOUBLE AS p FROM range(0, {m}) r(k))) JOIN range({1 - reach}, {reach + 1}) q(o) ON true)"
+        whole = "sum(w) OVER (PARTITION BY k)" if mode == G.LANCZOS4 else "1"
+        return f"(SELECT k, CAST(greatest(0, least({n - 1}, i)) AS BIGINT) AS i, w / {whole} AS w FROM ({near}))"
 
     unary(name, source, lambda p: G.resize(p, (8, 8), target, mode, depth), f"SELECT img, c, y, x, {finish} AS v FROM (SELECT s.img, s.c, a.k AS y, b.k AS x, sum(a.w * b.w * s.v) AS v FROM {{p}} s JOIN {taps(8, target[0])} a(k, i, w) ON s.y = a.i JOIN {taps(8, target[1])} b(k, i, w) ON s.x = b.i GROUP BY 1, 2, 3, 4)")
 

@@ -20,7 +20,6 @@ from gridloom.operators import kernels as K
 from gridloom.operators import linear as N
 from gridloom.operators import resampling as S
 from gridloom.plans import fixtures as X
-from gridloom.plans import settings as P
 from gridloom.plans.fixtures import BINARY, COLOR, EIGHT, POLYGONS, REAL, binary, color, eight, pixels, pixels_sql, polygons, real, shift_sql, shifted
 from gridloom.sources import images as I
 from gridloom.streaming import tracking as T
@@ -103,8 +102,6 @@ def _decomposed(planes: DataFrame) -> DataFrame:
 _MAT = f"({REAL})"
 QUERIES["gemm"] = lambda spark, d: pixels(N.gemm(real(spark, d), shifted(real(spark, d)), 2.0, shifted(real(spark, d), 2), 0.5))
 SQL["gemm"] = pixels_sql(f"SELECT p.img, 0 AS c, p.y, p.x, 2 * p.v + 0.5 * s.v AS v FROM (SELECT a.img, a.y, b.x, sum(a.v * b.v) AS v FROM ({REAL}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img AND a.x = b.y GROUP BY 1, 2, 3) p JOIN ({shift_sql(REAL, 2)}) s ON s.img = p.img AND s.y = p.y AND s.x = p.x")
-QUERIES["hanning_window"] = lambda spark, d: rounded(N.hanning_window(spark, 8, 12))
-SQL["hanning_window"] = f"SELECT CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, {r6('sqrt(0.25 * (1 - cos(2 * pi() * j / 7)) * (1 - cos(2 * pi() * i / 11)))')} AS v FROM range(0, 8) a(j) CROSS JOIN range(0, 12) b(i)"
 QUERIES["optimal_dft_size"] = lambda spark, d: N.optimal_dft_sizes(spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("n")))
 SQL["optimal_dft_size"] = "SELECT n, min(s) AS size FROM (SELECT o_orderkey AS n FROM orders) JOIN (SELECT CAST(pow(2, a) * pow(3, b) * pow(5, c) AS BIGINT) AS s FROM range(0, 26) t(a) CROSS JOIN range(0, 16) u(b) CROSS JOIN range(0, 11) v(c) WHERE pow(2, a) * pow(3, b) * pow(5, c) < 3e7) ON s >= n GROUP BY n, rowid".replace(", rowid", "")
 QUERIES["dft"] = lambda spark, d: pixels(N.dft(real(spark, d)))
@@ -190,13 +187,9 @@ _ROT = C.rodrigues(_R)
 _FRAME = f"(SELECT set_id, pos, {', '.join(f'x * {float(_ROT[k][0])!r} + y * {float(_ROT[k][1])!r} + CAST({float(_ROT[k][2]) + _T[k]!r} AS DOUBLE) AS p{k}' for k in range(3))} FROM (SELECT set_id, pos, x / 100 AS x, y / 100 AS y FROM {_POLY}))"
 _BENT = f"x * k + {2 * _BEND[2]!r} * x * y + {_BEND[3]!r} * (r + 2 * x * x) AS bx, y * k + {_BEND[2]!r} * (r + 2 * y * y) + {2 * _BEND[3]!r} * x * y AS b_y"
 SQL["project_points"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, {r6('bx * 6 + 3.5')} AS u, {r6('b_y * 5.5 + 3.25')} AS v FROM (SELECT set_id, pos, {_BENT} FROM (SELECT *, 1 + {_BEND[0]!r} * r + {_BEND[1]!r} * r * r AS k FROM (SELECT *, x * x + y * y AS r FROM (SELECT set_id, pos, p0 / p2 AS x, p1 / p2 AS y FROM {_FRAME}))))"
-QUERIES["undistort_map"] = lambda spark, d: rounded(C.undistort_map(spark, _CAMERA, _BEND, 8, 8))
-SQL["undistort_map"] = f"SELECT CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, {r6('bx * 6 + 3.5')} AS map_x, {r6('b_y * 5.5 + 3.25')} AS map_y FROM (SELECT j, i, {_BENT} FROM (SELECT *, 1 + {_BEND[0]!r} * r + {_BEND[1]!r} * r * r AS k FROM (SELECT *, x * x + y * y AS r FROM (SELECT j, i, (i - 3.5) / 6 AS x, (j - 3.25) / 5.5 AS y FROM range(0, 8) a(j) CROSS JOIN range(0, 8) b(i)))))"
 QUERIES["fisheye_project_points"] = lambda spark, d: rounded(C.fisheye_project_points(_solid(spark, d), _R, _T, _CAMERA, (0.01, 0.002, 0, 0)).select("set_id", "pos", "u", "v"))
-QUERIES["fisheye_undistort_map"] = lambda spark, d: rounded(C.undistort_map(spark, _CAMERA, (0.01, 0.002, 0, 0), 8, 8, new_camera=_CAMERA, fisheye=True))
 _FISH = "CASE WHEN r = 0 THEN 1 ELSE atan(r) * (1 + 0.01 * pow(atan(r), 2) + 0.002 * pow(atan(r), 4)) / r END AS k"
 SQL["fisheye_project_points"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, {r6('x * k * 6 + 3.5')} AS u, {r6('y * k * 5.5 + 3.25')} AS v FROM (SELECT *, {_FISH} FROM (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT set_id, pos, p0 / p2 AS x, p1 / p2 AS y FROM {_FRAME})))"
-SQL["fisheye_undistort_map"] = f"SELECT CAST(j AS INTEGER) AS y, CAST(i AS INTEGER) AS x, {r6('x * k * 6 + 3.5')} AS map_x, {r6('y * k * 5.5 + 3.25')} AS map_y FROM (SELECT *, {_FISH} FROM (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT j, i, (i - 3.5) / 6 AS x, (j - 3.25) / 5.5 AS y FROM range(0, 8) a(j) CROSS JOIN range(0, 8) b(i))))"
 QUERIES["undistort"] = lambda spark, d: pixels(C.undistort(eight(spark, d), _CAMERA, _BEND))
 QUERIES["estimate_affine_2d"] = lambda spark, d: C.estimate_affine_2d(_pairs(spark, d), "all").select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 4) + 0.0).alias("v"))
 QUERIES["find_homography"] = lambda spark, d: C.find_homography(_pairs(spark, d)).select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 3) + 0.0).alias("v"))
@@ -330,84 +323,43 @@ _Y = "floor((b * 1868 + g * 9617 + r * 4899 + 8192) / 16384)"
 for _kind, _parts in (("ycrcb", (("r", 11682), ("b", 9241))), ("yuv", (("b", 8061), ("r", 14369)))):
     QUERIES[f"cvt_color_{_kind}"] = lambda spark, d, k=_kind: pixels(A.to_luma_chroma(color(spark, d), k))
     SQL[f"cvt_color_{_kind}"] = _rows_sql([_Y, *[f"floor((({c} - {_Y}) * {w} + {128 * 2**14} + 8192) / 16384)" for c, w in _parts]])
-for _name in M._RULES:
+#: Red, green and blue of each map as formulas of a sample's place x, and the number of samples.
+_COLORS = {
+    "autumn": ("1", "x", "0", 64),
+    "bone": ("CASE WHEN x < 0.75 THEN 7 * x / 8 ELSE (11 * x - 3) / 8 END", "CASE WHEN x < 0.375 THEN 7 * x / 8 WHEN x < 0.75 THEN (29 * x - 3) / 24 ELSE (7 * x + 1) / 8 END", "CASE WHEN x < 0.375 THEN 29 * x / 24 ELSE (7 * x + 1) / 8 END", 64),
+    "cool": ("x", "1 - x", "1", 64),
+    "hot": ("least(1, x * 2.5)", "greatest(0, least(1, x * 2.5 - 1))", "greatest(0, x * 5 - 4)", 64),
+    "hsv": ("greatest(0, least(1, abs(6 * x - 3) - 1))", "greatest(0, least(1, 2 - abs(6 * x - 2)))", "greatest(0, least(1, 2 - abs(6 * x - 4)))", 64),
+    "ocean": ("greatest(0, 3 * x - 2)", "greatest(0, 1.5 * x - 0.5)", "x", 64),
+    "pink": ("sqrt(CASE WHEN x < 0.375 THEN 14 * x / 9 ELSE (2 * x + 1) / 3 END)", "sqrt(CASE WHEN x < 0.375 THEN 2 * x / 3 WHEN x < 0.75 THEN (14 * x - 3) / 9 ELSE (2 * x + 1) / 3 END)", "sqrt(CASE WHEN x < 0.75 THEN 2 * x / 3 ELSE 2 * x - 1 END)", 64),
+    "rainbow": ("CASE WHEN x < 0.8 THEN greatest(0, least(1, 3 - 5 * x)) ELSE (10 * x - 8) / 3 END", "greatest(0, least(1, 2.5 * x, 4 - 5 * x))", "greatest(0, least(1, 5 * x - 3))", 64),
+    "spring": ("1", "x", "1 - x", 64),
+    "summer": ("x", "(1 + x) / 2", "0.4", 64),
+    "winter": ("0", "x", "1 - x / 2", 11),
+}
+
+
+def _color_map_sql(name: str) -> str:
+    """(c, k, e): the entries, by formulas; in single precision between samples, halves to the even entry."""
+    if name == "jet":
+        blue, green, red = (
+            "CASE WHEN k < 96 THEN least(255, 128 + 4 * k) WHEN k = 159 THEN 1 WHEN k < 159 THEN 638 - 4 * k ELSE 0 END",
+            "CASE WHEN k < 128 THEN least(255, greatest(0, 4 * k - 128)) WHEN k < 160 THEN 255 ELSE greatest(0, 892 - 4 * k) END",
+            "CASE WHEN k < 96 THEN 0 WHEN k < 160 THEN 4 * k - 382 ELSE least(255, 1148 - 4 * k) END",
+        )
+        return " UNION ALL ".join(f"SELECT {c} AS c, k, {e} AS e FROM range(0, 256) t(k)" for c, e in enumerate((blue, green, red)))
+    *rules, n = _COLORS[name]
+    samples = " UNION ALL ".join(f"SELECT {c} AS c, j, CAST({e} AS FLOAT) AS h, CAST(j AS FLOAT) * CAST(1 / {n - 1}::DOUBLE AS FLOAT) AS p FROM (SELECT j, j / {n - 1}::DOUBLE AS x FROM range(0, {n}) t(j))" for c, e in enumerate(reversed(rules)))
+    spans = f"SELECT c, j, p, h, lead(p) OVER w AS q, lead(h) OVER w AS g FROM ({samples}) WINDOW w AS (PARTITION BY c ORDER BY j)"
+    at = "CAST(k AS FLOAT) * CAST(1 / 255::DOUBLE AS FLOAT)"
+    return f"SELECT c, k, greatest(0, least(255, round_even(CAST((h + (i - p) * (g - h) / (q - p)) * CAST(255 AS FLOAT) AS DOUBLE), 0))) AS e FROM (SELECT k, {at} AS i FROM range(0, 256) t(k)) JOIN ({spans}) s ON i >= p AND (i < q OR j = {n - 2}) AND q IS NOT NULL"
+
+
+for _name in M.NAMES:
     QUERIES[f"color_map_{_name}"] = lambda spark, d, n=_name: pixels(M.apply_color_map(eight(spark, d), n))
-    _values = ", ".join(f"({k}, {c}, {v})" for c, channel in enumerate(M.table(_name)) for k, v in enumerate(channel))
-    SQL[f"color_map_{_name}"] = pixels_sql(f"SELECT p.img, t.c, p.y, p.x, t.e AS v FROM ({EIGHT}) p JOIN (VALUES {_values}) t(k, c, e) ON p.v = t.k")
+    SQL[f"color_map_{_name}"] = pixels_sql(f"SELECT p.img, t.c, p.y, p.x, t.e AS v FROM ({EIGHT}) p JOIN ({_color_map_sql(_name)}) t ON p.v = t.k")
 QUERIES["convert_maps"] = lambda spark, d: S.convert_maps(real(spark, d), shifted(real(spark, d))).select("img", "c", F.posexplode(F.arrays_zip("xi", "yi", "fraction")).alias("i", "t")).select("img", "c", "i", "t.xi", "t.yi", "t.fraction")
 SQL["convert_maps"] = f"SELECT a.img, a.c, CAST(a.y * 8 + a.x AS INTEGER) AS i, CAST(floor(round_even(a.v * 32, 0) / 32) AS INTEGER) AS xi, CAST(floor(round_even(b.v * 32, 0) / 32) AS INTEGER) AS yi, CAST(round_even(a.v * 32, 0) - floor(round_even(a.v * 32, 0) / 32) * 32 + (round_even(b.v * 32, 0) - floor(round_even(b.v * 32, 0) / 32) * 32) * 32 AS INTEGER) AS fraction FROM ({REAL}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img AND a.y = b.y AND a.x = b.x"
 of_planes("hough_segment", binary, lambda p: K.hough_segment(p, 1.0, math.pi / 18, 5, 1))
 drawn("draw_frame_axes", lambda p: W.draw_frame_axes(p, _CAMERA, [], (0.1, 0.2, 0.0), (0, 0, 4.0), 2.0, 1))
-
-
-# values of one call: the rows are the entries of a small matrix or list
-def listed(name: str, values: Callable[[], object], sql: str) -> None:
-    """A query of (i, v): the numbers of a result in order, to nine places; sql gives the same two columns."""
-    QUERIES[name] = lambda spark, d: spark.createDataFrame([(i, round(float(v), 9) + 0.0) for i, v in enumerate(np.ravel(np.array(values(), float)))], "i int, v double")
-    SQL[name] = f"SELECT CAST(i AS INTEGER) AS i, round(CAST(v AS DOUBLE), 9) + 0.0 AS v FROM ({sql})"
-
-
-def _of(*values: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, CAST({v} AS DOUBLE))" for i, v in enumerate(values)) + ") t(i, v)"
-
-
-listed("rotation_matrix", lambda: S.rotation_matrix((1.5, 2.5), 30, 2.0), _of("2 * cos(radians(30))", "2 * sin(radians(30))", "(1 - 2 * cos(radians(30))) * 1.5 - 2 * sin(radians(30)) * 2.5", "-2 * sin(radians(30))", "2 * cos(radians(30))", "2 * sin(radians(30)) * 1.5 + (1 - 2 * cos(radians(30))) * 2.5"))
-listed("affine_from_points", lambda: S.affine_from_points([(0, 0), (4, 1), (2, 5)], [(3, -1), (12, 5), (12, 20)]), _of("2", "1", "3", "0.5", "4", "-1"))
-listed("invert_affine", lambda: S.invert_affine([[2, 1, 3], [0.5, 4, -1]]), _of("4 / 7.5", "-1 / 7.5", "(1 * -1 - 4 * 3) / 7.5", "-0.5 / 7.5", "2 / 7.5", "(3 * 0.5 - 2 * -1) / 7.5"))
-listed("perspective_from_points", lambda: S.perspective_from_points([(0, 0), (1, 0), (0, 1), (1, 1)], [(3, -1), (5 / 1.1, -0.5 / 1.1), (4 / 1.2, 3 / 1.2), (6 / 1.3, 3.5 / 1.3)]), _of("2", "1", "3", "0.5", "4", "-1", "0.1", "0.2", "1"))
-listed("rodrigues", lambda: C.rodrigues((0, 0, 0.5)), _of("cos(0.5)", "-sin(0.5)", "0", "sin(0.5)", "cos(0.5)", "0", "0", "0", "1"))
-listed("rotation_vector", lambda: C.rotation_vector(C.rodrigues((0.3, -0.2, 0.6))), _of("0.3", "-0.2", "0.6"))
-listed("default_new_camera_matrix", lambda: C.default_new_camera_matrix(_CAMERA, (9, 7), True), _of("6", "0", "4", "0", "5.5", "3", "0", "0", "1"))
-_EYE5 = "FROM range(0, 5) a(y) CROSS JOIN range(0, 5) b(x)"
-for _kind, _where in (("rect", "true"), ("cross", "y = 2 OR x = 2"), ("ellipse", "abs(x - 2) <= round_even(2 * sqrt(1 - (y - 2) * (y - 2) / 4.0), 0)"), ("diamond", "abs(x - 2) + abs(y - 2) <= 2")):
-    listed(f"structuring_element_{_kind}", lambda k=_kind: K.structuring_element(k, 5, 5), f"SELECT y * 5 + x AS i, CASE WHEN {_where} THEN 1 ELSE 0 END AS v {_EYE5}")
-listed("font_scale", lambda: [N.font_scale(0, 30, 3), N.font_scale(1, 11)], _of("(30 - 2) / 21.0", "(11 - 1) / 9.0"))
-listed("solve_poly", lambda: sorted(r.real for r in K.solve_poly([-6, 11, -6, 1])), _of("1", "2", "3"))
-listed("ellipse_points", lambda: W.ellipse_points((10, 10), (5, 3), 0, 0, 360, 90), _of("15", "10", "10", "13", "5", "10", "10", "7", "15", "10"))
-listed("intersect_convex", lambda: [G.intersect_convex([(0, 0), (10, 0), (10, 10), (0, 10)], [(k, 4), (k + 8, 4), (k + 8, 9), (k, 9)])[0] for k in range(12)], "SELECT k AS i, 5 * greatest(0, least(10, k + 8) - k) AS v FROM range(0, 12) t(k)")
-listed("rotated_rectangle_intersection", lambda: [G.intersect_convex(*[G.rectangle_corners(*r) for r in ((5, 5, 4, 4, 0), (5 + k, 5, 4, 2, 90))])[0] for k in range(5)] + [G.rotated_rectangle_intersection((0, 0, 2, 2, 0), (9, 9, 2, 2, 45))[0]], "SELECT k AS i, CASE WHEN k = 5 THEN 0 ELSE 4 * greatest(0, least(7, 6 + k) - greatest(3, 4 + k)) END AS v FROM range(0, 6) t(k)")
-listed("group_rectangles", lambda: sorted(G.group_rectangles([(0, 0, 10, 10), (1, 1, 10, 10), (50, 50, 8, 8)], 0.3)), _of(*(str(v) for v in (0, 0, 10, 10, 50, 50, 8, 8))))
 drawn("fill_convex_poly", lambda p: W.fill_convex_poly(p, [(2, 1), (6, 1), (6, 6), (2, 6)], [99]), "x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 6")
-
-#: Every setting with its default, another value, and that again; typed here, not taken from the classes.
-_SETTINGS = {
-    "akaze": (P.AKAZE, "AKAZE", "descriptor_type 5 3, descriptor_size 0 64, descriptor_channels 3 1, threshold 0.001 0.5, octaves 4 2, octave_layers 4 3, diffusivity 1 2"),
-    "kaze": (P.KAZE, "KAZE", "extended False True, upright False True, threshold 0.001 0.25, octaves 4 5, octave_layers 4 2, diffusivity 1 3"),
-    "mser": (P.MSER, "MSER", "delta 5 7, min_area 60 30, max_area 14400 900, pass_2_only False True"),
-    "orb": (P.ORB, "ORB", "max_features 500 100, scale_factor 1.2 1.5, levels 8 4, edge_threshold 31 15, first_level 0 1, wta_k 2 3, score_type 0 1, patch_size 31 21, fast_threshold 20 10"),
-    "agast": (P.Agast, "AgastFeatureDetector", "threshold 10 25, nonmax_suppression True False, kind 3 1"),
-    "fast": (P.Fast, "FastFeatureDetector", "threshold 10 25, nonmax_suppression True False, kind 2 0"),
-    "good_features": (P.GoodFeatures, "GFTTDetector", "max_features 1000 50, quality_level 0.01 0.5, min_distance 1.0 4.0, block_size 3 5, harris_detector False True, k 0.04 0.06"),
-    "clahe": (P.Clahe, None, "clip_limit 40.0 2.5"),
-    "tonemap": (P.Tonemap, None, "gamma 1.0 2.2"),
-    "tonemap_drago": (P.TonemapDrago, None, "gamma 1.0 2.2, saturation 1.0 0.5, bias 0.85 0.7"),
-    "tonemap_mantiuk": (P.TonemapMantiuk, None, "gamma 1.0 2.2, scale 0.7 0.9, saturation 1.0 0.5"),
-    "tonemap_reinhard": (P.TonemapReinhard, None, "gamma 1.0 2.2, intensity 0.0 1.5, light_adaptation 1.0 0.5, color_adaptation 0.0 0.25"),
-}
-
-
-def _settings(spark, made: type, name: str | None, fields: str) -> DataFrame:
-    rows = [("default_name", made().default_name, made().default_name)] if name else []
-    for field, _, value in (f.split() for f in fields.split(", ")):
-        kind = type(getattr(made(), field))
-        rows.append((field, str(getattr(made(), field)), str(getattr(made().with_(**{field: value == "True" if kind is bool else kind(value)}), field))))
-    return spark.createDataFrame(rows, "name string, at_first string, changed string")
-
-
-for _name, (_made, _default, _fields) in _SETTINGS.items():
-    QUERIES[f"settings_{_name}"] = lambda spark, d, m=_made, n=_default, f=_fields: _settings(spark, m, n, f)
-    _rows = [tuple(f.split()) for f in _fields.split(", ")] + ([("default_name", f"Feature2D.{_default}", f"Feature2D.{_default}")] if _default else [])
-    SQL[f"settings_{_name}"] = f"SELECT * FROM (VALUES {', '.join(str(r) for r in _rows)}) t(name, at_first, changed)"
-
-
-def _log_levels(spark) -> DataFrame:
-    before = P.set_log_level(spark, "WARN")
-    try:
-        first, seen = P.get_log_level(spark), P.set_log_level(spark, "ERROR")
-        return spark.createDataFrame([(first, seen, P.get_log_level(spark))], "first string, before string, after string")
-    finally:
-        P.set_log_level(spark, before)
-
-
-QUERIES["log_level"] = lambda spark, d: _log_levels(spark)
-SQL["log_level"] = "SELECT 'WARN' AS first, 'WARN' AS before, 'ERROR' AS after"

@@ -1,14 +1,26 @@
 """Settings of detectors and tone maps: typed, immutable, checked when made. They hold options only, as no detection,
-description or tone mapping of pixels belongs to them. `with_(field=value)` gives a changed copy."""
+description or tone mapping of pixels belongs to them. `with_(field=value)` gives a changed copy; `configured` makes the
+settings of each row from its columns."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 from typing import ClassVar, Self
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class Settings:
+    #: The least value of each bounded field.
+    _LEAST: ClassVar[dict[str, float]] = {}
+
+    def __post_init__(self) -> None:
+        for name, low in self._LEAST.items():
+            if getattr(self, name) < low:
+                raise ValueError(f"{type(self).__name__}.{name} is at least {low}")
+
     def with_(self, **changes: object) -> Self:
         return replace(self, **changes)
 
@@ -16,11 +28,6 @@ class Settings:
     def default_name(self) -> str:
         return f"Feature2D.{getattr(self, '_NAME', type(self).__name__)}"
 
-    def _least(self, **bounds: float) -> None:
-        for name, low in bounds.items():
-            if getattr(self, name) < low:
-                raise ValueError(f"{type(self).__name__}.{name} is at least {low}")
-
     def options(self) -> dict[str, object]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
@@ -34,9 +41,7 @@ class AKAZE(Settings):
     octaves: int = 4
     octave_layers: int = 4
     diffusivity: int = 1
-
-    def __post_init__(self) -> None:
-        self._least(descriptor_size=0, descriptor_channels=1, octaves=1, octave_layers=1)
+    _LEAST: ClassVar[dict[str, float]] = {"descriptor_size": 0, "descriptor_channels": 1, "octaves": 1, "octave_layers": 1}
 
 
 @dataclass(frozen=True)
@@ -47,9 +52,7 @@ class KAZE(Settings):
     octaves: int = 4
     octave_layers: int = 4
     diffusivity: int = 1
-
-    def __post_init__(self) -> None:
-        self._least(octaves=1, octave_layers=1)
+    _LEAST: ClassVar[dict[str, float]] = {"octaves": 1, "octave_layers": 1}
 
 
 @dataclass(frozen=True)
@@ -71,9 +74,7 @@ class ORB(Settings):
     score_type: int = 0
     patch_size: int = 31
     fast_threshold: int = 20
-
-    def __post_init__(self) -> None:
-        self._least(first_level=0)
+    _LEAST: ClassVar[dict[str, float]] = {"first_level": 0}
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,24 @@ class TonemapReinhard(Tonemap):
     color_adaptation: float = 0.0
 
 
+def configured(rows: DataFrame, made: type[Settings], name: str = "settings", **changes: Column) -> DataFrame:
+    """rows with a struct of `made`'s options: each row's own value where `changes` names a column and that isn't null,
+    else the default. A value under its least stops the job, as it would where the settings are made one by one."""
+    default, options = made(), []
+    if unknown := set(changes) - set(default.options()):
+        raise ValueError(f"{made.__name__} has no {', '.join(sorted(unknown))}")
+    for field, first in default.options().items():
+        kind = "array<int>" if isinstance(first, tuple) else {bool: "boolean", int: "int", float: "double"}[type(first)]
+        value = F.array(*[F.lit(v) for v in first]) if isinstance(first, tuple) else F.lit(first)
+        if field in changes:
+            value = F.coalesce(changes[field].cast(kind), value)
+        if field in made._LEAST:
+            low = made._LEAST[field]
+            value = F.when(value < low, F.raise_error(F.lit(f"{made.__name__}.{field} is at least {low}")).cast(kind)).otherwise(value)
+        options.append(value.cast(kind).alias(field))
+    return rows.withColumn(name, F.struct(*options))
+
+
 def get_log_level(spark) -> str:
     """The level of the driver's root logger."""
     return spark._jvm.org.apache.logging.log4j.LogManager.getRootLogger().getLevel().toString()
