@@ -324,6 +324,11 @@ def find_contours(planes: DataFrame, mode: int = TREE, simple: bool = True, offs
     return per_plane(planes, run, "contour int, next int, previous int, child int, parent int, points array<struct<x:int,y:int>>")
 
 
+def find_contours_link_runs(planes: DataFrame) -> DataFrame:
+    """find_contours() in two levels, with every pixel of a contour."""
+    return find_contours(planes, CCOMP, simple=False)
+
+
 def otsu_level(a: np.ndarray) -> int:
     """The 8-bit level that maximises the variance between the classes at or below it and above it; the first of equals."""
     share = np.bincount(a.astype(int).ravel(), minlength=256) / a.size
@@ -515,35 +520,6 @@ def determinant(planes: DataFrame) -> DataFrame:
     return per_plane(planes, run, "determinant double")
 
 
-def _inverted(a: np.ndarray) -> np.ndarray | None:
-    if a.shape[0] != a.shape[1] or np.linalg.matrix_rank(a) < len(a):
-        return None
-    return np.linalg.inv(a)
-
-
-def invert(planes: DataFrame) -> DataFrame:
-    """(img, c, ok, rows, cols, data): the inverse, or an empty array where there is none."""
-
-    def run(a: np.ndarray) -> list[tuple]:
-        out = _inverted(a)
-        return [(False, *a.shape, [])] if out is None else [(True, *out.shape, out.ravel().tolist())]
-
-    return per_plane(planes, run, "ok boolean, rows int, cols int, data array<double>")
-
-
-def solve(planes: DataFrame, right: DataFrame) -> DataFrame:
-    """(img, c, ok, rows, cols, data): least squares where there are more equations than unknowns."""
-
-    def run(a: np.ndarray, b: list) -> list[tuple]:
-        rhs = np.array(b, float).reshape(len(a), -1)
-        if np.linalg.matrix_rank(a) < a.shape[1]:
-            return [(False, 0, 0, [])]
-        x = np.linalg.lstsq(a, rhs, rcond=None)[0]
-        return [(True, *x.shape, x.ravel().tolist())]
-
-    return per_plane(planes.join(right.selectExpr("img", "c", "data AS _b"), ["img", "c"]), run, "ok boolean, rows int, cols int, data array<double>", ["_b"])
-
-
 def jacobi(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues of a symmetric matrix from the largest, and the eigenvectors as rows, by cyclic rotations."""
     a, v = (a + a.T) / 2, np.eye(len(a))

@@ -62,12 +62,15 @@ def optimal_dft_sizes(numbers: DataFrame) -> DataFrame:
     return numbers.select("n").distinct().select("n", F.when((F.col("n") < 0) | (F.col("n") >= 2_125_764_000), F.lit(-1)).otherwise(found).cast("long").alias("size"))
 
 
+# fixed values: the height of each face's capitals in its own units
+FONT_HEIGHTS = (21, 9, 21, 21, 21, 13, 21, 21)
+
+
 def font_scale(face: int, pixels: int, thickness: int = 1) -> float:
-    """The scale at which a font of the plain faces has that height."""
-    # fixed values: height of capitals and base line of each face
-    heights = {0: (21, 9), 1: (9, 3), 2: (21, 9), 3: (21, 9), 4: (21, 9), 5: (9, 3), 6: (21, 9), 7: (21, 9)}
-    cap, base = heights[face & 15]
-    return (pixels - (thickness + 1) / 2.0) / (cap if cap else base)
+    """The scale at which a face, upright or slanted (+ 16), has that height."""
+    if not 0 <= face & ~16 < len(FONT_HEIGHTS):
+        raise ValueError(f"no face {face}")
+    return (pixels - (max(thickness, -1) + 1) / 2) / FONT_HEIGHTS[face & ~16]
 
 
 def kmeans(points: DataFrame, k: int, iterations: int = 10) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as Y
 from gridloom.operators import calibration, geometry
 from gridloom.operators import resampling as S
 from gridloom.operators.consensus import solved
+from gridloom.operators.linear import FONT_HEIGHTS
 
 Spot = tuple[Column, Column]
 # types as objects: their names could only be read with a session at hand
@@ -148,9 +149,10 @@ def hanning_window(rows: Column, cols: Column) -> Column:
 
 
 def font_scale(face: Column, pixels: Column, thickness: Column) -> Column:
-    """The scale at which a font has that height; faces 1 and 5 are the small ones."""
-    small = F.pmod(face.bitwiseAND(F.lit(15)), F.lit(4)) == 1
-    return (pixels - (thickness + 1) / 2) / F.when(small, F.lit(9.0)).otherwise(F.lit(21.0))
+    """The scale at which a face, upright or slanted (+ 16), has that height; null for other faces."""
+    upright = face.bitwiseAND(F.lit(~16))
+    height = F.get(F.array(*[F.lit(float(h)) for h in FONT_HEIGHTS]), F.when(upright >= 0, upright))
+    return (pixels - (F.greatest(thickness, F.lit(-1)) + 1) / 2) / height
 
 
 @F.pandas_udf(Y.ArrayType(_record("re", "im")))

@@ -189,13 +189,17 @@ QUERIES["hu_moments"] = lambda spark, d: R.hu_moments(R.moments(eight(spark, d))
 SQL["hu_moments"] = f"SELECT img, CAST(c AS INTEGER) AS c, {', '.join(f'round(hu{k} * 1e{n - 9}::DOUBLE, 9) + 0.0 AS hu{k}' for k, n in enumerate(_HU_DIGITS, 1))} FROM ({_HU_SQL})"
 # the third method looks at the leading invariants' sizes in decades: only those that are well above rounding take part
 _LEVEL = lambda h: f"sign({h}) * log10(abs({h}))"
-QUERIES["match_shapes"] = lambda spark, d: _compared_shapes(R.hu_moments(R.moments(eight(spark, d))))
-SQL["match_shapes"] = f"SELECT a.img, CAST(a.c AS INTEGER) AS c, round({' + '.join(f'CASE WHEN abs(a.hu{k}) > 0 AND abs(b.hu{k}) > 0 THEN abs(' + _LEVEL(f'b.hu{k}') + ' - ' + _LEVEL(f'a.hu{k}') + ') ELSE 0 END' for k in range(1, 4))}, 5) + 0.0 AS distance FROM ({_HU_SQL}) a JOIN ({_HU_SQL}) b ON a.img = b.img - 1"
+_TERMS = {1: "abs(1 / {a} - 1 / {b})", 2: "abs({b} - {a})", 3: "abs(({a} - {b}) / {a})"}
+for _m, _term in _TERMS.items():
+    _name = "match_shapes" if _m == 2 else f"match_shapes_{_m}"
+    _sum = " + ".join(f"CASE WHEN abs(a.hu{k}) > 0 AND abs(b.hu{k}) > 0 THEN {_term.format(a=f"({_LEVEL(f'a.hu{k}')})", b=f"({_LEVEL(f'b.hu{k}')})")} ELSE 0 END" for k in range(1, 4))
+    QUERIES[_name] = lambda spark, d, m=_m: _compared_shapes(R.hu_moments(R.moments(eight(spark, d))), m)
+    SQL[_name] = f"SELECT a.img, CAST(a.c AS INTEGER) AS c, round({_sum}, 5) + 0.0 AS distance FROM ({_HU_SQL}) a JOIN ({_HU_SQL}) b ON a.img = b.img - 1"
 
 
-def _compared_shapes(hu: DataFrame) -> DataFrame:
+def _compared_shapes(hu: DataFrame, method: int) -> DataFrame:
     first = hu.select("img", "c", "hu1", "hu2", "hu3", *[F.lit(0.0).alias(f"hu{k}") for k in range(4, 8)])
-    return R.match_shapes(first, first.withColumn("img", F.col("img") - 1), 2).select("img", "c", (F.round("distance", 5) + 0.0).alias("distance"))
+    return R.match_shapes(first, first.withColumn("img", F.col("img") - 1), method).select("img", "c", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
 table("total", "real", R.total, f"SELECT img, CAST(c AS INTEGER) AS c, {r6('sum(v)')} AS sum FROM {{p}} GROUP BY img, c")

@@ -19,6 +19,8 @@ from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators import linear as N
 from gridloom.operators import resampling as S
+from gridloom.operators import systems as Y
+from gridloom.functions import numeric as V
 from gridloom.plans import fixtures as X
 from gridloom.plans.fixtures import BINARY, COLOR, EIGHT, POLYGONS, REAL, binary, color, eight, pixels, pixels_sql, polygons, real, shift_sql, shifted
 from gridloom.sources import images as I
@@ -112,10 +114,44 @@ QUERIES["determinant"] = lambda spark, d: rounded(K.determinant(I.roi(real(spark
 _CELL = lambda y, x: f"max(v) FILTER (WHERE y = {y + 1} AND x = {x + 2})"
 SQL["determinant"] = f"SELECT img, CAST(c AS INTEGER) AS c, {r6(' + '.join(f'{_CELL(0, a)} * ({_CELL(1, b)} * {_CELL(2, c)} - {_CELL(1, c)} * {_CELL(2, b)})' for a, b, c in ((0, 1, 2), (1, 2, 0), (2, 0, 1))))} AS determinant FROM {_MAT} GROUP BY img, c"
 # matrices that are easy to check: the inverse times the matrix is one, the solution put in gives the right side
-QUERIES["invert"] = lambda spark, d: pixels(N.gemm(K.invert(_strong(real(spark, d))).drop("ok"), _strong(real(spark, d))))
+QUERIES["invert"] = lambda spark, d: pixels(N.gemm(Y.invert(_strong(real(spark, d))).drop("ok"), _strong(real(spark, d))))
 SQL["invert"] = pixels_sql(f"SELECT img, c, y, x, CASE WHEN y = x THEN 1.0 ELSE 0.0 END AS v FROM {_MAT}")
-QUERIES["solve"] = lambda spark, d: pixels(N.gemm(_strong(real(spark, d)), K.solve(_strong(real(spark, d)), shifted(real(spark, d))).drop("ok")))
+QUERIES["solve"] = lambda spark, d: pixels(N.gemm(_strong(real(spark, d)), Y.solve(_strong(real(spark, d)), shifted(real(spark, d))).drop("ok")))
 SQL["solve"] = pixels_sql(f"SELECT a.img, a.c, b.y, b.x, b.v FROM (SELECT DISTINCT img, c FROM {_MAT}) a JOIN ({shift_sql(REAL)}) b ON a.img = b.img")
+
+
+def _bonded(planes: DataFrame) -> DataFrame:
+    """Symmetric matrices that are well conditioned: the sum of a strong one and its transpose."""
+    from gridloom.operators.layout import transpose
+
+    return A.add(_strong(planes), transpose(_strong(planes)), depth=V.F64)
+
+
+def _marred(planes: DataFrame) -> DataFrame:
+    """Of every four images: a positive definite one, one that isn't symmetric, one without a last row and column, a negative one."""
+    both = _bonded(planes).select("img", "c", F.col("data").alias("_s"))
+    kind, edge = F.pmod("img", F.lit(4)), lambda i: (i >= 56) | (i % 8 == 7)
+    data = F.when(kind == 1, F.col("data")).when(kind == 2, F.transform("_s", lambda v, i: F.when(edge(i), 0.0).otherwise(v))).when(kind == 3, F.transform("_s", lambda v: -v)).otherwise(F.col("_s"))
+    return _strong(planes).join(both, ["img", "c"]).select("img", "c", "rows", "cols", data.alias("data"))
+
+
+_METHODS = {"lu": Y.LU, "cholesky": Y.CHOLESKY, "qr": Y.QR}
+for _name, _method in _METHODS.items():
+    QUERIES[f"invert_{_name}"] = lambda spark, d, m=_method: pixels(N.gemm(Y.invert(_bonded(real(spark, d)), m).drop("ok"), _bonded(real(spark, d))))
+    SQL[f"invert_{_name}"] = SQL["invert"]
+    QUERIES[f"solve_{_name}"] = lambda spark, d, m=_method: pixels(N.gemm(_bonded(real(spark, d)), Y.solve(_bonded(real(spark, d)), shifted(real(spark, d)), m).drop("ok")))
+    SQL[f"solve_{_name}"] = SQL["solve"]
+    QUERIES[f"decomposes_{_name}"] = lambda spark, d, m=_method: Y.invert(_marred(real(spark, d)), m).select("img", "ok")
+    SQL[f"decomposes_{_name}"] = f"SELECT DISTINCT img, {'img % 4 = 0' if _name == 'cholesky' else 'img % 4 <> 2'} AS ok FROM {_MAT}"
+# eight equations for five unknowns: what an answer is the right side of is found again
+QUERIES["solve_tall"] = lambda spark, d: pixels(Y.solve(_tall(real(spark, d)), N.gemm(_tall(real(spark, d)), I.roi(shifted(real(spark, d)), 0, 0, 5, 3))).drop("ok"))
+SQL["solve_tall"] = pixels_sql(f"SELECT b.img, b.c, b.y, b.x, b.v FROM ({shift_sql(REAL)}) b JOIN (SELECT DISTINCT img FROM {_MAT}) a ON a.img = b.img WHERE b.y < 5 AND b.x < 3")
+
+
+def _tall(planes: DataFrame) -> DataFrame:
+    return I.roi(_strong(planes), 0, 0, 8, 5)
+
+
 QUERIES["eigen"] = lambda spark, d: _decomposed(real(spark, d))
 SQL["eigen"] = f"SELECT CAST(img AS BIGINT) AS img, 0 AS c, {r6('sum(CASE WHEN y = x THEN v ELSE 0 END)')} AS trace, {r6('sum(w * w)')} AS squares, 64 AS orthonormal, true AS falling FROM (SELECT a.img, a.y, a.x, a.v, (a.v + b.v) / 2 AS w FROM {_MAT} a JOIN {_MAT} b ON a.img = b.img AND a.y = b.x AND a.x = b.y) GROUP BY img"
 QUERIES["kmeans"] = lambda spark, d: rounded(N.kmeans(spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) = 64").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v")), 4, 5).select("label", F.transform("center", lambda v: F.round(v, 5) + 0.0).alias("center")))
@@ -137,6 +173,7 @@ SQL["distance_transform_exact"] = pixels_sql(f"SELECT a.img, a.c, a.y, a.x, coal
 of_planes("flood_fill", eight, lambda p: X.to_pixels(K.flood_fill(p, (3, 3), 255.0, 20, 20)))
 SQL["flood_fill"] = f"WITH RECURSIVE e AS (SELECT p.*, s.v AS base FROM ({EIGHT}) p JOIN ({EIGHT}) s ON s.img = p.img AND s.y = 3 AND s.x = 3), reach AS (SELECT img, y, x FROM e WHERE y = 3 AND x = 3 UNION SELECT e.img, e.y, e.x FROM reach r JOIN e ON e.img = r.img AND abs(e.v - e.base) <= 20 AND abs(e.y - r.y) + abs(e.x - r.x) = 1) " + pixels_sql("SELECT e.img, e.c, e.y, e.x, CASE WHEN r.img IS NULL THEN e.v ELSE 255.0 END AS v FROM e LEFT JOIN reach r ON r.img = e.img AND r.y = e.y AND r.x = e.x")
 of_planes("watershed", eight, lambda p: X.to_pixels(K.watershed(p, _markers(p))))
+QUERIES["find_contours_link_runs"] = lambda spark, d: K.find_contours_link_runs(binary(spark, d)).select("img", "contour", "next", "previous", "child", "parent", F.to_json("points").alias("points"))
 QUERIES["find_contours"] = lambda spark, d: K.find_contours(binary(spark, d)).select("img", "contour", "next", "previous", "child", "parent", F.to_json("points").alias("points"))
 of_planes("threshold_triangle", eight, lambda p: X.to_pixels(K.triangle_threshold(p, 255.0, 0)))
 of_planes("clahe", eight, lambda p: X.to_pixels(K.clahe(p, 2.0, (2, 2))))

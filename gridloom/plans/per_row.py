@@ -60,7 +60,7 @@ listed("rodrigues", lambda a, b, e, z: T.rodrigues(_VECTOR(b, e)), "c + (1 - c)
 # the vector of its own matrix, which a scale doesn't change
 listed("rotation_vector", lambda a, b, e, z: T.rotation_vector(F.transform(T.rodrigues(_VECTOR(b, e)), lambda v: v * 3)), "e / 13", "b / 97 - 0.5", "0.25")
 listed("default_new_camera_matrix", lambda a, b, e, z: T.default_new_camera_matrix(F.array(a, F.lit(0.0), b, F.lit(0.0), a + 1, e, F.lit(0.0), F.lit(0.0), F.lit(1.0)), b + 2, e + 2, z == 0), "a", "0", "CASE WHEN z = 0 THEN (b + 1) / 2 ELSE b END", "0", "a + 1", "CASE WHEN z = 0 THEN (e + 1) / 2 ELSE e END", "0", "0", "1")
-listed("font_scale", lambda a, b, e, z: F.array(*[T.font_scale(F.lit(k), b + 1, e) for k in range(8)]), *[f"(b + 1 - (e + 1) / 2) / {9 if k in (1, 5) else 21}" for k in range(8)])
+listed("font_scale", lambda a, b, e, z: F.array(*[T.font_scale(F.lit(k), b + 1, e) for k in range(8)]), *[f"(b + 1 - (e + 1) / 2) / { {1: 9, 5: 13}.get(k, 21)}" for k in range(8)])
 # (x - e - 1)(x - b)(x + a + 3), or x^2 + (e + 1)^2 in every tenth row
 listed(
     "solve_poly",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import calibration as C
 from gridloom.operators import drawing as W
 from gridloom.operators import geometry as G
+from gridloom.operators import linear as N
 from gridloom.operators import resampling as S
 from gridloom.operators import transforms as T
 from gridloom.plans import settings as P
@@ -92,7 +93,8 @@ def test_windows_roots_and_fonts(spark):
     assert of(spark, [(3, 3)], lambda r, c: T.hanning_window(r.cast("int"), c.cast("int")))[0] == pytest.approx([0, 0, 0, 0, 1, 0, 0, 0, 0], abs=1e-12)
     roots = of(spark, [(-6, 11, -6, 1), (1, 0, 1, 0)], lambda *c: T.solve_poly(F.array(*c)))
     assert [[(round(z.re, 6) + 0.0, round(z.im, 6)) for z in r] for r in roots] == [[(1, 0), (2, 0), (3, 0)], [(0, -1), (0, 1)]]
-    assert of(spark, [(0, 30, 3), (17, 11, 1)], lambda f, p, t: T.font_scale(f.cast("int"), p, t)) == pytest.approx([28 / 21, 10 / 9])
+    assert of(spark, [(0, 30, 3), (17, 11, 1), (5, 14, -9), (8, 9, 1), (-1, 9, 1)], lambda f, p, t: T.font_scale(f.cast("int"), p, t)) == [28 / 21, 10 / 9, 14 / 13, None, None]
+    assert N.font_scale(21, 14, -9) == 14 / 13
     assert spark.range(1).select(T.solve_poly(F.lit(None).cast("array<double>")).alias("m"), T.rotation_vector(F.lit(None).cast("array<double>")).alias("n")).first() == (None, None)
 
 
