@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import as_bytes, lean, ranges, small_batches, table
+from gridloom.llm.common import as_bytes, discard, lean, materialise, ranges, small_batches, table
 
 WORDS = 10
-#: One broadcast set holds at most so many windows (about 100 bytes each); a larger benchmark is scanned in several passes.
+#: One broadcast set holds at most so many windows (about 100 bytes each); a larger benchmark is scanned in several passes,
+#: each written to the shared folder before the next, so that a task holds one set.
 SET_WINDOWS = 500_000
 #: Digits, a-z and every byte of a non-ASCII character stay, A-Z are lowered, all else ends a word.
 _NORMAL = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -95,22 +97,36 @@ def _window_sets(bench: DataFrame, id_col: str, text_col: str, words: int) -> It
     yield WindowSet(held, words)
 
 
+def _scanned(docs: DataFrame, sets: Iterator[WindowSet], scan_for: Callable[[Broadcast], Callable]) -> DataFrame:
+    """docs through scan_for(set) of every set, one after another; what a scan gives has the columns of docs."""
+    spark, names = docs.sparkSession, docs.columns
+    small_batches(spark)
+    # by place: names may clash, and tables between passes can't have that
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    schema, written, shared = rows.schema, None, None
+    for one in sets:
+        if shared is not None:
+            following = materialise(rows)
+            discard(written)
+            shared.unpersist()
+            rows = written = following
+        shared = spark.sparkContext.broadcast(one)
+        rows = rows.mapInArrow(lean(scan_for(shared)), schema)
+    return rows.toDF(*names)
+
+
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", words: int = WORDS) -> DataFrame:
-    """(id, text, n_words, n_hit, hit, items) for every row of docs, without a shuffle.
+    """(id, text, n_words, n_hit, hit, items) for every row of docs, without a shuffle; see SET_WINDOWS.
 
     hit has one bit for each word of the text (most significant first): set if a benchmark window covers the word.
     items are the item ids, as strings, that have a window in the text. Null texts have no words; items that are null
     or without words match nothing; windows of items with a null id hit, but no item is named for them; repeated items
     count once; an empty benchmark or an empty table gives no hits.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    schema = f"id {out.schema['id'].dataType.simpleString()}, text string, n_words long, n_hit long, hit binary, items array<string>"
-    for one in _window_sets(bench, item_col, text_col, words):
-        shared = spark.sparkContext.broadcast(one)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan_for(shared: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 items = [set(x or ()) for x in b.column(5).to_pylist()]
                 n, starts, hit = _marked(shared.value, as_bytes(b.column(1)), items)
@@ -121,10 +137,11 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
                         mine = mine | np.unpackbits(np.frombuffer(before, np.uint8), count=int(n[k])).astype(bool)
                     counts.append(int(mine.sum()))
                     bits.append(np.packbits(mine).tobytes() if counts[-1] else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["id", "text", "n_words", "n_hit", "hit", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], b.schema.names)
+
+        return scan
 
-        out = out.mapInArrow(lean(scan), schema)
-    return out
+    return _scanned(out, _window_sets(bench, item_col, text_col, words), scan_for)
 
 
 def without_spans(text: str | None, hit: bytes | None) -> str | None:
@@ -160,21 +177,18 @@ def cleaned(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", words: int = WORDS) -> DataFrame:
     """The rows of docs, with all their columns, in whose texts no benchmark window occurs. Null texts stay."""
-    spark = docs.sparkSession
-    small_batches(spark)
     place = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    for one in _window_sets(bench, item_col, text_col, words):
-        shared = spark.sparkContext.broadcast(one)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan_for(shared: Broadcast) -> Callable:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 _, starts, hit = _marked(shared.value, as_bytes(b.column(place)), [set() for _ in range(b.num_rows)])
                 before = np.concatenate(([0], np.cumsum(hit)))[starts]
                 yield b.filter(pa.array(np.diff(before) == 0))
 
-        docs = docs.mapInArrow(lean(scan), schema)
-    return docs
+        return scan
+
+    return _scanned(docs, _window_sets(bench, item_col, text_col, words), scan_for)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

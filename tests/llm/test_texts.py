@@ -17,6 +17,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, decontaminate, language, pii, quality, queries, warc
 
@@ -70,6 +71,25 @@ def test_decontamination(spark, awkward, monkeypatch, bound):
     assert decontaminate.report(awkward.where("false"), bench).count() == 0
 
 
+def test_decontamination_in_passes(spark, monkeypatch):
+    """A benchmark of many sets: a task holds one of them, the rows are those of one set; other columns may share names."""
+    rng = np.random.default_rng(11)
+    word = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(word, int(rng.integers(1, 30))))) for k in range(120)]
+    texts = [(k, " ".join([*rng.choice(word, 30), *(items[k % 120][1].split() if k % 3 == 0 else []), *rng.choice(word, 20)])) for k in range(90)] + [(90, None), (91, "")]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    wide = docs.select("doc_id", "text", F.lit(1).alias("n"), F.lit("x").alias("n"))
+    once, kept = sorted(map(tuple, decontaminate.report(docs, bench).collect())), sorted(map(tuple, decontaminate.uncontaminated(wide, bench).collect()), key=str)
+    assert sum(r[-1] for r in once) >= 30 and len(kept) == sum(not r[-1] for r in once)
+    monkeypatch.setattr(decontaminate, "SET_WINDOWS", 200)
+    many = decontaminate.report(docs, bench)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, many.collect())) == once
+    left = decontaminate.uncontaminated(wide, bench)
+    assert left.columns == wide.columns and sorted(map(tuple, left.collect()), key=str) == kept
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return bpe.Tokenizer(bpe.tokenizer_file())
