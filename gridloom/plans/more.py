@@ -65,9 +65,18 @@ _LOW = "greatest(0, CASE WHEN d1 < 0 THEN q1 / d1 END, CASE WHEN d2 < 0 THEN q2
 _HIGH = _LOW.replace("greatest(0", "least(1").replace("< 0", "> 0")
 _SEEN = f"NOT ((d1 = 0 AND (q1 < 0 OR q2 < 0)) OR (d3 = 0 AND (q3 < 0 OR q4 < 0))) AND {_LOW} <= {_HIGH}"
 SQL["clip_line"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, visible, {', '.join(f'CASE WHEN visible THEN {r6(v)} END AS {k}' for k, v in (('cx0', 'q1 - low * d1'), ('cy0', 'q3 - low * d3'), ('cx1', 'q1 - high * d1'), ('cy1', 'q3 - high * d3')))} FROM (SELECT *, {_SEEN} AS visible, {_LOW} AS low, {_HIGH} AS high FROM (SELECT set_id, pos, -(u - x) AS d1, x AS q1, u - x AS d2, 19 - x AS q2, -(v - y) AS d3, y AS q3, v - y AS d4, 59 - y AS q4 FROM {_EDGES}))"
-of_sets("convex_hull", G.convex_hull)
-of_sets("convexity_defects", G.convexity_defects)
-of_sets("min_area_rect", G.min_area_rect)
+# x grows along a set, so a point is on the lower (upper) hull if it rises less (more) from all before it than to all after it
+_SLOPES = f"(SELECT a.set_id, a.pos, a.x, a.y, min((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos < a.pos) AS f0, max((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos < a.pos) AS f1, min((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos > a.pos) AS t0, max((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos > a.pos) AS t1 FROM {_POLY} a LEFT JOIN {_POLY} b ON a.set_id = b.set_id AND a.pos <> b.pos GROUP BY 1, 2, 3, 4)"
+_HULL = f"(SELECT set_id, pos, x, y, 0 AS side, pos AS ord FROM {_SLOPES} WHERE f1 IS NULL OR t0 IS NULL OR f1 < t0 UNION ALL SELECT set_id, pos, x, y, 1, -pos FROM {_SLOPES} WHERE f0 > t1)"
+of_sets("convex_hull", G.convex_hull, f"SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY side, ord) - 1 AS INTEGER) AS place, CAST(pos - 1 AS INTEGER) AS index, {r6('x')} AS x, {r6('y')} AS y FROM {_HULL}")
+_GAPS = f"(SELECT *, lead(pos) OVER w AS np, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY pos))"
+_DEPTHS = f"(SELECT h.set_id, h.pos AS a, h.np AS b, p.pos AS far, abs((nx - h.x) * (p.y - h.y) - (ny - h.y) * (p.x - h.x)) / sqrt((nx - h.x) * (nx - h.x) + (ny - h.y) * (ny - h.y)) AS d FROM {_GAPS} h JOIN {_POLY} p ON p.set_id = h.set_id AND p.pos > h.pos AND p.pos < h.np)"
+of_sets("convexity_defects", G.convexity_defects, f"SELECT set_id, CAST(a - 1 AS INTEGER) AS start, CAST(b - 1 AS INTEGER) AS \"end\", CAST(arg_min(far, (-d, far)) - 1 AS INTEGER) AS far, CAST(round_even(max(d) * 256, 0) AS INTEGER) AS depth FROM {_DEPTHS} GROUP BY set_id, a, b HAVING max(d) > 0")
+# every hull edge's turn, and the hull's extent along and across it; the angle goes into [-90, 0) by quarter turns
+_TURNS = f"(SELECT set_id, atan2(coalesce(lead(y) OVER w, first_value(y) OVER w) - y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x) AS t, side, ord FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY side, ord))"
+_EXTENTS = f"(SELECT e.set_id, e.side, e.ord, t, min(x * cos(t) + y * sin(t)) AS u0, max(x * cos(t) + y * sin(t)) AS u1, min(y * cos(t) - x * sin(t)) AS v0, max(y * cos(t) - x * sin(t)) AS v1 FROM {_TURNS} e JOIN {_HULL} h USING (set_id) GROUP BY 1, 2, 3, 4)"
+_BEST = f"(SELECT set_id, unnest(arg_min(struct_pack(t, u0, u1, v0, v1), ((u1 - u0) * (v1 - v0), side, ord))) FROM {_EXTENTS} GROUP BY set_id)"
+of_sets("min_area_rect", G.min_area_rect, f"SELECT set_id, {r6('(u0 + u1) / 2 * cos(t) - (v0 + v1) / 2 * sin(t)')} AS x, {r6('(u0 + u1) / 2 * sin(t) + (v0 + v1) / 2 * cos(t)')} AS y, {r6('CASE WHEN q % 2 = 0 THEN u1 - u0 ELSE v1 - v0 END')} AS width, {r6('CASE WHEN q % 2 = 0 THEN v1 - v0 ELSE u1 - u0 END')} AS height, {r6('degrees(t) - 90 * q')} AS angle FROM (SELECT *, CAST(floor(degrees(t) / 90) + 1 AS BIGINT) AS q FROM {_BEST})")
 of_sets("min_enclosing_circle", G.min_enclosing_circle)
 of_sets("min_enclosing_triangle", G.min_enclosing_triangle)
 of_sets("fit_ellipse", lambda p: G.fit_ellipse(_five(p)))
@@ -176,6 +185,12 @@ of_planes("watershed", eight, lambda p: X.to_pixels(K.watershed(p, _markers(p)))
 QUERIES["find_contours_link_runs"] = lambda spark, d: K.find_contours_link_runs(binary(spark, d)).select("img", "contour", "next", "previous", "child", "parent", F.to_json("points").alias("points"))
 QUERIES["find_contours"] = lambda spark, d: K.find_contours(binary(spark, d)).select("img", "contour", "next", "previous", "child", "parent", F.to_json("points").alias("points"))
 of_planes("threshold_triangle", eight, lambda p: X.to_pixels(K.triangle_threshold(p, 255.0, 0)))
+# seen from the longer tail (turned or not): the level that lies farthest from the line between the tail's end and the peak
+_LEVELS = f"(SELECT img, c, CAST(v AS BIGINT) AS lev, count(*) AS n FROM ({EIGHT}) GROUP BY 1, 2, 3)"
+_TAIL = f"(SELECT *, peak - lo < hi - peak AS turned FROM (SELECT img, c, greatest(0, min(lev) - 1) AS lo, least(255, max(lev) + 1) AS hi, max(n) AS top, arg_min(lev, (-n, lev)) AS peak FROM {_LEVELS} GROUP BY 1, 2))"
+_STEPS = f"(SELECT *, CASE WHEN turned THEN 255 - hi ELSE lo END AS l, CASE WHEN turned THEN 255 - peak ELSE peak END AS p FROM {_TAIL})"
+_FARTHEST = f"(SELECT s.img, s.c, s.turned, arg_min(j, (-(top * j + (l - p) * coalesce(n, 0)), j)) - 1 AS t FROM {_STEPS} s JOIN range(0, 256) r(j) ON j > l AND j <= p LEFT JOIN {_LEVELS} h ON h.img = s.img AND h.c = s.c AND h.lev = CASE WHEN turned THEN 255 - j ELSE j END GROUP BY 1, 2, 3)"
+SQL["threshold_triangle"] = pixels_sql(f"SELECT q.img, q.c, q.y, q.x, CASE WHEN q.v > coalesce(CASE WHEN s.turned THEN 255 - t ELSE t END, CASE WHEN s.turned THEN 255 - l ELSE l END) THEN 255.0 ELSE 0.0 END AS v FROM ({EIGHT}) q JOIN {_STEPS} s USING (img, c) LEFT JOIN {_FARTHEST} f USING (img, c)")
 of_planes("clahe", eight, lambda p: X.to_pixels(K.clahe(p, 2.0, (2, 2))))
 of_planes("canny", eight, lambda p: X.to_pixels(K.canny(p, 100, 200)))
 of_planes("good_features", eight, lambda p: K.good_features(p, 5, 0.1, 2.0))
