@@ -243,6 +243,9 @@ QUERIES["fisheye_project_points"] = lambda spark, d: rounded(C.fisheye_project_p
 _FISH = "CASE WHEN r = 0 THEN 1 ELSE atan(r) * (1 + 0.01 * pow(atan(r), 2) + 0.002 * pow(atan(r), 4)) / r END AS k"
 SQL["fisheye_project_points"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, {r6('x * k * 6 + 3.5')} AS u, {r6('y * k * 5.5 + 3.25')} AS v FROM (SELECT *, {_FISH} FROM (SELECT *, sqrt(x * x + y * y) AS r FROM (SELECT set_id, pos, p0 / p2 AS x, p1 / p2 AS y FROM {_FRAME})))"
 QUERIES["undistort"] = lambda spark, d: pixels(C.undistort(eight(spark, d), _CAMERA, _BEND))
+_LENS = f"(SELECT j, i, round_even((bx * 6 + 3.5) * 32, 0) / 32 AS u, round_even((b_y * 5.5 + 3.25) * 32, 0) / 32 AS w FROM (SELECT j, i, {_BENT} FROM (SELECT *, 1 + {_BEND[0]!r} * r + {_BEND[1]!r} * r * r AS k FROM (SELECT *, x * x + y * y AS r FROM (SELECT j, i, (i - 3.5::DOUBLE) / 6 AS x, (j - 3.25::DOUBLE) / 5.5 AS y FROM range(0, 8) a(j) CROSS JOIN range(0, 8) b(i))))))"
+_NEAR = f"(SELECT *, floor(w) + b AS sy, floor(u) + a AS sx, (CASE b WHEN 0 THEN 1 - (w - floor(w)) ELSE w - floor(w) END) * (CASE a WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END) AS share FROM {_LENS} CROSS JOIN range(0, 2) s(b) CROSS JOIN range(0, 2) t(a))"
+SQL["undistort"] = pixels_sql(f"SELECT g.img, g.c, n.j AS y, n.i AS x, floor(sum(coalesce(s.v, 0) * share) + 0.5) AS v FROM (SELECT DISTINCT img, c FROM ({EIGHT})) g CROSS JOIN {_NEAR} n LEFT JOIN ({EIGHT}) s ON s.img = g.img AND s.c = g.c AND s.y = n.sy AND s.x = n.sx GROUP BY 1, 2, 3, 4")
 QUERIES["estimate_affine_2d"] = lambda spark, d: C.estimate_affine_2d(_pairs(spark, d), "all").select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 4) + 0.0).alias("v"))
 QUERIES["find_homography"] = lambda spark, d: C.find_homography(_pairs(spark, d)).select("set_id", F.posexplode("matrix").alias("i", "v")).select("set_id", "i", (F.round("v", 3) + 0.0).alias("v"))
 
