@@ -6,19 +6,32 @@ have a block that differs by at most d div m, so a search looks up each block wi
 bits: ring by ring, equi-joins on (block, value). A pair counts only in the first of its nearest blocks, hence in one
 ring and once. After ring s what has not met differs by m * (s + 1) bits or more, which tells the queries that are done.
 Copies are one descriptor until the end, and values of a block that very many descriptors share are dealt over salts.
+
+Rings that are wide, or few descriptors, cost more than all pairs: these are scanned. Chunks of queries meet chunks of
+train descriptors, each two in one task, which keeps the k nearest or those within the radius. Both ways are exact.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
+from math import ceil, comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.tables import settled
 
-#: Rings that each width of block goes through before the narrower one takes the rest; the narrowest goes through all.
-RINGS = {32: 1, 16: 3, 8: 8}
+#: Rings that a width of block goes through, 0 being one; wider ones meet most of all pairs.
+RINGS = {32: 1, 16: 1, 8: 0}
+#: Up to so many distinct descriptors all pairs are scanned at once. More go through rings, and scan for what is left.
+SCANNED = 1 << 18
+#: The most descriptors in a chunk of train, and distances that a task holds at once.
+CHUNK, HELD = 1 << 16, 1 << 22
+#: Pairs that a task scans while the look-ups meet one.
+FASTER = 50
 #: Descriptors of a block's value that one task joins. More are dealt over salts.
 CELL = 50_000
 #: The most values of blocks that are dealt over salts; their list goes to all tasks.
@@ -71,6 +84,11 @@ def _width(n: int) -> int:
     return 8 if n < 1 << 12 else 16 if n < 1 << 24 else 32
 
 
+def _look_ups(n: int, size: int, width: int, rings: list[int]) -> float:
+    """What a query looks up in these rings, and what it meets if values are dealt evenly."""
+    return size * 64 // width * sum(comb(width, ring) for ring in rings) * (1 + n / 2**width)
+
+
 class _Cells:
     """The blocks of distinct descriptors `t`, and what they are dealt over."""
 
@@ -93,6 +111,59 @@ class _Cells:
         return met.where(first).select("q", "t", F.aggregate("_n", F.lit(0), lambda s, n: s + n).alias("distance"))
 
 
+def _packed(df: DataFrame, words: str, order: list[str], n: int, most: int, chunk: str) -> tuple[DataFrame, int]:
+    """(chunk, words): the words of `most` descriptors or about so many, one after the other, by `order` within a chunk; and the number of chunks."""
+    parts = max(1, ceil(n / most))
+    rows = df.select(F.pmod(F.xxhash64(words), F.lit(parts)).cast("int").alias(chunk), F.struct(*order, *[w for w in [words] if w not in order]).alias("_r"))
+    return rows.groupBy(chunk).agg(F.flatten(F.transform(F.sort_array(F.collect_list("_r")), lambda r: r[words])).alias(words)), parts
+
+
+def _scanned(queries: DataFrame, train: DataFrame, n: int, size: int, keep: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], order: list[str]) -> DataFrame:
+    """(q, t, distance) of all pairs that keep(distances of some queries to a chunk of train) gives as places. A chunk of
+    train is sorted by `order`. Every two chunks meet in one task."""
+    many = queries.count()
+    left, parts = _packed(queries, "q", ["q"], many, min(8192, max(128, many // 64)), "_a")
+    right, others = _packed(train, "t", order, n, CHUNK, "_b")
+    tasks = min(parts * others, 4096)
+    left = settled(left).select("q", F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("_b"), "_a")
+    # by rows of _b and _a, so that chunks are dealt evenly, whatever the number of chunks on either side
+    met = left.join(settled(right), "_b").repartition(tasks, "_a", "_b").select("q", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda w: pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * size, w.ravel())
+        for batch in batches:
+            for k in range(batch.num_rows):
+                q, t = (batch.column(c)[k].values.to_numpy().reshape(-1, size) for c in (0, 1))
+                step = max(1, HELD // len(t))
+                for at in range(0, len(q), step):
+                    some = q[at : at + step]
+                    d = np.zeros((len(some), len(t)), np.int16 if size < 512 else np.int32)
+                    for w in range(size):
+                        # of signed words numpy would count the bits of the absolute value
+                        d += np.bitwise_count((some[:, w, None] ^ t[None, :, w]).view(np.uint64))
+                    i, j = keep(d)
+                    for a in range(0, len(i), 1 << 16):
+                        x, y = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([lists(some[x]), lists(t[y]), pa.array(d[x, y].astype(np.int32))], ["q", "t", "distance"])
+
+    return met.mapInArrow(run, "q array<long>, t array<long>, distance int")
+
+
+def _nearest_places(k: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Places of the k least of each row, equal ones by place."""
+
+    def keep(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = np.partition(d, k - 1, axis=1)[:, k - 1, None] if k < d.shape[1] else d.max(axis=1, keepdims=True)
+        i, j = np.nonzero(d <= most)
+        order = np.lexsort((j, d[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(d)))
+        near = np.arange(len(i)) - first[i] < k
+        return i[near], j[near]
+
+    return keep
+
+
 def _best(pairs: DataFrame, by: list[str], k: int, order: list[str]) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -124,7 +195,7 @@ def knn_match(queries: DataFrame, train: DataFrame, k: int = 2, allowed: DataFra
     if not size:
         return queries.select(F.col("key").alias("query"), F.col("key").alias("train"), F.lit(0).alias("distance"), F.lit(1).alias("rank")).where("false")
     out, need, width = None, min(k, n), _width(n)
-    while width >= 8:
+    if n > SCANNED:
         cells, found = _Cells(firsts.select("t"), n, size, width), None
         for ring in range(RINGS[width] + 1):
             new = cells.pairs(left, [ring]).join(firsts, "t").select("q", "t", "train", "distance")
@@ -135,20 +206,17 @@ def knn_match(queries: DataFrame, train: DataFrame, k: int = 2, allowed: DataFra
             ready = found.join(done, "q", "left_semi")
             out = ready if out is None else out.union(ready)
             left = settled(left.join(done, "q", "left_anti"))
-            if left.isEmpty():
-                break
-        else:
-            width //= 2
-            continue
-        break
-    if not left.isEmpty():  # all rings of the narrowest blocks: every pair has met
-        out = out.union(found.join(left, "q", "left_semi"))
+    if out is None or not left.isEmpty():
+        # the k best of each chunk, by distance and then key, hold the k best of all
+        rest = settled(_scanned(left, firsts, n, size, _nearest_places(need), ["train", "t"]).join(firsts, "t"))
+        rest = _best(rest, ["q"], need, ["distance", "train"]).select("q", "t", "train", "distance")
+        out = rest if out is None else out.union(rest)
     rows = out.select("q", "t", "distance").join(members.select("t", "train"), "t").drop("t")
     return _members(queries, _best(rows, ["q"], k, ["distance", "train"])).select("query", "train", "distance", "rank")
 
 
 def radius_match(queries: DataFrame, train: DataFrame, radius: int) -> DataFrame:
-    """All pairs that differ by at most `radius` bits: (query, train, distance). Exact, one join of blocks."""
+    """All pairs that differ by at most `radius` bits: (query, train, distance). Exact: one join of blocks, or a scan where that meets most pairs."""
     if radius < 0:
         raise ValueError("a radius is at least 0")
     queries, train = settled(_rows(queries)), settled(_rows(train))
@@ -159,9 +227,13 @@ def radius_match(queries: DataFrame, train: DataFrame, radius: int) -> DataFrame
     width = _width(n)
     while width > 8 and radius // (size * 64 // width) > RINGS[width]:
         width //= 2
-    cells = _Cells(firsts, n, size, width)
-    rings = list(range(min(width, radius // cells.blocks) + 1))
-    pairs = cells.pairs(queries.select(F.col("words").alias("q")).distinct(), rings).where(F.col("distance") <= radius)
+    probed = queries.select(F.col("words").alias("q")).distinct()
+    rings = list(range(min(width, radius // (size * 64 // width)) + 1))
+    if _look_ups(n, size, width, rings) * FASTER < n:
+        pairs = _Cells(firsts, n, size, width).pairs(probed, rings).where(F.col("distance") <= radius)
+    else:
+        pairs = _scanned(settled(probed), firsts, n, size, lambda d: np.nonzero(d <= radius), ["t"])
+    pairs = settled(pairs)
     met = _members(queries, pairs)
     other = train.select(F.col("words").alias("t"), F.col("key").alias("train"))
     return met.join(other, "t").select("query", "train", "distance")

@@ -40,6 +40,41 @@ def test_nearest(spark, words, monkeypatch, width):
     assert len(got) == 3 * len(q) and {tuple(x) for x in got} == nearest(q, t, 3)
 
 
+@pytest.mark.parametrize("width", [8, 16, 32])
+def test_nearest_by_rings_and_a_scan_of_the_rest(spark, words, monkeypatch, width):
+    q, t = words
+    monkeypatch.setattr(H, "_width", lambda n: width)
+    monkeypatch.setattr(H, "SCANNED", 0)
+    monkeypatch.setattr(H, "CELL", 6)
+    monkeypatch.setattr(H, "CHUNK", 9)
+    monkeypatch.setattr(H, "HELD", 40)
+    got = H.knn_match(rows(spark, q), rows(spark, t), 3).collect()
+    assert len(got) == 3 * len(q) and {tuple(x) for x in got} == nearest(q, t, 3)
+
+
+def test_far_descriptors_take_few_jobs(spark):
+    """Random descriptors differ in most blocks; rings after rings filled the driver with plans."""
+    r = random.Random(7)
+    far = [[r.getrandbits(64)] for _ in range(300)]
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("knn", "far descriptors")
+    got = {tuple(x) for x in H.knn_match(rows(spark, far), rows(spark, far), 4).collect()}
+    count = len(jobs.getJobIdsForGroup("knn"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == nearest(far, far, 4) and count < 60
+
+
+def test_within_a_radius_by_look_ups_and_by_scans(spark, words, monkeypatch):
+    q, t = words
+    monkeypatch.setattr(H, "CHUNK", 9)
+    for faster in (0, 1e9):
+        monkeypatch.setattr(H, "FASTER", faster)
+        for far in (0, 9, 40):
+            wanted = {(i, j, apart(a, b)) for i, a in enumerate(q) for j, b in enumerate(t) if apart(a, b) <= far}
+            got = H.radius_match(rows(spark, q), rows(spark, t), far).collect()
+            assert {tuple(x) for x in got} == wanted and len(got) == len(wanted)
+
+
 def test_within_a_radius(spark, words, monkeypatch):
     q, t = words
     wanted = lambda far: {(i, j, apart(a, b)) for i, a in enumerate(q) for j, b in enumerate(t) if apart(a, b) <= far}
