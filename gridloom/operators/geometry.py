@@ -101,8 +101,15 @@ def per_set(points: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], sche
     return points.select("set_id", "pos", "x", "y").groupBy("set_id").applyInPandas(run, f"set_id {points.schema['set_id'].dataType.simpleString()}, {schema}")
 
 
+def straight(p: np.ndarray) -> float:
+    """The cross product that points' own rounding can make of nothing; up to it a turn is straight and a point on a line."""
+    size, span = np.abs(p).max(axis=0), np.ptp(p, axis=0)
+    return float(1e-14 * (size[0] * span[1] + size[1] * span[0]))
+
+
 def hull_indices(p: np.ndarray, clockwise: bool = False) -> list[int]:
-    """Indices of the hull's corners from the lexicographically least, by the monotone chain."""
+    """Indices of the hull's corners from the lexicographically least, by the monotone chain; no corner is straight()."""
+    least = straight(p) if len(p) else 0.0
     order = np.lexsort((p[:, 1], p[:, 0])).tolist()
     order = [k for n, k in enumerate(order) if n == 0 or (p[k] != p[order[n - 1]]).any()]
     if len(order) < 3:
@@ -112,7 +119,7 @@ def hull_indices(p: np.ndarray, clockwise: bool = False) -> list[int]:
     for line in (order, order[::-1]):
         half: list[int] = []
         for k in line:
-            while len(half) > 1 and turn(half[-2], half[-1], k) <= 0:
+            while len(half) > 1 and turn(half[-2], half[-1], k) <= least:
                 half.pop()
             half.append(k)
         halves.append(half[:-1])

@@ -65,9 +65,12 @@ _LOW = "greatest(0, CASE WHEN d1 < 0 THEN q1 / d1 END, CASE WHEN d2 < 0 THEN q2
 _HIGH = _LOW.replace("greatest(0", "least(1").replace("< 0", "> 0")
 _SEEN = f"NOT ((d1 = 0 AND (q1 < 0 OR q2 < 0)) OR (d3 = 0 AND (q3 < 0 OR q4 < 0))) AND {_LOW} <= {_HIGH}"
 SQL["clip_line"] = f"SELECT set_id, CAST(pos AS BIGINT) AS pos, visible, {', '.join(f'CASE WHEN visible THEN {r6(v)} END AS {k}' for k, v in (('cx0', 'q1 - low * d1'), ('cy0', 'q3 - low * d3'), ('cx1', 'q1 - high * d1'), ('cy1', 'q3 - high * d3')))} FROM (SELECT *, {_SEEN} AS visible, {_LOW} AS low, {_HIGH} AS high FROM (SELECT set_id, pos, -(u - x) AS d1, x AS q1, u - x AS d2, 19 - x AS q2, -(v - y) AS d3, y AS q3, v - y AS d4, 59 - y AS q4 FROM {_EDGES}))"
-# x grows along a set, so a point is on the lower (upper) hull if it rises less (more) from all before it than to all after it
-_SLOPES = f"(SELECT a.set_id, a.pos, a.x, a.y, min((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos < a.pos) AS f0, max((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos < a.pos) AS f1, min((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos > a.pos) AS t0, max((b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos > a.pos) AS t1 FROM {_POLY} a LEFT JOIN {_POLY} b ON a.set_id = b.set_id AND a.pos <> b.pos GROUP BY 1, 2, 3, 4)"
-_HULL = f"(SELECT set_id, pos, x, y, 0 AS side, pos AS ord FROM {_SLOPES} WHERE f1 IS NULL OR t0 IS NULL OR f1 < t0 UNION ALL SELECT set_id, pos, x, y, 1, -pos FROM {_SLOPES} WHERE f0 > t1)"
+# x grows along a set, so a point is on the lower (upper) hull if it turns left (right) from the steepest (flattest) point
+# before it to the flattest (steepest) one after it; turns up to `least` are straight
+_LEAST = f"(SELECT set_id, 1e-14 * (max(abs(x)) * (max(y) - min(y)) + max(abs(y)) * (max(x) - min(x))) AS least FROM {_POLY} GROUP BY set_id)"
+_SLOPES = f"(SELECT a.set_id, a.pos, a.x, a.y, {', '.join(f'{pick}([b.x, b.y], (b.y - a.y) / (b.x - a.x)) FILTER (WHERE b.pos {side} a.pos) AS {name}' for pick, side, name in (('arg_min', '<', 'f0'), ('arg_max', '<', 'f1'), ('arg_min', '>', 't0'), ('arg_max', '>', 't1')))} FROM {_POLY} a LEFT JOIN {_POLY} b ON a.set_id = b.set_id AND a.pos <> b.pos GROUP BY 1, 2, 3, 4)"
+_TURN = lambda f, t: f"(x - {f}[1]) * ({t}[2] - {f}[2]) - (y - {f}[2]) * ({t}[1] - {f}[1])"
+_HULL = f"(SELECT set_id, pos, x, y, 0 AS side, pos AS ord FROM {_SLOPES} JOIN {_LEAST} USING (set_id) WHERE f1 IS NULL OR t0 IS NULL OR {_TURN('f1', 't0')} > least UNION ALL SELECT set_id, pos, x, y, 1, -pos FROM {_SLOPES} JOIN {_LEAST} USING (set_id) WHERE -({_TURN('f0', 't1')}) > least)"
 of_sets("convex_hull", G.convex_hull, f"SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY side, ord) - 1 AS INTEGER) AS place, CAST(pos - 1 AS INTEGER) AS index, {r6('x')} AS x, {r6('y')} AS y FROM {_HULL}")
 _GAPS = f"(SELECT *, lead(pos) OVER w AS np, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY pos))"
 _DEPTHS = f"(SELECT h.set_id, h.pos AS a, h.np AS b, p.pos AS far, abs((nx - h.x) * (p.y - h.y) - (ny - h.y) * (p.x - h.x)) / sqrt((nx - h.x) * (nx - h.x) + (ny - h.y) * (ny - h.y)) AS d FROM {_GAPS} h JOIN {_POLY} p ON p.set_id = h.set_id AND p.pos > h.pos AND p.pos < h.np)"
