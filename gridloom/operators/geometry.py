@@ -133,19 +133,21 @@ def convex_hull(points: DataFrame, clockwise: bool = False) -> DataFrame:
 
 
 def convexity_defects(points: DataFrame) -> DataFrame:
-    """(set_id, start, end, far, depth): the farthest point between neighbouring hull corners; depth in 1/256."""
+    """(set_id, start, end, far, depth): the farthest point between neighbouring hull corners, the first of equally far
+    ones; depth in 1/256. Distances that differ by straight() are equal, and up to it a point is on the hull."""
 
     def run(p: np.ndarray) -> list[tuple]:
-        hull, out = sorted(hull_indices(p)), []
+        hull, least, out = sorted(hull_indices(p)), straight(p), []
         for a, b in zip(hull, hull[1:] + hull[:1], strict=True):
             between = [k % len(p) for k in range(a + 1, b if b > a else b + len(p))]
             d = p[b] - p[a]
-            size = math.hypot(*d)
+            size = math.sqrt(d[0] * d[0] + d[1] * d[1])
             if between and size:
-                depth = np.abs(d[0] * (p[between, 1] - p[a, 1]) - d[1] * (p[between, 0] - p[a, 0])) / size
-                k = int(depth.argmax())
-                if depth[k] > 0:
-                    out.append((a, b, between[k], int(round(depth[k] * 256))))
+                cross = np.abs(d[0] * (p[between, 1] - p[a, 1]) - d[1] * (p[between, 0] - p[a, 0]))
+                most = float(cross.max())
+                if most > least:
+                    k = int((cross >= most - least).argmax())
+                    out.append((a, b, between[k], int(round(most / size * 256))))
         return out
 
     return per_set(points, run, "start int, end int, far int, depth int")

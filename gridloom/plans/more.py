@@ -73,8 +73,9 @@ _TURN = lambda f, t: f"(x - {f}[1]) * ({t}[2] - {f}[2]) - (y - {f}[2]) * ({t}[1]
 _HULL = f"(SELECT set_id, pos, x, y, 0 AS side, pos AS ord FROM {_SLOPES} JOIN {_LEAST} USING (set_id) WHERE f1 IS NULL OR t0 IS NULL OR {_TURN('f1', 't0')} > least UNION ALL SELECT set_id, pos, x, y, 1, -pos FROM {_SLOPES} JOIN {_LEAST} USING (set_id) WHERE -({_TURN('f0', 't1')}) > least)"
 of_sets("convex_hull", G.convex_hull, f"SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY side, ord) - 1 AS INTEGER) AS place, CAST(pos - 1 AS INTEGER) AS index, {r6('x')} AS x, {r6('y')} AS y FROM {_HULL}")
 _GAPS = f"(SELECT *, lead(pos) OVER w AS np, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY pos))"
-_DEPTHS = f"(SELECT h.set_id, h.pos AS a, h.np AS b, p.pos AS far, abs((nx - h.x) * (p.y - h.y) - (ny - h.y) * (p.x - h.x)) / sqrt((nx - h.x) * (nx - h.x) + (ny - h.y) * (ny - h.y)) AS d FROM {_GAPS} h JOIN {_POLY} p ON p.set_id = h.set_id AND p.pos > h.pos AND p.pos < h.np)"
-of_sets("convexity_defects", G.convexity_defects, f"SELECT set_id, CAST(a - 1 AS INTEGER) AS start, CAST(b - 1 AS INTEGER) AS \"end\", CAST(arg_min(far, (-d, far)) - 1 AS INTEGER) AS far, CAST(round_even(max(d) * 256, 0) AS INTEGER) AS depth FROM {_DEPTHS} GROUP BY set_id, a, b HAVING max(d) > 0")
+_DEPTHS = f"(SELECT h.set_id, h.pos AS a, h.np AS b, p.pos AS far, sqrt((nx - h.x) * (nx - h.x) + (ny - h.y) * (ny - h.y)) AS size, abs((nx - h.x) * (p.y - h.y) - (ny - h.y) * (p.x - h.x)) AS d FROM {_GAPS} h JOIN {_POLY} p ON p.set_id = h.set_id AND p.pos > h.pos AND p.pos < h.np)"
+_MOST = f"(SELECT *, max(d) OVER (PARTITION BY set_id, a, b) AS most FROM {_DEPTHS} JOIN {_LEAST} USING (set_id))"
+of_sets("convexity_defects", G.convexity_defects, f"SELECT set_id, CAST(a - 1 AS INTEGER) AS start, CAST(b - 1 AS INTEGER) AS \"end\", CAST(min(far) - 1 AS INTEGER) AS far, CAST(round_even(any_value(most / size * 256), 0) AS INTEGER) AS depth FROM {_MOST} WHERE most > least AND d >= most - least GROUP BY set_id, a, b")
 # every hull edge's turn, and the hull's extent along and across it; the angle goes into [-90, 0) by quarter turns
 _TURNS = f"(SELECT set_id, atan2(coalesce(lead(y) OVER w, first_value(y) OVER w) - y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x) AS t, side, ord FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY side, ord))"
 _EXTENTS = f"(SELECT e.set_id, e.side, e.ord, t, min(x * cos(t) + y * sin(t)) AS u0, max(x * cos(t) + y * sin(t)) AS u1, min(y * cos(t) - x * sin(t)) AS v0, max(y * cos(t) - x * sin(t)) AS v1 FROM {_TURNS} e JOIN {_HULL} h USING (set_id) GROUP BY 1, 2, 3, 4)"

@@ -42,6 +42,11 @@ def test_corners_on_a_line(found):
     assert got == wanted and [r[2] for r in sorted(r for r in got if r[0] == 1)] == [0, len(TENTHS) - 1]
 
 
+def test_far_points_on_a_line(found):
+    got, wanted = found("convexity_defects")
+    assert got == wanted and not [r for r in got if r[0] == 1] and not [r for r in got if r[0] == 5]
+
+
 def test_offsets_and_small_shapes_keep_their_corners():
     import numpy as np
 
