@@ -155,16 +155,17 @@ def convexity_defects(points: DataFrame) -> DataFrame:
 
 def _min_rect(p: np.ndarray) -> tuple[float, float, float, float, float]:
     h = p[hull_indices(p)]
-    best = None
+    found = []
     for a, b in zip(h, np.roll(h, -1, axis=0), strict=True):
         t = math.atan2(b[1] - a[1], b[0] - a[0])
         c, s = math.cos(t), math.sin(t)
         q = h @ np.array([[c, -s], [s, c]])
         low, size = q.min(0), np.ptp(q, axis=0)
-        if best is None or size[0] * size[1] < best[0] - 1e-12:
-            m = low + size / 2
-            best = size[0] * size[1], m[0] * c - m[1] * s, m[0] * s + m[1] * c, size[0], size[1], math.degrees(t)
-    _, x, y, w, k, angle = best
+        m = low + size / 2
+        found.append((size[0] * size[1], m[0] * c - m[1] * s, m[0] * s + m[1] * c, size[0], size[1], math.degrees(t)))
+    # as of a triangle, whose three rectangles are equal
+    most = min(f[0] for f in found) * (1 + 1e-9) + straight(p)
+    _, x, y, w, k, angle = next(f for f in found if f[0] <= most)
     while angle >= 0:
         angle, w, k = angle - 90, k, w
     while angle < -90:
@@ -173,7 +174,8 @@ def _min_rect(p: np.ndarray) -> tuple[float, float, float, float, float]:
 
 
 def min_area_rect(points: DataFrame) -> DataFrame:
-    """(set_id, x, y, width, height, angle): the smallest rectangle, one side along a hull edge; the angle is in [-90, 0)."""
+    """(set_id, x, y, width, height, angle): the smallest rectangle, one side along a hull edge, the first edge of equal
+    areas (to 1e-9 and straight()) from the hull's first corner; the angle is in [-90, 0)."""
     return per_set(points, lambda p: [_min_rect(p)], "x double, y double, width double, height double, angle double")
 
 

@@ -79,7 +79,8 @@ of_sets("convexity_defects", G.convexity_defects, f"SELECT set_id, CAST(a - 1 AS
 # every hull edge's turn, and the hull's extent along and across it; the angle goes into [-90, 0) by quarter turns
 _TURNS = f"(SELECT set_id, atan2(coalesce(lead(y) OVER w, first_value(y) OVER w) - y, coalesce(lead(x) OVER w, first_value(x) OVER w) - x) AS t, side, ord FROM {_HULL} WINDOW w AS (PARTITION BY set_id ORDER BY side, ord))"
 _EXTENTS = f"(SELECT e.set_id, e.side, e.ord, t, min(x * cos(t) + y * sin(t)) AS u0, max(x * cos(t) + y * sin(t)) AS u1, min(y * cos(t) - x * sin(t)) AS v0, max(y * cos(t) - x * sin(t)) AS v1 FROM {_TURNS} e JOIN {_HULL} h USING (set_id) GROUP BY 1, 2, 3, 4)"
-_BEST = f"(SELECT set_id, unnest(arg_min(struct_pack(t, u0, u1, v0, v1), ((u1 - u0) * (v1 - v0), side, ord))) FROM {_EXTENTS} GROUP BY set_id)"
+# the first edge of those with the least area; a triangle's three rectangles are equal
+_BEST = f"(SELECT set_id, unnest(arg_min(struct_pack(t, u0, u1, v0, v1), (side, ord))) FROM (SELECT *, (u1 - u0) * (v1 - v0) AS area, min(area) OVER (PARTITION BY set_id) AS low FROM {_EXTENTS} JOIN {_LEAST} USING (set_id)) WHERE area <= low * (1 + 1e-9) + least GROUP BY set_id)"
 of_sets("min_area_rect", G.min_area_rect, f"SELECT set_id, {r6('(u0 + u1) / 2 * cos(t) - (v0 + v1) / 2 * sin(t)')} AS x, {r6('(u0 + u1) / 2 * sin(t) + (v0 + v1) / 2 * cos(t)')} AS y, {r6('CASE WHEN q % 2 = 0 THEN u1 - u0 ELSE v1 - v0 END')} AS width, {r6('CASE WHEN q % 2 = 0 THEN v1 - v0 ELSE u1 - u0 END')} AS height, {r6('degrees(t) - 90 * q')} AS angle FROM (SELECT *, CAST(floor(degrees(t) / 90) + 1 AS BIGINT) AS q FROM {_BEST})")
 of_sets("min_enclosing_circle", G.min_enclosing_circle)
 of_sets("min_enclosing_triangle", G.min_enclosing_triangle)

@@ -47,6 +47,11 @@ def test_far_points_on_a_line(found):
     assert got == wanted and not [r for r in got if r[0] == 1] and not [r for r in got if r[0] == 5]
 
 
+def test_rectangles_of_equal_areas(found):
+    got, wanted = found("min_area_rect")
+    assert got == wanted and len(got) == len(VALUES)
+
+
 def test_offsets_and_small_shapes_keep_their_corners():
     import numpy as np
 
