@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -155,6 +156,18 @@ def font_scale(face: Column, pixels: Column, thickness: Column) -> Column:
     return (pixels - (F.greatest(thickness, F.lit(-1)) + 1) / 2) / height
 
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each list begins in the values, how many it has (null: 0), and the values."""
+    n = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = column.offsets.to_numpy().astype(np.int64)
+    return at[:-1], n, column.values
+
+
+def _listed(n: np.ndarray, values: pa.Array, null: np.ndarray | None = None) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=None if null is None else pa.array(null))
+
+
 @F.pandas_udf(Y.ArrayType(_record("re", "im")))
 def solve_poly(coefficients: pd.Series) -> pd.Series:
     """The roots of polynomials with ascending coefficients, by real and then imaginary part."""
@@ -189,15 +202,53 @@ def corners(center: Spot, size: Spot, degrees: Column) -> Column:
     return F.array(place(-1, -1), place(1, -1), place(1, 1), place(-1, 1))
 
 
-@F.pandas_udf(Y.StructType([Y.StructField("area", Y.DoubleType()), Y.StructField("corners", Y.ArrayType(_record("x", "y")))]))
-def intersect_convex(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """The area and corners of the common part of two convex polygons (array<struct<x, y>>); null is a polygon without corners."""
-    out = []
-    for p, q in zip(a, b, strict=True):
-        p, q = ([(v["x"], v["y"]) for v in (s if s is not None else [])] for s in (p, q))
-        area, found = geometry.intersect_convex(p, q) if len(p) and len(q) else (0.0, [])
-        out.append((float(area), [{"x": x, "y": y} for x, y in found]))
-    return pd.DataFrame(out, columns=["area", "corners"])
+def _polygons(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Corners (polygons, most, 2) and their numbers."""
+    at, n, values = _lists(column)
+    xy = np.stack([np.append(values.field(k).to_numpy(zero_copy_only=False).astype(float), 0.0) for k in ("x", "y")], -1)
+    inside = np.arange(max(1, n.max(initial=0))) < n[:, None]
+    return xy[np.where(inside, at[:, None] + np.arange(inside.shape[1]), len(xy) - 1)], n
+
+
+def _next(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    i = np.arange(1, p.shape[1] + 1)
+    return np.take_along_axis(p, np.where(i < n[:, None], i, 0)[..., None], 1)
+
+
+def _signed_areas(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    q = _next(p, n)
+    return np.where(np.arange(p.shape[1]) < n[:, None], p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1], 0.0).sum(axis=1) / 2
+
+
+@F.arrow_udf(Y.StructType([Y.StructField("area", Y.DoubleType()), Y.StructField("corners", Y.ArrayType(_record("x", "y")))]))
+def intersect_convex(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The area and corners of the common part of two convex polygons (array<struct<x, y>>); null is a polygon without corners.
+
+    All polygons of a batch are clipped at the first side of the other, then at the second, and so on.
+    """
+    (p, n), (q, k) = _polygons(a), _polygons(b)
+    n = np.where(k > 0, n, 0)
+    i = np.arange(q.shape[1])
+    turned = (_signed_areas(q, k) < 0)[:, None] & (i < k[:, None])
+    q = np.take_along_axis(q, np.where(turned, k[:, None] - 1 - i, i)[..., None], 1)
+    ends = _next(q, k)
+    for j in range(q.shape[1]):
+        here, x0, y0, x1, y1 = ((j < k)[:, None], *(v[:, None] for v in (*q[:, j].T, *ends[:, j].T)))
+        real = np.arange(p.shape[1]) < n[:, None]
+        s = (x1 - x0) * (p[..., 1] - y0) - (y1 - y0) * (p[..., 0] - x0)
+        then = _next(p, n)
+        t = (x1 - x0) * (then[..., 1] - y0) - (y1 - y0) * (then[..., 0] - x0)
+        cut = real & here & (((s > 0) & (t < 0)) | ((s < 0) & (t > 0)))
+        r = np.where(cut, s, 0.0) / np.where(cut, s - t, 1.0)
+        kept = np.stack([real & ((s >= 0) | ~here), cut], -1).reshape(len(p), -1)
+        spots = np.stack([p, p + r[..., None] * (then - p)], 2).reshape(len(p), -1, 2)
+        n = kept.sum(axis=1)
+        p = np.zeros((len(p), max(1, n.max(initial=0)), 2))
+        rows, places = np.nonzero(kept)
+        p[rows, (np.cumsum(kept, axis=1) - 1)[rows, places]] = spots[rows, places]
+    flat = p[np.arange(p.shape[1]) < n[:, None]]
+    corners = _listed(n, pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], ["x", "y"]))
+    return pa.StructArray.from_arrays([pa.array(np.abs(_signed_areas(p, n))), corners], ["area", "corners"])
 
 
 def group_rectangles(rects: DataFrame, eps: float = 0.2) -> DataFrame:
