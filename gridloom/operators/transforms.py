@@ -168,14 +168,36 @@ def _listed(n: np.ndarray, values: pa.Array, null: np.ndarray | None = None) ->
     return pa.ListArray.from_arrays(pa.array(ends), values, mask=None if null is None else pa.array(null))
 
 
-@F.pandas_udf(Y.ArrayType(_record("re", "im")))
-def solve_poly(coefficients: pd.Series) -> pd.Series:
-    """The roots of polynomials with ascending coefficients, by real and then imaginary part."""
-    out = []
-    for c in coefficients:
-        found = [] if c is None else sorted((float(z.real), float(z.imag)) for z in np.roots(np.asarray(c, float)[::-1]))
-        out.append(None if c is None else [{"re": a, "im": b} for a, b in found])
-    return pd.Series(out, dtype=object)
+@F.arrow_udf(Y.ArrayType(_record("re", "im")))
+def solve_poly(coefficients: pa.Array) -> pa.Array:
+    """The roots of polynomials with ascending coefficients, by real and then imaginary part.
+
+    They are eigenvalues of companion matrices, taken for all polynomials of a batch that have one degree at once.
+    """
+    at, n, values = _lists(coefficients)
+    c = np.append(values.to_numpy(zero_copy_only=False).astype(float), 0.0)
+    width = int(n.max(initial=0))
+    inside = np.arange(width) < n[:, None]
+    # by falling power, the leading zeros and those at the end (roots at 0) apart
+    grid = np.where(inside, c[np.where(inside, at[:, None] + n[:, None] - 1 - np.arange(width), len(c) - 1)], 0.0)
+    some = grid != 0
+    known = some.any(axis=1) if width else np.zeros(len(n), bool)
+    first = some.argmax(axis=1) if width else np.zeros(len(n), int)
+    last = width - 1 - some[:, ::-1].argmax(axis=1) if width else first
+    degree, zeros = np.where(known, last - first, 0), np.where(known, n - 1 - last, 0)
+    roots = np.full((len(n), max(width, 1)), np.inf, complex)
+    for d in np.unique(degree[degree > 0]):
+        rows = np.flatnonzero(degree == d)
+        p = grid[rows[:, None], first[rows, None] + np.arange(d + 1)]
+        m = np.zeros((len(rows), d, d))
+        m[:, np.arange(1, d), np.arange(d - 1)] = 1
+        m[:, 0] = -p[:, 1:] / p[:, :1]
+        roots[rows, :d] = np.linalg.eigvals(m)
+    total, place = degree + zeros, np.arange(roots.shape[1])
+    roots[(place >= degree[:, None]) & (place < total[:, None])] = 0
+    found = np.sort(roots, axis=1)[place < total[:, None]]
+    pair = pa.StructArray.from_arrays([pa.array(found.real.copy()), pa.array(found.imag.copy())], ["re", "im"])
+    return _listed(total, pair, coefficients.is_null().to_numpy(zero_copy_only=False))
 
 
 def ellipse_points(center: Spot, axes: Spot, rotation: Column, start: Column, end: Column, delta: Column) -> Column:

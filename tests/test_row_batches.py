@@ -8,6 +8,16 @@ from gridloom.operators import geometry as G
 from gridloom.operators import transforms as T
 
 
+def test_roots_of_mixed_degrees(spark, monkeypatch):
+    polynomials = [[6, -5, 1], None, [], [0, 0, 0], [0, 0, 2, 3], [5], [1, 0, 1, 0, 0], [-6, 11, -6, 1], [0, 1], [2.5, 1, 4, 1, 5, 9]]
+    df = spark.createDataFrame([(k, c and list(map(float, c))) for k, c in enumerate(polynomials)], "k int, c array<double>").coalesce(1)
+    for (k, found), c in zip(df.select("k", T.solve_poly("c")).orderBy("k").collect(), polynomials, strict=True):
+        want = None if c is None else sorted((z.real, z.imag) for z in map(complex, np.roots(np.array(c, float)[::-1])))
+        assert found is None if c is None else np.allclose([tuple(r) for r in found], want)
+    monkeypatch.setattr(np, "roots", None)
+    assert len(T.solve_poly.func(__import__("pyarrow").array([[6.0, -5, 1]]))[0]) == 2
+
+
 def test_clipping_of_mixed_polygons(spark):
     r = np.random.default_rng(4)
 
