@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
+from gridloom.functions.planes import let
 from gridloom.operators import calibration, geometry
 from gridloom.operators import resampling as S
 from gridloom.operators.consensus import solved
@@ -96,13 +97,19 @@ def perspective_from_points(source: Sequence[Spot], target: Sequence[Spot]) -> C
 
 def rodrigues(vector: Column) -> Column:
     """The 3 x 3 rotation matrix of a rotation vector."""
+    same = F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])
+
+    def turn(v: Column) -> Column:
+        x, y, z, c, s, d = _at(v, *range(6))
+        return F.array(c + d * x * x, d * x * y - s * z, d * x * z + s * y, d * x * y + s * z, c + d * y * y, d * y * z - s * x, d * x * z - s * y, d * y * z + s * x, c + d * z * z)
+
+    def about(v: Column) -> Column:
+        *r, theta = _at(v, *range(4))
+        return F.when(theta <= 1e-14, same).otherwise(let(F.array(*[x / theta for x in r], F.cos(theta), F.sin(theta), 1 - F.cos(theta)), turn))
+
+    # bound, because the nine cells would take the root, sine and cosine anew
     r = _at(vector, 0, 1, 2)
-    theta = F.sqrt(r[0] * r[0] + r[1] * r[1] + r[2] * r[2])
-    x, y, z = (v / F.when(theta <= 1e-14, F.lit(1.0)).otherwise(theta) for v in r)
-    c, s = F.cos(theta), F.sin(theta)
-    d = 1 - c
-    turn = F.array(c + d * x * x, d * x * y - s * z, d * x * z + s * y, d * x * y + s * z, c + d * y * y, d * y * z - s * x, d * x * z - s * y, d * y * z + s * x, c + d * z * z)
-    return F.when(theta <= 1e-14, F.array(*[F.lit(float(k % 4 == 0)) for k in range(9)])).otherwise(turn)
+    return let(F.array(*r, F.sqrt(r[0] * r[0] + r[1] * r[1] + r[2] * r[2])), about)
 
 
 @F.pandas_udf(_NUMBERS)

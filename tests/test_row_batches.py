@@ -31,3 +31,8 @@ def test_clipping_of_mixed_polygons(spark):
     for (k, got), (a, b) in zip(df.select("k", T.intersect_convex("a", "b")).orderBy("k").collect(), pairs, strict=True):
         area, corners = G.intersect_convex(a, b) if a and b else (0.0, [])
         assert got["area"] == pytest.approx(area) and np.allclose([tuple(c) for c in got["corners"]], corners)
+
+
+def test_a_turn_is_worked_out_once(spark):
+    plan = spark.range(1).select(T.rodrigues(F.array(F.col("id") / 3, F.lit(0.5), F.lit(0.25))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("sqrt(") == 1
