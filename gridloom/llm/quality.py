@@ -126,11 +126,29 @@ def _with_features(rows: DataFrame) -> DataFrame:
     return rows.select("u", "tie", "role", "text").mapInArrow(lean(scan), "u double, tie long, role int, features binary")
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row, the numbers of the model of the whole sample (u, tie, role, features)."""
+    keys, parts = [], []
+    for b in batches:
+        keys.append([b.column(k).to_numpy() for k in range(3)])
+        parts.append(np.frombuffer(b"".join(b.column(3).to_pylist()), np.float32).reshape(-1, FEATURES))
+    if not parts:
+        return
+    u, tie, role = map(np.concatenate, zip(*keys, strict=True))
+    order = np.lexsort((role, tie, u))
+    x, role = np.concatenate(parts)[order], role[order]
+    positive, unlabelled = x[role == 1], x[role == 0]
+    model = PuModel().fit(positive, unlabelled, estimated_prior(positive, unlabelled))
+    columns = [pa.array([v.tobytes()], pa.binary()) for v in (model.mean, model.scale, model.w)]
+    yield pa.RecordBatch.from_arrays([*columns, pa.array([model.b], pa.float64())], ["mean", "scale", "w", "b"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> PuModel:
     """Learn from rows of docs for which `learn` holds: those labelled 1 are the positives, any are unlabelled.
 
     No other label is looked at; the prior is estimated from the two samples. Ids that several rows share take part
-    through the first few of them in the order of a hash, so the sample's bound holds whatever the table.
+    through the first few of them in the order of a hash, so the sample's bound holds whatever the table. The sample,
+    about 36 MB, is learned in one task; the driver gets four vectors.
     """
     small_batches(docs.sparkSession)
     known = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & learn).select("doc_id")
@@ -142,11 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> PuModel:
     u = smallest(open_, SEED, "doc_id", UNLABELLED, open_.count()).distinct().withColumn("role", F.lit(0))
     chosen = F.broadcast(p.unionByName(u))  # at most POSITIVES + UNLABELLED ids
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select(spread(SEED, "doc_id").alias("u"), F.xxhash64("text").alias("tie"), "role", "text")
-    got = _with_features(rows).orderBy("u", "tie", "role").limit(POSITIVES + UNLABELLED).collect()
-    x = np.stack([np.frombuffer(r.features, np.float32) for r in got]) if got else np.zeros((0, FEATURES), np.float32)
-    role = np.array([r.role for r in got])
-    positive, unlabelled = x[role == 1], x[role == 0]
-    return PuModel().fit(positive, unlabelled, estimated_prior(positive, unlabelled))
+    sample = _with_features(rows).orderBy("u", "tie", "role").limit(POSITIVES + UNLABELLED)
+    got = sample.mapInArrow(lean(_learned), "mean binary, scale binary, w binary, b double").first()
+    model = PuModel()
+    if got:
+        model.mean, model.scale, model.w = (np.frombuffer(v, np.float32) for v in (got["mean"], got["scale"], got["w"]))
+        model.b = got["b"]
+    return model
 
 
 def score(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -386,6 +386,21 @@ def test_quality_edges(spark, awkward, nothing):
     assert quality.score(nothing, quality.fit(nothing, labels, ~quality.held_out())).count() == 0
 
 
+def test_the_driver_gets_the_quality_model_and_no_sample(spark, sf_dir, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("documents", "labels"))
+    learn = ~quality.held_out()
+    ones = [r.doc_id for r in labels.where("quality = 1").where(learn).select("doc_id").collect()]
+    rows = docs.where(learn).select(quality.spread(quality.SEED, "doc_id").alias("u"), "doc_id", "text").orderBy("u").collect()
+    assert len(set(ones)) <= quality.POSITIVES and len(rows) <= quality.UNLABELLED
+    x = quality.features([(r.text or "").encode() for r in rows])
+    positive = x[np.isin([r.doc_id for r in rows], ones)]
+    want = quality.PuModel().fit(positive, x, quality.estimated_prior(positive, x))
+    monkeypatch.setattr(quality.PuModel, "fit", lambda *_: pytest.fail("learned in the driver"))
+    got = quality.fit(docs, labels, learn)
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale)
+    assert np.allclose(got.w, want.w, rtol=1e-4, atol=1e-5) and np.isclose(got.b, want.b, rtol=1e-4)
+
+
 def test_the_prior_is_estimated():
     rng = np.random.default_rng(1)
     for prior in (0.3, 0.6, 0.9):
