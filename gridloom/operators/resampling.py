@@ -198,11 +198,49 @@ def invert_affine(matrix: Sequence[Sequence[float]]) -> np.ndarray:
     return np.array([[e * inv, -b * inv, (b * f - e * c) * inv], [-d * inv, a * inv, (d * c - a * f) * inv]])
 
 
+def nearly_flat(pairs: np.ndarray) -> np.ndarray:
+    """For sets (n, 4, (x, y, u, v)) of finite points: whether three source or three target points are on a line, or nearly."""
+    turn = np.ones((len(pairs), 2))  # the least triangle of the source and of the target points
+    p = _centred(pairs)
+    for at in ([1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2]):
+        a, b = p[:, at[1]] - p[:, at[0]], p[:, at[2]] - p[:, at[0]]
+        turn = np.minimum(turn, np.abs(a[:, ::2] * b[:, 1::2] - a[:, 1::2] * b[:, ::2]))
+    return turn.min(axis=1) < 1e-6
+
+
+def _centred(pairs: np.ndarray) -> np.ndarray:
+    p = pairs - pairs.mean(axis=1, keepdims=True)
+    for k in (0, 2):
+        extent = np.abs(p[:, :, k : k + 2]).max(axis=(1, 2), keepdims=True)
+        p[:, :, k : k + 2] /= np.where(extent > 0, extent, 1.0)
+    return p
+
+
+def undetermined(pairs: np.ndarray) -> np.ndarray:
+    """For sets (n, 4, (x, y, u, v)) of finite points: whether more than one map takes the four points to the four.
+
+    That is, whether their eight equations in nine unknowns have a rank under 8: all source or all target points on a
+    line, two equal source points, or three points on a line that go to three on a line. What counts as zero is 1e-12 of
+    the points' extent.
+    """
+    out = np.zeros(len(pairs), bool)
+    flat = np.flatnonzero(nearly_flat(pairs))  # without three points on a line the map is the only one
+    x, y, u, v = _centred(pairs[flat]).transpose(2, 0, 1)
+    one, none = np.ones_like(x), np.zeros_like(x)
+    rows = [np.stack([x, y, one, none, none, none, -u * x, -u * y, -u], -1), np.stack([none, none, none, x, y, one, -v * x, -v * y, -v], -1)]
+    if len(flat):
+        size = np.linalg.svd(np.concatenate(rows, 1), compute_uv=False)
+        out[flat] = size[:, -1] <= 1e-12 * size[:, 0]
+    return out
+
+
 def perspective_from_points(source: Sequence[Sequence[float]], target: Sequence[Sequence[float]]) -> np.ndarray:
-    """The 3 x 3 matrix that takes four points to four."""
+    """The 3 x 3 matrix that takes four points to four; zeros where they don't determine it, NaN where one isn't finite."""
     s, t = np.array(source, float), np.array(target, float)
     if not (np.isfinite(s).all() and np.isfinite(t).all()):
         return np.full((3, 3), np.nan)
+    if undetermined(np.concatenate([s, t], axis=1)[None])[0]:
+        return np.zeros((3, 3))
     rows = []
     for (x, y), (u, v) in zip(s, t, strict=True):
         rows += [[x, y, 1, 0, 0, 0, -u * x, -u * y, u], [0, 0, 0, x, y, 1, -v * x, -v * y, v]]

@@ -69,6 +69,24 @@ def invert_affine(matrix: Column) -> Column:
     return F.array(e * inv, -b * inv, (b * f - e * c) * inv, -d * inv, a * inv, (d * c - a * f) * inv)
 
 
+def _equations(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The systems of eight numbers of the matrices of sets (n, 4, (x, y, u, v)), in the precision of p."""
+    x, y, u, v = p.transpose(2, 0, 1)
+    one, none = np.ones_like(x), np.zeros_like(x)
+    rows = [np.stack([x, y, one, none, none, none, -u * x, -u * y], -1), np.stack([none, none, none, x, y, one, -v * x, -v * y], -1)]
+    return np.concatenate(rows, 1), np.concatenate([u, v], 1)
+
+
+def _refined(h: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Solutions h of sets p with what two rounds add to them, from residuals in extended precision."""
+    left = _equations(p)[0]
+    a, b = _equations(p.astype(np.longdouble))
+    h = h.astype(np.longdouble)
+    for _ in range(2):
+        h = h + solved(left, (b - (a * h[:, None]).sum(axis=2))[:, :, None])[:, :, 0]
+    return h.astype(float)
+
+
 @F.pandas_udf(_NUMBERS)
 def _perspectives(points: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in points:
@@ -76,20 +94,27 @@ def _perspectives(points: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = [k for k, v in enumerate(series) if v is not None]
         if known:
             p = np.stack([np.asarray(series.iloc[k], float) for k in known]).reshape(-1, 4, 4)
-            x, y, u, v = p.transpose(2, 0, 1)
-            one, none = np.ones_like(x), np.zeros_like(x)
-            rows = [np.stack([x, y, one, none, none, none, -u * x, -u * y], -1), np.stack([none, none, none, x, y, one, -v * x, -v * y], -1)]
             whole = np.isfinite(p).all(axis=(1, 2))
+            finite = np.where(whole[:, None, None], p, 0.0)
+            # rounding would decide which of many matrices they get
+            loose = S.undetermined(finite) & whole
             with np.errstate(all="ignore"):
-                h = solved(np.where(whole[:, None, None], np.concatenate(rows, 1), 0.0), np.concatenate([u, v], 1)[:, :, None])[:, :, 0]
+                a, b = _equations(finite)
+                h = solved(a, b[:, :, None])[:, :, 0]
+                h[~whole] = np.nan
+                flat = np.flatnonzero(S.nearly_flat(finite) & ~loose & np.isfinite(h).all(axis=1))
+                h[flat] = _refined(h[flat], p[flat])
             for n, k in enumerate(known):
+                if loose[n]:
+                    out[k] = [0.0] * 9
+                    continue
                 # what the elimination can't settle is one matrix at a time
                 out[k] = [*h[n].tolist(), 1.0] if np.isfinite(h[n]).all() else S.perspective_from_points(p[n, :, :2], p[n, :, 2:]).ravel().tolist()
         yield pd.Series(out, dtype=object)
 
 
 def perspective_from_points(source: Sequence[Spot], target: Sequence[Spot]) -> Column:
-    """The 3 x 3 matrix that takes four points to four; NaN where one isn't finite."""
+    """The 3 x 3 matrix that takes four points to four; zeros where they don't determine it, NaN where one isn't finite."""
     made = _perspectives(F.array(*[v.cast("double") for s, t in zip(source, target, strict=True) for v in (*s, *t)]))
     # NaN comes back from Arrow as null
     return F.transform(made, lambda v: F.coalesce(v, F.lit(math.nan)))

@@ -53,7 +53,9 @@ def _perspective(a: Column, b: Column, e: Column, z: Column) -> Column:
     return T.perspective_from_points(four, [((h[0] * x + h[1] * y + h[2]) / at(x, y), (h[3] * x + h[4] * y + h[5]) / at(x, y)) for x, y in four])
 
 
-listed("perspective_from_points", _perspective, "e + 1", "2", "a", "0.5", "b + 3", "7", "0.01", "0.02", "1")
+# zeros where the four target points lie on a line: the map's determinant is 0, else 0.0001 or more for a with two decimals
+_LINE = "abs((e + 1) * (b + 2.86) - 0.86 - 0.01 * a * (b + 2)) < 1e-9"
+listed("perspective_from_points", _perspective, *[f"CASE WHEN {_LINE} THEN 0 ELSE {v} END" for v in ("e + 1", "2", "a", "0.5", "b + 3", "7", "0.01", "0.02", "1")])
 _VECTOR = lambda b, e: F.array(e / 13, b / 97 - 0.5, F.lit(0.25))
 _TURN = f"(SELECT *, cos(t) AS c, sin(t) AS s, p / t AS x, q / t AS y, 0.25 / t AS w FROM (SELECT *, sqrt(p * p + q * q + 0.0625) AS t FROM (SELECT *, e / 13 AS p, b / 97 - 0.5 AS q FROM {_FROM})))"
 listed("rodrigues", lambda a, b, e, z: T.rodrigues(_VECTOR(b, e)), "c + (1 - c) * x * x", "(1 - c) * x * y - s * w", "(1 - c) * x * w + s * y", "(1 - c) * x * y + s * w", "c + (1 - c) * y * y", "(1 - c) * y * w - s * x", "(1 - c) * x * w - s * y", "(1 - c) * y * w + s * x", "c + (1 - c) * w * w", inner=_TURN)

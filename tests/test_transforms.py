@@ -56,6 +56,34 @@ def test_perspective_matrices(spark):
     assert all(map(math.isnan, made[4])) and np.isfinite(made[3]).all()
 
 
+def test_points_that_do_not_determine_a_perspective_matrix_give_zeros(spark):
+    square, odd = [0, 0, 4, 0, 0, 3, 5, 7], [1, 2, 6, 1, 2, 9, 8, 7]
+    line, three = [1, 2, 3, 3, 5, 4, 9, 6], [0, 0, 1, 0, 3, 0, 2, 5]
+    twice = [0, 0, 0, 0, 1, 5, 6, 2]
+    rows = [square + line, line + odd, [2, 2] * 4 + odd, square + [2, 2] * 4, three + three, twice + odd]
+    rows += [square + odd, three + odd, square + three]  # these have one matrix, up to its size
+    pair = lambda c, k: [(c[k + 2 * n], c[k + 2 * n + 1]) for n in range(4)]
+    made = of(spark, rows, lambda *c: T.perspective_from_points(pair(c, 0), pair(c, 8)))
+    assert made[:6] == [[0.0] * 9] * 6 and all(any(m) for m in made[6:])
+    for got, r in zip(made, rows, strict=True):
+        assert np.allclose(got, S.perspective_from_points(np.reshape(r[:8], (4, 2)), np.reshape(r[8:], (4, 2))).ravel())
+
+
+def test_perspective_query_on_target_points_on_a_line(spark, tmp_path):
+    import duckdb
+
+    from gridloom.plans.per_row import QUERIES, SQL
+
+    # (event_id, user_id, value): the map's determinant is 0 in the first five rows, 0.0001 (b + 2) and more in the others
+    rows = [(13, 0, 100.0), (26, 41, 100.0), (14, 41, 202.0), (27, 84, 201.0), (40, 0, 243.0), (53, 41, 202.01), (65, 5, 99.99), (66, 5, 17.25), (15, 47, 303.51)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, QUERIES["perspective_from_points"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as base:
+        base.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == sorted(base.execute(SQL["perspective_from_points"]).fetchall())
+    assert {r[0] for r in got if r[2] == 0} == {13, 26, 14, 27, 40}
+
+
 def test_rotations(spark):
     v = [*np.random.default_rng(3).normal(size=(15, 3)), np.zeros(3), np.array([1e-15, 0, 0])]
     for got, r in zip(of(spark, v, lambda *c: T.rodrigues(F.array(*c))), v, strict=True):
