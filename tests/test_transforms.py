@@ -74,7 +74,7 @@ def test_perspective_query_on_target_points_on_a_line(spark, tmp_path):
 
     from gridloom.plans.per_row import QUERIES, SQL
 
-    # (event_id, user_id, value): the map's determinant is 0 in the first five rows, 0.0001 (b + 2) and more in the others
+    # (event_id, user_id, value): the map's determinant is 0 in the first five rows, 0.0001 or more in size in the others
     rows = [(13, 0, 100.0), (26, 41, 100.0), (14, 41, 202.0), (27, 84, 201.0), (40, 0, 243.0), (53, 41, 202.01), (65, 5, 99.99), (66, 5, 17.25), (15, 47, 303.51)]
     spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(map(tuple, QUERIES["perspective_from_points"](spark, str(tmp_path)).collect()))
