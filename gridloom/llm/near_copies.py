@@ -7,8 +7,9 @@
    of which two texts as alike as asked always share one, because majorities over few shingles vary more.
 2. Cells with one member go before anything but cell and number has been shuffled. A cell of over MEMBERS texts is dealt
    into chunks of about so many, each with the cell's few pivots, so that no task holds a whole hot cell.
-3. In a chunk, pairs within RADIUS of all 2,048 bits, with numbers of shingles that allow the similarity, are candidates,
-   in the first cell that they share.
+3. A chunk is a shard: its different fingerprints of 2,048 bits make a BK-tree, whose children hang by integer Hamming
+   distance, and its members search it. Pairs within RADIUS, with numbers of shingles that allow the similarity, are
+   candidates, in the first cell that they share.
 4. Candidates are verified on their shingles, as bytes, and become links only if the similarity is reached.
 5. A chunk with very many candidates proposes one for each member first, the first, a pivot if one is near. Once what
    these link is known, cells that are in one group are done. In the others each member of a group but the largest meets
@@ -30,6 +31,7 @@ from gridloom.llm.anchors import mixed
 from gridloom.llm.common import as_bytes, discard, first_of_each, joined, lean, materialise, ranges, slices_by_cost, spread
 from gridloom.llm.components import components
 from gridloom.llm.repeats import distinct_texts, drop
+from gridloom.llm.simhash import BkForest
 
 WORDS = 5
 #: The least Jaccard similarity of a link, as numerator and denominator.
@@ -39,8 +41,6 @@ FINGERPRINTS = 32
 SEEDS = 8
 #: Of 2,048 bits; a pair at 0.8 differs in about 310, standard deviation 16. Of texts with up to FEW shingles in 384 at most.
 RADIUS, WIDE, FEW = 392, 472, 16
-#: Of the first 128 bits: 24 at most, standard deviation 4. Looked at before the others.
-_COARSE = 46
 #: Texts with up to so many shingles also enter the cells of their smallest shingle hashes.
 SHORT = 80
 #: A cell with more candidates per member proposes in steps.
@@ -142,33 +142,44 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
 
 
 def _near(
-    unit: np.ndarray, cell: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: tuple[int, int], apart=None
+    unit: np.ndarray, cell: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: tuple[int, int], apart=None, side: np.ndarray | None = None
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Candidates i < j of one unit, if its cell is the first that they share, and in how many bits they differ; a bounded number at a time.
 
-    Of all pairs of a unit, or of those for which apart(i, j) holds.
+    Each unit has a BK-tree of its different fingerprints, which its members search. Of all pairs of a unit, or of those
+    for which apart(i, j) holds. Members on side 1 are in the tree alone, those on side 2 search alone, others do both.
     """
     prints = np.ascontiguousarray(sketch[:, : 8 * FINGERPRINTS]).view(np.uint64)
     blocks, least = sketch[:, : 8 * SEEDS].reshape(-1, SEEDS, 8), np.ascontiguousarray(sketch[:, 8 * FINGERPRINTS :]).view(np.uint32)
     place = (cell.view(np.uint64) & _PLACE).astype(np.int64)
+    _, group, size = np.unique(unit, return_inverse=True, return_counts=True)
+    side = np.zeros(len(unit), np.int64) if side is None else side
+    rows, asks = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    # members of equal fingerprints are one node
+    whole = np.column_stack([group[rows].astype(np.uint64), prints[rows]]).view(np.dtype((np.void, 8 * FINGERPRINTS + 8)))[:, 0]
+    _, head, kind = np.unique(whole, return_index=True, return_inverse=True)
+    tree = BkForest(prints[rows[head]], group[rows[head]])
+    rows, many = rows[np.argsort(kind, kind="stable")], np.bincount(kind, minlength=len(head))
+    begin = np.cumsum(many) - many
+    # one of up to FEW shingles may be as alike as asked to one of a quarter more
     radius = np.where(n <= FEW, WIDE, RADIUS)
-    after = np.searchsorted(unit, unit, "right") - np.arange(len(unit)) - 1
-    for lo, hi in slices_by_cost(after, 1 << 18):
-        i, j = np.repeat(np.arange(lo, hi), after[lo:hi]), ranges(np.arange(lo, hi) + 1, after[lo:hi])
-        hit = similarity[1] * np.minimum(n[i], n[j]) >= similarity[0] * np.maximum(n[i], n[j])
-        if apart is not None:
-            hit &= apart(i, j)
-        i, j = i[hit], j[hit]
-        hit = np.bitwise_count(prints[i, :2] ^ prints[j, :2]).sum(axis=1, dtype=np.int64) <= _COARSE
-        i, j = i[hit], j[hit]
+    reach = np.where(similarity[0] * n <= similarity[1] * FEW, WIDE, RADIUS)
+    for lo, hi in slices_by_cost(size[group[asks]], 1 << 18):
+        own = asks[lo:hi]
+        q, node, bits = tree.within(prints[own], group[own], reach[own])
+        q, bits, other = np.repeat(own[q], many[node]), np.repeat(bits, many[node]), rows[ranges(begin[node], many[node])]
+        i, j = np.minimum(q, other), np.maximum(q, other)
+        hit = (other < q) | (side[q] == 2)
+        hit &= (similarity[1] * np.minimum(n[i], n[j]) >= similarity[0] * np.maximum(n[i], n[j])) & (bits <= np.maximum(radius[i], radius[j]))
+        i, j, bits = i[hit], j[hit], bits[hit]
         for at in range(0, max(1, len(i)), 1 << 15):
-            x, y = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
-            bits = np.bitwise_count(prints[x] ^ prints[y]).sum(axis=1, dtype=np.int64)
-            hit = bits <= np.maximum(radius[x], radius[y])
-            x, y, bits = x[hit], y[hit], bits[hit]
+            x, y, d = i[at : at + (1 << 15)], j[at : at + (1 << 15)], bits[at : at + (1 << 15)]
+            if apart is not None:
+                hit = apart(x, y)
+                x, y, d = x[hit], y[hit], d[hit]
             meet = ((blocks[x] == blocks[y]) & (least[x] == least[y])[:, :, None]).reshape(len(x), _PLACES)
             first = np.where(meet.any(axis=1), meet.argmax(axis=1), _PLACES) == place[x]
-            yield x[first], y[first], bits[first]
+            yield x[first], y[first], d[first]
 
 
 def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray, *first: pa.Array) -> pa.RecordBatch:

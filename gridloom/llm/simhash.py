@@ -53,15 +53,22 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(lean(scan), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits fingerprints differ."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim == 1 else bits.sum(axis=1, dtype=np.int64)
+
+
 class BkForest:
     """One BK-tree for each group of fingerprints, all built and searched together, level by level, in numpy.
 
     A child hangs below its parent under the integer Hamming distance between them; a search of radius r that stands
-    at distance d from a node follows only the children under d - r .. d + r.
+    at distance d from a node follows only the children under d - r .. d + r. A fingerprint is a number of 64 bits, or
+    a row of several.
     """
 
     def __init__(self, fps: np.ndarray, group: np.ndarray):
-        self.fps = fps
+        self.fps, self.bits = fps, 64 * (fps.shape[1] if fps.ndim > 1 else 1)
         order = np.argsort(group, kind="stable")
         heads = order[np.flatnonzero(np.diff(group[order], prepend=-1))] if len(order) else order
         self.root_of = dict(zip(group[heads].tolist(), heads.tolist(), strict=True))
@@ -71,7 +78,7 @@ class BkForest:
         items = np.setdiff1d(order, heads)
         nodes, keys, children = top[group[items]], [], []
         while len(items):
-            key = nodes * 65 + np.bitwise_count(fps[items] ^ fps[nodes])
+            key = nodes * (self.bits + 1) + distance(fps[items], fps[nodes])
             found, at, which = np.unique(key, return_index=True, return_inverse=True)
             keys.append(found)
             children.append(items[at])
@@ -84,20 +91,25 @@ class BkForest:
 
     def search(self, queries: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (index of the query, index of the node) within the radius; each query searches its group's tree."""
+        return self.within(queries, group, np.full(len(queries), radius))[:2]
+
+    def within(self, queries: np.ndarray, group: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As search(), with a radius for each query; also the distances."""
         q = np.arange(len(queries))
         node = self.roots[group] if len(self.roots) else np.full(len(q), -1)
         q, node = q[node >= 0], node[node >= 0]
-        hits_q, hits_n = [], []
+        hits_q, hits_n, hits_d = [], [], []
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.fps[node]).astype(np.int64)
-            near = d <= radius
+            d, r = distance(queries[q], self.fps[node]), radius[q]
+            near = d <= r
             hits_q.append(q[near])
             hits_n.append(node[near])
-            low = np.searchsorted(self.keys, node * 65 + np.maximum(d - radius, 0))
-            fan = np.searchsorted(self.keys, node * 65 + np.minimum(d + radius, 64), "right") - low
+            hits_d.append(d[near])
+            low = np.searchsorted(self.keys, node * (self.bits + 1) + np.maximum(d - r, 0))
+            fan = np.searchsorted(self.keys, node * (self.bits + 1) + np.minimum(d + r, self.bits), "right") - low
             q, node = np.repeat(q, fan), self.children[ranges(low, fan)]
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return join(hits_q), join(hits_n)
+        return join(hits_q), join(hits_n), join(hits_d)
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

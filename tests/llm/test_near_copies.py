@@ -76,6 +76,39 @@ def test_a_large_cell_that_is_one_group_needs_no_units(spark):
     assert len(met) == 2 * (3 * 97 + 3)
 
 
+def test_candidates_come_from_bk_trees(monkeypatch):
+    rng, n, sketches = random.Random(5), [], []
+    for size in (14, 18, 100):  # both radii
+        base = words(rng, size)
+        for k in [*range(30), 0, 0]:  # three have equal fingerprints
+            text = edited(rng, base, k % (size // 10 + 2))
+            h = np.unique(np.array([near_copies.xxhash.xxh64_intdigest(x, 42) for x in near_copies.shingles(" ".join(text).encode())], np.uint64))
+            prints, least = near_copies.fingerprints(h)
+            n.append(len(h))
+            sketches.append(prints.tobytes() + least.tobytes())
+    n, sketch = np.array(n), np.frombuffer(b"".join(sketches), np.uint8).reshape(len(n), -1)
+    unit, prints = np.arange(len(n)) % 2 * 7, np.ascontiguousarray(sketch[:, : 8 * near_copies.FINGERPRINTS]).view(np.uint64)
+    order = np.argsort(unit, kind="stable")
+    unit, n, sketch, prints = unit[order], n[order], sketch[order], prints[order]
+    cell = np.zeros(len(n), np.int64)  # place 0: an equal first byte and smallest hash
+    want = set()
+    for i, j in combinations(range(len(n)), 2):
+        bits = int(np.bitwise_count(prints[i] ^ prints[j]).sum())
+        near = bits <= (near_copies.WIDE if min(n[i], n[j]) <= near_copies.FEW else near_copies.RADIUS)
+        meet = sketch[i, 0] == sketch[j, 0] and (sketch[i, 8 * near_copies.FINGERPRINTS :][:4] == sketch[j, 8 * near_copies.FINGERPRINTS :][:4]).all()
+        if unit[i] == unit[j] and near and meet and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+            want.add((i, j, bits))
+
+    def found(**more):
+        return sorted(p for part in near_copies._near(unit, cell, n, sketch, near_copies.SIMILARITY, **more) for p in zip(*(x.tolist() for x in part), strict=True))
+
+    assert len(want) > 80 and found() == sorted(want)
+    side = np.where(np.arange(len(n)) % 3 == 0, 1, 2)
+    assert found(side=side) == sorted(p for p in want if side[p[0]] != side[p[1]])
+    monkeypatch.setattr(near_copies.BkForest, "within", lambda self, queries, group, radius: (np.zeros(0, np.int64),) * 3)
+    assert found() == []
+
+
 def test_recall_of_pairs_at_the_threshold():
     rng, met = np.random.default_rng(2), []
     for n in (81, 200, 1000):  # texts with fewer shingles share a cell in any case
