@@ -13,13 +13,16 @@
 4. Candidates are verified on their shingles, as bytes, and become links only if the similarity is reached.
 5. A chunk with very many candidates proposes one for each member first, the first, a pivot if one is near. Once what
    these link is known, cells that are in one group are done. In the others each member of a group but the largest meets
-   all members that are still apart, in units of bounded size: first the nearest of a unit are verified, in the end all
-   that are still apart. So a large group of near copies is neither compared nor verified pair by pair.
+   all members that are still apart, in units of bounded size, where the candidates of their BK-trees are compared by
+   their shingle hashes. A unit gives no pairs but those that connect its groups, fewer than its members, so texts that
+   are alike, but less than asked, make no rows. Only of texts with more than HELD shingles first the nearest of a unit
+   are verified, in the end all that are still apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,8 @@ DENSE = 2
 MEMBERS = 4096
 #: About so many members of a large cell, those of the smallest hashes, are in all of its chunks.
 PIVOTS = 8
+#: Texts with up to so many shingles are compared by all their hashes in the units of what no links connect: 8 KB a member.
+HELD = 1024
 _SLICE = 1 << 12
 _SEEDS = np.arange(1, FINGERPRINTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: A cell's last seven bits are its place among the cells of a text; those of smallest shingles have the place after.
@@ -117,9 +122,14 @@ def _with_cells(words: int, similarity: tuple[int, int]):
 
 
 def _numbers(column: pa.Array) -> np.ndarray:
-    """A column's values; sketches as rows of bytes."""
+    """A column's values; sketches as rows of bytes, lists as arrays."""
     if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
         return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), _SKETCH)
+    if pa.types.is_list(column.type):
+        out, flat, ends = np.empty(len(column), object), column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+        for k, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)):
+            out[k] = flat[a:z]
+        return out
     return column.to_numpy(zero_copy_only=False)
 
 
@@ -220,19 +230,79 @@ def _proposals(similarity: tuple[int, int]):
     return scan
 
 
-def _apart(similarity: tuple[int, int], nearest: bool):
+def _held(words: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates of units whose ends no links connect yet; all, or for each member the nearest one in each unit."""
-        for unit, cell, ids, chunk, crossing, root, n, sketch in _whole_units(batches):
+        """The shingle hashes of texts with up to HELD of them, none of longer ones."""
+        for b in batches:
+            own = [np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(text, words)], np.uint64) for text in as_bytes(b.column(1))]
+            own = [np.unique(h) if len(h) <= HELD else h[:0] for h in own]
+            flat = pa.array((np.concatenate(own) if own else np.zeros(0, np.uint64)).view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, flat)], ["id", "hashes"])
+
+    return scan
+
+
+def _common(hashes: np.ndarray):
+    """A function of i and j, which says how many hashes each two of these lists have in common."""
+    size = np.array(list(map(len, hashes)), np.int64)
+    values, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+    begin, marked = np.cumsum(size) - size, np.zeros(len(values), bool)
+
+    def count(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if len(np.unique(i)) > len(np.unique(j)):
+            i, j = j, i
+        order, out = np.argsort(i, kind="stable"), np.zeros(len(i), np.int64)
+        starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+        for a, z in pairwise([*starts.tolist(), len(i)]):
+            one, at = i[order[a]], order[a:z]
+            mine = codes[begin[one] : begin[one] + size[one]]
+            marked[mine] = True
+            for lo, hi in slices_by_cost(size[j[at]], 1 << 20):
+                others = j[at[lo:hi]]
+                sums = np.concatenate(([0], np.cumsum(marked[codes[ranges(begin[others], size[others])]])))
+                ends = np.cumsum(size[others])
+                out[at[lo:hi]] = sums[ends] - sums[ends - size[others]]
+            marked[mine] = False
+        return out
+
+    return count
+
+
+def _apart(similarity: tuple[int, int], first: bool):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates of units whose ends no links connect yet.
+
+        Pairs with up to HELD shingles each are compared here at first, and of those that are alike so many are given as
+        connect what they connect. Of the others those of each member with the nearest in a unit at first, all then.
+        """
+        for unit, cell, ids, chunk, crossing, root, n, sketch, hashes in _whole_units(batches):
+            start = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            lowest = np.repeat(np.minimum.reduceat(chunk, start), np.diff(start, append=len(unit)))
+            side = np.where(crossing, np.where(chunk == lowest, 1, 2), 0)
+            _, label = np.unique(root, return_inverse=True)
+            held, common = n <= HELD, _common(hashes) if first else None
 
-            def apart(i, j, chunk=chunk, crossing=crossing, root=root):
-                return (root[i] != root[j]) & ((chunk[i] != chunk[j]) == crossing[i])
+            def apart(i, j, chunk=chunk, crossing=crossing, label=label, held=held):
+                return (label[i] != label[j]) & ((chunk[i] != chunk[j]) == crossing[i]) & (first | ~(held[i] & held[j]))
 
             best, other = np.full(len(cell), 64 * FINGERPRINTS + 1), np.full(len(cell), -1)
-            for i, j, bits in _near(unit, cell, n, sketch, similarity, apart):
-                if not nearest:
+            for i, j, bits in _near(unit, cell, n, sketch, similarity, apart, side):
+                if not first:
                     yield _pairs(ids, i, j)
                     continue
+                both = held[i] & held[j]
+                x, y = i[both], j[both]
+                shared = common(x, y)
+                good = similarity[1] * shared >= similarity[0] * (n[x] + n[y] - shared)
+                linked = []
+                for a, b in zip(x[good].tolist(), y[good].tolist(), strict=True):
+                    if label[a] != label[b]:
+                        label[label == label[b]] = label[a]
+                        linked.append((a, b))
+                if linked:
+                    yield _pairs(ids, *np.array(linked).T)
+                i, j, bits = i[~both], j[~both], bits[~both]
                 for one, two in ((i, j), (j, i)):
                     order = np.lexsort((bits, one))
                     one, two, d = one[order], two[order], bits[order]
@@ -335,11 +405,19 @@ def groups(
     used = [counts, tried, links, root]
     dense = found.where("cell IS NOT NULL").select("cell", F.col("u").alias("id"))
     if not dense.isEmpty():
-        for nearest in (True, False):
+        named = dense.select("id").distinct().join(marked.select("id", "key"), "id").join(texts.select("key", "text"), "key")
+        hashes = materialise(named.select("id", "text").mapInArrow(lean(_held(words)), "id long, hashes array<long>"))
+        used.append(hashes)
+        for first in (True, False):
+            if not first:
+                long = dense.join(marked.where(F.col("n") > HELD).select("id"), "id", "left_semi").select("cell").distinct()
+                dense = dense.join(long, "cell", "left_semi")
+                if dense.isEmpty():
+                    break
             units, *tables = _open_units(dense, root, members)
-            met = units.join(sketches, "id").repartition("unit").sortWithinPartitions("unit", "id")
-            met = met.select("unit", "cell", "id", "chunk", "crossing", "root", "n", "sketch")
-            more = met.mapInArrow(lean(_apart(similarity, nearest)), "u long, v long").distinct()
+            met = units.join(sketches, "id").join(hashes, "id").repartition("unit").sortWithinPartitions("unit", "id")
+            met = met.select("unit", "cell", "id", "chunk", "crossing", "root", "n", "sketch", "hashes")
+            more = met.mapInArrow(lean(_apart(similarity, first)), "u long, v long").distinct()
             more = materialise(more.join(tried, ["u", "v"], "left_anti"))
             further = verified(more)
             tried, links = tried.unionByName(more), links.unionByName(further)

@@ -109,6 +109,48 @@ def test_candidates_come_from_bk_trees(monkeypatch):
     assert found() == []
 
 
+def test_pairs_to_verify_grow_with_the_texts_of_a_group(spark, monkeypatch):
+    """Any two of these texts are candidates, alike in 0.73 of their shingles: no pair is a link."""
+    rng, rows, written = random.Random(8), [], near_copies.materialise
+    base = words(rng, 200)
+    texts = [" ".join(edited(rng, base[3:-3], 3)) for _ in range(400)]
+
+    def counted(df):
+        out = written(df)
+        if out.columns == ["u", "v"]:
+            rows[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "materialise", counted)
+    for size in (200, 400):
+        rows.append(0)
+        label, links = brute(texts[:size])
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts[:size])], "doc_id long, text string")
+        groups = near_copies.groups(df)
+        assert groups.count() == len({r for k, r in enumerate(label) if r != k}) + sum(r != k for k, r in enumerate(label))
+    assert rows[1] <= 2.5 * rows[0] and rows[1] < 400 * 399 / 2 / 4
+
+
+@pytest.mark.parametrize("members", [near_copies.MEMBERS, 5])
+def test_groups_of_texts_too_long_for_their_hashes(spark, members):
+    rng = random.Random(13)
+    texts = []
+    for n in (near_copies.HELD - 10, near_copies.HELD + 4, near_copies.HELD + 400):  # on both sides of the bound
+        base = words(rng, n)
+        texts += [" ".join(edited(rng, base, k)) for k in [2, n // 60, n // 50, n // 45, n // 40, n // 30] * 5]
+    label, links = brute(texts)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    root = {bytes(r.key): r.root for r in near_copies.groups(df, members=members).collect()}
+    found: dict = {}
+    for k, t in enumerate(texts):
+        key = hashlib.sha256(t.encode()).digest()[:16]
+        found.setdefault(root.get(key, key), set()).add(k)
+    want: dict = {}
+    for k, r in enumerate(label):
+        want.setdefault(r, set()).add(k)
+    assert len(want) > 3 and sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_recall_of_pairs_at_the_threshold():
     rng, met = np.random.default_rng(2), []
     for n in (81, 200, 1000):  # texts with fewer shingles share a cell in any case
