@@ -114,19 +114,26 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def joined(rows: DataFrame, known: DataFrame, keys: list[str], count: str, by: Column) -> DataFrame:
+def joined(rows: DataFrame, known: DataFrame, keys: list[str], count: str, by: Column, literal: bool = False) -> DataFrame:
     """rows, inner-joined with `known`, a written table with one row per key and, in `count`, the key's number of rows.
 
     A key with more rows than half a partition's share is dealt over as many salts as it has shares; `by` decides which
     row gets which. There are at most twice as many such keys as partitions, so their list can be broadcast, and no task
-    gets much more than its share, whatever the keys. The column `count` isn't in the result.
+    gets much more than its share, whatever the keys. The column `count` isn't in the result. Where most rows have no
+    key in `known`, `literal` puts the list, of one long key, into the plan, and only rows of known keys go through a join.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = (known.agg(F.sum(count)).first()[0] or 0) / (2 * parts)
     salts = F.ceil(F.col(count) / F.lit(max(share, 1.0))).cast("int")
     heavy = known.where(F.col(count) > max(share, 1.0)).select(*keys, salts.alias("_salts"))  # at most 2 * parts rows
-    dealt = rows.join(F.broadcast(heavy), keys, "left")
+    if literal:
+        salted = dict(heavy.collect())
+        salts_of = F.map_from_arrays(F.lit(list(salted)).cast("array<bigint>"), F.lit(list(salted.values())).cast("array<int>"))
+        found = salts_of[F.col(keys[0])]  # looks through the list, so only for its own keys
+        dealt = rows.withColumn("_salts", F.when(F.col(keys[0]).isin(list(salted)), found) if salted else found)
+    else:
+        dealt = rows.join(F.broadcast(heavy), keys, "left")
     dealt = dealt.withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(3), by), F.col("_salts"))).cast("int")).drop("_salts")
     each = F.when(F.col(count) > max(share, 1.0), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     return dealt.join(known.withColumn("_salt", F.explode(each)).drop(count), [*keys, "_salt"]).drop("_salt")

@@ -338,7 +338,7 @@ def _chunks(marked: DataFrame, members: int) -> tuple[DataFrame, DataFrame]:
     rows = marked.select(F.explode("cells").alias("cell"), "id")
     counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     counts = materialise(counts.withColumns({"c": F.ceil(F.col("_n") / F.lit(members)).cast("int"), "n": F.col("_n")}))
-    met = joined(rows, counts, ["cell"], "_n", F.col("id"))
+    met = joined(rows, counts, ["cell"], "_n", F.col("id"), literal=True)
     own = F.pmod(F.xxhash64("cell", "id"), F.col("c")).cast("int")
     met = met.withColumns({"own": own, "pivot": (F.col("c") > 1) & (spread(5, "cell", "id") * F.col("n") < PIVOTS)})
     met = met.withColumn("chunk", F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array("own"))))

@@ -179,3 +179,11 @@ def test_less_alike_texts_are_refused(spark):
     with pytest.raises(ValueError):
         near_copies.one_of_each(docs, similarity=(1, 2))
     assert near_copies.one_of_each(docs, similarity=(9, 10)).count() == 1
+
+
+def test_cells_of_one_text_go_through_no_join(spark):
+    marked = spark.createDataFrame([(k, [7, 100 + k, 2**62 + k]) for k in range(2000)] + [(k, [9, -k]) for k in range(5000, 5003)], "id long, cells array<long>")
+    units, counts = near_copies._chunks(marked, 4096)
+    assert "LeftOuter" not in units._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.cell, r.id) for r in units.collect()) == [(7, k) for k in range(2000)] + [(9, k) for k in range(5000, 5003)]
+    near_copies.discard(counts)
